@@ -94,12 +94,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Token bytes -> 64-bit hash, remembered; forgets everything at a million entries to stay small."""
+    """Token bytes -> 64-bit hash, remembered; forgets everything at 250,000 entries to stay small."""
 
     def __missing__(self, token: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         self[token] = h = xxh3_64_intdigest(token)
         return h

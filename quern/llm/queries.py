@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat_format, decontam, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules
+from quern.llm import chat_format, decontam, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -50,6 +58,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_decontamination, op5_chat_format, op6_license_scan, op7_mixing, op8_quality_rules, op9_language_id, op10_ngram_join)
+    f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_chat_format, op6_license_scan, op7_mixing, op8_quality_rules, op9_language_id, op10_ngram_join)
 }
 ORACLE_SQL: dict[str, str] = {}
