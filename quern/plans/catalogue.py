@@ -1,10 +1,8 @@
-"""Queries over the library's own operators, and SQL that gives the same rows."""
+"""All queries over the library's own operators, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quern.plans import language, search, series, tabular, values  # noqa: F401  they register their queries
+from quern.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
