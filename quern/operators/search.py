@@ -64,7 +64,7 @@ def top_hits(scored: DataFrame, doc: str, k: int = 50, reverse: bool = False) ->
 
 def keyword_report(top: DataFrame) -> DataFrame:
     """(term, docs, mean_w): over how many documents a top term is spread."""
-    return top.groupBy("term").agg(F.count("*").alias("docs"), F.round(F.avg("w"), 6).alias("mean_w"))
+    return top.groupBy("term").agg(F.count("*").alias("docs"), F.round(F.avg("w"), 4).alias("mean_w"))
 
 
 def in_frequency_range(freqs: DataFrame, low: float, high: float, n_docs: DataFrame) -> DataFrame:

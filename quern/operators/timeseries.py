@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +125,7 @@ def common_keys(tables: list[DataFrame], key: str, every: bool = True) -> DataFr
     for t in tables[1:]:
         out = out.intersect(t.select(key)) if every else out.union(t.select(key)).distinct()
     return out
+
+
+#: Python functions of this module travel with the plan, so workers need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

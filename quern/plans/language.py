@@ -18,7 +18,7 @@ def tokenize_words(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT item_id, string_split(regexp_replace(regexp_replace(text, '\\b([A-Z][a-z]{0,2})\\.\\s+', '\\1.' || chr(1), 'g'), '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)) AS s FROM benchmark)
-SELECT item_id, unnest(list_filter(list_transform(s, x -> trim(replace(x, chr(1), ' '))), x -> x <> '')) AS sentence FROM g""")
+SELECT item_id, unnest(list_filter(list_transform(s, lambda x: trim(replace(x, chr(1), ' '))), lambda x: x <> '')) AS sentence FROM g""")
 def split_sentences(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.sentences(TEXT)).alias("sentence"))
 
@@ -32,7 +32,7 @@ def stopword_filter(spark, sf_dir):
     return w.where(~X.is_stop_word(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count_if(regexp_matches(t, '^[^\\p{L}\\p{N}_\\s]+$')) AS punctuation, count_if(t = ',') AS commas, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+')) AS t FROM documents)""")
+@query("""SELECT count_if(regexp_matches(t, '^[^\\p{L}\\p{N}_\\s]+$'))::BIGINT AS punctuation, count_if(t = ',')::BIGINT AS commas, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+')) AS t FROM documents)""")
 def token_predicates(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select(F.explode(X.tokens(TEXT)).alias("t"))
     return t.agg(F.count_if(X.is_punctuation(F.col("t"))).alias("punctuation"), F.count_if(X.is_comma(F.col("t"))).alias("commas"), F.count("*").alias("n"))
@@ -51,7 +51,7 @@ def pos_class(spark, sf_dir):
     return t.withColumn("class", X.tag_class(F.col("tag"), F.lag("tag").over(w))).drop("l_partkey")
 
 
-@query(f"""WITH w AS (SELECT {WORDS} AS w FROM benchmark) SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS ngram FROM w) GROUP BY 1""")
+@query(f"""WITH w AS (SELECT {WORDS} AS w FROM benchmark) SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM w) GROUP BY 1""")
 def ngram_counts(spark, sf_dir):
     return M.ngram_counts(table(spark, sf_dir, "benchmark"), X.words(TEXT), 2)
 
@@ -67,7 +67,7 @@ def bigram_lm_score(spark, sf_dir):
     return M.bigram_score(table(spark, sf_dir, "benchmark"), "item_id", X.words(TEXT))
 
 
-@query(f"""WITH w AS (SELECT item_id, {WORDS} AS w FROM benchmark), g AS (SELECT item_id % 7 + 1 AS wt, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS ngram FROM w)
+@query(f"""WITH w AS (SELECT item_id, {WORDS} AS w FROM benchmark), g AS (SELECT item_id % 7 + 1 AS wt, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM w)
 SELECT ngram, round(sum(wt)::DOUBLE, 4) AS weight FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""")
 def weighted_ngrams(spark, sf_dir):
     return M.weighted_ngrams(table(spark, sf_dir, "benchmark"), X.words(TEXT), (F.col("item_id") % 7 + 1).cast("double"), 2)
@@ -91,14 +91,14 @@ def ngram_filter(spark, sf_dir):
 
 # --- classification -------------------------------------------------------------------------------
 
-_SCORED = "s AS (SELECT doc_id, quality, (length(text) > 1000)::INTEGER AS pred, round(least(length(text), 4000) / 4000, 4) AS score FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
+_SCORED = "s AS (SELECT doc_id, quality, (length(text) > 1000)::INTEGER AS pred, round(least(length(text), 4000) / 4000, 6) AS score FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 
 
 def _scored(spark, sf_dir):
     """A rule for a classifier: long texts are good."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     j = d.join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
-    return j.select("doc_id", "quality", (F.col("n") > 1000).cast("int").alias("pred"), F.round(F.least("n", F.lit(4000)) / 4000, 4).alias("score"))
+    return j.select("doc_id", "quality", (F.col("n") > 1000).cast("int").alias("pred"), F.round(F.least("n", F.lit(4000)) / 4000, 6).alias("score"))
 
 
 @query(f"WITH {_SCORED} SELECT quality, pred, count(*) AS n FROM s GROUP BY 1, 2")

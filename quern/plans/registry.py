@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Words of a text in SQL, as in quern.functions.text.words.
-WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), x -> x <> '')"
+WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 TF = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL)"
 DF = "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
 ITF = f"tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark) GROUP BY ALL)"

@@ -67,7 +67,7 @@ def search_top_hits(spark, sf_dir):
 
 
 _PHRASE = f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
-p AS (SELECT doc_id, len(list_filter(range(1, len(w)), i -> w[i] = 'general' AND w[i + 1] = 'public')) AS n_hits FROM w)
+p AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'general' AND w[i + 1] = 'public')) AS n_hits FROM w)
 SELECT doc_id, n_hits FROM p WHERE n_hits > 0"""
 
 
@@ -91,7 +91,7 @@ def hit_count(spark, sf_dir):
 @query(f"""WITH {TF}, {DF}, n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT doc_id, tf.term, round(tf * ln(n / df), 6) AS w FROM tf JOIN df USING (term), n),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM w) WHERE rank <= 10)
-SELECT term, count(*) AS docs, round(avg(w), 6) AS mean_w FROM t GROUP BY term""")
+SELECT term, count(*) AS docs, round(avg(w), 4) AS mean_w FROM t GROUP BY term""")
 def tfidf_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return S.keyword_report(S.top_terms(S.tfidf(S.postings(docs, "doc_id", TEXT), _n(docs)), "doc_id"))
@@ -123,7 +123,7 @@ for _tf in W.TF:
     for _idf in W.IDF:
         _scheme(_tf, _idf)
 
-_GRAMS = f"list_concat({WORDS}, list_transform(range(1, len({WORDS})), i -> array_to_string(({WORDS})[i:i+1], ' ')))"
+_GRAMS = f"list_concat({WORDS}, list_transform(range(1, len({WORDS})), lambda i: array_to_string(({WORDS})[i:i+1], ' ')))"
 _NCOUNTS = f"""tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_GRAMS}) AS term FROM benchmark) GROUP BY ALL),
 d AS (SELECT item_id, sum(tf) AS len FROM tf GROUP BY item_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT tf.item_id, tf.term, round(tf / len * ln((SELECT count(*) FROM benchmark) / df), 6) AS w FROM tf JOIN d USING (item_id) JOIN df USING (term)),
@@ -152,7 +152,7 @@ def ngram_overlap_prune(spark, sf_dir):
 
 
 @query(f"""WITH w AS (SELECT item_id, {WORDS} AS w FROM benchmark), p AS (SELECT item_id, w[-6:] AS a, list_concat(w[-3:], w[1:3]) AS b FROM w)
-SELECT item_id, coalesce(array_to_string(b[1:list_max(list_filter(range(1, least(len(a), len(b)) + 1), k -> a[len(a) - k + 1:] = b[1:k]))], ' '), '') AS shared FROM p""")
+SELECT item_id, coalesce(array_to_string(b[1:list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[len(a) - k + 1:] = b[1:k]))], ' '), '') AS shared FROM p""")
 def term_overlap(spark, sf_dir):
     w = table(spark, sf_dir, "benchmark").select("item_id", words(TEXT).alias("w"))
     last = lambda n: F.slice("w", F.greatest(F.size("w") - n + 1, F.lit(1)), F.lit(n))
@@ -202,8 +202,8 @@ def cosine_similar_docs(spark, sf_dir):
     return similarity.similar_docs(_vectors(spark, sf_dir), queries, "doc_id").select("query", "doc_id", "score", "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings),
-n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS vn FROM v),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS vn FROM v),
 s AS (SELECT q.vec_id AS query, n.vec_id, round(list_dot_product(q.v, n.v) / (q.vn * n.vn), 6) AS score FROM n JOIN n AS q ON q.vec_id % 50 = 0 AND q.vec_id <> n.vec_id)
 SELECT query, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def embedding_topk(spark, sf_dir):
@@ -258,8 +258,10 @@ def misspelled_words(spark, sf_dir):
     return spelling.unknown_words(table(spark, sf_dir, "benchmark").select(F.explode(words(TEXT)).alias("word")), vocabulary)
 
 
+#: The edit distance of the SQL engine counts bytes, so letters beyond ASCII become capitals first, which no word holds.
+_SINGLE = "translate({}, 'äöüßéèêàâçîïôûùëñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')"
 _SUGGEST = f"""{_VOCAB}, v AS (SELECT term, df FROM df WHERE df >= 3 AND length(term) >= 2),
-c AS (SELECT word, term, df, levenshtein(word, term) AS distance, greatest(length(word), length(term)) AS n FROM (SELECT word FROM b WHERE length(word) >= 4 AND NOT regexp_matches(word, '^[0-9]')), v WHERE word <> term AND abs(length(word) - length(term)) <= length(word) / 3 + 1),
+c AS (SELECT word, term, df, levenshtein({_SINGLE.format("word")}, {_SINGLE.format("term")}) AS distance, greatest(length(word), length(term)) AS n FROM (SELECT word FROM b WHERE length(word) >= 4 AND NOT regexp_matches(word, '^[0-9]')), v WHERE word <> term AND abs(length(word) - length(term)) <= length(word) / 3 + 1),
 g AS (SELECT word, term, df, distance, round(1 - distance / n, 6) AS similarity FROM c WHERE distance <= 0.25 * n),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, df DESC, term) AS rank FROM g)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import timeseries as T
 from quern.plans.registry import query, table
 
-DAY = "(epoch(ts)::BIGINT // 86400 * 86400)"
+DAY = "((epoch_us(ts) // 1000000) // 86400 * 86400)"
 
 
 def _events(spark, sf_dir):
@@ -39,8 +39,8 @@ def resample_reference(spark, sf_dir):
     return out.select("user_id", F.array_join(F.transform("values", lambda x: F.format_string("%.2f", x)), ",").alias("values"))
 
 
-@query("""WITH c AS (SELECT user_id, median(epoch(ts)::BIGINT) AS c FROM events WHERE user_id % 2 = 0 GROUP BY 1)
-SELECT event_id, e.user_id FROM events e JOIN c USING (user_id) WHERE epoch(ts)::BIGINT <= c""")
+@query("""WITH c AS (SELECT user_id, median((epoch_us(ts) // 1000000)) AS c FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT event_id, e.user_id FROM events e JOIN c USING (user_id) WHERE (epoch_us(ts) // 1000000) <= c""")
 def asof_cutoff_prune(spark, sf_dir):
     e = _events(spark, sf_dir)
     cutoffs = e.where("user_id % 2 = 0").groupBy("user_id").agg(F.median("t").alias("c"))
@@ -75,7 +75,7 @@ def top_codes(spark, sf_dir):
     return T.top_codes(_events(spark, sf_dir), "event_type", 3)
 
 
-@query("""WITH d AS (SELECT user_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT) AS d FROM events)
+@query("""WITH d AS (SELECT user_id, (epoch_us(ts) // 1000000) - lag((epoch_us(ts) // 1000000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000000)) AS d FROM events)
 SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean_delta, round(stddev_pop(d), 6) AS sd_delta FROM d GROUP BY 1""")
 def delta_stats(spark, sf_dir):
     return T.delta_stats(_events(spark, sf_dir), "user_id", F.col("t"))

@@ -116,9 +116,9 @@ def unpivot_table(spark, sf_dir):
     return T.unpivot(table(spark, sf_dir, "nation"), ["n_nationkey"], ["n_name", "n_regionkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) THEN '.' ELSE l_returnflag END AS l_returnflag FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) THEN '.' ELSE l_returnflag END AS l_returnflag FROM lineitem")
 def elide_repeats(spark, sf_dir):
-    return T.elide_repeats(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_orderkey"], ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_returnflag")
+    return T.elide_repeats(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query("SELECT event_id FROM events WHERE ('0x' || substr(md5('s' || event_id), 1, 8))::BIGINT % 100 < 10")
@@ -182,8 +182,8 @@ def feature_codes(spark, sf_dir):
     return T.feature_codes(table(spark, sf_dir, "events"), "event_type", "event_id").withColumn("code", F.col("code").cast("long"))
 
 
-@query("""SELECT 'o_orderstatus' AS "column", count_if(o_orderstatus IS NULL) AS nulls, count(DISTINCT o_orderstatus) AS "distinct", min(o_orderstatus) AS low, max(o_orderstatus) AS high FROM orders
-UNION ALL SELECT 'o_custkey', count_if(o_custkey IS NULL), count(DISTINCT o_custkey), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders""")
+@query("""SELECT 'o_orderstatus' AS "column", count_if(o_orderstatus IS NULL)::BIGINT AS nulls, count(DISTINCT o_orderstatus) AS "distinct", min(o_orderstatus) AS low, max(o_orderstatus) AS high FROM orders
+UNION ALL SELECT 'o_custkey', count_if(o_custkey IS NULL)::BIGINT, count(DISTINCT o_custkey), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders""")
 def profile_table(spark, sf_dir):
     return T.profile(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_custkey"])
 
@@ -278,10 +278,10 @@ def _note_lines(spark, sf_dir):
     return lines.withColumn("line_num", F.row_number().over(Window.partitionBy("file").orderBy("d", "event_id"))).select("file", "line_num", "text")
 
 
-@query("""SELECT ts::DATE AS date, strftime(ts, '%-d %b %Y') AS raw, string_agg(event_type || ' ' || event_id, chr(10) ORDER BY 'f' || (user_id % 5), event_id) AS notes
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%-d %b %Y') AS raw, string_agg(event_type || ' ' || event_id, chr(10) ORDER BY 'f' || (user_id % 5), event_id) AS notes
 FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1, 2""")
 def merge_notes(spark, sf_dir):
-    return reports.merge_notes(_note_lines(spark, sf_dir))
+    return reports.merge_notes(_note_lines(spark, sf_dir)).withColumn("date", F.col("date").cast("string"))
 
 
 def _sheet(spark, sf_dir):

@@ -51,7 +51,7 @@ def trace_functions(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html || '<table><tr><td>cat 1</td><td>10</td></tr></table>', '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS r FROM pages)
-SELECT page_id, array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), c -> trim(regexp_replace(""" + _sql_replace("regexp_replace(c, '(?s)<[^>]*>', ' ', 'g')", _UNESCAPE) + """, '[ \\t\\r\\n]+', ' ', 'g'))), chr(9)) AS line FROM r""")
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(""" + _sql_replace("regexp_replace(c, '(?s)<[^>]*>', ' ', 'g')", _UNESCAPE) + """, '[ \\t\\r\\n]+', ' ', 'g'))), chr(9)) AS line FROM r""")
 def html_table_rows(spark, sf_dir):
     """Rows of tables, of one appended to each page at least."""
     html = F.concat("html", F.lit("<table><tr><td>cat 1</td><td>10</td></tr></table>"))
@@ -78,7 +78,7 @@ def quote_url(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", q.alias("quoted"), C.unquote_url(q).alias("back"))
 
 
-@query("""SELECT p_partkey, p_size, (p_size > 1 AND len(list_filter(range(2, p_size), d -> p_size % d = 0)) = 0) AS prime FROM part""")
+@query("""SELECT p_partkey, p_size, (p_size > 1 AND len(list_filter(range(2, p_size), lambda d: p_size % d = 0)) = 0) AS prime FROM part""")
 def prime_flags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", C.is_prime(F.col("p_size")).alias("prime"))
 
@@ -148,11 +148,11 @@ def unicode_char_info(spark, sf_dir):
     return info.withColumn("byte_at", F.sum(F.octet_length("char")).over(w) - F.octet_length("char"))
 
 
-@query("""SELECT o_orderkey, epoch(o_orderdate::DATE)::BIGINT AS a, epoch(o_orderdate::DATE)::BIGINT AS b, 0::BIGINT AS c, o_orderdate::DATE AS d FROM orders""")
+@query("""SELECT o_orderkey, epoch(o_orderdate::DATE)::BIGINT AS a, epoch(o_orderdate::DATE)::BIGINT AS b, 0::BIGINT AS c, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders""")
 def parse_dates(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     stamp = lambda p: F.date_format("o_orderdate", p)
-    return o.select("o_orderkey", C.parse_timestamp(stamp("yyyy-MM-dd")).alias("a"), C.parse_timestamp(stamp("M/d/yyyy")).alias("b"), C.parse_timestamp(stamp("yyyy MM")).alias("c"), C.resolve_date(stamp("EEE d MMM yyyy")).alias("d"))
+    return o.select("o_orderkey", C.parse_timestamp(stamp("yyyy-MM-dd")).alias("a"), C.parse_timestamp(stamp("M/d/yyyy")).alias("b"), C.parse_timestamp(stamp("yyyy MM")).alias("c"), C.resolve_date(stamp("EEE d MMM yyyy")).cast("string").alias("d"))
 
 
 @query("""WITH h AS (SELECT l_orderkey, l_linenumber, 1 + l_partkey % 12 AS a, 1 + l_suppkey % 12 AS b FROM lineitem)
@@ -164,7 +164,7 @@ def interval_hours(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p, list(DISTINCT o_orderstatus) AS s FROM orders GROUP BY 1)
-SELECT o_custkey, len(p) AS n, array_to_string(list_sort(list_filter(p, x -> x <> '1-URGENT')), ',') AS rest, list_contains(p, '1-URGENT') AS urgent, (list_contains(s, 'F')::INTEGER + list_contains(s, 'O')::INTEGER) = 1 AS one, len(p) + (NOT list_contains(p, 'new'))::BIGINT AS appended FROM a""")
+SELECT o_custkey, len(p) AS n, array_to_string(list_sort(list_filter(p, lambda x: x <> '1-URGENT')), ',') AS rest, list_contains(p, '1-URGENT') AS urgent, (list_contains(s, 'F')::INTEGER + list_contains(s, 'O')::INTEGER) = 1 AS one, len(p) + (NOT list_contains(p, 'new'))::BIGINT AS appended FROM a""")
 def array_sets(spark, sf_dir):
     a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"), F.collect_set("o_orderstatus").alias("s"))
     urgent = F.array(F.lit("1-URGENT"))
