@@ -15,13 +15,13 @@ BLANK = " \t\n\x0b\x0c\r"
 #: Symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 #: A line of navigation: separators between short labels.
-NAVIGATION = re.compile(r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content)\b[^.!?]*$")
+NAVIGATION = r"(?i)^[\x00-\x40\x5B-\x60\x7B-\x7F]*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content)([^A-Za-z.!?][^.!?]*)?$"
 #: What stands between the labels of a menu.
 SEPARATORS = "|»›·•"
 #: Phrases of boilerplate.
-BOILERPLATE = re.compile(r"(?i)cookie|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe|newsletter|javascript|lorem ipsum|share (this|on)|read more")
+BOILERPLATE = r"(?i)cookie|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe|newsletter|javascript|lorem ipsum|share (this|on)|read more"
 #: What may end a sentence.
-ENDINGS = tuple(".!?…:;\"'”’)]}»,")
+ENDINGS = ".!?…:;\"'”’)]}»,"
 
 
 def line_fails(line: str, n_words: int, long_line: int = 30) -> str | None:
@@ -31,11 +31,11 @@ def line_fails(line: str, n_words: int, long_line: int = 30) -> str | None:
         return "symbols"
     if n_words >= 5 and body.count("!") * 2 > n_words and body == body.upper():
         return "shouting"
-    if n_words >= long_line and not body.endswith(ENDINGS):
+    if n_words >= long_line and body[-1] not in ENDINGS:
         return "ending"
-    if sum(map(body.count, SEPARATORS)) * 4 >= n_words + 4 or n_words <= 20 and NAVIGATION.search(body):
+    if sum(map(body.count, SEPARATORS)) * 4 >= n_words + 4 or n_words <= 20 and re.search(NAVIGATION, body):
         return "navigation"
-    if n_words <= 20 and BOILERPLATE.search(body):
+    if n_words <= 20 and re.search(BOILERPLATE, body):
         return "boilerplate"
     return None
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import chat_format, decontam, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
+from quern.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +61,3 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_chat_format, op6_license_scan, op7_mixing, op8_quality_rules, op9_language_id, op10_ngram_join)
 }
-ORACLE_SQL: dict[str, str] = {}
