@@ -14,6 +14,8 @@ only if it passes all of them (and the length and position bounds).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,20 +62,45 @@ def counted_head(s: np.ndarray, percent: int) -> np.ndarray:
     return t[: max(inside, misses(len(s), percent) + 1)]
 
 
-def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2 and head (bytes) for every row."""
+def class_id(n: int, k1: int, k2: int) -> int:
+    """The id of a set, 64 bits of its size and fingerprints."""
+    with np.errstate(over="ignore"):
+        x = np.array([n, k1, k2], dtype=np.int64).view(np.uint64)
+        return int(mix(mix(mix(x[:1] + C1) ^ x[1:2]) + x[2:3]).view(np.int64)[0])
+
+
+def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, cid and head (how many tokens step 2 counts) for every row; cid is null without shingles."""
 
     def rows(batches):
         hashes = WordHashes()
         for b in batches:
             sets = [shingles(t, hashes, size) for t in b.column(1).to_pylist()]
-            keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counted_head(s, percent).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "head"],
-            )
+            cids = [class_id(len(s), *set_key(s)) if len(s) else None for s in sets]
+            heads = [len(counted_head(s, percent)) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.array(heads, pa.int64())], names=["doc_id", "n", "cid", "head"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, cid long, head long")
+
+
+def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(cid, tokens bytes): what step 2 counts, of each set once in a task."""
+
+    def rows(batches):
+        hashes, seen = WordHashes(), set()
+        for b in batches:
+            cids, heads = [], []
+            for t in b.column(0).to_pylist():
+                s = shingles(t, hashes, size)
+                if not len(s) or (cid := class_id(len(s), *set_key(s))) in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(cid)
+                cids.append(cid)
+                heads.append(counted_head(s, percent).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(heads, pa.binary())], names=["cid", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, head binary")
+    return docs.select("text").mapInArrow(rows, "cid long, tokens binary")
 
 
 def _dealt(sets: DataFrame, dtype: str, shift: int, bits: int) -> DataFrame:
@@ -111,20 +138,46 @@ def _gathered(table: pa.Table, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(cids), np.concatenate(tokens)
 
 
-def _survivors(classes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """cid of the classes whose prefix under the sampled order holds a token of another class."""
+def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) -> DataFrame:
+    """cid, rep, n of the classes whose prefix under the sampled order holds a token of another class.
+
+    A set may come from several tasks, so tokens are counted by distinct cid. Parts answer with blocks of counts."""
 
     def shared(table: pa.Table) -> pa.Table:
         cids, tokens = _gathered(table, "u4")
-        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        own, n = np.unique(cids[counts[inverse] > 1], return_counts=True)
-        return pa.table({"cid": own, "c": n.astype(np.int64)})
-
-    blocks = _dealt(classes.select("cid", "head"), "u8", 40 - bits, bits)
-    met = blocks.groupBy("part").applyInArrow(shared, "cid long, c long").groupBy("cid").agg(F.sum("c").alias("c"))
+        order = np.lexsort((cids, tokens))
+        cids, tokens = cids[order], tokens[order]
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (cids[1:] != cids[:-1])]
+        cids, tokens = cids[new], tokens[new]
+        same = tokens[1:] == tokens[:-1]
+        met = np.r_[same, False] | np.r_[False, same]
+        own, n = np.unique(cids[met], return_counts=True)
+        out = scatter((own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, own, n.astype(np.uint32))
+        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "cids": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        cids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("cids").to_pylist()])
+        n = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("counts").to_pylist()])
+        own, at = np.unique(cids, return_inverse=True)
+        return pa.table({"cid": own, "c": np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)})
+
+    blocks = _dealt(heads, "u8", 40 - bits, bits).groupBy("part").applyInArrow(shared, "part int, cids binary, counts binary")
+    met = blocks.groupBy("part").applyInArrow(summed, "cid long, c long")
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    own = F.octet_length("head") / 8 - F.col("c")
-    return classes.join(met, "cid").where(own < need).select("cid", "rep", "n")
+    return classes.join(met, "cid").where(F.col("head") - F.col("c") < need).select("cid", "rep", "n")
+
+
+def _maybe_in(ids: DataFrame, column: str, n: int) -> Callable[[Column], Column]:
+    """A test that passes every id of the column and, for a Bloom filter of bounded size, few others; what passes is
+    joined exactly afterwards. 16 slots an id up to 2 ** 23 in all."""
+    bits = min(23, max(10, (16 * n).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = ids.select(F.shiftright(slot(F.col(column)), 6).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot(F.col(column)), F.lit(64)).cast("int")).alias("b"))
+    table = [0] * ((1 << bits) // 64)
+    for r in words.groupBy("i").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        table[r["i"]] = r["b"]
+    literal = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+    return lambda c: F.call_function("shiftright", F.get(literal, F.shiftright(slot(c), 6).cast("int")), F.pmod(slot(c), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def _frequencies(sets: DataFrame, bits: int) -> DataFrame:
@@ -156,8 +209,15 @@ def prefixes(tokens: np.ndarray, df: np.ndarray, percent: int) -> list[tuple[np.
     return out
 
 
+def parity_sketch(tokens: np.ndarray) -> list[int]:
+    """256 parities of how many tokens fall into each bin. Two sets differ in at least as many tokens as their
+    sketches differ in bits."""
+    odd = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _prefix_table(counted: DataFrame, percent: int) -> DataFrame:
-    """cid, n, p0, at0, p1, p2 of the sets that share a token under every order."""
+    """cid, n, p0, at0, p1, p2, sketch of the sets that share a token under every order."""
 
     def rows(batches):
         for b in batches:
@@ -166,13 +226,13 @@ def _prefix_table(counted: DataFrame, percent: int) -> DataFrame:
                 t, d = np.frombuffer(b"".join(tokens), dtype="u8"), np.frombuffer(b"".join(df), dtype="u4")
                 found = prefixes(t, d, percent)
                 if all(len(x[0]) for x in found):
-                    out.append((cid, len(t), found[0][0].view(np.int64), found[0][1], found[1][0].view(np.int64), found[2][0].view(np.int64)))
+                    out.append((cid, len(t), found[0][0].view(np.int64), found[0][1], found[1][0].view(np.int64), found[2][0].view(np.int64), parity_sketch(t)))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["cid", "n", "p0", "at0", "p1", "p2"])
+                kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["cid", "n", "p0", "at0", "p1", "p2", "sketch"])
 
     sets = counted.groupBy("cid").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"))
-    return sets.mapInArrow(rows, "cid long, n long, p0 array<long>, at0 array<long>, p1 array<long>, p2 array<long>")
+    return sets.mapInArrow(rows, "cid long, n long, p0 array<long>, at0 array<long>, p1 array<long>, p2 array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,43 +268,45 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
     docs = docs.select("doc_id", "text")
     tokens = text_bytes(docs) // 6
     bits = lambda n: max(3, min(16, (int(n) // part_tokens).bit_length()))
-    every = scratch.table(_classes(docs, size, percent), "every")
-    key = ["n", "k1", "k2"]
+    every = scratch.table(_keys(docs, size, percent), "every")
     none = -(1 << 63)
-    cid = F.xxhash64(*key).alias("cid")
-    grouped = every.where("n > 0").groupBy(*key).agg(F.min(F.coalesce("doc_id", F.lit(none))).alias("rep"), F.first("head").alias("head"))
-    classes = scratch.table(grouped.select("n", "k1", "k2", cid, "rep", "head"), "classes")
-    left = scratch.table(_survivors(classes, bits(SAMPLE * tokens), percent), "left")
+    classes = every.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.coalesce("doc_id", F.lit(none))).alias("rep"))
+    left = scratch.table(_survivors(classes, _heads(docs, size, percent), bits(SAMPLE * tokens), percent), "left")
 
     def whole(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, hashes, size) for t in b.column(2).to_pylist()]
-            keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "k1", "k2", "tokens"])
-
-    reps = docs.withColumn("rep", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).join(left, "rep").select("cid", "n", "text")
-    sets = reps.mapInArrow(whole, "cid long, n long, k1 long, k2 long, tokens binary").where(F.xxhash64(*key) == F.col("cid"))
-    sets = scratch.table(sets.select("cid", "tokens").groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
+            sets = [shingles(t, hashes, size) for t in b.column(1).to_pylist()]
+            cids = [class_id(len(s), *set_key(s)) if len(s) else None for s in sets]
+            out = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "tokens"])
+            yield out.filter(pa.array([x == y for x, y in zip(cids, b.column(0).to_pylist(), strict=True)], pa.bool_()))
+
+    maybe = _maybe_in(left, "rep", left.count())
+    reps = docs.withColumn("rep", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).where(maybe(F.col("rep"))).join(left, "rep").select("cid", "text")
+    sets = reps.mapInArrow(whole, "cid long, tokens binary")
+    sets = scratch.table(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
     n_left = int(sets.select(F.coalesce(F.sum(F.octet_length("tokens") / 8), F.lit(0))).first()[0])
     heads = scratch.table(_prefix_table(_frequencies(sets, bits(n_left)), percent), "heads")
 
-    postings = heads.select("cid", "n", F.explode(F.arrays_zip("p0", "at0")).alias("x")).select(F.col("x.p0").alias("token"), "cid", "n", F.col("x.at0").alias("at"))
+    postings = heads.select("cid", "n", "sketch", F.explode(F.arrays_zip("p0", "at0")).alias("x")).select(F.col("x.p0").alias("token"), "cid", "n", "sketch", F.col("x.at0").alias("at"))
     pivots = postings.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("token", "pivot")
     stars = postings.join(pivots, "token").where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("c"))
     stars = stars.groupBy("cid").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot")).select(F.col("cid").alias("u"), F.col("pivot").alias("v"))
     edges = scratch.table(_verified(stars, sets, percent), "stars")
     roots = connected_components(edges)
 
-    own = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "at", F.coalesce("root", "cid").alias("root"))
+    own = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "sketch", "at", F.coalesce("root", "cid").alias("root"))
     own = scratch.table(own, "own")
     sizes = own.groupBy("token", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("token", "major")
     there = own.join(mixed, "token")
-    a = there.where("root <> major").select("token", F.col("cid").alias("u"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("root").alias("ar"))
-    b = there.select(F.col("token").alias("token"), F.col("cid").alias("v"), F.col("n").alias("bn"), F.col("at").alias("bi"), F.col("root").alias("br"), "major")
+    a = there.where("root <> major").select("token", F.col("cid").alias("u"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("root").alias("ar"), F.col("sketch").alias("s"))
+    b = there.select(F.col("token").alias("token"), F.col("cid").alias("v"), F.col("n").alias("bn"), F.col("at").alias("bi"), F.col("root").alias("br"), F.col("sketch").alias("t"), "major")
     most = 1 + F.least(F.col("an") - F.col("ai") - 1, F.col("bn") - F.col("bi") - 1)
     bound = (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("an") + F.col("bn"))) & _sizes_fit(F.col("an"), F.col("bn"), percent)
+    # Sets that link differ in at most (100 - percent) / (100 + percent) of their sizes added up.
+    apart = sum((F.bit_count(F.get("s", F.lit(k)).bitwiseXOR(F.get("t", F.lit(k)))) for k in range(4)), F.lit(0))
+    bound = bound & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("an") + F.col("bn")))
     once = (F.col("br") == F.col("major")) | (F.col("u") < F.col("v"))
     pairs = a.join(b, "token").where((F.col("ar") != F.col("br")) & once & bound).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     p = heads.select("cid", "p1", "p2")
@@ -252,10 +314,10 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
     more = scratch.table(_verified(pairs, sets, percent), "more")
     roots = connected_components(edges.union(more))
 
-    named = classes.select("n", "k1", "k2", "cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min(F.when(F.col("rep") != none, F.col("rep"))).alias("component"))
-    lookup = named.join(least, "root").select("n", "k1", "k2", "component")
-    out = every.select("doc_id", "n", "k1", "k2").join(lookup, key, "left")
+    lookup = named.join(least, "root").select("cid", "component")
+    out = every.select("doc_id", "n", "cid").join(lookup, "cid", "left")
     for name in ("left", "heads", "own"):
         scratch.drop(name)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
