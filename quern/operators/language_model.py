@@ -45,3 +45,22 @@ def known_runs(tokens: DataFrame, key: list[str], unigrams: DataFrame, bigrams:
     grouped = runs.groupBy(*key, "run").agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     single = unigrams.select(F.col("term").alias("phrase")).distinct().withColumn("u", F.lit(1))
     return grouped.join(single, "phrase", "left").where("n > 1 or u = 1").select(*key, "start", "phrase")
+
+
+def common_tags(tokens: DataFrame, tags: DataFrame, default: str = "NN") -> DataFrame:
+    """tokens(word, ...) with tag, the most frequent one of tags(word, tag, freq); unknown words get the default."""
+    best = tags.groupBy(F.lower("word").alias("__w")).agg(F.max_by("tag", F.struct("freq", "tag")).alias("tag"))
+    return tokens.join(best, F.lower("word") == F.col("__w"), "left").withColumn("tag", F.coalesce("tag", F.lit(default))).drop("__w")
+
+
+def train_chunker(tagged: DataFrame) -> DataFrame:
+    """(tag, chunk): the most frequent chunk mark of each part of speech in tagged(tag, chunk), ties to the smaller."""
+    counts = tagged.groupBy("tag", "chunk").agg(F.count("*").alias("n"))
+    return counts.groupBy("tag").agg(F.min_by("chunk", F.struct(-F.col("n"), F.col("chunk"))).alias("chunk"))
+
+
+def lexicon_score(rows: DataFrame, key: str, words: Column, lexicon: DataFrame) -> DataFrame:
+    """(key, score): the sum of a text's word values in lexicon(word, value), squashed to (-1, 1); 0 without a hit."""
+    each = rows.select(key, F.explode_outer(words).alias("word")).join(lexicon, "word", "left")
+    total = F.coalesce(F.sum("value"), F.lit(0.0))
+    return each.groupBy(key).agg(F.round(total / F.sqrt(total * total + 15), 6).alias("score"))

@@ -163,3 +163,46 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(*parts)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distinct"), F.col(f"l_{c}").alias("low"), F.col(f"h_{c}").alias("high")) for c in columns])
     return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def select_existing(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns that there are, in the given order; other names are ignored."""
+    return df.select(*[c for c in names if c in df.columns])
+
+
+def remap_ids(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """df with ids of mapping(old, new) replaced; ids without an entry stay."""
+    m = mapping.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    joined = df.join(m, F.col(column) == F.col("__old"), "left")
+    return joined.withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
+
+
+def summary(df: DataFrame, column: str) -> DataFrame:
+    """One row: n, mean, population deviation, low and high."""
+    c = F.col(column)
+    return df.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high"))
+
+
+def random_keys(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """k distinct keys in a seeded order of their hashes, so that the choice doesn't depend on how rows are dealt."""
+    return df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+
+
+def frequency_listing(df: DataFrame, item: str, n: int) -> DataFrame:
+    """(line): `item<tab>count` of the n most frequent items."""
+    top = top_weighted(df.groupBy(item).agg(F.count("*").alias("n")), "n", item, n)
+    return top.select(F.concat_ws("\t", F.col(item).cast("string"), F.col("n").cast("string")).alias("line"))
+
+
+def coded_features(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and, for each text column, a double: numbers as they are; other values, zeros included, numbered from 0 in
+    the order they are first seen by key; `null` is null."""
+    from quern.functions.scalars import is_numeric
+
+    out = df.select(key, *columns)
+    for c in columns:
+        symbolic = (F.col(c) != "null") & (~is_numeric(F.col(c)) | (F.col(c).try_cast("double") == 0))
+        codes = feature_codes(df.where(symbolic).select(key, c), c, key).select(F.col(c).alias("__v"), F.col("code").alias("__c"))
+        out = out.join(codes, F.col(c) == F.col("__v"), "left")
+        out = out.withColumn(c, F.when(F.col(c) == "null", None).otherwise(F.coalesce(F.col("__c").cast("double"), F.col(c).try_cast("double")))).drop("__v", "__c")
+    return out

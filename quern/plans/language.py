@@ -154,3 +154,26 @@ def knn_classifier(spark, sf_dir):
     """Vectors whose id 50 divides, by the labels of their five nearest neighbours."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("label").alias("l"))
     return classify.nearest_neighbours(v.where("vec_id % 50 = 0").select("vec_id", "v"), v, "vec_id", "v", "l")
+
+
+_TAGS = "g AS (SELECT word, ['NN', 'VB', 'JJ'][length(word) % 3 + 1] AS tag, count(*) AS freq FROM b WHERE length(word) > 3 GROUP BY 1, 2)"
+
+
+@query(f"WITH b AS (SELECT item_id, unnest({WORDS}) AS word FROM benchmark), {_TAGS} SELECT item_id, b.word, coalesce(tag, 'NN') AS tag FROM b LEFT JOIN g USING (word)")
+def common_tags(spark, sf_dir):
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.words(TEXT)).alias("word"))
+    tag = F.get(F.array(F.lit("NN"), F.lit("VB"), F.lit("JJ")), F.length("word") % 3)
+    return M.common_tags(w, w.where(F.length("word") > 3).groupBy("word", tag.alias("tag")).agg(F.count("*").alias("freq")))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS tag, l_linestatus AS chunk, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT tag, chunk FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, chunk) AS r FROM c) WHERE r = 1""")
+def unigram_chunker(spark, sf_dir):
+    return M.train_chunker(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tag"), F.col("l_linestatus").alias("chunk")))
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest({WORDS}) AS word FROM benchmark), l(word, value) AS (VALUES ('the', 1.0), ('of', -2.0), ('with', 0.5)),
+s AS (SELECT item_id, coalesce(sum(value), 0)::DOUBLE AS t FROM w LEFT JOIN l USING (word) GROUP BY 1) SELECT item_id, round(t / sqrt(t * t + 15), 6) AS score FROM s""")
+def lexicon_score(spark, sf_dir):
+    lexicon = spark.createDataFrame([("the", 1.0), ("of", -2.0), ("with", 0.5)], "word string, value double")
+    return M.lexicon_score(table(spark, sf_dir, "benchmark"), "item_id", X.words(TEXT), lexicon)

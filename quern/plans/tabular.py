@@ -319,3 +319,36 @@ def triples_filter(spark, sf_dir):
 def section_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("file"), F.col("event_id").alias("line_num"), F.col("event_type").alias("text"))
     return reports.section(e, "^signup$", "^error$").select("event_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def column_subset(spark, sf_dir):
+    return T.select_existing(table(spark, sf_dir, "orders"), ["o_orderkey", "no_such", "o_orderstatus"])
+
+
+@query("SELECT n_nationkey, coalesce(r_name, n_regionkey::VARCHAR) AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
+def id_remapping(spark, sf_dir):
+    m = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("string").alias("old"), F.col("r_name").alias("new"))
+    return T.remap_ids(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("region")), "region", m)
+
+
+@query("SELECT count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem")
+def numeric_summary(spark, sf_dir):
+    return T.summary(table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query()
+def random_centroids(spark, sf_dir):
+    return T.random_keys(table(spark, sf_dir, "events"), "user_id", 5, 42)
+
+
+@query("SELECT l_shipdate::DATE::VARCHAR || chr(9) || count(*) AS line FROM lineitem GROUP BY l_shipdate::DATE ORDER BY count(*) DESC, l_shipdate::DATE LIMIT 20")
+def frequency_listing(spark, sf_dir):
+    return T.frequency_listing(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").cast("string").alias("d")), "d", 20)
+
+
+@query("""WITH t AS (SELECT event_id, event_type AS a, (event_id % 3)::VARCHAR AS b FROM events), f AS (SELECT a, row_number() OVER (ORDER BY min(event_id)) - 1 AS c FROM t GROUP BY a)
+SELECT event_id, f.c::DOUBLE AS a, CASE WHEN b = '0' THEN 0.0 ELSE b::DOUBLE END AS b FROM t JOIN f USING (a)""")
+def coded_features(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("a"), (F.col("event_id") % 3).cast("string").alias("b"))
+    return T.coded_features(e, "event_id", ["a", "b"])

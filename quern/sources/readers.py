@@ -138,3 +138,46 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
 def without_comments(lines: DataFrame) -> DataFrame:
     """lines without blank ones and those that begin with # or ;."""
     return lines.where(~F.col("value").rlike(r"^\s*([#;]|$)"))
+
+
+def timed_codes(lines: DataFrame) -> DataFrame:
+    """(key, ts, code) of `key,date,code` lines; lines of other shapes and blank codes are dropped, keys lower-cased."""
+    from quern.functions.scalars import parse_timestamp
+
+    f = F.split("value", ",", -1)
+    rows = lines.where((F.size(f) == 3) & (F.trim(F.get(f, F.lit(2))) != ""))
+    return rows.select(F.lower(F.trim(F.get(f, F.lit(0)))).alias("key"), parse_timestamp(F.trim(F.get(f, F.lit(1)))).alias("ts"), F.trim(F.get(f, F.lit(2))).alias("code"))
+
+
+def spaced_fields(lines: DataFrame) -> DataFrame:
+    """(fields) of lines split at white space, without rulers of dashes."""
+    return lines.where(~F.col("value").rlike(r"^\s*-{3,}")).select(F.split(F.trim("value"), r"\s+").alias("fields"))
+
+
+def fetched(urls: DataFrame, fetch, column: str = "url") -> DataFrame:
+    """urls with body: what the given function returns for each address, null where it fails. Fetching runs in Arrow
+    batches on the executors; the function decides on caching and retries."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def get(u: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return fetch(x)
+            except OSError:
+                return None
+
+        return u.map(one)
+
+    return urls.withColumn("body", get(F.col(column)))
+
+
+def extracted_texts(spark: SparkSession, path: str, extract) -> DataFrame:
+    """(path, text) of binary documents by a function bytes -> str, in Arrow batches."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def text(b: pd.Series) -> pd.Series:
+        return b.map(extract)
+
+    return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))

@@ -49,3 +49,12 @@ def test_stream(spark, tmp_path):
     stream = streaming.read_line_stream(spark, str(tmp_path / "in"))
     streaming.run_available(stream, lambda d: d.where("value <> '2'"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "3"]
+
+
+def test_sequences_and_hooks(spark, tmp_path):
+    codes = readers.timed_codes(lines(spark, "A1, 2001-01-01, x", "a1,1/2/2001,", "bad"))
+    assert [tuple(r) for r in codes.collect()] == [("a1", 978307200, "x")]
+    assert [r[0] for r in readers.spaced_fields(lines(spark, " a  b ", "-----")).collect()] == [["a", "b"]]
+    (tmp_path / "d.bin").write_bytes(b"abc")
+    assert readers.extracted_texts(spark, str(tmp_path / "d.bin"), lambda b: bytes(b).decode().upper()).first()["text"] == "ABC"
+    assert readers.fetched(lines(spark, "u"), lambda u: u * 2, "value").first()["body"] == "uu"
