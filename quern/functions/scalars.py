@@ -139,9 +139,10 @@ def code_point_info(text: Column) -> Column:
     """array<struct<char, utf8, code_point>> of the characters."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+    digits = lambda c: F.lower(F.conv(code(c).cast("string"), 10, 16))
     return F.transform(
         chars,
-        lambda c: F.struct(c.alias("char"), F.lower(F.hex(F.encode(c, "UTF-8"))).alias("utf8"), F.concat(F.lit("U+"), F.lpad(F.lower(F.conv(code(c).cast("string"), 10, 16)), 4, "0")).alias("code_point")),
+        lambda c: F.struct(c.alias("char"), F.lower(F.hex(F.encode(c, "UTF-8"))).alias("utf8"), F.concat(F.lit("U+"), F.when(F.length(digits(c)) < 4, F.lpad(digits(c), 4, "0")).otherwise(digits(c))).alias("code_point")),
     )
 
 

@@ -3,6 +3,7 @@ are dense per file and taken from the order of the file's splits."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ def read_delimited(spark: SparkSession, path: str, delim: str = "\t", header: bo
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """A sheet by way of pandas, where an Excel engine is installed."""
-    import pandas as pd
-
     return spark.createDataFrame(pd.read_excel(path, dtype=str))
 
 
@@ -157,8 +156,6 @@ def spaced_fields(lines: DataFrame) -> DataFrame:
 def fetched(urls: DataFrame, fetch, column: str = "url") -> DataFrame:
     """urls with body: what the given function returns for each address, null where it fails. Fetching runs in Arrow
     batches on the executors; the function decides on caching and retries."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def get(u: pd.Series) -> pd.Series:
         def one(x):
@@ -174,8 +171,6 @@ def fetched(urls: DataFrame, fetch, column: str = "url") -> DataFrame:
 
 def extracted_texts(spark: SparkSession, path: str, extract) -> DataFrame:
     """(path, text) of binary documents by a function bytes -> str, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(b: pd.Series) -> pd.Series:
         return b.map(extract)
