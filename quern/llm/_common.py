@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,9 @@ class Scratch:
 
     def collect_shuffles(self) -> None:
         """Lets the driver notice which exchanges nobody refers to any more, so their files go."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees may hold more
+            gc.collect()
+            self.spark._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:
@@ -81,6 +83,53 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
+def lean(rows):
+    """A function on Arrow batches that gives freed memory back when its task ends; idle workers would keep it."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(rows):
+    """The same for a function on a group's table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return rows(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # other C libraries do it by themselves
+        pass
+
+
+def byte_blocks(column: pa.Array, most: int = 1 << 20):
+    """(first row, texts as UTF-8 bytes) for runs of rows of about `most` bytes, so that arrays over them stay small;
+    a null text is empty."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield i, [x or b"" for x in column.slice(i, j - i).cast(pa.binary()).to_pylist()]
+        i = j
+
+
 # --- numpy hashing -------------------------------------------------------------------------------
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -111,14 +160,9 @@ class WordHashes(dict):
 def scatter(part: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
     """(part, bytes of each column's values of that part) for the parts that have any; order within a part is kept."""
     order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.uint32), kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
-    sorted_columns = [c[order] for c in columns]
-    out, start = [], 0
-    for p, end in enumerate(ends.tolist()):
-        if end > start:
-            out.append((p, *(c[start:end].tobytes() for c in sorted_columns)))
-        start = end
-    return out
+    sorted_part, sorted_columns = part[order], [c[order] for c in columns]
+    edges = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1], True]).tolist() if len(order) else [0]
+    return [(int(sorted_part[a]), *(c[a:b].tobytes() for c in sorted_columns)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 shipped_by_value(__name__)

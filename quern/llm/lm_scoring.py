@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import Scratch, WordHashes, crc_mod, mix, scatter, shipped_by_value, text_bytes
+from quern.llm._common import byte_blocks, crc_mod, lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes, WordHashes
 
 A = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the marks before a text and after it; the latter is a token.
@@ -212,17 +212,6 @@ def score_texts(texts: list[bytes], reader: Reader, hashes: WordHashes) -> list[
     return [(int(a), int(b), float(c), float(d)) for a, b, c, d in zip(*sums, strict=True)]
 
 
-def _batches_of(texts: list[bytes], most: int = 1 << 20):
-    i = size = 0
-    for j, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_tokens: int = 4_000_000) -> Model:
     """Counts the n-grams of texts(text); a null text is an empty one. No n-gram is pruned.
 
@@ -245,9 +234,8 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
             return _blocks(columns, counts, counts, bits)
 
         for b in batches:
-            texts_ = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()]
-            for i, j in _batches_of(texts_):
-                stream, owner = token_stream(texts_[i:j], hashes, order)
+            for _, block in byte_blocks(b.column(0)):
+                stream, owner = token_stream(block, hashes, order)
                 real = np.flatnonzero(owner >= 0)
                 parts.append([stream[real - k] for k in range(order - 1, -1, -1)])
                 n += len(real)
@@ -257,10 +245,10 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
         if parts:
             yield flush()
 
-    sent = texts.select("text").mapInArrow(send, BLOCK)
+    sent = texts.select("text").mapInArrow(lean(send), BLOCK)
     levels, numbers = [], {}
     for level in range(order, 0, -1):
-        merged = sent.groupBy("part").applyInArrow(_merger(root, level, bits), "kinds array<long>, " + BLOCK)
+        merged = sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, bits)), "kinds array<long>, " + BLOCK)
         done = scratch.table(merged, f"level{level}")
         levels.append(level)
         sums = [F.sum(F.get("kinds", F.lit(k))).alias(f"k{k}") for k in range(8)]
@@ -328,17 +316,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = Model(**fields)
         reader, hashes = Reader(m), WordHashes()
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
             out = []
-            for i, j in _batches_of(texts):
-                out += score_texts(texts[i:j], reader, hashes)
+            for _, block in byte_blocks(b.column(2)):
+                out += score_texts(block, reader, hashes)
             n = pa.array([x[0] for x in out], pa.int64())
             perplexity = pa.array([10 ** min(-x[3] / x[0], 300) for x in out], pa.float64())
             columns = [b.column(0), b.column(1), n, pa.array([x[1] for x in out], pa.int64()), pa.array([m.tokens] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.float64()), perplexity]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     marked = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "text")
-    return marked.mapInArrow(rows, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return marked.mapInArrow(lean(rows), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_report(docs: DataFrame, order: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm._common import shipped_by_value
+from quern.llm._common import lean, shipped_by_value
 
 BLANK = " \t\n\x0b\x0c\r"
 #: Symbols that are counted.
@@ -119,7 +119,7 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.5, with_text: bool = True)
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, *last], names=["doc_id", *names, *["cleaned_text"] * with_text])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {doc_id}, {FIELDS}" + ", cleaned_text string" * with_text)
+    return docs.select("doc_id", "text").mapInArrow(lean(rows), f"doc_id {doc_id}, {FIELDS}" + ", cleaned_text string" * with_text)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

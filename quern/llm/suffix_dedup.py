@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import Scratch, mix, scatter, shipped_by_value, text_bytes
+from quern.llm._common import byte_blocks, lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes
 
 LENGTH, GRAM = 50, 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -32,6 +32,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
 #: Keys with more documents than this, and than a share of 2 ** -20 of all, are dealt string by string.
 HOT = 4096
+#: Bytes of text that a suffix array is built over at once, as far as keys can be told apart.
+SHARE = 256 << 10
 
 
 def _joined(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> np.ndarray:
@@ -84,17 +86,6 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return buf, owner[good], first[good], end[good], keys[first[good]]
 
 
-def _batches_of(texts: list[bytes], most: int = 2 << 20):
-    i = size = 0
-    for j, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 # --- the suffix array ----------------------------------------------------------------------------
 
 
@@ -119,7 +110,7 @@ def suffix_order(s: np.ndarray, covers: int = 1, length: int = LENGTH) -> np.nda
     if names.max() + 1 < len(sample) and 3 * covers < length:
         order = suffix_order(names + 1, 3 * covers, length)
     else:
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
     ranks = np.zeros(n + 6, dtype=np.uint64)
     ranks[sample[order]] = np.arange(1, len(sample) + 1, dtype=np.uint64)
     bits = np.uint64(int(len(sample) + 1).bit_length())
@@ -127,7 +118,7 @@ def suffix_order(s: np.ndarray, covers: int = 1, length: int = LENGTH) -> np.nda
     sorted_sample = sorted_sample[sorted_sample < n]
     rest = np.arange(0, n, 3)
     rest_key = x[rest] << bits | ranks[rest + 1]
-    by = np.argsort(rest_key, kind="stable")
+    by = np.argsort(rest_key)
     rest, rest_key = rest[by], rest_key[by]
     # Ranks of the remaining suffixes among the sampled ones, by the residue that makes both sides comparable.
     is_one = sorted_sample % 3 == 1
@@ -143,7 +134,11 @@ def suffix_order(s: np.ndarray, covers: int = 1, length: int = LENGTH) -> np.nda
     place[rest] = np.arange(len(rest)) + below_one + below_two
     inserted = np.bincount(np.minimum(below_one + below_two, len(sorted_sample)), minlength=len(sorted_sample) + 1)
     place[sorted_sample] = np.arange(len(sorted_sample)) + np.cumsum(inserted)[: len(sorted_sample)]
-    return np.argsort(place, kind="stable")
+    if (np.bincount(place, minlength=n)[:n] == 1).all():
+        out = np.empty(n, dtype=np.int64)
+        out[place] = np.arange(n)
+        return out
+    return np.argsort(place, kind="stable")  # among suffixes that agree over `length` bytes, places may coincide
 
 
 def equal_strings(order: np.ndarray, buf: np.ndarray) -> np.ndarray:
@@ -202,8 +197,8 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, bits: int, hot: int) -> DataFrame:
-    """(doc_id, keys bytes, hot): the keys of a document that other documents have too, as uint64 of 32 + bits bits.
-    Rows with hot hold keys of very many documents.
+    """Blocks (part, ids, keys): keys, as uint64 of 32 + bits bits, that other documents have too, each with the document
+    it is told to, dealt by document. Part -1 holds keys of very many documents.
 
     A task sends each of its keys once: with the document if only one has it, else with the number of documents. The
     answers for the latter need nobody else and are only passed on.
@@ -237,15 +232,15 @@ def _candidates(docs: DataFrame, bits: int, hot: int) -> DataFrame:
     def send(batches):
         keys, owners, ids, n = [], [], [], 0
         for b in batches:
-            texts, own = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()], _ids(b.column(0)).tolist()
-            for i, j in _batches_of(texts):
-                _, owner, _, _, key = pieces(texts[i:j])
-                if n + len(key) > 3_000_000 or len(ids) + (j - i) > 60_000:
+            own = _ids(b.column(0)).tolist()
+            for i, texts in byte_blocks(b.column(1)):
+                _, owner, _, _, key = pieces(texts)
+                if n + len(key) > 1_500_000 or len(ids) + len(texts) > 60_000:
                     yield from flush(keys, owners, ids)
                     keys, owners, ids, n = [], [], [], 0
                 keys.append(key)
                 owners.append(owner + len(ids))
-                ids += own[i:j]
+                ids += own[i : i + len(texts)]
                 n += len(key)
         yield from flush(keys, owners, ids)
 
@@ -280,17 +275,27 @@ def _candidates(docs: DataFrame, bits: int, hot: int) -> DataFrame:
             to = np.concatenate([to, ids[reply]])
             keys = np.concatenate([keys, part | rem[reply].astype(np.uint64)])
             hot_keys = part | every[order][at][total > hot].astype(np.uint64)
+        rows = scatter((mix(to.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, to, keys)
+        if len(hot_keys):
+            rows.append((-1, b"", hot_keys.tobytes()))
+        return pa.Table.from_batches([_rows(rows, [("part", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary())])])
+
+    sent = docs.select("doc_id", "text").mapInArrow(lean(send), "part int, rem binary, ids binary, many binary, counts binary, to binary, keys binary")
+    return sent.groupBy("part").applyInArrow(lean_group(meet), "part int, ids binary, keys binary")
+
+
+def _key_lists(blocks: DataFrame) -> DataFrame:
+    """(doc_id, keys): one row for each document that was told keys."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        to = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("ids").to_pylist()])
+        keys = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()])
         order = np.argsort(to, kind="stable")
         to, keys = to[order], keys[order]
-        at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else nothing
-        ends = np.r_[at[1:], len(to)].astype(np.int64) if len(to) else nothing
-        rows = [(d, keys[a:b].tobytes(), False) for d, a, b in zip(to[at].tolist(), at.tolist(), ends.tolist(), strict=True)]
-        if len(hot_keys):
-            rows.append((None, hot_keys.tobytes(), True))
-        return pa.Table.from_batches([_rows(rows, [("doc_id", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_())])])
+        edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]).tolist()
+        return pa.table({"doc_id": to[edges[:-1]], "keys": pa.array([keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "part int, rem binary, ids binary, many binary, counts binary, to binary, keys binary")
-    return sent.groupBy("part").applyInArrow(meet, "doc_id long, keys binary, hot boolean")
+    return blocks.groupBy("part").applyInArrow(lean_group(gather), "doc_id long, keys binary")
 
 
 def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bits: int) -> DataFrame:
@@ -298,37 +303,28 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
     spark = docs.sparkSession
     hot_keys = spark.sparkContext.broadcast(hot)  # bounded: 2 ** 20 keys
     shift = np.uint64(32 - key_bits)
-    schema = [("part", pa.int32()), ("text", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary()), ("rids", pa.binary()), ("firsts", pa.binary()), ("known", pa.binary())]
+    schema = [("part", pa.int32()), ("text", pa.binary()), ("lens", pa.binary()), ("subs", pa.binary()), ("ids", pa.binary()), ("rids", pa.binary()), ("firsts", pa.binary()), ("known", pa.binary())]
 
     def flush(met: dict[bytes, list], known: list[tuple[int, int, int]], route: dict[bytes, int]):
         rows: dict[int, list] = {}
         for text, (doc, places) in met.items():
-            row = rows.setdefault(route[text] >> (64 - bits), [[], [], [], [], [], []])
+            row = rows.setdefault(route[text] >> (64 - bits), [[], [], [], [], [], [], None])
             for rid, first in places:
-                row[0].append(text)
-                row[1].append(len(text))
-                row[2].append(doc)
-                row[3].append(rid)
-                row[4].append(first)
+                for k, x in enumerate((text, len(text), route[text] >> (56 - bits) & 255, doc, rid, first)):
+                    row[k].append(x)
         if known:
             array = np.array(known, dtype=np.int64)
-            for p, x in scatter_rows((mix(array[:, 0].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, array):
-                rows.setdefault(p, [[], [], [], [], [], []])[5] = x
+            for p, x in scatter((mix(array[:, 0].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, array):
+                rows.setdefault(p, [[], [], [], [], [], [], None])[6] = x
         out = []
-        for p, (texts, lens, ids, rids, firsts, x) in rows.items():
-            out.append((p, b"".join(texts), np.array(lens, dtype=np.int32).tobytes(), np.array(ids, dtype=np.int64).tobytes(), np.array(rids, dtype=np.int64).tobytes(), np.array(firsts, dtype=np.int64).tobytes(), x if x else None))
+        for p, (texts, lens, subs, ids, rids, firsts, x) in rows.items():
+            own = np.array(ids, dtype=np.int64)
+            small = len(own) and own.min() >= 0 and own.max() < 1 << 32
+            text = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            out.append((p, text, np.array(lens, dtype=np.int32).tobytes(), bytes(subs), own.astype(np.uint32 if small else np.int64).tobytes(), np.array(rids, dtype=np.int64).tobytes(), np.array(firsts, dtype=np.int32).tobytes(), x))
         if out:
             yield _rows(out, schema)
 
-    def scatter_rows(part: np.ndarray, parts: int, rows: np.ndarray):
-        order = np.argsort(part, kind="stable")
-        ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
-        a = 0
-        for p, b in enumerate(ends):
-            if b > a:
-                yield p, rows[order[a:b]].tobytes()
-            a = b
-
     def send(batches):
         frequent = np.frombuffer(hot_keys.value, dtype=np.uint64)
         met: dict[bytes, list] = {}
@@ -336,12 +332,11 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
         known: list[tuple[int, int, int]] = []
         for b in batches:
             rids, ids = b.column(0).to_pylist(), _ids(b.column(1)).tolist()
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
-            lists = b.column(3).to_pylist()
-            for i, j in _batches_of(texts):
-                buf, owner, first, end, key = pieces(texts[i:j])
+            for i, texts in byte_blocks(b.column(2)):
+                j = i + len(texts)
+                buf, owner, first, end, key = pieces(texts)
                 short = key >> shift
-                wanted = [np.frombuffer(b"".join(x), dtype=np.uint64) for x in lists[i:j]]
+                wanted = [np.frombuffer(x, dtype=np.uint64) for x in b.column(3).slice(i, j - i).to_pylist()]
                 tag = np.uint64(16)
                 for base in range(0, j - i, 65536):  # documents are numbered within 16 bits
                     inside = (owner >= base) & (owner < base + 65536)
@@ -358,7 +353,7 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
                             o, f = np.concatenate([o[~split], np.repeat(o[split], n)]), np.concatenate([f[~split], at])
                             e, k = np.concatenate([e[~split], at + 1]), np.concatenate([k[~split], strings])
                     raw = buf.tobytes()
-                    offsets = np.cumsum([0, *map(len, texts[i:j])]).tolist()
+                    offsets = np.cumsum([0, *map(len, texts)]).tolist()
                     for own, a, z, kk in zip(o.tolist(), f.tolist(), e.tolist(), k.tolist(), strict=True):
                         text, doc, rid, at_ = raw[a : z + LENGTH - 1], ids[i + own], rids[i + own], a - offsets[own]
                         entry = met.get(text)
@@ -372,35 +367,42 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
                         else:
                             known += [(r, p, p + z - a) for r, p in entry[1]]
                             entry[0], entry[1] = doc, [(rid, at_)]
-                if len(met) > 300_000 or len(known) > 500_000:
+                if len(met) > 200_000 or len(known) > 100_000:
                     yield from flush(met, known, route)
                     met, known, route = {}, [], {}
         yield from flush(met, known, route)
 
     def sort(table: pa.Table) -> pa.Table:
-        blobs, ids, rids, firsts, known = [], [], [], [], []
+        blobs, subs, ids, rids, firsts, known = [], [], [], [], [], []
         for r in table.select([n for n, _ in schema[1:]]).to_pylist():
-            at = 0
-            for n in np.frombuffer(r["lens"], dtype=np.int32).tolist():
-                blobs.append(r["text"][at : at + n])
+            lens = np.frombuffer(r["lens"], dtype=np.int32)
+            text, at = pa.decompress(r["text"], decompressed_size=int(lens.sum()), codec="zstd", asbytes=True) if len(lens) else b"", 0
+            for n in lens.tolist():
+                blobs.append(text[at : at + n])
                 at += n
-            ids.append(np.frombuffer(r["ids"], dtype=np.int64))
+            subs.append(np.frombuffer(r["subs"], dtype=np.uint8))
+            ids.append(np.frombuffer(r["ids"], dtype=np.uint32 if len(r["ids"]) == 4 * len(lens) else np.int64).astype(np.int64))
             rids.append(np.frombuffer(r["rids"], dtype=np.int64))
-            firsts.append(np.frombuffer(r["firsts"], dtype=np.int64))
+            firsts.append(np.frombuffer(r["firsts"], dtype=np.int32).astype(np.int64))
             if r["known"]:
                 known.append(np.frombuffer(r["known"], dtype=np.int64).reshape(-1, 3))
         if blobs:
-            rid, first = np.concatenate(rids), np.concatenate(firsts)
-            runs = np.array(repeated(blobs, np.concatenate(ids)), dtype=np.int64).reshape(-1, 3)
-            known.append(np.stack([rid[runs[:, 0]], first[runs[:, 0]] + runs[:, 1], first[runs[:, 0]] + runs[:, 2]], axis=1))
+            doc, rid, first, sub = np.concatenate(ids), np.concatenate(rids), np.concatenate(firsts), np.concatenate(subs)
+            # The part is sorted in up to 256 shares by further bits of the key, so a suffix array stays small.
+            shares = min(256, 1 << (sum(map(len, blobs)) // SHARE).bit_length())
+            share = sub.astype(np.int64) // (256 // shares)
+            for k in np.unique(share).tolist():
+                own = np.flatnonzero(share == k)
+                runs = np.array(repeated([blobs[i] for i in own.tolist()], doc[own]), dtype=np.int64).reshape(-1, 3)
+                at = own[runs[:, 0]]
+                known.append(np.stack([rid[at], first[at] + runs[:, 1], first[at] + runs[:, 2]], axis=1))
         found = np.concatenate(known) if known else np.zeros((0, 3), dtype=np.int64)
         return pa.table({"rid": found[:, 0], "first": found[:, 1].astype(np.int32), "end": found[:, 2].astype(np.int32)})
 
-    lists = candidates.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
     named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    sent = named.join(lists, "doc_id").select("rid", "doc_id", "text", "keys")
-    sent = sent.mapInArrow(send, "part int, text binary, lens binary, ids binary, rids binary, firsts binary, known binary")
-    return sent.groupBy("part").applyInArrow(sort, "rid long, first int, end int")
+    sent = named.join(_key_lists(candidates), "doc_id").select("rid", "doc_id", "text", "keys")
+    sent = sent.mapInArrow(lean(send), "part int, text binary, lens binary, subs binary, ids binary, rids binary, firsts binary, known binary")
+    return sent.groupBy("part").applyInArrow(lean_group(sort), "rid long, first int, end int")
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -433,24 +435,25 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     bits = max(3, min(16, (size // (10 << 20)).bit_length()))
     hot_above = max(HOT, size // 16 >> 20)
     answers = scratch.table(_candidates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bits, hot_above), "answers")
-    hot = b"".join(r["keys"] for r in answers.where("hot").select("keys").toLocalIterator())
-    found = scratch.table(_found(rows, answers.where("not hot").select("doc_id", "keys"), hot, bits, bits), "found")
+    hot = b"".join(r["keys"] for r in answers.where("part < 0").select("keys").toLocalIterator())
+    parts = max(3, min(20, (size // (4 << 20)).bit_length()))
+    found = scratch.table(_found(rows, answers.where("part >= 0"), hot, bits, parts), "found")
     runs = found.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                left, removed, n = cut(raw, [(x["first"], x["end"]) for x in spans or []])
-                out.append((len(raw), removed, n, hashlib.sha256(left).hexdigest(), left if with_text else None))
+            for i, texts in byte_blocks(b.column(1)):
+                for raw, spans in zip(texts, b.column(2).slice(i, len(texts)).to_pylist(), strict=True):
+                    left, removed, n = cut(raw, [(x["first"], x["end"]) for x in spans or []])
+                    out.append((len(raw), removed, n, hashlib.sha256(left).hexdigest(), left if with_text else None))
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 4 + with_text])]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     scratch.drop("answers")
     joined = rows.join(runs, "rid", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(lean(finish), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 shipped_by_value(__name__)
