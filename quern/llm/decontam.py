@@ -109,23 +109,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     cuts each run of hit words, with the separators after its words, out of the text.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*names).alias("__w_doc"), "text")
-    hits = find_hits(whole, benchmark, window, ("__w_doc",))
+    keyed = docs.withColumn("__w_doc", F.xxhash64("doc_id", "text"))
+    hits = find_hits(keyed.select("__w_doc", "text"), benchmark, window, ("__w_doc",)).where(F.size("__w_hits") > 0)
     if mode == "documents":
-        kept = hits.where(covered(F.col("__w_hits")) <= F.lit(max_share) * F.col("__w_count"))
-        return kept.select("__w_doc.*")
+        bad = hits.where(covered(F.col("__w_hits")) > F.lit(max_share) * F.col("__w_count")).select("__w_doc").distinct()
+        return keyed.join(bad, "__w_doc", "left_anti").select(*[F.col(f"`{c}`") for c in names])
     if mode != "spans":
         raise ValueError(f"unknown mode {mode}")
-    text = F.col("__w_doc.text")
-    marked = F.flatten(F.transform("__w_hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1)))
+    text = F.col("text")
+    marked = F.array_distinct(F.flatten(F.transform("__w_hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
+    once = hits.groupBy("__w_doc").agg(F.first("__w_hits").alias("__w_hits")).select("__w_doc", marked.alias("__w_marked"))
     # Words of the original text with what separates them: A-Z are no separators here, since they get lower-cased.
     own = WORD_SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all(text, F.lit("[^" + own[1:-2] + "]+" + own[:-1] + "*"), F.lit(0))
     lead = F.regexp_extract(text, "^" + own[:-1] + "*", 0)
     cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col("__w_marked"), i + 1)), ""))
-    out = hits.withColumn("__w_marked", marked)
-    kept_text = F.when(F.size("__w_marked") > 0, cut).otherwise(text)
-    return out.select(*[kept_text.alias(c) if c == "text" else F.col(f"__w_doc.`{c}`").alias(c) for c in names])
+    kept_text = F.when(F.col("__w_marked").isNotNull(), cut).otherwise(text)
+    return keyed.join(once, "__w_doc", "left").select(*[kept_text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
 
 
 __all__ = ["ascii_lower", "benchmark_windows", "contamination_report", "covered", "decontaminate", "find_hits"]
