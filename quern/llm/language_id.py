@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import crc_mod, mix, shipped_by_value
+from quern.llm._common import byte_blocks, crc_mod, lean, mix, shipped_by_value
 
 GRAM = 4
 PROBES = 3
@@ -96,19 +96,27 @@ def learn(labelled: DataFrame, sample_docs: int = 2000, grams_per_language: int
     a whole (the documented bound of the sample); the grams_per_language n-grams found in most of them enter the
     filter. Rows with null text or lang teach nothing."""
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}  # a row a language
+    if not counts:
+        return BloomModel({}, bits)
+    # Hashes are spread evenly, so those of four times the sample lie under this bound; others needn't be sorted.
+    bound = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, (4 * sample_docs + 100) / n))])
+    low = rows.where(F.shiftrightunsigned("h", 11) <= F.element_at(bound, F.col("lang")) * F.lit(float(1 << 53)))
     w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    chosen = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs).select("lang", "text")
+    chosen = low.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs).select("lang", "text")
 
     def count(batches):
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), [t.encode() for t in b.column(1).to_pylist()]
-            for name in sorted(set(langs)):
-                grams, owner = grams_of([t for t, x in zip(texts, langs, strict=True) if x == name])
-                pairs = np.unique(grams.astype(np.uint64) | owner.astype(np.uint64) << np.uint64(32))
-                g, c = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(c)], ["lang", "gram", "docs"])
-
-    counts = chosen.mapInArrow(count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+            langs = b.column(0).to_pylist()
+            for i, texts in byte_blocks(b.column(1), 1 << 22):
+                own = langs[i : i + len(texts)]
+                for name in sorted(set(own)):
+                    grams, owner = grams_of([t for t, x in zip(texts, own, strict=True) if x == name])
+                    pairs = np.unique(grams.astype(np.uint64) | owner.astype(np.uint64) << np.uint64(32))
+                    g, c = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(c)], ["lang", "gram", "docs"])
+
+    counts = chosen.mapInArrow(lean(count), "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     top = Window.partitionBy("lang").orderBy(F.desc("docs"), "gram")
     kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= grams_per_language)
     found: dict[str, list[int]] = {}
@@ -132,10 +140,9 @@ def identify(docs: DataFrame, model: BloomModel, pred: str = "lang_pred", score:
         m.__dict__.update(shared.value)
         for b in batches:
             letters = b.column(has).to_pylist()
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             pred_, score_ = [], []
-            for i, j in blocks(texts, 1 << 22):
-                p, s = m.predict(texts[i:j])
+            for _, texts in byte_blocks(b.column(at), 1 << 21):
+                p, s = m.predict(texts)
                 pred_ += p
                 score_ += s
             pred_ = [p if x and p is not None else "und" for p, x in zip(pred_, letters, strict=True)]
@@ -145,19 +152,7 @@ def identify(docs: DataFrame, model: BloomModel, pred: str = "lang_pred", score:
 
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return framed.mapInArrow(predict, schema)
-
-
-def blocks(texts: list[bytes], most: int):
-    """Index ranges of consecutive texts of about `most` bytes, so that numpy works on bounded arrays."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+    return framed.mapInArrow(lean(predict), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
