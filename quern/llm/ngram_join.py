@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import Scratch, WordHashes, mix, scatter, shipped_by_value, text_bytes
+from quern.llm._common import lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes, WordHashes
 from quern.llm.graph import connected_components
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -75,12 +75,15 @@ def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def rows(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, hashes, size) for t in b.column(1).to_pylist()]
-            cids = [class_id(len(s), *set_key(s)) if len(s) else None for s in sets]
-            heads = [len(counted_head(s, percent)) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.array(heads, pa.int64())], names=["doc_id", "n", "cid", "head"])
+            n, cids, heads = [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingles(t, hashes, size)
+                n.append(len(s))
+                cids.append(class_id(len(s), *set_key(s)) if len(s) else None)
+                heads.append(len(counted_head(s, percent)) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.array(heads, pa.int64())], names=["doc_id", "n", "cid", "head"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, cid long, head long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(rows), "doc_id long, n long, cid long, head long")
 
 
 def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -100,7 +103,7 @@ def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 heads.append(counted_head(s, percent).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(heads, pa.binary())], names=["cid", "tokens"])
 
-    return docs.select("text").mapInArrow(rows, "cid long, tokens binary")
+    return docs.select("text").mapInArrow(lean(rows), "cid long, tokens binary")
 
 
 def _dealt(sets: DataFrame, dtype: str, shift: int, bits: int) -> DataFrame:
@@ -126,7 +129,7 @@ def _dealt(sets: DataFrame, dtype: str, shift: int, bits: int) -> DataFrame:
                     out.append((p, cids[i + own[starts]].astype(np.int64).tobytes(), counts.tobytes(), (tok.astype(np.uint32) if shift <= 40 and dtype == "u8" and shift + bits == 40 else tok).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "cids", "counts", "tokens"])
 
-    return sets.mapInArrow(rows, "part int, cids binary, counts binary, tokens binary")
+    return sets.mapInArrow(lean(rows), "part int, cids binary, counts binary, tokens binary")
 
 
 def _gathered(table: pa.Table, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +164,8 @@ def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) ->
         own, at = np.unique(cids, return_inverse=True)
         return pa.table({"cid": own, "c": np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)})
 
-    blocks = _dealt(heads, "u8", 40 - bits, bits).groupBy("part").applyInArrow(shared, "part int, cids binary, counts binary")
-    met = blocks.groupBy("part").applyInArrow(summed, "cid long, c long")
+    blocks = _dealt(heads, "u8", 40 - bits, bits).groupBy("part").applyInArrow(lean_group(shared), "part int, cids binary, counts binary")
+    met = blocks.groupBy("part").applyInArrow(lean_group(summed), "cid long, c long")
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     return classes.join(met, "cid").where(F.col("head") - F.col("c") < need).select("cid", "rep", "n")
 
@@ -194,7 +197,7 @@ def _frequencies(sets: DataFrame, bits: int) -> DataFrame:
         spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
         return pa.table({"cid": cids[starts], "tokens": pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()), "df": pa.array([df[a:b].tobytes() for a, b in spans], pa.binary())})
 
-    return _dealt(sets.select("cid", "tokens"), "u8", 64 - bits, bits).groupBy("part").applyInArrow(counted, "cid long, tokens binary, df binary")
+    return _dealt(sets.select("cid", "tokens"), "u8", 64 - bits, bits).groupBy("part").applyInArrow(lean_group(counted), "cid long, tokens binary, df binary")
 
 
 def prefixes(tokens: np.ndarray, df: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -232,7 +235,7 @@ def _prefix_table(counted: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["cid", "n", "p0", "at0", "p1", "p2", "sketch"])
 
     sets = counted.groupBy("cid").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"))
-    return sets.mapInArrow(rows, "cid long, n long, p0 array<long>, at0 array<long>, p1 array<long>, p2 array<long>, sketch array<long>")
+    return sets.mapInArrow(lean(rows), "cid long, n long, p0 array<long>, at0 array<long>, p1 array<long>, p2 array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +252,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append((100 + percent) * both >= percent * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(rows, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(lean(rows), "u long, v long")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -270,7 +273,7 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
     bits = lambda n: max(3, min(16, (int(n) // part_tokens).bit_length()))
     every = scratch.table(_keys(docs, size, percent), "every")
     none = -(1 << 63)
-    classes = every.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.coalesce("doc_id", F.lit(none))).alias("rep"))
+    classes = every.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.coalesce(F.min("doc_id"), F.lit(none)).alias("rep"))
     left = scratch.table(_survivors(classes, _heads(docs, size, percent), bits(SAMPLE * tokens), percent), "left")
 
     def whole(batches):
@@ -283,17 +286,18 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
 
     maybe = _maybe_in(left, "rep", left.count())
     reps = docs.withColumn("rep", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).where(maybe(F.col("rep"))).join(left, "rep").select("cid", "text")
-    sets = reps.mapInArrow(whole, "cid long, tokens binary")
+    sets = reps.mapInArrow(lean(whole), "cid long, tokens binary")
     sets = scratch.table(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
     n_left = int(sets.select(F.coalesce(F.sum(F.octet_length("tokens") / 8), F.lit(0))).first()[0])
     heads = scratch.table(_prefix_table(_frequencies(sets, bits(n_left)), percent), "heads")
 
     postings = heads.select("cid", "n", "sketch", F.explode(F.arrays_zip("p0", "at0")).alias("x")).select(F.col("x.p0").alias("token"), "cid", "n", "sketch", F.col("x.at0").alias("at"))
-    pivots = postings.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("token", "pivot")
+    # The pivot is the set with the fewest rarer tokens, so the least edited one of a group of near copies.
+    pivots = postings.groupBy("token").agg(F.min_by("cid", F.struct("at", "cid")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select("token", "pivot")
     stars = postings.join(pivots, "token").where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("c"))
     stars = stars.groupBy("cid").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot")).select(F.col("cid").alias("u"), F.col("pivot").alias("v"))
     edges = scratch.table(_verified(stars, sets, percent), "stars")
-    roots = connected_components(edges)
+    roots = scratch.table(connected_components(edges), "roots")
 
     own = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "sketch", "at", F.coalesce("root", "cid").alias("root"))
     own = scratch.table(own, "own")
@@ -312,9 +316,13 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
     p = heads.select("cid", "p1", "p2")
     pairs = pairs.join(p.toDF("u", "a1", "a2"), "u").join(p.toDF("v", "b1", "b2"), "v").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("u", "v")
     more = scratch.table(_verified(pairs, sets, percent), "more")
-    roots = connected_components(edges.union(more))
+    # Links between whole components are few, however many pairs there are.
+    up, vp = roots.toDF("u", "ur"), roots.toDF("v", "vr")
+    lifted = more.join(up, "u", "left").join(vp, "v", "left").select(F.coalesce("ur", "u").alias("u"), F.coalesce("vr", "v").alias("v")).distinct()
+    merged = connected_components(lifted).toDF("root", "merged")
 
     named = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = named.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root"))
     least = named.groupBy("root").agg(F.min(F.when(F.col("rep") != none, F.col("rep"))).alias("component"))
     lookup = named.join(least, "root").select("cid", "component")
     out = every.select("doc_id", "n", "cid").join(lookup, "cid", "left")
