@@ -45,15 +45,22 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+#: Words too common in any text to be looked up.
+COMMON = frozenset(
+    """a an the this that these such to of in on at by for from with without under as is are be was were it its and or not
+    any all either only own other person use used may can will you your we our work works version terms following do so""".split()
+)
+
+
 def positional_index(templates: dict[str, tuple[str, tuple[str, ...]]], rare: int = 8) -> dict[str, list[tuple[str, int, int]]]:
     """word -> postings (label, position, number of indexed words of the template), over the `rare` words of highest
-    IDF of each template; ties go to the word that comes first."""
+    IDF of each template that aren't common in any text; ties go to the word that comes first."""
     texts = {label: text.split() for label, (text, _) in templates.items()}
     df = Counter(w for words in texts.values() for w in set(words))
     index: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
     for label, words in texts.items():
         first = {w: i for i, w in reversed(list(enumerate(words)))}
-        chosen = sorted(first, key=lambda w: (-math.log(len(texts) / df[w]), first[w]))[:rare]
+        chosen = sorted(set(first) - COMMON or first, key=lambda w: (-math.log(len(texts) / df[w]), first[w]))[:rare]
         places = [(w, i) for i, w in enumerate(words) if w in chosen]
         for w, i in places:
             index[w].append((label, i, len(places)))
