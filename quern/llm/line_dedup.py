@@ -13,6 +13,10 @@ VARIABLE = r"[^ ]*[0-9][^ ]*"
 #: Mark put in the place of a variable field.
 FIELD = "<*>"
 NONE = 0
+#: Documents with a smaller share of word windows of their own are near copies.
+MIN_OWN = 0.4
+#: Word windows of a document that this is judged by.
+SKETCH = 64
 
 
 def template_path(line: Column, depth: int = DEPTH, min_tokens: int = 4) -> Column:
@@ -37,14 +41,42 @@ def _templates(text: Column, depth: int, min_tokens: int) -> Column:
     return F.transform(lines, lambda x: template_id(template_path(x, depth, min_tokens)))
 
 
-def recurring_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_docs: int = 5, min_variety: float = 0.2) -> DataFrame:
-    """(template): the templates found in many unlike documents.
+def _sorted_templates(depth: int, min_tokens: int) -> Column:
+    return F.array_sort(F.array_remove(F.array_distinct(_templates(F.col("text"), depth, min_tokens)), F.lit(NONE).cast("long")))
 
-    Documents are told apart by a signature: their smallest template other than the one in question. Copies and near
-    copies of one document share it, so a group of copies counts as one context; that group is the concern of
-    document-level dedup. A template recurs with at least min_docs contexts that are also min_variety of its documents.
+
+def _sketch(text: Column) -> Column:
+    """The SKETCH smallest hashes of the text's three-word windows, of the whole text if it is shorter."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    windows = lambda w: F.when(F.size(w) < 4, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(3)])))
+    return F.slice(F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), windows), 1))), 1, SKETCH)
+
+
+def recurring_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_docs: int = 5, min_variety: float | None = None) -> DataFrame:
+    """(template): the templates found in min_docs unlike documents or more, however many copies of others hold them.
+
+    Documents of the same templates are one context. So are all near copies taken together, since they are the concern
+    of document-level dedup: the texts with fewer than MIN_OWN of their three-word windows in under min_docs texts,
+    judged by a sketch. With min_variety, the rule of op2's SQL is applied instead.
     """
-    per_doc = docs.select(F.array_sort(F.array_remove(F.array_distinct(_templates(F.col("text"), depth, min_tokens)), F.lit(NONE).cast("long"))).alias("t"))
+    if min_variety is not None:
+        return _varied_templates(docs, depth, min_tokens, min_docs, min_variety)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sets = docs.select(F.xxhash64(text).alias("id"), _sorted_templates(depth, min_tokens).alias("t"), _sketch(text).alias("s")).where(F.size("t") > 0)
+    sets = sets.dropDuplicates(["id"])
+    windows = sets.select("id", F.explode("s").alias("window"))
+    common = windows.groupBy("window").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("window", F.lit(1).alias("many"))
+    own = windows.join(common, "window", "left").groupBy("id").agg(F.count_if(F.col("many").isNull()).alias("own"), F.count("*").alias("all"))
+    near = own.where(F.col("own") < F.lit(MIN_OWN) * F.col("all")).select("id", F.lit(0).cast("long").alias("near"))
+    told = sets.select("id", "t").join(near, "id", "left").select(F.coalesce("near", F.xxhash64("t")).alias("context"), F.explode("t").alias("template"))
+    contexts = told.distinct().groupBy("template").agg(F.count("*").alias("contexts"))
+    return contexts.where(F.col("contexts") >= min_docs).select("template")
+
+
+def _varied_templates(docs: DataFrame, depth: int, min_tokens: int, min_docs: int, min_variety: float) -> DataFrame:
+    """The rule of op2's SQL: a document's context is its smallest other template, and a template recurs with at least
+    min_docs contexts that are also min_variety of its documents, copies counted."""
+    per_doc = docs.select(_sorted_templates(depth, min_tokens).alias("t"))
     first, second = F.coalesce(F.get("t", F.lit(0)), F.lit(NONE)), F.coalesce(F.get("t", F.lit(1)), F.lit(NONE))
     each = per_doc.select(first.alias("a"), second.alias("b"), F.explode("t").alias("template"))
     keyed = each.select("template", F.when(F.col("template") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("context"))
@@ -53,7 +85,7 @@ def recurring_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4
     return found.where((F.col("contexts") >= min_docs) & (F.col("contexts") >= F.lit(min_variety) * F.col("docs"))).select("template")
 
 
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_docs: int = 5, min_variety: float = 0.2, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_docs: int = 5, min_variety: float | None = None, drop_empty: bool = False) -> DataFrame:
     """docs with the lines of recurring templates cut out of text, all columns kept, plus __n_lines and __n_dropped.
 
     Repeated rows are treated alike; a null text stays null; lines under min_tokens tokens always stay. With drop_empty,
@@ -74,8 +106,9 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_do
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_chars, kept_sha256 for every document (null text: empty)."""
+    """doc_id, n_lines, n_dropped, kept_chars, kept_sha256 for every document (null text: empty), by the
+    rule of op2's SQL."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return dedup_lines(docs.select("doc_id", "text")).select(
+    return dedup_lines(docs.select("doc_id", "text"), min_variety=0.2).select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256")
     )

@@ -133,6 +133,36 @@ def test_line_dedup(spark, empty, odd):
     assert lines[2] == 1
 
 
+def texts_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def own_lines(rnd, k):
+    return [" ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(k)]
+
+
+def test_line_dedup_beside_copies(spark):
+    rnd = random.Random(5)
+    line = "Subscribe to our letter for more of this"
+    copy = "\n".join([*own_lines(rnd, 6), line])
+    unlike = ["\n".join([*own_lines(rnd, 4), line]) for _ in range(40)]
+    out = line_dedup.dedup_lines(texts_of(spark, unlike + [copy] * 300)).collect()  # 41 contexts in 340 documents
+    assert all(r["__n_dropped"] == 1 and line not in r["text"] for r in out)
+
+
+def test_line_dedup_passages_and_near_copies(spark):
+    rnd = random.Random(6)
+    passage, base = own_lines(rnd, 6), own_lines(rnd, 20)
+    unlike = ["\n".join(own_lines(rnd, 6) + passage) for _ in range(60)]
+    near = []
+    for k in range(200):
+        lines = [*base, passage[0]]
+        lines[k % 20] = own_lines(rnd, 1)[0]
+        near.append("\n".join(lines))
+    out = {r["doc_id"]: r["__n_dropped"] for r in line_dedup.dedup_lines(texts_of(spark, unlike + near)).collect()}
+    assert [out[i] for i in range(60)] == [6] * 60 and [out[60 + k] for k in range(200)] == [1] * 200
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
