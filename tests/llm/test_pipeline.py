@@ -35,3 +35,11 @@ def test_stages(spark, tmp_path):
     assert set(seen["decontamination"]) == set(seen["ngram_join"]) - {82}
     assert set(seen["mixing"]) <= set(seen["decontamination"]) and len(seen["mixing"]) > 20
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == set(seen["mixing"])
+
+
+def test_near_copies(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = [f"w{k}" for k in range(100)]
+    edited = ["x" if k in (30, 60) else w for k, w in enumerate(words)]  # 5-word Jaccard 86/106, 3-word 92/104
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate((words, edited))], schema)
+    assert [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()] == [0]
