@@ -12,6 +12,8 @@ DEPTH = 8
 VARIABLE = r"[^ ]*[0-9][^ ]*"
 #: Mark put in the place of a variable field.
 FIELD = "<*>"
+#: Shorter lines are leaves of their own.
+SHORT = 4
 NONE = 0
 #: Documents with a smaller share of word windows of their own are near copies.
 MIN_OWN = 0.4
@@ -20,15 +22,19 @@ SKETCH = 64
 
 
 def template_path(line: Column, depth: int = DEPTH, min_tokens: int = 4) -> Column:
-    """The leaf a line belongs to, as text: token count, then the leading tokens. Null for lines of fewer tokens."""
+    """The leaf a line belongs to, as text: token count, then the leading tokens; lines of fewer than SHORT tokens are
+    leaves as they stand, variable fields included. Null for lines of fewer than min_tokens tokens or none."""
     tokens = F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
-    return F.element_at(
-        F.transform(
-            F.array(tokens),
-            lambda t: F.when(F.size(t) >= min_tokens, F.concat(F.size(t).cast("string"), F.lit(" "), F.regexp_replace(F.array_join(F.slice(t, 1, depth), " "), VARIABLE, FIELD))),
-        ),
-        1,
-    )
+
+    def leaf(t: Column) -> Column:
+        lead = F.array_join(F.slice(t, 1, depth), " ")
+        if min_tokens < SHORT:
+            lead = F.when(F.size(t) < SHORT, F.array_join(t, " ")).otherwise(F.regexp_replace(lead, VARIABLE, FIELD))
+        else:
+            lead = F.regexp_replace(lead, VARIABLE, FIELD)
+        return F.when(F.size(t) >= max(min_tokens, 1), F.concat(F.size(t).cast("string"), F.lit(" "), lead))
+
+    return F.element_at(F.transform(F.array(tokens), leaf), 1)
 
 
 def template_id(path: Column) -> Column:

@@ -163,6 +163,13 @@ def test_line_dedup_passages_and_near_copies(spark):
     assert [out[i] for i in range(60)] == [6] * 60 and [out[60 + k] for k in range(200)] == [1] * 200
 
 
+def test_line_dedup_short_lines(spark):
+    rnd = random.Random(7)
+    texts = ["\n".join([*own_lines(rnd, 3), "All rights reserved.", "", f"Page {k}"]) for k in range(30)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(texts_of(spark, texts), min_tokens=1).collect()}
+    assert all(out[k] == t.replace("\nAll rights reserved.", "") for k, t in enumerate(texts))
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 

@@ -43,3 +43,9 @@ def test_near_copies(spark):
     edited = ["x" if k in (30, 60) else w for k, w in enumerate(words)]  # 5-word Jaccard 86/106, 3-word 92/104
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate((words, edited))], schema)
     assert [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()] == [0]
+
+
+def test_short_lines(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, " ".join(f"{x}{chr(97 + i)}" for x in "abcdefghij") + "\nAll rights reserved.", "en", "s", 0) for i in range(9)]
+    assert not any("rights" in r["text"] for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, schema), "").collect())
