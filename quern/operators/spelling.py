@@ -31,14 +31,8 @@ def suggest(words: DataFrame, vocabulary: DataFrame, accuracy: float = 0.75, k:
     cut = F.when(F.col("i") < F.col("d"), F.substr("word", F.col("i") * F.col("size") + 1, F.col("size"))).otherwise(F.substr("word", F.col("i") * F.col("size") + 1, F.length("word")))
     left = parts.select("word", "d", cut.alias("part"), (F.col("i") * F.col("size")).alias("at"), F.length("word").alias("n"))
     shifted = left.select("word", "d", "n", "part", F.explode(F.sequence(F.col("at") - F.col("d"), F.col("at") + F.col("d"))).alias("at"), F.length("part").alias("len"))
-    sizes = [r[0] for r in shifted.select("len").distinct().orderBy("len").limit(64).toLocalIterator()]  # part lengths: at most a word's
-    v = vocabulary.where(F.length("term") >= 2)
-    grams = None
-    for n in sizes:
-        one = _grams(v, n)
-        grams = one if grams is None else grams.union(one)
-    if grams is None:
-        return v.select(F.lit("").alias("word"), "term", "df", F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    sizes = shifted.select("len").distinct()  # part lengths: at most a word's
+    grams = _grams(vocabulary.where(F.length("term") >= 2), sizes)
     met = shifted.join(grams, ["part", "at"]).where(F.abs(F.length("term") - F.col("n")) <= F.col("d")).select("word", "term", "df").distinct().where("word <> term")
     scored = met.withColumn("distance", F.levenshtein("word", "term")).withColumn("similarity", F.round(1 - F.col("distance") / F.greatest(F.length("word"), F.length("term")), 6))
     good = scored.where(F.col("distance") <= (1 - accuracy) * F.greatest(F.length("word"), F.length("term")))
@@ -46,10 +40,10 @@ def suggest(words: DataFrame, vocabulary: DataFrame, accuracy: float = 0.75, k:
     return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _grams(v: DataFrame, n: int) -> DataFrame:
-    """(term, df, part, at): the substrings of n characters and where they stand."""
-    at = v.where(F.length("term") >= n).select("term", "df", F.explode(F.sequence(F.lit(0), F.length("term") - n)).alias("at"))
-    return at.select("term", "df", F.substr("term", F.col("at") + 1, F.lit(n)).alias("part"), "at")
+def _grams(v: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(term, df, part, at): the substrings of `len` characters, for each len of sizes, and where they stand."""
+    at = v.join(F.broadcast(sizes), F.length("term") >= F.col("len")).select("term", "df", "len", F.explode(F.sequence(F.lit(0), F.length("term") - F.col("len"))).alias("at"))
+    return at.select("term", "df", F.substr("term", F.col("at") + 1, F.col("len")).alias("part"), "at")
 
 
 def replacement(suggestions: DataFrame, freqs: DataFrame, min_gain: float = 3.0, most_df: int = 10) -> DataFrame:

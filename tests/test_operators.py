@@ -124,6 +124,14 @@ def test_spelling(spark):
     assert {tuple(r)[:2] for r in spelling.replacement(found, vocabulary).collect()} == {("tehnology", "technology"), ("recieve", "receive")}
 
 
+def test_spelling_long_words(spark):
+    """The term shares only the last of the word's parts, the 70 characters at its end."""
+    word, end = "ab" * 70, "cdefghi" * 10
+    vocabulary = spark.createDataFrame([("axb" * 70 + end, 9)], "term string, df long")
+    asked = spark.createDataFrame([("q" * 3 * k,) for k in range(2, 70)] + [(word + end,)], "word string")
+    assert [r["distance"] for r in spelling.suggest(asked, vocabulary).collect()] == [70]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "x int, y int")
     assert len(rows(graph.transitive_closure(edges))) == 6
