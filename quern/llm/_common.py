@@ -63,6 +63,12 @@ class Scratch:
             self.spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df hasn't got, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (f"__q{k}{'_' * j}" for j in range(len(taken) + 1)) if x not in taken) for k in range(n)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() would change other letters too; it is used where the text is all ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

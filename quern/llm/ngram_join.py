@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes, WordHashes
+from quern.llm._common import byte_blocks, fresh, lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes, WordHashes
 from quern.llm.graph import connected_components
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -30,9 +30,9 @@ SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 SAMPLE = 0.3
 
 
-def shingles(text: str | None, hashes: WordHashes, size: int = 3) -> np.ndarray:
+def shingles(text: bytes, hashes: WordHashes, size: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles; fewer words than size make one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     h = hashes.of(words)
@@ -62,87 +62,103 @@ def counted_head(s: np.ndarray, percent: int) -> np.ndarray:
     return t[: max(inside, misses(len(s), percent) + 1)]
 
 
-def class_id(n: int, k1: int, k2: int) -> int:
-    """The id of a set, 64 bits of its size and fingerprints."""
+def class_id(s: np.ndarray) -> tuple[int, int]:
+    """(id of a set, a second fingerprint): together they tell sets apart."""
+    k1, k2 = set_key(s)
     with np.errstate(over="ignore"):
-        x = np.array([n, k1, k2], dtype=np.int64).view(np.uint64)
-        return int(mix(mix(mix(x[:1] + C1) ^ x[1:2]) + x[2:3]).view(np.int64)[0])
+        x = np.array([len(s), k1, k2], dtype=np.int64).view(np.uint64)
+        return int(mix(mix(mix(x[:1] + C1) ^ x[1:2]) + x[2:3]).view(np.int64)[0]), k2
 
 
-def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, cid and head (how many tokens step 2 counts) for every row; cid is null without shingles."""
+def _five(tokens: np.ndarray) -> bytes:
+    """40-bit numbers in five bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-    def rows(batches):
-        hashes = WordHashes()
-        for b in batches:
-            n, cids, heads = [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, hashes, size)
-                n.append(len(s))
-                cids.append(class_id(len(s), *set_key(s)) if len(s) else None)
-                heads.append(len(counted_head(s, percent)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.array(heads, pa.int64())], names=["doc_id", "n", "cid", "head"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(rows), "doc_id long, n long, cid long, head long")
+def _unfive(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(cid, tokens bytes): what step 2 counts, of each set once in a task."""
+def _hashed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, cid and k (the set's ids), head (how many tokens step 2 counts) and tokens
+    (those, once for each set in a task) for every row; cid and k are null without shingles."""
+    fields = [("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("k", pa.int64()), ("head", pa.int64()), ("tokens", pa.binary())]
 
     def rows(batches):
         hashes, seen = WordHashes(), set()
         for b in batches:
-            cids, heads = [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(t, hashes, size)
-                if not len(s) or (cid := class_id(len(s), *set_key(s))) in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(cid)
-                cids.append(cid)
-                heads.append(counted_head(s, percent).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(heads, pa.binary())], names=["cid", "tokens"])
-
-    return docs.select("text").mapInArrow(lean(rows), "cid long, tokens binary")
-
-
-def _dealt(sets: DataFrame, dtype: str, shift: int, bits: int) -> DataFrame:
+            for i, texts in byte_blocks(b.column(2)):
+                out = []
+                for t in texts:
+                    s = shingles(t, hashes, size)
+                    if not len(s):
+                        out.append((0, None, None, 0, None))
+                        continue
+                    key = class_id(s)
+                    head = counted_head(s, percent)
+                    out.append((len(s), *key, len(head), None if key in seen else _five(head)))
+                    if len(seen) < 200_000:
+                        seen.add(key)
+                ids = [b.column(c).slice(i, len(texts)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array([x[c] for x in out], kind) for c, (_, kind) in enumerate(fields[2:]))], names=[f for f, _ in fields])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(lean(rows), "doc_id long, th long, n long, cid long, k long, head long, tokens binary")
+
+
+def _told_apart(every: DataFrame) -> DataFrame:
+    """The rows, in which sets with the same id but different second fingerprints get ids of their own."""
+    keys = every.where("cid is not null").groupBy("cid").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select(F.col("cid").alias("twice"))
+    if keys.isEmpty():
+        return every
+    joined = every.join(keys, F.col("cid") == F.col("twice"), "left")
+    return joined.withColumn("cid", F.when(F.col("twice").isNotNull(), F.xxhash64("cid", "k")).otherwise(F.col("cid"))).drop("twice")
+
+
+def _dealt(sets: DataFrame, heads: bool, bits: int, block: int = 500_000) -> DataFrame:
     """sets(cid, tokens binary) -> exchanged blocks (part, cids, counts, tokens): tokens by their top bits. A block
-    holds the tokens of many sets; counts say how many tokens in a row belong to each cid."""
+    holds the tokens of many sets, about `block` of them; counts say how many tokens in a row belong to each cid. Heads
+    come as 40-bit numbers, of which a block holds the lower 32."""
+    width = 5 if heads else 8
+
+    def flush(cids: np.ndarray, arrays: list[np.ndarray]):
+        tokens = np.concatenate(arrays)
+        owner = np.repeat(np.arange(len(arrays), dtype=np.int32), [len(a) for a in arrays])
+        part = (tokens >> np.uint64((40 if heads else 64) - bits)).astype(np.int32)
+        out = []
+        for p, own, tok in scatter(part, 1 << bits, owner, tokens.astype(np.uint32) if heads else tokens):
+            own = np.frombuffer(own, dtype=np.int32)
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            counts = np.diff(np.r_[starts, len(own)]).astype(np.uint32)
+            out.append((p, cids[own[starts]].tobytes(), counts.tobytes(), tok))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "cids", "counts", "tokens"])
 
     def rows(batches):
         for b in batches:
-            cids, blobs = np.asarray(b.column(0)), b.column(1).to_pylist()
-            for i in range(0, len(cids), 4096):
-                arrays = [np.frombuffer(x, dtype=dtype) for x in blobs[i : i + 4096]]
-                if not arrays or not sum(map(len, arrays)):
-                    continue
-                tokens = np.concatenate(arrays)
-                owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
-                part = (tokens >> np.uint64(shift)).astype(np.int64)
-                out = []
-                for p, own, tok in scatter(part, 1 << bits, owner, tokens):
-                    own = np.frombuffer(own, dtype=np.int64)
-                    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    counts = np.diff(np.r_[starts, len(own)]).astype(np.uint32)
-                    tok = np.frombuffer(tok, dtype=np.uint64)
-                    out.append((p, cids[i + own[starts]].astype(np.int64).tobytes(), counts.tobytes(), (tok.astype(np.uint32) if shift <= 40 and dtype == "u8" and shift + bits == 40 else tok).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "cids", "counts", "tokens"])
+            cids = np.asarray(b.column(0)).astype(np.int64)
+            for i, blobs in byte_blocks(b.column(1), block * width):
+                arrays = [_unfive(x) if heads else np.frombuffer(x, dtype="u8") for x in blobs]
+                if sum(map(len, arrays)):
+                    yield flush(cids[i : i + len(blobs)], arrays)
 
     return sets.mapInArrow(lean(rows), "part int, cids binary, counts binary, tokens binary")
 
 
 def _gathered(table: pa.Table, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """cids and tokens of a part's blocks, one entry each per token."""
-    cids, tokens = [], []
-    for c, n, t in zip(table.column("cids").to_pylist(), table.column("counts").to_pylist(), table.column("tokens").to_pylist(), strict=True):
-        cids.append(np.repeat(np.frombuffer(c, dtype=np.int64), np.frombuffer(n, dtype=np.uint32)))
-        tokens.append(np.frombuffer(t, dtype=dtype))
-    return np.concatenate(cids), np.concatenate(tokens)
+    n = sum(len(x.as_py()) for x in table.column("tokens")) // np.dtype(dtype).itemsize
+    cids, tokens, at = np.empty(n, dtype=np.int64), np.empty(n, dtype=dtype), 0
+    for c, k, t in zip(*(table.column(x) for x in ("cids", "counts", "tokens")), strict=True):
+        own = np.frombuffer(t.as_py(), dtype=dtype)
+        tokens[at : at + len(own)] = own
+        cids[at : at + len(own)] = np.repeat(np.frombuffer(c.as_py(), dtype=np.int64), np.frombuffer(k.as_py(), dtype=np.uint32))
+        at += len(own)
+    return cids, tokens
 
 
 def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) -> DataFrame:
-    """cid, rep, n of the classes whose prefix under the sampled order holds a token of another class.
+    """cid, rep, n, k of the classes whose prefix under the sampled order holds a token of another class.
 
     A set may come from several tasks, so tokens are counted by distinct cid. Parts answer with blocks of counts."""
 
@@ -150,6 +166,7 @@ def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) ->
         cids, tokens = _gathered(table, "u4")
         order = np.lexsort((cids, tokens))
         cids, tokens = cids[order], tokens[order]
+        del order
         new = np.r_[True, (tokens[1:] != tokens[:-1]) | (cids[1:] != cids[:-1])]
         cids, tokens = cids[new], tokens[new]
         same = tokens[1:] == tokens[:-1]
@@ -164,10 +181,10 @@ def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) ->
         own, at = np.unique(cids, return_inverse=True)
         return pa.table({"cid": own, "c": np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)})
 
-    blocks = _dealt(heads, "u8", 40 - bits, bits).groupBy("part").applyInArrow(lean_group(shared), "part int, cids binary, counts binary")
+    blocks = _dealt(heads, True, bits).groupBy("part").applyInArrow(lean_group(shared), "part int, cids binary, counts binary")
     met = blocks.groupBy("part").applyInArrow(lean_group(summed), "cid long, c long")
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    return classes.join(met, "cid").where(F.col("head") - F.col("c") < need).select("cid", "rep", "n")
+    return classes.join(met, "cid").where(F.col("head") - F.col("c") < need).select("cid", "rep", "n", "k")
 
 
 def _maybe_in(ids: DataFrame, column: str, n: int) -> Callable[[Column], Column]:
@@ -188,16 +205,21 @@ def _frequencies(sets: DataFrame, bits: int) -> DataFrame:
 
     def counted(table: pa.Table) -> pa.Table:
         cids, tokens = _gathered(table, "u8")
-        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = counts[inverse].astype(np.uint32)
+        order = np.argsort(tokens)
+        new = np.r_[True, np.diff(tokens[order]) != 0] if len(tokens) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(new)
+        df = np.empty(len(tokens), dtype=np.uint32)
+        df[order] = np.repeat(np.diff(np.r_[at, len(tokens)]), np.diff(np.r_[at, len(tokens)])).astype(np.uint32)
+        del new, at
         order = np.argsort(cids, kind="stable")
         cids, tokens, df = cids[order], tokens[order], df[order]
+        del order
         starts = np.flatnonzero(np.r_[True, cids[1:] != cids[:-1]])
-        ends = np.r_[starts[1:], len(cids)]
-        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        return pa.table({"cid": cids[starts], "tokens": pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()), "df": pa.array([df[a:b].tobytes() for a, b in spans], pa.binary())})
+        ends = np.r_[starts[1:], len(cids)].astype(np.int32)
+        blob = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[np.int32(0), ends] * np.int32(x.itemsize)), pa.py_buffer(x)])
+        return pa.table({"cid": cids[starts], "tokens": blob(tokens), "df": blob(df)})
 
-    return _dealt(sets.select("cid", "tokens"), "u8", 64 - bits, bits).groupBy("part").applyInArrow(lean_group(counted), "cid long, tokens binary, df binary")
+    return _dealt(sets.select("cid", "tokens"), False, bits).groupBy("part").applyInArrow(lean_group(counted), "cid long, tokens binary, df binary")
 
 
 def prefixes(tokens: np.ndarray, df: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -223,7 +245,7 @@ def _prefix_table(counted: DataFrame, percent: int) -> DataFrame:
     """cid, n, p0, at0, p1, p2, sketch of the sets that share a token under every order."""
 
     def rows(batches):
-        for b in batches:
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
             out = []
             for cid, tokens, df in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 t, d = np.frombuffer(b"".join(tokens), dtype="u8"), np.frombuffer(b"".join(df), dtype="u4")
@@ -246,8 +268,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def rows(batches):
         for x in batches:
             keep = []
-            for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, dtype="u8"), np.frombuffer(t, dtype="u8")
+            for s, t in zip(x.column(2), x.column(3), strict=True):  # one pair in memory beside the batch
+                s, t = np.frombuffer(s.as_py(), dtype="u8"), np.frombuffer(t.as_py(), dtype="u8")
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append((100 + percent) * both >= percent * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -259,33 +281,40 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_tokens: int = 2_000_000) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_tokens: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     Two documents link when their shingle sets have percent % of their union in common; component_id is the smallest
     doc_id that links lead to. Texts without words link with nothing. Repeated rows are copies of each other, a null
-    doc_id is never a component_id unless there is no other. Shingles are told apart by 64-bit hashes.
+    doc_id is never a component_id unless there is no other. Shingles are told apart by 64-bit hashes, sets by two of
+    them.
     """
+    return _groups(docs, size, percent, part_tokens).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _groups(docs: DataFrame, size: int, percent: int, part_tokens: int = 500_000) -> DataFrame:
+    """doc_id, th, n, root (the group, null without words) and component_id for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     tokens = text_bytes(docs) // 6
     bits = lambda n: max(3, min(16, (int(n) // part_tokens).bit_length()))
-    every = scratch.table(_keys(docs, size, percent), "every")
+    every = _told_apart(scratch.table(_hashed(docs, size, percent), "every"))
     none = -(1 << 63)
-    classes = every.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.coalesce(F.min("doc_id"), F.lit(none)).alias("rep"))
-    left = scratch.table(_survivors(classes, _heads(docs, size, percent), bits(SAMPLE * tokens), percent), "left")
+    classes = every.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.coalesce(F.min("doc_id"), F.lit(none)).alias("rep"), F.first("k").alias("k"))
+    left = scratch.table(_survivors(classes, every.where("tokens is not null").select("cid", "tokens"), bits(SAMPLE * tokens), percent), "left")
 
     def whole(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, hashes, size) for t in b.column(1).to_pylist()]
-            cids = [class_id(len(s), *set_key(s)) if len(s) else None for s in sets]
-            out = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "tokens"])
-            yield out.filter(pa.array([x == y for x, y in zip(cids, b.column(0).to_pylist(), strict=True)], pa.bool_()))
+            for i, texts in byte_blocks(b.column(2)):
+                sets = [shingles(t, hashes, size) for t in texts]
+                keys = [class_id(s)[1] if len(s) else None for s in sets]
+                same = [x == y for x, y in zip(keys, b.column(1).slice(i, len(texts)).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "tokens"]).filter(pa.array(same, pa.bool_()))
 
     maybe = _maybe_in(left, "rep", left.count())
-    reps = docs.withColumn("rep", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).where(maybe(F.col("rep"))).join(left, "rep").select("cid", "text")
+    reps = docs.withColumn("rep", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).where(maybe(F.col("rep"))).join(left, "rep").select("cid", "k", "text")
     sets = reps.mapInArrow(lean(whole), "cid long, tokens binary")
     sets = scratch.table(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
     n_left = int(sets.select(F.coalesce(F.sum(F.octet_length("tokens") / 8), F.lit(0))).first()[0])
@@ -324,22 +353,28 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
     named = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = named.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root"))
     least = named.groupBy("root").agg(F.min(F.when(F.col("rep") != none, F.col("rep"))).alias("component"))
-    lookup = named.join(least, "root").select("cid", "component")
-    out = every.select("doc_id", "n", "cid").join(lookup, "cid", "left")
-    for name in ("left", "heads", "own"):
+    lookup = named.join(least, "root").select("cid", "root", "component")
+    out = every.select("doc_id", "th", "n", "cid").join(lookup, "cid", "left")
+    for name in ("left", "sets", "heads", "stars", "own", "more"):
         scratch.drop(name)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n", "root", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """docs with all columns, one document of each group: the one of smallest doc_id, of repeated rows any one. Rows
-    with a null doc_id stay."""
-    groups = similar_groups(docs, size, percent)
-    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("__keep"), "left_semi")
-    names = docs.columns
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__row")).select("__row.*")
-    return once.unionByName(docs.where("doc_id is null"))
+    """docs with all columns, one document of each group: the one of smallest doc_id, a null one only where the group
+    has no other. Of rows equal in id and text the first by all columns as JSON stays. A text without words is a group
+    of its own together with its repeated rows."""
+    groups = _groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = groups.groupBy("component_id", "root", "th", F.col("root").isNull().alias("alone")).agg(F.count("*").alias("n"))
+    least = rows.groupBy("component_id", "root", F.when(F.col("alone"), F.col("th")).alias("own")).agg(F.min(F.struct("th", "n")).alias("x"))
+    id_, th, n = fresh(docs, 3)
+    keep = least.select(F.col("component_id").alias(id_), F.col("x.th").alias(th), F.col("x.n").alias(n))
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.where(F.col(n) == 1).select(*names)
+    whole = F.struct(*names)
+    repeated = kept.where(F.col(n) > 1).groupBy(id_, th).agg(F.min_by(whole, F.to_json(whole)).alias(n)).select(f"{n}.*")
+    return once.unionAll(repeated)
 
 
 shipped_by_value(__name__)
