@@ -123,15 +123,15 @@ def give_back() -> None:
         pass
 
 
-def byte_blocks(column: pa.Array, most: int = 1 << 20):
-    """(first row, texts as UTF-8 bytes) for runs of rows of about `most` bytes, so that arrays over them stay small;
-    a null text is empty."""
+def byte_blocks(column: pa.Array, most: int = 1 << 20, rows: int = 50_000):
+    """(first row, texts as UTF-8 bytes) for runs of rows of about `most` bytes and no more than `rows`, so that arrays
+    over them stay small; a null text is empty."""
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        j = min(i + rows, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right"))))
         yield i, [x or b"" for x in column.slice(i, j - i).cast(pa.binary()).to_pylist()]
         i = j
 

@@ -185,6 +185,30 @@ def repeated(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]
     return out
 
 
+def repeated_in_shares(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]:
+    """The same for blobs of any size together. Where they come to more than four shares (then they have few keys, of
+    very many documents), their strings are dealt by their own hash, and each share of strings is sorted for itself."""
+    size = sum(map(len, blobs))
+    if size <= 4 * SHARE:
+        return repeated(blobs, docs)
+    shares = min(1 << 16, 1 << (size * 8 // SHARE).bit_length())
+    dealt: list[list[np.ndarray]] = [[] for _ in range(shares)]
+    for i, b in enumerate(blobs):
+        share = (mix(string_hashes(np.frombuffer(b, dtype=np.uint8), LENGTH)) >> np.uint64(32)).astype(np.int64) & (shares - 1)
+        order = np.argsort(share, kind="stable")
+        edges = np.flatnonzero(np.r_[True, share[order][1:] != share[order][:-1], True])
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = order[a:z]
+            dealt[int(share[at[0]])].append(np.stack([np.full(len(at), i), at], axis=1))
+    out = []
+    for rows in dealt:
+        if rows:
+            at = np.concatenate(rows)
+            strings = [blobs[i][k : k + LENGTH] for i, k in at.tolist()]
+            out += [(int(at[j, 0]), int(at[j, 1]), int(at[j, 1]) + 1) for j, _, _ in repeated(strings, docs[at[:, 0]])]
+    return out
+
+
 # --- exchanges -----------------------------------------------------------------------------------
 
 
@@ -209,6 +233,7 @@ def _candidates(docs: DataFrame, bits: int, hot: int) -> DataFrame:
     def flush(keys: list[np.ndarray], owners: list[np.ndarray], ids: list[int]):
         if not keys or not sum(map(len, keys)):
             return
+        assert len(ids) <= 1 << 16  # byte_blocks holds fewer rows
         own_ids = np.array(ids, dtype=np.int64)
         u = np.unique(np.concatenate(keys) >> shift << np.uint64(16) | np.concatenate(owners).astype(np.uint64))
         k, d = u >> np.uint64(16), (u & np.uint64(0xFFFF)).astype(np.int64)
@@ -299,13 +324,14 @@ def _key_lists(blocks: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bits: int) -> DataFrame:
-    """(rid, first, end): runs of strings of a row that also start in a smaller document. docs: rid, doc_id, text."""
+    """Blocks (part, rids, ids, firsts, ends): runs of strings of a row that also start in a smaller document, dealt by
+    row. docs: rid, doc_id, text."""
     spark = docs.sparkSession
     hot_keys = spark.sparkContext.broadcast(hot)  # bounded: 2 ** 20 keys
     shift = np.uint64(32 - key_bits)
     schema = [("part", pa.int32()), ("text", pa.binary()), ("lens", pa.binary()), ("subs", pa.binary()), ("ids", pa.binary()), ("rids", pa.binary()), ("firsts", pa.binary()), ("known", pa.binary())]
 
-    def flush(met: dict[bytes, list], known: list[tuple[int, int, int]], route: dict[bytes, int]):
+    def flush(met: dict[bytes, list], known: list[tuple[int, int, int, int]], route: dict[bytes, int]):
         rows: dict[int, list] = {}
         for text, (doc, places) in met.items():
             row = rows.setdefault(route[text] >> (64 - bits), [[], [], [], [], [], [], None])
@@ -329,7 +355,7 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
         frequent = np.frombuffer(hot_keys.value, dtype=np.uint64)
         met: dict[bytes, list] = {}
         route: dict[bytes, int] = {}
-        known: list[tuple[int, int, int]] = []
+        known: list[tuple[int, int, int, int]] = []
         for b in batches:
             rids, ids = b.column(0).to_pylist(), _ids(b.column(1)).tolist()
             for i, texts in byte_blocks(b.column(2)):
@@ -363,9 +389,9 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
                         elif entry[0] == doc:
                             entry[1].append((rid, at_))
                         elif entry[0] < doc:
-                            known.append((rid, at_, at_ + z - a))
+                            known.append((rid, doc, at_, at_ + z - a))
                         else:
-                            known += [(r, p, p + z - a) for r, p in entry[1]]
+                            known += [(r, entry[0], p, p + z - a) for r, p in entry[1]]
                             entry[0], entry[1] = doc, [(rid, at_)]
                 if len(met) > 200_000 or len(known) > 100_000:
                     yield from flush(met, known, route)
@@ -385,7 +411,7 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
             rids.append(np.frombuffer(r["rids"], dtype=np.int64))
             firsts.append(np.frombuffer(r["firsts"], dtype=np.int32).astype(np.int64))
             if r["known"]:
-                known.append(np.frombuffer(r["known"], dtype=np.int64).reshape(-1, 3))
+                known.append(np.frombuffer(r["known"], dtype=np.int64).reshape(-1, 4))
         if blobs:
             doc, rid, first, sub = np.concatenate(ids), np.concatenate(rids), np.concatenate(firsts), np.concatenate(subs)
             # The part is sorted in up to 256 shares by further bits of the key, so a suffix array stays small.
@@ -393,19 +419,36 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
             share = sub.astype(np.int64) // (256 // shares)
             for k in np.unique(share).tolist():
                 own = np.flatnonzero(share == k)
-                runs = np.array(repeated([blobs[i] for i in own.tolist()], doc[own]), dtype=np.int64).reshape(-1, 3)
+                runs = np.array(repeated_in_shares([blobs[i] for i in own.tolist()], doc[own]), dtype=np.int64).reshape(-1, 3)
                 at = own[runs[:, 0]]
-                known.append(np.stack([rid[at], first[at] + runs[:, 1], first[at] + runs[:, 2]], axis=1))
-        found = np.concatenate(known) if known else np.zeros((0, 3), dtype=np.int64)
-        return pa.table({"rid": found[:, 0], "first": found[:, 1].astype(np.int32), "end": found[:, 2].astype(np.int32)})
+                known.append(np.stack([rid[at], doc[at], first[at] + runs[:, 1], first[at] + runs[:, 2]], axis=1))
+        found = np.concatenate(known) if known else np.zeros((0, 4), dtype=np.int64)
+        blocks = scatter((mix(found[:, 0].astype(np.uint64)) >> np.uint64(64 - key_bits)).astype(np.int64), 1 << key_bits, found[:, 0], found[:, 1], found[:, 2].astype(np.int32), found[:, 3].astype(np.int32))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return pa.table({n: pa.array([x[k] for x in blocks], t) for k, (n, t) in enumerate(zip(("part", "rids", "ids", "firsts", "ends"), kinds, strict=True))})
 
     named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     sent = named.join(_key_lists(candidates), "doc_id").select("rid", "doc_id", "text", "keys")
     sent = sent.mapInArrow(lean(send), "part int, text binary, lens binary, subs binary, ids binary, rids binary, firsts binary, known binary")
-    return sent.groupBy("part").applyInArrow(lean_group(sort), "rid long, first int, end int")
+    return sent.groupBy("part").applyInArrow(lean_group(sort), "part int, rids binary, ids binary, firsts binary, ends binary")
+
+
+def _run_lists(blocks: DataFrame) -> DataFrame:
+    """(rid, id, runs): one row for each row of the input that has runs; runs are pairs of 32-bit numbers."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        column = lambda n, t: np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(n)])
+        rid, doc = column("rids", np.int64), column("ids", np.int64)
+        runs = np.stack([column("firsts", np.int32), column("ends", np.int32)], axis=1)
+        order = np.lexsort((runs[:, 0], doc, rid))
+        rid, doc, runs = rid[order], doc[order], runs[order]
+        edges = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1]), True]).tolist()
+        return pa.table({"rid": rid[edges[:-1]], "id": doc[edges[:-1]], "runs": pa.array([runs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+
+    return blocks.groupBy("part").applyInArrow(lean_group(gather), "rid long, id long, runs binary")
 
 
-def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+def cut(text: bytes, runs: list[list[int]]) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal removed runs) once the strings starting in the runs are removed."""
     spans: list[list[int]] = []
     for a, b in sorted(runs):
@@ -438,7 +481,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     hot = b"".join(r["keys"] for r in answers.where("part < 0").select("keys").toLocalIterator())
     parts = max(3, min(20, (size // (4 << 20)).bit_length()))
     found = scratch.table(_found(rows, answers.where("part >= 0"), hot, bits, parts), "found")
-    runs = found.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    runs = _run_lists(found)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(batches):
@@ -446,13 +489,14 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
             out = []
             for i, texts in byte_blocks(b.column(1)):
                 for raw, spans in zip(texts, b.column(2).slice(i, len(texts)).to_pylist(), strict=True):
-                    left, removed, n = cut(raw, [(x["first"], x["end"]) for x in spans or []])
+                    left, removed, n = cut(raw, np.frombuffer(spans or b"", dtype=np.int32).reshape(-1, 2).tolist())
                     out.append((len(raw), removed, n, hashlib.sha256(left).hexdigest(), left if with_text else None))
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 4 + with_text])]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     scratch.drop("answers")
-    joined = rows.join(runs, "rid", "left").select("doc_id", "text", "runs")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    joined = rows.withColumn("id", own).join(runs, ["rid", "id"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(lean(finish), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
