@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import byte_blocks, crc_mod, lean, mix, shipped_by_value
+from quern.llm._common import byte_blocks, crc_mod, fresh, lean, mix, shipped_by_value
 
 GRAM = 4
 PROBES = 3
@@ -92,18 +92,26 @@ class BloomModel:
 
 
 def learn(labelled: DataFrame, sample_docs: int = 2000, grams_per_language: int = 12000, bits: int = 18) -> BloomModel:
-    """Learns from labelled(doc_id, text, lang). Per language the sample_docs documents of least hashed id are read as
-    a whole (the documented bound of the sample); the grams_per_language n-grams found in most of them enter the
-    filter. Rows with null text or lang teach nothing."""
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    """Learns from labelled(doc_id, text, lang). Per language the sample_docs documents of least hash of id and text are
+    read as a whole (the documented bound of the sample; repeated rows are one); the grams_per_language n-grams found in
+    most of them enter the filter. Rows with null text or lang teach nothing; every other lang value is learned."""
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), "doc_id")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}  # a row a language
     if not counts:
         return BloomModel({}, bits)
-    # Hashes are spread evenly, so those of four times the sample lie under this bound; others needn't be sorted.
-    bound = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, (4 * sample_docs + 100) / n))])
-    low = rows.where(F.shiftrightunsigned("h", 11) <= F.element_at(bound, F.col("lang")) * F.lit(float(1 << 53)))
+
+    def under(share: dict[str, float]) -> DataFrame:
+        bound = F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, v)])
+        return rows.where(F.shiftrightunsigned("h", 11) <= F.element_at(bound, F.col("lang")) * F.lit(float(1 << 53)))
+
+    # Hashes are spread evenly, so those of four times the sample lie under this bound; others needn't be sorted. Where
+    # repeated rows leave fewer than the sample under it, the whole language is sorted.
+    share = {k: min(1.0, (4 * sample_docs + 100) / n) for k, n in counts.items()}
+    if any(v < 1 for v in share.values()):
+        got = {r["lang"]: r["n"] for r in under(share).groupBy("lang").agg(F.count_distinct("h").alias("n")).toLocalIterator()}
+        share = {k: v if got.get(k, 0) >= sample_docs else 1.0 for k, v in share.items()}
     w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    chosen = low.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs).select("lang", "text")
+    chosen = under(share).dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs).select("lang", "text")
 
     def count(batches):
         for b in batches:
@@ -127,11 +135,13 @@ def learn(labelled: DataFrame, sample_docs: int = 2000, grams_per_language: int
 
 def identify(docs: DataFrame, model: BloomModel, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds pred (a learned language, or `und` for a null text, one without a letter, or without learned languages)
-    and score (0 to 1) to the rows; every other column is passed through. Ties go to the alphabetically first."""
+    and score (0 to 1) to the rows; every other column is passed through, but those of these two names are replaced. Ties go
+    to the alphabetically first. Repeated rows and rows with null ids are told like others."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.__dict__)  # bounded: 2 ** bits slots
+    docs = docs.drop(pred, score)
     names = docs.columns
-    flag = "__quern_letter"
+    (flag,) = fresh(docs, 1)
     framed = docs.withColumn(flag, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
     at, has = names.index("text"), len(names)
 
@@ -149,8 +159,6 @@ def identify(docs: DataFrame, model: BloomModel, pred: str = "lang_pred", score:
             score_ = [s if p != "und" else 0.0 for p, s in zip(pred_, score_, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:has], pa.array(pred_, pa.string()), pa.array(score_, pa.float64())], names=[*names, pred, score])
 
-
-
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return framed.mapInArrow(lean(predict), schema)
 
