@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates, short ones too, are cut out; documents that consist of nothing else go."""
-    kept = line_dedup.dedup_lines(docs, min_tokens=1, drop_empty=True).drop("__n_lines", "__n_dropped")
+    kept = line_dedup.dedup_lines(docs, min_tokens=1, drop_empty=True)
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 

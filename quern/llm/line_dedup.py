@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm._common import BLANKS, fresh, Scratch
+
 DEPTH = 8
 #: A token with a digit is a variable field.
 VARIABLE = r"[^ ]*[0-9][^ ]*"
@@ -14,107 +16,102 @@ VARIABLE = r"[^ ]*[0-9][^ ]*"
 FIELD = "<*>"
 #: Shorter lines are leaves of their own.
 SHORT = 4
+#: Id of lines without a template.
 NONE = 0
-#: Documents with a smaller share of word windows of their own are near copies.
+#: Tokens of a chunk, the unit by which texts are compared.
+CHUNK = 8
+#: Documents with a smaller share of chunks of their own are near copies.
 MIN_OWN = 0.4
-#: Word windows of a document that this is judged by.
-SKETCH = 64
-
+#: Bytes of cuts up to which they are broadcast; beyond that the join is a shuffle.
+BROADCAST_BYTES = 32 << 20
+KEY = ["t1", "t2", "t3"]
 
-def template_path(line: Column, depth: int = DEPTH, min_tokens: int = 4) -> Column:
-    """The leaf a line belongs to, as text: token count, then the leading tokens; lines of fewer than SHORT tokens are
-    leaves as they stand, variable fields included. Null for lines of fewer than min_tokens tokens or none."""
-    tokens = F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
-    def leaf(t: Column) -> Column:
-        lead = F.array_join(F.slice(t, 1, depth), " ")
-        if min_tokens < SHORT:
-            lead = F.when(F.size(t) < SHORT, F.array_join(t, " ")).otherwise(F.regexp_replace(lead, VARIABLE, FIELD))
-        else:
-            lead = F.regexp_replace(lead, VARIABLE, FIELD)
-        return F.when(F.size(t) >= max(min_tokens, 1), F.concat(F.size(t).cast("string"), F.lit(" "), lead))
+def template_path(tokens: Column, depth: int = DEPTH, min_tokens: int = SHORT) -> Column:
+    """The leaf a line of these tokens belongs to, as text: token count, then the leading tokens; lines of fewer than
+    SHORT tokens are leaves as they stand, variable fields included. Null for fewer than min_tokens tokens or none."""
+    lead = F.regexp_replace(F.array_join(F.slice(tokens, 1, depth), " "), VARIABLE, FIELD)
+    if min_tokens < SHORT:
+        lead = F.when(F.size(tokens) < SHORT, F.array_join(tokens, " ")).otherwise(lead)
+    return F.when(F.size(tokens) >= max(min_tokens, 1), F.concat(F.size(tokens).cast("string"), F.lit(" "), lead))
 
-    return F.element_at(F.transform(F.array(tokens), leaf), 1)
 
+def _parsed(text: Column, depth: int, min_tokens: int) -> Column:
+    """For every line its template's id (NONE without one) and its chunks' hashes."""
 
-def template_id(path: Column) -> Column:
-    """60 bits of the path's MD5 as a long, so that the same ids can be computed elsewhere; NONE for no path."""
-    return F.coalesce(F.conv(F.substring(F.md5(path.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(NONE).cast("long"))
+    def line(t: Column) -> Column:
+        path = template_path(t, depth, min_tokens)
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / CHUNK).cast("int")), lambda k: F.xxhash64(F.slice(t, k * CHUNK + 1, CHUNK)))
+        return F.struct(
+            F.when(path.isNull(), F.lit(NONE)).otherwise(F.xxhash64(path)).cast("long").alias("id"),
+            F.when(F.size(t) > 0, chunks).otherwise(F.array().cast("array<long>")).alias("chunks"),
+        )
 
+    tokens = lambda x: F.array_remove(F.split(x, BLANKS), "")
+    return F.transform(F.split(text, "\n"), lambda x: F.element_at(F.transform(F.array(tokens(x)), line), 1))
 
-def _templates(text: Column, depth: int, min_tokens: int) -> Column:
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.transform(lines, lambda x: template_id(template_path(x, depth, min_tokens)))
 
+def _keys(text: Column) -> list[Column]:
+    """A text's key: two hashes and its length."""
+    return [c.alias(k) for c, k in zip((F.xxhash64(text), F.hash(text), F.length(text)), KEY, strict=True)]
 
-def _sorted_templates(depth: int, min_tokens: int) -> Column:
-    return F.array_sort(F.array_remove(F.array_distinct(_templates(F.col("text"), depth, min_tokens)), F.lit(NONE).cast("long")))
 
-
-def _sketch(text: Column) -> Column:
-    """The SKETCH smallest hashes of the text's three-word windows, of the whole text if it is shorter."""
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    windows = lambda w: F.when(F.size(w) < 4, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(3)])))
-    return F.slice(F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), windows), 1))), 1, SKETCH)
+def _distinct_texts(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """One row a distinct text: its key, ids (a template a line) and its distinct chunks."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    parsed = docs.select(*_keys(text), _parsed(text, depth, min_tokens).alias("p"))
+    return parsed.select(*KEY, F.col("p.id").alias("ids"), F.array_distinct(F.flatten("p.chunks")).alias("chunks")).dropDuplicates(KEY)
 
 
-def recurring_templates(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_docs: int = 5, min_variety: float | None = None) -> DataFrame:
+def _recurring(sets: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
     """(template): the templates found in min_docs unlike documents or more, however many copies of others hold them.
 
     Documents of the same templates are one context. So are all near copies taken together, since they are the concern
-    of document-level dedup: the texts with fewer than MIN_OWN of their three-word windows in under min_docs texts,
-    judged by a sketch. With min_variety, the rule of op2's SQL is applied instead.
+    of document-level dedup: the texts of whose chunks less than MIN_OWN stand in fewer than min_docs texts. Which
+    template is dropped depends on no hash's order and on no other template.
     """
-    if min_variety is not None:
-        return _varied_templates(docs, depth, min_tokens, min_docs, min_variety)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sets = docs.select(F.xxhash64(text).alias("id"), _sorted_templates(depth, min_tokens).alias("t"), _sketch(text).alias("s")).where(F.size("t") > 0)
-    sets = sets.dropDuplicates(["id"])
-    windows = sets.select("id", F.explode("s").alias("window"))
-    common = windows.groupBy("window").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("window", F.lit(1).alias("many"))
-    own = windows.join(common, "window", "left").groupBy("id").agg(F.count_if(F.col("many").isNull()).alias("own"), F.count("*").alias("all"))
-    near = own.where(F.col("own") < F.lit(MIN_OWN) * F.col("all")).select("id", F.lit(0).cast("long").alias("near"))
-    told = sets.select("id", "t").join(near, "id", "left").select(F.coalesce("near", F.xxhash64("t")).alias("context"), F.explode("t").alias("template"))
+    chunks = sets.select(*KEY, F.explode("chunks").alias("chunk"))
+    common = chunks.groupBy("chunk").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("chunk", F.lit(1).alias("many"))
+    common = scratch.table(common, "common")
+    own = chunks.join(common, "chunk", "left").groupBy(*KEY).agg(F.count_if(F.col("many").isNull()).alias("own"), F.count("*").alias("all"))
+    near = scratch.table(own.where(F.col("own") < F.lit(MIN_OWN) * F.col("all")).select(*KEY, F.lit(0).cast("long").alias("near")), "near")
+    told = sets.join(near, KEY, "left").select(F.coalesce("near", F.xxhash64("t")).alias("context"), F.explode("t").alias("template"))
     contexts = told.distinct().groupBy("template").agg(F.count("*").alias("contexts"))
     return contexts.where(F.col("contexts") >= min_docs).select("template")
 
 
-def _varied_templates(docs: DataFrame, depth: int, min_tokens: int, min_docs: int, min_variety: float) -> DataFrame:
-    """The rule of op2's SQL: a document's context is its smallest other template, and a template recurs with at least
-    min_docs contexts that are also min_variety of its documents, copies counted."""
-    per_doc = docs.select(_sorted_templates(depth, min_tokens).alias("t"))
-    first, second = F.coalesce(F.get("t", F.lit(0)), F.lit(NONE)), F.coalesce(F.get("t", F.lit(1)), F.lit(NONE))
-    each = per_doc.select(first.alias("a"), second.alias("b"), F.explode("t").alias("template"))
-    keyed = each.select("template", F.when(F.col("template") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("context"))
-    contexts = keyed.groupBy("template", "context").agg(F.count("*").alias("n"))
-    found = contexts.groupBy("template").agg(F.count("*").alias("contexts"), F.sum("n").alias("docs"))
-    return found.where((F.col("contexts") >= min_docs) & (F.col("contexts") >= F.lit(min_variety) * F.col("docs"))).select("template")
-
-
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = 4, min_docs: int = 5, min_variety: float | None = None, drop_empty: bool = False) -> DataFrame:
-    """docs with the lines of recurring templates cut out of text, all columns kept, plus __n_lines and __n_dropped.
+def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = SHORT, min_docs: int = 5, drop_empty: bool = False, report: bool = False) -> DataFrame:
+    """docs with the lines of recurring templates cut out of text, all columns kept, whatever these are called. With
+    report, n_lines and n_dropped are added (columns of these names are replaced).
 
-    Repeated rows are treated alike; a null text stays null; lines under min_tokens tokens always stay. With drop_empty,
-    documents that lose lines and have nothing but white space left are dropped.
+    Repeated rows are treated alike and count as one; a null text stays null, an empty one empty; null ids are ids like
+    others; lines under min_tokens tokens always stay; templates of equally many contexts go or stay together; an empty
+    table stays empty. With drop_empty, documents that lose lines and have nothing but white space left are dropped.
     """
-    bad = recurring_templates(docs, depth, min_tokens, min_docs, min_variety)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    lines = keyed.select("__key", F.explode(F.array_distinct(_templates(F.col("text"), depth, min_tokens))).alias("template")).where(F.col("template") != NONE)
-    hits = lines.join(bad, "template", "left_semi").groupBy("__key").agg(F.collect_set("template").alias("__bad"))
-    marked = keyed.join(hits, "__key", "left")
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    keep = lambda x: ~F.array_contains(F.col("__bad"), template_id(template_path(x, depth, min_tokens)))
-    out = marked.withColumn("__parts", parts).withColumn("__stay", F.when(F.col("__bad").isNotNull(), F.filter("__parts", keep)))
-    out = out.withColumn("__n_lines", F.size("__parts").cast("long")).withColumn("__n_dropped", F.coalesce(F.size("__parts") - F.size("__stay"), F.lit(0)).cast("long"))
-    text = F.when(F.col("__stay").isNotNull(), F.array_join("__stay", "\n")).otherwise(F.col("text"))
-    out = out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_dropped")
-    return out.where(~((F.col("__n_dropped") > 0) & F.col("text").rlike(r"^\s*$"))) if drop_empty else out
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.table(_distinct_texts(docs, depth, min_tokens), "sets").withColumn("t", F.array_sort(F.array_remove(F.array_distinct("ids"), F.lit(NONE).cast("long"))))
+    bad = scratch.table(_recurring(sets.where(F.size("t") > 0), min_docs, scratch), "bad")
+    lines = sets.select(*KEY, F.posexplode("ids").alias("line", "template")).where(F.col("template") != NONE)
+    cuts = lines.join(bad, "template", "left_semi").groupBy(*KEY).agg(F.collect_set("line").alias("cut"))
+    cuts = scratch.table(cuts, "cuts")
+    size = cuts.select(F.coalesce(F.sum(F.size("cut") * 4 + 64), F.lit(0))).first()[0]
+    *keys, cut, parts, stay = fresh(docs, 6)
+    cuts = cuts.toDF(*keys, cut)
+    cuts = F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts
+    same = [own == F.col(k) for own, k in zip((F.xxhash64("text"), F.hash("text"), F.length("text")), keys, strict=True)]
+    names = [c for c in docs.columns if not report or c.lower() not in ("n_lines", "n_dropped")]
+    out = docs.join(cuts, same, "left").withColumn(parts, F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    out = out.withColumn(stay, F.when(F.col(cut).isNotNull(), F.filter(parts, lambda x, i: ~F.array_contains(F.col(cut), i))))
+    text = F.when(F.col(stay).isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text"))
+    if drop_empty:
+        out = out.where(F.col(stay).isNull() | ~F.array_join(stay, "\n").rlike(r"^\s*$"))
+    counts = [F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(parts) - F.size(stay), F.lit(0)).cast("long").alias("n_dropped")] if report else []
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], *counts)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_chars, kept_sha256 for every document (null text: empty), by the
-    rule of op2's SQL."""
+    """doc_id, n_lines, n_dropped, kept_chars, kept_sha256 for every document (null text: empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return dedup_lines(docs.select("doc_id", "text"), min_variety=0.2).select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256")
+    return dedup_lines(docs.select("doc_id", "text"), min_tokens=1, report=True).select(
+        "doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256")
     )

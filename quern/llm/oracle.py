@@ -29,16 +29,18 @@ c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a)
 t AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans FROM c JOIN h USING (doc_id) GROUP BY doc_id)
 SELECT h.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN t USING (doc_id)"""
 
-OP2 = f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split({TEXT}, chr(10)) AS ls FROM documents)),
+OP2 = f"""WITH u AS (SELECT text, row_number() OVER () AS u FROM (SELECT DISTINCT {TEXT} AS text FROM documents)),
+l AS (SELECT u, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT u, string_split(text, chr(10)) AS ls FROM u)),
 t AS (SELECT *, {_words("line")} AS t FROM l),
-x AS (SELECT doc_id, line, i, CASE WHEN len(t) >= 4 THEN ('0x' || substr(md5(len(t) || ' ' || regexp_replace(array_to_string(t[1:8], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')), 1, 15))::BIGINT ELSE 0 END AS id FROM t),
-d AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids FROM x WHERE id <> 0 GROUP BY doc_id),
-e AS (SELECT ids[1] AS a, coalesce(ids[2], 0) AS b, unnest(ids) AS id FROM d),
-c AS (SELECT id, CASE WHEN id = a THEN b ELSE a END AS context, count(*) AS n FROM e GROUP BY ALL),
-bad AS (SELECT id FROM c GROUP BY id HAVING count(*) >= 5 AND count(*) >= 0.2 * sum(n)),
-k AS (SELECT x.*, bad.id IS NOT NULL AS drop FROM x LEFT JOIN bad USING (id)),
-g AS (SELECT doc_id, count(*) AS n_lines, count_if(drop)::BIGINT AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '') AS kept FROM k GROUP BY doc_id)
-SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM g"""
+x AS (SELECT u, line, i, t, CASE WHEN len(t) >= 4 THEN len(t) || ' ' || regexp_replace(array_to_string(t[1:8], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') WHEN len(t) > 0 THEN len(t) || ' ' || array_to_string(t, ' ') END AS path FROM t),
+c AS (SELECT DISTINCT u, array_to_string(t[8 * k + 1:8 * k + 8], ' ') AS c FROM (SELECT u, t, unnest(range(0, (len(t) - 1) // 8 + 1)) AS k FROM t WHERE len(t) > 0)),
+n AS (SELECT u FROM (SELECT u, count(*) OVER (PARTITION BY c) AS texts FROM c) GROUP BY u HAVING count_if(texts < 5) < 0.4 * count(*)),
+d AS (SELECT u, list_sort(list(DISTINCT path)) AS ps FROM x WHERE path IS NOT NULL GROUP BY u),
+e AS (SELECT CASE WHEN n.u IS NOT NULL THEN NULL ELSE ps END AS context, unnest(ps) AS path FROM d LEFT JOIN n ON n.u = d.u),
+bad AS (SELECT path FROM (SELECT DISTINCT context, path FROM e) GROUP BY path HAVING count(*) >= 5),
+k AS (SELECT x.*, bad.path IS NOT NULL AS drop FROM x LEFT JOIN bad USING (path)),
+g AS (SELECT u, count(*) AS n_lines, count_if(drop)::BIGINT AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '') AS kept FROM k GROUP BY u)
+SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM documents JOIN u ON u.text = {TEXT.replace("text", "documents.text")} JOIN g USING (u)"""
 
 OP3 = f"""WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents), b AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS key, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),

@@ -125,9 +125,9 @@ def test_line_dedup(spark, empty, odd):
     rows = [(i, f"Unique text number {chr(97 + i)} {chr(98 + i)} of its own kind\nDownloaded {i} times on day {i * 7} by user{i} from the site\nShort line") for i in range(8)]
     rows += [(100 + i, "A copied document with a line\nand another line of the copied document") for i in range(9)]
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
-    assert all(out[i]["__n_dropped"] == 1 and out[i]["text"].split("\n")[1] == "Short line" for i in range(8))
-    assert all(out[100 + i]["__n_dropped"] == 0 for i in range(9))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, report=True).collect()}
+    assert all(out[i]["n_dropped"] == 1 and out[i]["text"].split("\n")[1] == "Short line" for i in range(8))
+    assert all(out[100 + i]["n_dropped"] == 0 for i in range(9))
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.dedup_lines(odd).count() == odd.count()
     lines = {r["doc_id"]: r["n_lines"] for r in line_dedup.line_report(odd).collect()}
     assert lines[2] == 1
@@ -146,8 +146,8 @@ def test_line_dedup_beside_copies(spark):
     line = "Subscribe to our letter for more of this"
     copy = "\n".join([*own_lines(rnd, 6), line])
     unlike = ["\n".join([*own_lines(rnd, 4), line]) for _ in range(40)]
-    out = line_dedup.dedup_lines(texts_of(spark, unlike + [copy] * 300)).collect()  # 41 contexts in 340 documents
-    assert all(r["__n_dropped"] == 1 and line not in r["text"] for r in out)
+    out = line_dedup.dedup_lines(texts_of(spark, unlike + [copy] * 300), report=True).collect()  # 41 contexts in 340 documents
+    assert all(r["n_dropped"] == 1 and line not in r["text"] for r in out)
 
 
 def test_line_dedup_passages_and_near_copies(spark):
@@ -159,7 +159,7 @@ def test_line_dedup_passages_and_near_copies(spark):
         lines = [*base, passage[0]]
         lines[k % 20] = own_lines(rnd, 1)[0]
         near.append("\n".join(lines))
-    out = {r["doc_id"]: r["__n_dropped"] for r in line_dedup.dedup_lines(texts_of(spark, unlike + near)).collect()}
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(texts_of(spark, unlike + near), report=True).collect()}
     assert [out[i] for i in range(60)] == [6] * 60 and [out[60 + k] for k in range(200)] == [1] * 200
 
 
