@@ -1,66 +1,46 @@
 """Licence scan with a positional index of rare words: the highest-IDF words of licence templates are looked up in each
 file, their template positions are intersected by relative position, and a template counts once its mandatory key
-phrases are found too. Built from DataFrame functions only."""
+phrases are found too. IDF is taken over the files themselves. Built from DataFrame functions only."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+import re
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import alnum_words
+from quern.llm._common import alnum_words, Scratch
+from quern.llm.license_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+Templates = dict[str, tuple[str, tuple[str, ...]]]
 
-#: Label -> (notice text as commonly published, mandatory key phrases).
-TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "mit-notice": ("released under the mit license", ("mit license",)),
-    "mit-text": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
-        "distribute sublicense and or sell copies of the software",
-        ("permission is hereby granted", "without restriction"),
-    ),
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    "gpl-2.0": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
-        "by the free software foundation either version 2 of the license or at your option any later version",
-        ("gnu general public license", "version 2"),
-    ),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        ("redistribution and use in source and binary forms",),
-    ),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ("with or without fee is hereby granted",),
-    ),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "cc-by-4.0": ("this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution", "4 0")),
-    "all-rights-reserved": ("all rights reserved", ("all rights reserved",)),
-}
-
-
-#: Words too common in any text to be looked up.
-COMMON = frozenset(
-    """a an the this that these such to of in on at by for from with without under as is are be was were it its and or not
-    any all either only own other person use used may can will you your we our work works version terms following do so""".split()
-)
-
-
-def positional_index(templates: dict[str, tuple[str, tuple[str, ...]]], rare: int = 8) -> dict[str, list[tuple[str, int, int]]]:
+
+def template_words(text: str) -> list[str]:
+    """The words of a template, taken like those of a file."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def document_frequencies(docs: DataFrame, templates: Templates) -> dict[str, int]:
+    """In how many files each word of the templates stands; as many rows as the templates have words."""
+    vocabulary = sorted({w for text, _ in templates.values() for w in template_words(text)})
+    if not vocabulary:
+        return {}
+    known = F.array_intersect(alnum_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
+    rows = docs.select(F.explode(known).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return {r["word"]: r["df"] for r in rows.toLocalIterator()}
+
+
+def positional_index(templates: Templates, df: dict[str, int], rare: int = 8) -> dict[str, list[tuple[str, int, int]]]:
     """word -> postings (label, position, number of indexed words of the template), over the `rare` words of highest
-    IDF of each template that aren't common in any text; ties go to the word that comes first."""
-    texts = {label: text.split() for label, (text, _) in templates.items()}
-    df = Counter(w for words in texts.values() for w in set(words))
+    IDF, so of lowest df, of each template; ties go to the word that comes first."""
     index: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
-    for label, words in texts.items():
+    for label, (text, _) in templates.items():
+        words = template_words(text)
         first = {w: i for i, w in reversed(list(enumerate(words)))}
-        chosen = sorted(set(first) - COMMON or first, key=lambda w: (-math.log(len(texts) / df[w]), first[w]))[:rare]
+        chosen = set(sorted(first, key=lambda w: (df.get(w, 0), first[w]))[:rare])
         places = [(w, i) for i, w in enumerate(words) if w in chosen]
         for w, i in places:
             index[w].append((label, i, len(places)))
@@ -79,60 +59,59 @@ def _places(words: Column, count: Column, joined: Column, phrase: str) -> Column
     return F.when((count >= len(parts)) & _contains(joined, phrase), every).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, tuple[str, ...]]] | None = None, min_share: float = 0.75, rare: int = 8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Templates | None = None, min_share: float = 0.75, rare: int = 8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, template_labels for every row of docs.
 
     A template's share is the part of its indexed words that the text has at one common offset; from min_share on, and
     with all key phrases, its label is given. score is the highest such share, or 1 where a base phrase stands. Null
-    and empty texts have no words; repeated rows are judged one by one; other columns aren't looked at.
+    and empty texts have no words; rows equal in id and text get the same result, null ids are ids like others; labels
+    of equal shares all stand; an empty table has no IDF and gives no rows; other columns aren't looked at.
     """
     templates = TEMPLATES if templates is None else templates
-    index = positional_index(templates, rare)
-    spark = docs.sparkSession
-    vocabulary = F.array(*[F.lit(w) for w in sorted(index)]) if index else F.array().cast("array<string>")
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), alnum_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    phrases = sorted({p for _, keys in templates.values() for p in keys} | set(BASE))
-    known = F.arrays_overlap(F.col("w"), F.array(*[F.lit(x) for x in sorted(set(index) | {p.split()[0] for p in BASE})]))
+    scratch = Scratch(docs.sparkSession)
+    index = positional_index(templates, document_frequencies(docs, templates), rare)
+    vocabulary = F.array(*map(F.lit, sorted(index))) if index else F.array().cast("array<string>")
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), alnum_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    known = F.arrays_overlap(F.col("w"), F.array(*map(F.lit, sorted(set(index) | {p.split()[0] for p in BASE}))))
     base = base.withColumn("joined", F.when(known, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).otherwise(F.lit("")))
     labelled = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
     places = F.concat(*[F.transform(_places(F.col("w"), F.col("n"), F.col("joined"), p), labelled(BASE[p])) for p in BASE])
-    found = F.when(
-        F.col("joined") != "",
-        F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocabulary, x["word"])),
-    )
-    keyed = F.when(F.col("joined") != "", F.array_compact(F.array(*[F.when(_contains(F.col("joined"), p), F.lit(p)) for p in phrases])))
+
+    def all_phrases(label: str) -> Column:
+        out = F.lit(True)
+        for p in templates[label][1]:
+            out = out & _contains(F.col("joined"), p)
+        return F.when(out, F.lit(label))
+
+    allowed = F.array_compact(F.array(*map(all_phrases, sorted(templates)))) if templates else F.array().cast("array<string>")
+    base = base.withColumn("places", F.when(F.col("joined") != "", places)).withColumn("allowed", F.when(F.col("joined") != "", allowed))
+    found = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocabulary, x["word"]))
     files = base.select(
         "doc_id",
-        "row",
+        "th",
         F.col("n").cast("long").alias("n_words"),
-        F.when(F.col("joined") != "", places).alias("places"),
-        keyed.alias("keys"),
-        found.alias("found"),
-    ).select(
-        "doc_id",
-        "row",
-        "n_words",
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_base"),
         F.array_min(F.transform("places", lambda x: x["at"])).cast("long").alias("first_word"),
         F.array_max(F.transform("places", lambda x: x["at"])).cast("long").alias("last_word"),
         F.coalesce(F.array_distinct(F.transform("places", lambda x: x["label"])), F.array().cast("array<string>")).alias("base"),
-        "keys",
-        F.explode_outer("found").alias("hit"),
+        "allowed",
+        F.when(F.size("allowed") > 0, found).alias("found"),
     )
-    postings = spark.createDataFrame(
-        [(w, label, at, n, list(templates[label][1])) for w, ps in index.items() for label, at, n in ps] or [("", "", 0, 1, [""])],
-        "word string, label string, pos int, n int, must array<string>",
+    files = scratch.table(files, "files")  # a few numbers a file; words only where all key phrases of a template stand
+    postings = docs.sparkSession.createDataFrame(
+        [(w, label, at, n) for w, ps in index.items() for label, at, n in ps] or [("", "", 0, 1)], "word string, label string, pos int, n int"
     )
-    own = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "keys"]
+    hits = files.where(F.size("found") > 0).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "allowed", F.explode("found").alias("hit"))
     at_offset = (
-        files.join(F.broadcast(postings), F.col("hit.word") == F.col("word"), "left")  # bounded: the templates' index
-        .groupBy("row", "label", (F.col("hit.at") - F.col("pos")).alias("offset"))
-        .agg(*[F.first(c).alias(c) for c in own[1:]], F.count_distinct("pos").alias("met"), F.first("n").alias("n"), F.first("must").alias("must"))
+        hits.join(F.broadcast(postings), F.col("hit.word") == F.col("word"))  # bounded: the templates' index
+        .where(F.expr("array_contains(allowed, label)"))
+        .groupBy("doc_id", "th", "label", (F.col("hit.at") - F.col("pos")).alias("offset"))
+        .agg((F.count("*") / F.first("n")).alias("share"))
     )
-    share = F.when(F.size(F.array_except("must", "keys")) == 0, F.col("met") / F.col("n"))
-    each = at_offset.withColumn("share", share)
-    label = F.when(F.col("share") >= min_share, F.col("label"))
-    rows = each.groupBy("row").agg(*[F.first(c).alias(c) for c in own[1:]], F.collect_set(label).alias("found"), F.max("share").alias("share"))
+    told = at_offset.groupBy("doc_id", "th").agg(F.collect_set(F.when(F.col("share") >= min_share, F.col("label"))).alias("found"), F.max("share").alias("share"))
+    told = told.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.array_sort("found").alias("labels_found"), "share")
+    rows = files.drop("found").join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    rows = rows.withColumn("labels_found", F.coalesce("labels_found", F.array().cast("array<string>")))
     return rows.select(
         "doc_id",
         "n_words",
@@ -140,7 +119,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, tuple[str, ..
         "first_word",
         "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", "found")), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union("base", "labels_found")), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-        F.array_join(F.array_sort("found"), ",").alias("template_labels"),
+        F.array_join("labels_found", ",").alias("template_labels"),
     )

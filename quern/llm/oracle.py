@@ -64,12 +64,14 @@ FROM v GROUP BY conv_id"""
 
 
 def _license_sql() -> str:
-    index = license_scan.positional_index(license_scan.TEMPLATES)
-    postings = ", ".join(f"('{w}', '{label}', {at}, {n})" for w, ps in index.items() for label, at, n in ps)
+    own = ", ".join(f"('{label}', '{w}', {i})" for label, (text, _) in license_scan.TEMPLATES.items() for i, w in enumerate(license_scan.template_words(text)))
     musts = ", ".join(f"('{label}', '{p}')" for label, (_, ps) in license_scan.TEMPLATES.items() for p in ps)
     base = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_scan.BASE.items())
     return f"""WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents), j AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
-b(phrase, label, n) AS (VALUES {base}), p(word, label, pos, n) AS (VALUES {postings}), m(label, phrase) AS (VALUES {musts}),
+b(phrase, label, n) AS (VALUES {base}), tw(label, word, pos) AS (VALUES {own}), m(label, phrase) AS (VALUES {musts}),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY word),
+rk AS (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY coalesce(df, 0), first) AS r FROM (SELECT label, word, min(pos) AS first FROM tw GROUP BY label, word) LEFT JOIN df USING (word)),
+p AS (SELECT label, word, pos, count(*) OVER (PARTITION BY label) AS n FROM tw JOIN rk USING (label, word) WHERE r <= 8),
 o AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' ') = phrase)) AS place FROM j, b WHERE contains(s, ' ' || phrase || ' ')),
 ob AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM o GROUP BY doc_id),
 t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM j),
