@@ -7,11 +7,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import WORD_SEPARATORS, alnum_words, ascii_lower
+from quern.llm._common import WORD_SEPARATORS, alnum_words, ascii_lower, fresh, Scratch
 
 WINDOW = 10
-#: Windows of the benchmark up to which its hash set is broadcast; beyond it the scan joins by shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Slots of the hash set for each window, and the most it may have in all (2 MB); each window takes two slots.
+SLOTS, MOST_BITS = 32, 24
+#: Bytes of windows, or of ids, up to which they are broadcast; beyond that the join is a shuffle.
+BROADCAST_BYTES = 32 << 20
+HITS = "array<struct<pos:int,len:int,item:string>>"
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -23,49 +26,67 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.select("item", F.array_join("x", " ").alias("key"), F.size("x").alias("len")).distinct()
 
 
-def _hash_set(windows: DataFrame, bits: int) -> str:
-    """The hash set as 64-bit words of a bit table: JSON of a list of 2 ** bits / 64 numbers. Bounded by bits."""
-    slot = F.pmod(F.xxhash64(F.split("key", " ")), F.lit(1 << bits))
-    words = windows.select(F.shiftright(slot, 6).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+def _slots(h: Column, bits: int) -> tuple[Column, Column]:
+    """The two slots of a hash."""
+    return F.pmod(h, F.lit(1 << bits)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(1 << bits)).cast("int")
+
+
+def _hash_set(windows: DataFrame, bits: int) -> Column:
+    """The hash set as a bit table: a literal list of 2 ** bits / 64 numbers. Bounded by bits."""
+    hashed = windows.select(F.explode(F.array(*_slots(F.xxhash64(F.split("key", " ")), bits))).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+    words = hashed.select(F.shiftright("slot", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     table = [0] * ((1 << bits) // 64)
     for r in words.toLocalIterator():
         table[r["i"]] = r["b"]
-    return "[" + ",".join(map(str, table)) + "]"
+    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+
+
+def _scan(docs: DataFrame, windows: DataFrame, lens: list[int], bits: int, keys: tuple[str, ...]) -> DataFrame:
+    """The key columns, n (number of words) and found array<struct<pos, len, key>>: the places whose hash is in the set."""
+    table = _hash_set(windows, bits)
+    bit = lambda s: F.call_function("shiftright", F.get(table, F.shiftright(s, 6)), F.pmod(s, F.lit(64))).bitwiseAND(F.lit(1)) == 1
+
+    def candidates(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("w") - (size - 1))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, size)))
 
+        def at(h: Column, i: Column) -> Column:
+            first, second = _slots(h, bits)
+            return F.when(bit(first) & bit(second), i + 1)
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_columns: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs, in any order: with_columns, __w_count (number of words) and __w_hits
-    array<struct<pos, len, item>>: every occurrence (pos from 1) of a benchmark window in the whole text.
+        keyed = F.transform(F.array_compact(F.transform(hashes, at)), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("len"), F.array_join(F.slice("w", i, size), " ").alias("key")))
+        return F.when(F.size("w") >= size, keyed).otherwise(F.array().cast("array<struct<pos:int,len:int,key:string>>"))
 
-    Only positions whose hash is in the broadcast set are joined with the windows, and the join compares the words
-    themselves, so a hash that two windows share can't produce a hit.
+    words = docs.select(*keys, alnum_words(F.col("text")).alias("w"))
+    return words.select(*keys, F.size("w").cast("long").alias("n"), F.concat(*[candidates(x) for x in lens]).alias("found"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, th (hash of the text), n (number of words) and hits array<struct<pos, len, item>> for every row of
+    docs(doc_id, text), in any order: every occurrence (pos from 1) of a benchmark window in the whole text.
+
+    Only places whose hash is in the broadcast set are joined with the windows, and the join compares the words
+    themselves, so a hash that two windows share can't produce a hit. A null text has no words; rows equal in id and
+    text have the same hits; null ids are ids like others; without benchmark words nothing is hit.
     """
-    windows = benchmark_windows(benchmark, window).cache()
-    stats = windows.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens")).first()  # at most `window` lengths
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.table(benchmark_windows(benchmark, window), "windows")
+    stats = windows.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens"), F.sum(F.octet_length("key") + F.octet_length("item") + 64).alias("bytes")).first()  # at most `window` lengths
     lens, n = sorted(stats["lens"]), stats["n"]
-    base = docs.select(*with_columns, F.monotonically_increasing_id().alias("__w_row"), alnum_words(F.col("text")).alias("__w"))
-    base = base.withColumn("__w_count", F.size("__w"))
-    none = "array<struct<pos:int,len:int,item:string>>"
+    keys = ("doc_id", "th")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     if not n:
-        return base.select(*with_columns, F.col("__w_count").cast("long").alias("__w_count"), F.array().cast(none).alias("__w_hits"))
-    bits = min(20, max(10, (32 * n).bit_length()))
-    table = F.from_json(F.lit(_hash_set(windows, bits)), "array<bigint>")
-
-    def candidates(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.col("__w_count") - (size - 1))
-        hashes = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.slice("__w", i, size)), F.lit(1 << bits)).cast("int"))
-        found = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.call_function("shiftright", F.get(table, F.shiftright(h, 6)), F.pmod(h, F.lit(64))).bitwiseAND(F.lit(1)) == 1, i + 1)))
-        keyed = F.transform(found, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("len"), F.array_join(F.slice("__w", i, size), " ").alias("key")))
-        return F.when(F.col("__w_count") >= size, keyed).otherwise(F.array().cast("array<struct<pos:int,len:int,key:string>>"))
-
-    columns = [*with_columns, "__w_row", "__w_count"]
-    scanned = base.select(*columns, F.concat(*[candidates(x) for x in lens]).alias("__w_found")).select(*columns, F.explode_outer("__w_found").alias("__w_at"))
-    scanned = scanned.select(*columns, F.col("__w_at.pos").alias("__w_pos"), F.col("__w_at.len").alias("__w_len"), F.col("__w_at.key").alias("__w_key"))
-    side = windows.select(F.col("key").alias("__w_key"), F.col("item").alias("__w_item"))
-    joined = scanned.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, "__w_key", "left")
-    hit = F.when(F.col("__w_item").isNotNull(), F.struct(F.col("__w_pos").alias("pos"), F.col("__w_len").alias("len"), F.col("__w_item").alias("item")))
-    firsts = [F.first(c).alias(c) for c in (*with_columns, "__w_count")]
-    return joined.groupBy("__w_row").agg(*firsts, F.collect_list(hit).alias("__w_hits")).select(*with_columns, F.col("__w_count").cast("long").alias("__w_count"), "__w_hits")
+        return docs.select(*keys, F.size(alnum_words(F.col("text"))).cast("long").alias("n"), F.array().cast(HITS).alias("hits"))
+    bits = min(MOST_BITS, max(10, (SLOTS * n).bit_length()))
+    scanned = scratch.table(_scan(docs, windows, lens, bits, keys), "scan")
+    places = scanned.where(F.size("found") > 0).select(*keys, F.explode("found").alias("x")).select(*keys, F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.key").alias("key"))
+    side = windows.select("key", "item")
+    joined = places.join(F.broadcast(side) if stats["bytes"] <= BROADCAST_BYTES else side, "key")
+    hits = joined.groupBy(*keys).agg(F.collect_set(F.struct("pos", "len", "item")).alias("hits"))
+    hits = hits.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hits")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    return scanned.join(hits, same, "left").select(*keys, "n", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
 
 
 def covered(hits: Column) -> Column:
@@ -85,47 +106,56 @@ def covered(hits: Column) -> Column:
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs; repeated rows are judged one
-    by one, a null or empty text has no words."""
-    hits = find_hits(docs.select("doc_id", "text"), benchmark, window, ("doc_id",))
-    items = F.array_sort(F.array_distinct(F.transform("__w_hits", lambda h: h["item"])))
+    by one, a null or empty text has no words, a row with a null id is judged like others."""
+    hits = find_hits(docs.select("doc_id", "text"), benchmark, window)
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
     return (
-        hits.withColumn("__w_items", items)
-        .withColumn("n_hit", covered(F.col("__w_hits")))
+        hits.withColumn("items", items)
+        .withColumn("n_hit", covered(F.col("hits")))
         .select(
             "doc_id",
-            F.col("__w_count").alias("n_words"),
+            F.col("n").alias("n_words"),
             "n_hit",
-            F.size("__w_items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("__w_items", ","), 256).alias("items_sha256"),
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"),
         )
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, max_share: float = 0.0) -> DataFrame:
-    """The rows of docs without contamination, with all their columns.
+    """The rows of docs without contamination, with all their columns, whatever these are called.
 
     mode "documents": drops those with more than max_share of their words hit. mode "spans": keeps every document and
-    cuts each run of hit words, with the separators after its words, out of the text.
+    cuts each run of hit words, with the separators after its words, out of the text. Null and empty texts stay as they
+    are, rows with null ids and repeated rows are treated like others.
     """
-    names = docs.columns
-    keyed = docs.withColumn("__w_doc", F.xxhash64("doc_id", "text"))
-    hits = find_hits(keyed.select("__w_doc", "text"), benchmark, window, ("__w_doc",)).where(F.size("__w_hits") > 0)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    id_, th, marks = fresh(docs, 3)
+    hits = find_hits(docs.select("doc_id", "text"), benchmark, window).where(F.size("hits") > 0)
     if mode == "documents":
-        bad = hits.where(covered(F.col("__w_hits")) > F.lit(max_share) * F.col("__w_count")).select("__w_doc").distinct()
-        return keyed.join(bad, "__w_doc", "left_anti").select(*[F.col(f"`{c}`") for c in names])
-    if mode != "spans":
+        hits = hits.where(covered(F.col("hits")) > F.lit(max_share) * F.col("n"))
+        extra = []
+    elif mode == "spans":
+        marked = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
+        extra = [marked.alias(marks)]
+    else:
         raise ValueError(f"unknown mode {mode}")
+    bad = hits.select(F.col("doc_id").alias(id_), F.col("th").alias(th), *extra).dropDuplicates([id_, th])
+    bad = Scratch(docs.sparkSession).table(bad, "bad")
+    size = bad.count() * 64 if not extra else bad.select(F.coalesce(F.sum(F.size(marks) * 4 + 64), F.lit(0))).first()[0]
+    bad = F.broadcast(bad) if size <= BROADCAST_BYTES else bad
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th))
+    if mode == "documents":
+        return docs.join(bad, same, "left_anti").select(*names)
     text = F.col("text")
-    marked = F.array_distinct(F.flatten(F.transform("__w_hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
-    once = hits.groupBy("__w_doc").agg(F.first("__w_hits").alias("__w_hits")).select("__w_doc", marked.alias("__w_marked"))
     # Words of the original text with what separates them: A-Z are no separators here, since they get lower-cased.
     own = WORD_SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all(text, F.lit("[^" + own[1:-2] + "]+" + own[:-1] + "*"), F.lit(0))
     lead = F.regexp_extract(text, "^" + own[:-1] + "*", 0)
-    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col("__w_marked"), i + 1)), ""))
-    kept_text = F.when(F.col("__w_marked").isNotNull(), cut).otherwise(text)
-    return keyed.join(once, "__w_doc", "left").select(*[kept_text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col(marks), i + 1)), ""))
+    kept_text = F.when(F.col(marks).isNotNull(), cut).otherwise(text)
+    return docs.join(bad, same, "left").select(*[kept_text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 __all__ = ["ascii_lower", "benchmark_windows", "contamination_report", "covered", "decontaminate", "find_hits"]
