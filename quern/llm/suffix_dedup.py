@@ -151,8 +151,8 @@ def equal_strings(order: np.ndarray, buf: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(differs)]) if len(order) else np.zeros(0, dtype=np.int64)
 
 
-def repeated(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]:
-    """(index, first, end) of the runs of strings in the blobs that also stand in a blob of a smaller document.
+def repeated(blobs: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Rows (index, first, end) of the runs of strings in the blobs that also stand in a blob of a smaller document.
 
     Equal blobs of several documents are sorted as one.
     """
@@ -163,9 +163,9 @@ def repeated(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]
     np.minimum.at(least, of, docs)
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lens = np.array([len(t) for t in texts], dtype=np.int64)
-    starts = np.cumsum(lens) - lens
+    starts, strings = np.cumsum(lens) - lens, lens - LENGTH + 1
     owner = np.repeat(np.arange(len(texts)), lens)
-    whole = np.arange(len(buf)) - starts[owner] <= lens[owner] - LENGTH
+    whole = np.arange(len(buf)) - starts[owner] < strings[owner]
     order = suffix_order(buf.astype(np.int64) + 1)
     order = order[whole[order]]
     classes = equal_strings(order, buf)
@@ -173,19 +173,19 @@ def repeated(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]
     np.minimum.at(lowest, classes, least[owner[order]])
     best = np.full(len(buf), LAST, dtype=np.int64)
     best[order] = lowest[classes]
-    out = []
-    for i, (t, d) in enumerate(zip(of.tolist(), docs.tolist(), strict=True)):
-        a = int(starts[t])
-        hit = best[a : a + int(lens[t]) - LENGTH + 1] < d
-        if hit.all():
-            out.append((i, 0, len(hit)))
-        elif hit.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-            out += [(i, int(p), int(q)) for p, q in zip(edge[::2], edge[1::2], strict=True)]
-    return out
-
-
-def repeated_in_shares(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]:
+    ends = np.stack([starts, starts + strings], axis=1).ravel()
+    low, high = np.minimum.reduceat(best, ends)[::2][of], np.maximum.reduceat(best, ends)[::2][of]
+    full = np.flatnonzero(high < docs)
+    out = [np.stack([full, np.zeros(len(full), dtype=np.int64), strings[of[full]]], axis=1)]
+    for i in np.flatnonzero((low < docs) & (high >= docs)).tolist():
+        a = int(starts[of[i]])
+        hit = best[a : a + int(strings[of[i]])] < docs[i]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+        out.append(np.stack([np.full(len(edge) // 2, i), edge[::2], edge[1::2]], axis=1))
+    return np.concatenate(out)
+
+
+def repeated_in_shares(blobs: list[bytes], docs: np.ndarray) -> np.ndarray:
     """The same for blobs of any size together. Where they come to more than four shares (then they have few keys, of
     very many documents), their strings are dealt by their own hash, and each share of strings is sorted for itself."""
     size = sum(map(len, blobs))
@@ -200,13 +200,13 @@ def repeated_in_shares(blobs: list[bytes], docs: np.ndarray) -> list[tuple[int,
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at = order[a:z]
             dealt[int(share[at[0]])].append(np.stack([np.full(len(at), i), at], axis=1))
-    out = []
+    out = [np.zeros((0, 3), dtype=np.int64)]
     for rows in dealt:
         if rows:
             at = np.concatenate(rows)
-            strings = [blobs[i][k : k + LENGTH] for i, k in at.tolist()]
-            out += [(int(at[j, 0]), int(at[j, 1]), int(at[j, 1]) + 1) for j, _, _ in repeated(strings, docs[at[:, 0]])]
-    return out
+            found = at[repeated([blobs[i][k : k + LENGTH] for i, k in at.tolist()], docs[at[:, 0]])[:, 0]]
+            out.append(np.stack([found[:, 0], found[:, 1], found[:, 1] + 1], axis=1))
+    return np.concatenate(out)
 
 
 # --- exchanges -----------------------------------------------------------------------------------
@@ -419,7 +419,7 @@ def _found(docs: DataFrame, candidates: DataFrame, hot: bytes, key_bits: int, bi
             share = sub.astype(np.int64) // (256 // shares)
             for k in np.unique(share).tolist():
                 own = np.flatnonzero(share == k)
-                runs = np.array(repeated_in_shares([blobs[i] for i in own.tolist()], doc[own]), dtype=np.int64).reshape(-1, 3)
+                runs = repeated_in_shares([blobs[i] for i in own.tolist()], doc[own])
                 at = own[runs[:, 0]]
                 known.append(np.stack([rid[at], doc[at], first[at] + runs[:, 1], first[at] + runs[:, 2]], axis=1))
         found = np.concatenate(known) if known else np.zeros((0, 4), dtype=np.int64)
