@@ -28,13 +28,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _slots(h: Column, bits: int) -> tuple[Column, Column]:
     """The two slots of a hash."""
-    return F.pmod(h, F.lit(1 << bits)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(1 << bits)).cast("int")
+    mask = F.lit((1 << bits) - 1)
+    return h.cast("int").bitwiseAND(mask), F.shiftright(h, 32).cast("int").bitwiseAND(mask)
 
 
 def _hash_set(windows: DataFrame, bits: int) -> Column:
     """The hash set as a bit table: a literal list of 2 ** bits / 64 numbers. Bounded by bits."""
     hashed = windows.select(F.explode(F.array(*_slots(F.xxhash64(F.split("key", " ")), bits))).alias("slot"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot"))  # shifts go by the lowest six bits
     words = hashed.select(F.shiftright("slot", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     table = [0] * ((1 << bits) // 64)
     for r in words.toLocalIterator():
@@ -45,7 +46,7 @@ def _hash_set(windows: DataFrame, bits: int) -> Column:
 def _scan(docs: DataFrame, windows: DataFrame, lens: list[int], bits: int, keys: tuple[str, ...]) -> DataFrame:
     """The key columns, n (number of words) and found array<struct<pos, len, key>>: the places whose hash is in the set."""
     table = _hash_set(windows, bits)
-    bit = lambda s: F.call_function("shiftright", F.get(table, F.shiftright(s, 6)), F.pmod(s, F.lit(64))).bitwiseAND(F.lit(1)) == 1
+    bit = lambda s: F.call_function("shiftright", F.get(table, F.shiftright(s, 6)), s).bitwiseAND(F.lit(1)) == 1
 
     def candidates(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.size("w") - (size - 1))

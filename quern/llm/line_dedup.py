@@ -22,8 +22,6 @@ NONE = 0
 CHUNK = 8
 #: Documents with a smaller share of chunks of their own are near copies.
 MIN_OWN = 0.4
-#: Bytes of cuts up to which they are broadcast; beyond that the join is a shuffle.
-BROADCAST_BYTES = 32 << 20
 KEY = ["t1", "t2", "t3"]
 
 
@@ -72,9 +70,9 @@ def _recurring(sets: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
     """
     chunks = sets.select(*KEY, F.explode("chunks").alias("chunk"))
     common = chunks.groupBy("chunk").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("chunk", F.lit(1).alias("many"))
-    common = scratch.table(common, "common")
+    common = scratch.table(common, "common").hint("merge")  # it grows with the input
     own = chunks.join(common, "chunk", "left").groupBy(*KEY).agg(F.count_if(F.col("many").isNull()).alias("own"), F.count("*").alias("all"))
-    near = scratch.table(own.where(F.col("own") < F.lit(MIN_OWN) * F.col("all")).select(*KEY, F.lit(0).cast("long").alias("near")), "near")
+    near = scratch.table(own.where(F.col("own") < F.lit(MIN_OWN) * F.col("all")).select(*KEY, F.lit(0).cast("long").alias("near")), "near").hint("merge")
     told = sets.join(near, KEY, "left").select(F.coalesce("near", F.xxhash64("t")).alias("context"), F.explode("t").alias("template"))
     contexts = told.distinct().groupBy("template").agg(F.count("*").alias("contexts"))
     return contexts.where(F.col("contexts") >= min_docs).select("template")
@@ -92,12 +90,9 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = SHORT, mi
     sets = scratch.table(_distinct_texts(docs, depth, min_tokens), "sets").withColumn("t", F.array_sort(F.array_remove(F.array_distinct("ids"), F.lit(NONE).cast("long"))))
     bad = scratch.table(_recurring(sets.where(F.size("t") > 0), min_docs, scratch), "bad")
     lines = sets.select(*KEY, F.posexplode("ids").alias("line", "template")).where(F.col("template") != NONE)
-    cuts = lines.join(bad, "template", "left_semi").groupBy(*KEY).agg(F.collect_set("line").alias("cut"))
-    cuts = scratch.table(cuts, "cuts")
-    size = cuts.select(F.coalesce(F.sum(F.size("cut") * 4 + 64), F.lit(0))).first()[0]
+    cuts = lines.join(bad.hint("merge"), "template", "left_semi").groupBy(*KEY).agg(F.collect_set("line").alias("cut"))
     *keys, cut, parts, stay = fresh(docs, 6)
-    cuts = cuts.toDF(*keys, cut)
-    cuts = F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts
+    cuts = scratch.table(cuts, "cuts").toDF(*keys, cut).hint("merge")
     same = [own == F.col(k) for own, k in zip((F.xxhash64("text"), F.hash("text"), F.length("text")), keys, strict=True)]
     names = [c for c in docs.columns if not report or c.lower() not in ("n_lines", "n_dropped")]
     out = docs.join(cuts, same, "left").withColumn(parts, F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
