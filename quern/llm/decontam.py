@@ -28,8 +28,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _slots(h: Column, bits: int) -> tuple[Column, Column]:
     """The two slots of a hash."""
-    mask = F.lit((1 << bits) - 1)
-    return h.cast("int").bitwiseAND(mask), F.shiftright(h, 32).cast("int").bitwiseAND(mask)
+    mask = F.lit((1 << bits) - 1).cast("long")
+    return h.bitwiseAND(mask).cast("int"), F.shiftright(h, 32).bitwiseAND(mask).cast("int")
 
 
 def _hash_set(windows: DataFrame, bits: int) -> Column:
