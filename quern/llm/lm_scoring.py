@@ -1,7 +1,8 @@
 """Scoring with an interpolated modified Kneser-Ney n-gram model that Spark counts.
 
-N-grams are counted by an exchange on their context. The counts of lower orders are continuation counts (in how many
-different n-grams one order up does this stand), passed on from task to task. Each task writes its n-grams as sorted
+N-grams are counted by an exchange on their context; those whose context is made of very frequent words are dealt one
+by one instead, and their contexts' sums are put together afterwards. The counts of lower orders are continuation counts
+(in how many different n-grams one order up does this stand), passed on from task to task. Each task writes its n-grams as sorted
 arrays of 64-bit hashes to the shared folder, and workers memory-map these files to score texts, so the model may be
 larger than any memory. Probabilities are put together when a text is scored:
 
@@ -14,11 +15,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._common import byte_blocks, crc_mod, lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes, WordHashes
@@ -26,7 +28,10 @@ from quern.llm._common import byte_blocks, crc_mod, lean, lean_group, mix, scatt
 A = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the marks before a text and after it; the latter is a token.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x5BD1E995E6546B64)
-NAMES = ("keys", "counts", "contexts", "stats")
+#: Words that may count as frequent, and the documents they are taken from; they only say how n-grams are dealt.
+FREQUENT, SAMPLE_DOCS = 1024, 4_000
+#: Arrays that a worker keeps mapped at once.
+MAPS = 192
 
 
 def token_stream(texts: list[bytes], hashes: WordHashes, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +53,19 @@ def context_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def gram_key(context: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Key of an n-gram: the first 16 bits are the context's, so keys sort by context part."""
-    return context >> np.uint64(48) << np.uint64(48) | mix(context * A + last) >> np.uint64(16)
+def is_frequent(columns: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
+    """Whether all words of a context are among the (sorted) frequent ones."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    for c in columns:
+        out &= frequent[np.minimum(np.searchsorted(frequent, c), len(frequent) - 1)] == c if len(frequent) else False
+    return out
+
+
+def gram_key(context: np.ndarray, last: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Key of an n-gram, whose first bits say where it is dealt: the first 16 are the context's, or the n-gram's own
+    where it is dealt alone."""
+    own = mix(context * A + last)
+    return np.where(alone, own, context >> np.uint64(48) << np.uint64(48) | own >> np.uint64(16))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -84,11 +99,11 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
 
-def _blocks(columns: list[np.ndarray], counts: np.ndarray, raw: np.ndarray, bits: int):
-    """Rows (part, size, first, runs, rest, counts, raw) of n-grams sorted by first token, dealt by context. The first
-    tokens are sent once for each run."""
-    context = context_hash(columns[:-1]) if len(columns) > 1 else columns[0]
-    part = (context >> np.uint64(64 - bits)).astype(np.int64)
+def _blocks(columns: list[np.ndarray], counts: np.ndarray, raw: np.ndarray, bits: int, frequent: np.ndarray):
+    """Rows (part, size, first, runs, rest, counts, raw) of n-grams sorted by first token, dealt by their keys. The
+    first tokens are sent once for each run."""
+    key = gram_key(context_hash(columns[:-1]), columns[-1], is_frequent(columns[:-1], frequent)) if len(columns) > 1 else columns[0]
+    part = (key >> np.uint64(64 - bits)).astype(np.int64)
     out = []
     for p, first, *rest in scatter(part, 1 << bits, columns[0], *columns[1:], counts, raw):
         first = np.frombuffer(first, dtype=np.uint64)
@@ -119,21 +134,48 @@ def _read_blocks(rows: list[dict], order: int) -> tuple[list[np.ndarray], np.nda
     return [np.concatenate(c) for c in columns], np.concatenate(counts), np.concatenate(raw)
 
 
+def _remote(root: str):
+    """(file system, path) of a folder that the operating system doesn't see, by pyarrow; None for one it does."""
+    if "://" not in root or root.startswith("file://"):
+        return None
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(root)
+
+
 def _local(root: str) -> str:
-    """Path of the shared folder as the operating system sees it."""
-    if "://" in root and not root.startswith("file://"):
-        raise ValueError(f"the model needs a shared folder that can be memory-mapped, not {root}")
     return root.removeprefix("file://").removeprefix("file:")
 
 
-def _save(root: str, level: int, part: int, arrays: dict[str, np.ndarray]) -> None:
+def _save(root: str, level: int, part: int | str, arrays: dict[str, np.ndarray]) -> None:
     """Written under another name first and then renamed, so that a repeated task does no harm."""
-    folder = f"{root}/level{level}"
-    os.makedirs(folder, exist_ok=True)
+    remote = _remote(root)
+    fs, base = remote or (None, _local(root))
+    folder = f"{base}/level{level}"
+    fs.create_dir(folder, recursive=True) if fs else os.makedirs(folder, exist_ok=True)
     for name, a in arrays.items():
-        temporary = f"{folder}/.{name}-{part}-{uuid.uuid4().hex}.npy"
-        np.save(temporary, a)
-        os.replace(temporary, f"{folder}/{name}-{part}.npy")
+        temporary, final = f"{folder}/.{name}-{part}-{uuid.uuid4().hex}.npy", f"{folder}/{name}-{part}.npy"
+        if fs:
+            with fs.open_output_stream(temporary) as out:
+                np.lib.format.write_array(out, a)
+            fs.move(temporary, final)
+        else:
+            np.save(temporary, a)
+            os.replace(temporary, final)
+
+
+def _load(root: str, level: int, part: int | str, name: str) -> np.ndarray | None:
+    """A saved array, memory-mapped where the operating system sees the folder, else read; None if there is none."""
+    remote = _remote(root)
+    if remote is None:
+        path = f"{_local(root)}/level{level}/{name}-{part}.npy"
+        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    fs, base = remote
+    path = f"{base}/level{level}/{name}-{part}.npy"
+    if not fs.get_file_info(path).is_file:
+        return None
+    with fs.open_input_stream(path) as f:
+        return np.lib.format.read_array(f)
 
 
 @dataclass
@@ -149,19 +191,23 @@ class Model:
     kinds: list[int]
     tokens: int
     vocabulary: int
+    frequent: bytes
 
 
 class Reader:
-    """Memory-mapped arrays of a model."""
+    """Memory-mapped arrays of a model, the MAPS last used ones."""
 
     def __init__(self, model: Model):
-        self.m, self.open = model, {}
+        self.m, self.open = model, OrderedDict()
+        self.frequent = np.frombuffer(model.frequent, dtype=np.uint64)
 
-    def array(self, level: int, part: int, name: str):
+    def array(self, level: int, part: int | str, name: str):
         key = level, part, name
         if key not in self.open:
-            path = f"{self.m.root}/level{level}/{name}-{part}.npy"
-            self.open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if len(self.open) >= MAPS:
+                self.open.popitem(last=False)
+            self.open[key] = _load(self.m.root, level, part, name)
+        self.open.move_to_end(key)
         return self.open[key]
 
     def find(self, level: int, keys: np.ndarray, by: str, value: str, fields: int) -> np.ndarray:
@@ -178,6 +224,16 @@ class Reader:
             out[a:b][good] = self.array(level, int(part[a]), value)[at[good]].reshape(-1, fields)
         return out
 
+    def contexts(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Sums of sorted distinct contexts; those of frequent words stand in arrays of their own."""
+        out = self.find(level, keys, "contexts", "stats", 4)
+        table = self.array(level, "frequent", "contexts")
+        if table is not None and len(table):
+            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+            good = table[at] == keys
+            out[good] = self.array(level, "frequent", "stats")[at[good]]
+        return out
+
 
 def discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)], 0.0)
@@ -195,11 +251,12 @@ def score_texts(texts: list[bytes], reader: Reader, hashes: WordHashes) -> list[
     total = max(m.total, 1)
     p = (discounted(found[:, 0], m.discounts[0]) / total + (weights / total if m.total else 1.0) / (m.vocabulary + 1))[inverse]
     for level in range(2, m.order + 1):
-        context = context_hash([stream[real - k] for k in range(level - 1, 0, -1)])
-        keys, at = np.unique(gram_key(context, stream[real]), return_inverse=True)
+        before = [stream[real - k] for k in range(level - 1, 0, -1)]
+        context = context_hash(before)
+        keys, at = np.unique(gram_key(context, stream[real], is_frequent(before, reader.frequent)), return_inverse=True)
         counts = reader.find(level, keys, "keys", "counts", 1)[:, 0][at]
         contexts, at = np.unique(context, return_inverse=True)
-        stats = reader.find(level, contexts, "contexts", "stats", 4)
+        stats = reader.contexts(level, contexts)
         d = m.discounts[level - 1]
         with np.errstate(divide="ignore", invalid="ignore"):
             gamma = np.where(stats[:, 0] > 0, (d[0] * stats[:, 1] + d[1] * stats[:, 2] + d[2] * stats[:, 3]) / stats[:, 0], 1.0)[at]
@@ -215,15 +272,17 @@ def score_texts(texts: list[bytes], reader: Reader, hashes: WordHashes) -> list[
 def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_tokens: int = 4_000_000) -> Model:
     """Counts the n-grams of texts(text); a null text is an empty one. No n-gram is pruned.
 
-    A task sums up task_tokens tokens before it sends their n-grams. Contexts are dealt by hash; what a context holds is
-    one entry a distinct n-gram and sending task.
+    A task sums up task_tokens tokens before it sends their n-grams. Contexts are dealt by hash, but n-grams after
+    frequent words one by one: words that would take up an eighth of a part and more, by a sample of SAMPLE_DOCS texts,
+    FREQUENT of them at most. The sample changes no count.
     """
     if order < 2:
         raise ValueError("order must be at least 2")
     spark = texts.sparkSession
     scratch = Scratch(spark)
-    root = _local(scratch.path("model"))
+    root = scratch.path("model")
     bits = max(3, min(16, (text_bytes(texts) // 5 // part_grams).bit_length()))
+    frequent = _frequent(texts, 1 / (8 << bits))
 
     def send(batches):
         hashes, parts, n = WordHashes(), [], 0
@@ -231,7 +290,7 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
         def flush():
             columns = [np.concatenate([p[k] for p in parts]) for k in range(order)]
             columns, (counts,) = _summed(columns, [np.ones(len(columns[0]), dtype=np.int64)])
-            return _blocks(columns, counts, counts, bits)
+            return _blocks(columns, counts, counts, bits, frequent)
 
         for b in batches:
             for _, block in byte_blocks(b.column(0)):
@@ -248,20 +307,50 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
     sent = texts.select("text").mapInArrow(lean(send), BLOCK)
     levels, numbers = [], {}
     for level in range(order, 0, -1):
-        merged = sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, bits)), "kinds array<long>, " + BLOCK)
+        merged = sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, bits, frequent)), "kinds array<long>, " + BLOCK)
         done = scratch.table(merged, f"level{level}")
         levels.append(level)
         sums = [F.sum(F.get("kinds", F.lit(k))).alias(f"k{k}") for k in range(8)]
         numbers[level] = [x or 0 for x in done.where("kinds is not null").agg(*sums).first()]
+        if level > 1:
+            _save_frequent(root, level, done.where("kinds is not null and first is not null").select("first", "rest"))
         sent = done.where("kinds is null").drop("kinds")
         if level < order:
             scratch.drop(f"level{level + 1}")
     scratch.drop("level1")
     low = numbers[1]
-    return Model(root, order, bits, [discounts(numbers[k][:4]) for k in range(1, order + 1)], low[5], [low[0], low[1], low[4]], low[6], low[7])
+    return Model(root, order, bits, [discounts(numbers[k][:4]) for k in range(1, order + 1)], low[5], [low[0], low[1], low[4]], low[6], low[7], frequent.tobytes())
+
+
+def _frequent(texts: DataFrame, share: float) -> np.ndarray:
+    """Sorted hashes of the words, and marks, that take up more than the share of a bounded sample's tokens."""
+
+    def count(batches):
+        hashes = WordHashes()
+        for b in batches:
+            for _, block in byte_blocks(b.column(0)):
+                stream, _ = token_stream(block, hashes, 2)
+                words, n = np.unique(stream, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    sample = texts.select("text").limit(SAMPLE_DOCS).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # the sample is bounded
+    top = sample.withColumn("total", total).where(F.col("n") > F.lit(share) * F.col("total")).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    return np.sort(np.array([r["word"] for r in top.select("word").collect()], dtype=np.int64).view(np.uint64))  # FREQUENT rows
+
+
+def _save_frequent(root: str, level: int, partial: DataFrame) -> None:
+    """Adds up what the parts say of contexts of frequent words; there are at most FREQUENT ** (level - 1)."""
+    sums: dict[int, np.ndarray] = {}
+    for r in partial.toLocalIterator():
+        own = np.frombuffer(r["rest"], dtype=np.int64).reshape(-1, 4)
+        for c, x in zip(np.frombuffer(r["first"], dtype=np.uint64).tolist(), own, strict=True):
+            sums[c] = sums[c] + x if c in sums else x
+    keys = np.array(sorted(sums), dtype=np.uint64)
+    _save(root, level, "frequent", {"contexts": keys, "stats": np.array([sums[c] for c in keys.tolist()], dtype=np.int64).reshape(-1, 4)})
 
 
-def _merger(root: str, level: int, bits: int):
+def _merger(root: str, level: int, bits: int, frequent: np.ndarray):
     """Sums up a part's n-grams, saves them, and hands on the n-grams one order down."""
 
     def merge(table: pa.Table) -> pa.Table:
@@ -272,15 +361,17 @@ def _merger(root: str, level: int, bits: int):
         if level == 1:
             _save(root, 1, part, {"keys": columns[0], "counts": np.stack([counts, raw], axis=1)})
             return _result([(kinds, *empty)])
-        context = context_hash(columns[:-1])
-        key = gram_key(context, columns[-1])
+        context, alone = context_hash(columns[:-1]), is_frequent(columns[:-1], frequent)
+        key = gram_key(context, columns[-1], alone)
         by = np.argsort(key, kind="stable")
         small = counts.max(initial=0) < 256
-        owner, stats = _context_stats(context, counts)
+        owner, stats = _context_stats(context[~alone], counts[~alone])
+        partial, sums = _context_stats(context[alone], counts[alone])
         _save(root, level, part, {"keys": key[by], "counts": counts[by].astype(np.uint8 if small else np.uint32), "contexts": owner, "stats": stats})
         lower, (continued, raw) = _summed(columns[1:], [np.ones(len(counts), dtype=np.int64), raw])
-        out = _blocks(lower, continued, raw, bits).to_pylist()
-        return _result([(kinds, *empty), *[(None, *(r[k] for k in ("part", "size", "first", "runs", "rest", "counts", "raw"))) for r in out]])
+        out = _blocks(lower, continued, raw, bits, frequent).to_pylist()
+        told = [(kinds, None, None, partial.tobytes() if len(partial) else None, None, sums.astype(np.int64).tobytes(), None, None)]
+        return _result([*told, *[(None, *(r[k] for k in ("part", "size", "first", "runs", "rest", "counts", "raw"))) for r in out]])
 
     return merge
 
