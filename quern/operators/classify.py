@@ -56,24 +56,37 @@ def tabular_pipeline(columns: list[str], symbolic: list[str], kind: str = "fores
     return Pipeline(stages=[*stages, kinds[kind]().setLabelCol("label_index").setFeaturesCol(features)])
 
 
-def cross_validated(pipeline, grid: list[dict], folds: int = 10, metric: str = "accuracy", parallelism: int = 4):
-    """A cross validator over a grid; `fold` columns are used where rows carry them."""
+def stratified_fold(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """df with fold: within each label the rows are dealt round robin in the order of the hashed key (MD5), so folds have
+    the labels' shares. Ranks are taken inside ranges of the hash, then over ranges, so a frequent label is no hot key."""
+    h = F.md5(F.col(key).cast("string").cast("binary"))
+    rows = df.withColumn("__h", h).withColumn("__r", F.substring(h, 1, 3))
+    counts = rows.groupBy(label, "__r").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(label).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4,096 ranges a label
+    offsets = counts.select(F.col(label).alias("__l"), F.col("__r").alias("__q"), before.alias("__b"))
+    at = F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", key)) - 1
+    joined = rows.join(offsets, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__q")))
+    return joined.withColumn("fold", F.pmod(F.col("__b") + at, F.lit(k)).cast("int")).drop("__h", "__r", "__l", "__q", "__b")
+
+
+def cross_validated(pipeline, grid: list[dict] | None = None, folds: int = 10, metric: str = "accuracy", parallelism: int = 4):
+    """A cross validator over a grid of parameters for rows with a `fold` column (0 .. folds - 1), as stratified_fold
+    and tabular.fold_of make it."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
 
     evaluator = MulticlassClassificationEvaluator(labelCol="label_index", metricName=metric)
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid or [{}], evaluator=evaluator, numFolds=folds, parallelism=parallelism, seed=7)
+    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid or [{}], evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=7)
 
 
 def nearest_neighbours(test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
     """(key, label): majority label of the k nearest training rows by Euclidean distance, ties to the smaller label.
-    test is a stated, small set that meets every training row."""
-    t = train.select(F.col(vector).alias("__v"), F.col(label).alias("__l"), F.col(key).alias("__k"))
-    gap = F.aggregate(F.zip_with(vector, "__v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = test.join(t, F.col(key) != F.col("__k")).select(key, "__l", gap.alias("gap"), "__k")
-    w = Window.partitionBy(key).orderBy("gap", "__k")
-    votes = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(key, "__l").agg(F.count("*").alias("n"))
-    return votes.groupBy(key).agg(F.min_by("__l", F.struct(-F.col("n"), F.col("__l"))).alias(label))
+    test is a stated set that meets every training row, in blocks."""
+    from quern.operators.similarity import nearest_by_distance
+
+    near = nearest_by_distance(train, test, key, vector, k).join(train.select(key, label), key)
+    votes = near.groupBy("query", label).agg(F.count("*").alias("n"))
+    return votes.groupBy(F.col("query").alias(key)).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -98,14 +111,39 @@ def brier(df: DataFrame, label: str, probability: Column) -> DataFrame:
     return df.agg(F.round(F.avg(gap * gap), 6).alias("brier"), F.count("*").alias("n"))
 
 
+def _running(df: DataFrame, order: str, sums: list[str], ranges: int = 1024) -> DataFrame:
+    """df(order, sums) with run_<sum>: running totals from the highest `order` down. Rows are sorted into ranges by
+    sampled bounds; totals are taken inside each range and then over ranges, so no task holds all rows."""
+    bounds = df.select(F.percentile_approx(order, [x / ranges for x in range(1, ranges)], 10 * ranges)).first()[0] or []
+    part = F.aggregate(F.array(*[F.lit(x) for x in sorted(set(bounds))]), F.lit(0), lambda a, x: a + F.when(F.col(order) < x, 1).otherwise(0)) if bounds else F.lit(0)
+    rows = df.withColumn("__p", part)
+    per = rows.groupBy("__p").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])  # a row a range
+    over = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("__p"), *[F.coalesce(F.sum(f"__t_{c}").over(over), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    inside = Window.partitionBy("__p").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(per), "__p")  # at most `ranges` rows
+    return out.select(order, *sums, *[(F.col(f"__b_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in sums])
+
+
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(score, tp, fp, tpr, fpr) at every distinct score, highest first. Rows are counted by score before running sums
-    are taken, so only distinct scores are ordered."""
+    """(score, tp, fp, tpr, fpr, precision) at every distinct score, highest first: the points of the ROC and the
+    precision-recall curve. Rows are counted by score before running sums are taken in ranges of scores."""
+    by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    run = _running(by, score, ["p", "q"]).crossJoin(F.broadcast(total))  # one row
+    tp, fp = F.col("run_p"), F.col("run_q")
+    return run.select(score, tp.alias("tp"), fp.alias("fp"), F.round(tp / F.col("all_p"), 6).alias("tpr"), F.round(fp / F.col("all_q"), 6).alias("fpr"), F.round(tp / (tp + fp), 6).alias("precision"))
+
+
+def curve_areas(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row (roc_auc, average_precision): the area under the ROC curve, ties counted half, and the mean precision at
+    the positive rows. Null where a class is missing."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    run = by.select(score, F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp")).crossJoin(F.broadcast(total))  # one row
-    return run.select(score, "tp", "fp", F.round(F.col("tp") / F.col("P"), 6).alias("tpr"), F.round(F.col("fp") / F.col("Q"), 6).alias("fpr"))
+    run = _running(by, score, ["p", "q"])
+    wins = F.col("q") * (F.col("run_p") - F.col("p") / 2)
+    gain = F.col("p") * F.col("run_p") / (F.col("run_p") + F.col("run_q"))
+    sums = run.agg(F.sum(wins).alias("w"), F.sum(gain).alias("g"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    return sums.select(F.round(F.when((F.col("all_p") > 0) & (F.col("all_q") > 0), F.col("w") / (F.col("all_p") * F.col("all_q"))), 6).alias("roc_auc"), F.round(F.when(F.col("all_p") > 0, F.col("g") / F.col("all_p")), 6).alias("average_precision"))
 
 
 def sequence_features(rows: DataFrame, guid: str, a: Column, b: Column | None, label: Column, most: int = 32) -> DataFrame:

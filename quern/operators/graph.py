@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one set, or on a local master a temporary one."""
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="quern-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    return where
+
+
 def transitive_closure(edges: DataFrame, x: str = "x", y: str = "y", rounds: int = 64) -> DataFrame:
     """(x, y): all pairs with a path. Paths double each round, so a graph of diameter d takes log2(d) rounds; cycles
-    end too. Every round is checkpointed where a checkpoint folder is set."""
-    sc = edges.sparkSession.sparkContext
+    end too. Every round is checkpointed in the folder of spark.checkpoint.dir; where none is set, on a local master
+    only, in a temporary one."""
+    checkpoint_dir(edges.sparkSession)
     reach = edges.select(F.col(x).alias("x"), F.col(y).alias("y")).distinct()
     n = -1
     for _ in range(rounds):
-        reach = reach.checkpoint() if sc.getCheckpointDir() else reach
+        reach = reach.checkpoint()
         m = reach.count()
         if m == n:
             break

@@ -25,7 +25,80 @@ def bigram_score(rows: DataFrame, key: str, words: Column, lam: float = 0.4) ->
     p = bi.join(ctx, "a").join(uni, "b").crossJoin(F.broadcast(total))  # one row
     low = (F.col("c1") + 1) / (F.col("total") + F.col("kinds") + 1)
     p = p.select("a", "b", F.log10((1 - lam) * F.col("c2") / F.col("ca") + lam * low).alias("lp"))
-    return pairs.join(p, ["a", "b"]).groupBy(key).agg(F.count("*").alias("n_words"), F.round(F.sum("lp"), 6).alias("score"))
+    return pairs.join(p, ["a", "b"]).groupBy(key).agg(F.count("*").alias("n_words"), F.lit(0).cast("long").alias("n_unknown"), F.round(F.sum("lp"), 6).alias("score"))
+
+
+def _framed(rows: DataFrame, key: list[str], words: Column, order: int) -> DataFrame:
+    """key, pos (from 1), g: the n-gram of `order` words that ends at each word or at the end mark."""
+    pad = F.array(*[F.lit("<s>")] * (order - 1))
+    w = rows.select(*key, F.concat(pad, words, F.array(F.lit("</s>"))).alias("w"))
+    at = F.transform(F.sequence(F.lit(order), F.size("w")), lambda i: F.struct((i - order + 1).alias("pos"), F.slice("w", i - order + 1, order).alias("g")))
+    return w.select(*key, F.explode(at).alias("x")).select(*key, "x.pos", "x.g")
+
+
+def kneser_ney(rows: DataFrame, words: Column, order: int = 3) -> dict[int, DataFrame]:
+    """An interpolated modified Kneser-Ney model of the texts: order -> (g, p, back), the probability of each n-gram and
+    the weight that its own continuations leave to the next lower order; 0 -> (p), the share of an unknown word.
+
+    Lower orders count in how many different n-grams one order up an n-gram stands; the three discounts of an order come
+    from its counts of counts. Every level is a handful of aggregations and joins on n-grams.
+    """
+    counts = {order: _framed(rows, [], words, order).groupBy("g").agg(F.count("*").alias("n"))}
+    for m in range(order - 1, 0, -1):
+        counts[m] = counts[m + 1].groupBy(F.slice("g", 2, m).alias("g")).agg(F.count("*").alias("n"))
+    model: dict[int, DataFrame] = {}
+    lower = None
+    for m in range(1, order + 1):
+        k = counts[m].agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+        good, y = F.least(n1, n2, n3, n4) > 0, n1 / F.greatest(n1 + 2 * n2, F.lit(1))
+        d = [F.when(good, F.least(F.greatest(i - (i + 1) * y * b / a, F.lit(0.05)), F.lit(float(i)))).otherwise(x).alias(f"d{i}") for i, a, b, x in ((1, n1, n2, 0.5), (2, n2, n3, 1.0), (3, n3, n4, 1.5))]
+        own = counts[m].crossJoin(F.broadcast(k.select(*d)))  # one row
+        own = own.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).select("g", "n", "d", F.slice("g", 1, m - 1).alias("ctx"))
+        sums = own.groupBy("ctx").agg(F.sum("n").alias("t"), F.sum("d").alias("gone"), F.count("*").alias("kinds"))
+        sums = sums.select("ctx", "t", (F.col("gone") / F.col("t")).alias("back"), "kinds")
+        if m == 1:
+            low = sums.select("t", "back", (F.col("back") / (F.col("kinds") + 1)).alias("share"))
+            model[0] = low.select(F.col("share").alias("p"))
+            level = own.crossJoin(F.broadcast(low)).select("g", ((F.col("n") - F.col("d")) / F.col("t") + F.col("share")).alias("p"))  # one row
+        else:
+            model[m - 1] = model[m - 1].join(sums.select(F.col("ctx").alias("g"), "back"), "g", "full")
+            below = lower.select(F.col("g").alias("tail"), F.col("p").alias("q"))
+            level = own.join(sums, "ctx").withColumn("tail", F.slice("g", 2, m - 1)).join(below, "tail").select("g", ((F.col("n") - F.col("d")) / F.col("t") + F.col("back") * F.col("q")).alias("p"))
+        model[m] = lower = level
+    return model
+
+
+def score_detail(rows: DataFrame, key: str, words: Column, model: dict[int, DataFrame]) -> DataFrame:
+    """(key, pos, word, matched, lp): for every word and end mark the length of the longest n-gram that the model has (0
+    for an unknown word) and log10 of its probability, backed off where the full n-gram isn't known."""
+    order = max(model)
+    at = _framed(rows, [key], words, order)
+    for m in range(1, order + 1):
+        level = model[m].select(F.col("g").alias("gm"), F.col("p").alias(f"p{m}")).where(F.col(f"p{m}").isNotNull())
+        at = at.withColumn("gm", F.slice("g", order - m + 1, m)).join(level, "gm", "left").drop("gm")
+        if m < order:
+            back = model[m].select(F.col("g").alias("gm"), F.col("back").alias(f"b{m}")).where(F.col(f"b{m}").isNotNull())
+            at = at.withColumn("gm", F.slice("g", order - m, m)).join(back, "gm", "left").drop("gm")
+    at = at.crossJoin(F.broadcast(model[0].select(F.col("p").alias("p0"))))  # one row
+    p, matched = F.coalesce("p1", "p0"), F.when(F.col("p1").isNotNull(), 1).otherwise(0)
+    for m in range(2, order + 1):
+        p = F.coalesce(F.col(f"p{m}"), F.coalesce(F.col(f"b{m - 1}"), F.lit(1.0)) * p)
+        matched = F.when(F.col(f"p{m}").isNotNull(), m).otherwise(matched)
+    return at.select(key, "pos", F.element_at("g", -1).alias("word"), matched.alias("matched"), F.log10(p).alias("lp"))
+
+
+def score_sentences(rows: DataFrame, key: str, words: Column, model: dict[int, DataFrame]) -> DataFrame:
+    """(key, n_words, n_unknown, score, perplexity): sums of the detail over each text, its end mark included."""
+    each = score_detail(rows, key, words, model).groupBy(key)
+    out = each.agg(F.count("*").alias("n_words"), F.count_if(F.col("matched") == 0).alias("n_unknown"), F.round(F.sum("lp"), 6).alias("score"))
+    return out.withColumn("perplexity", F.round(F.pow(F.lit(10.0), -F.col("score") / F.col("n_words")), 6))
+
+
+def unknown_words(rows: DataFrame, words: Column, model: dict[int, DataFrame]) -> DataFrame:
+    """(word, n): the words that the model doesn't know."""
+    known = model[1].where("p is not null").select(F.element_at("g", 1).alias("word"))
+    return rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(known, "word", "left_anti")
 
 
 def weighted_ngrams(rows: DataFrame, words: Column, weight: Column, n: int, top: int = 100) -> DataFrame:

@@ -29,18 +29,42 @@ def delete(entries: DataFrame, key: str, value: str, k=None, v=None, prefix: str
     return entries.where(~F.coalesce(bad, F.lit(False)))
 
 
-def spot_phrases(docs: DataFrame, doc: str, words: Column, phrases: DataFrame, most: int = 6) -> DataFrame:
+#: Bytes of first words up to which they are looked up in a literal set.
+FIRST_WORDS_BYTES = 1 << 20
+
+
+def spot_phrases(docs: DataFrame, doc: str, words: Column, phrases: DataFrame, most: int | None = None) -> DataFrame:
     """(doc, start, n, phrase, value): the longest table phrase at each place, from left to right, skipping what it spans.
 
-    n-grams of up to `most` words meet the phrase table in a hash join; what starts where is then settled per document by
-    a fold over its few candidates.
+    n-grams meet the phrase table in a hash join; what starts where is then settled per document by a fold over its
+    candidates. Phrases of every length the table has are matched (with `most`, up to that). Only lengths that occur
+    and, where the table's first words are few, only places that begin with one of them produce n-grams.
     """
-    base = docs.select(doc, words.alias("w"))
-    grams = base.select(doc, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct((i - 1).alias("start"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))).otherwise(F.array().cast("array<struct<start:int,n:int,phrase:string>>")))) ).alias("g")).select(doc, "g.*")
     table = phrases.select("phrase", "value").groupBy("phrase").agg(F.min("value").alias("value"))
-    hits = grams.join(table, "phrase")
-    sorted_ = hits.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "phrase", "value"))).alias("c"))
-    none = F.array().cast("array<struct<start:int,m:int,phrase:string,value:string>>")
-    take = lambda a, x: F.when(x["start"] >= a["end"], F.struct((x["start"] - x["m"]).alias("end"), F.array_append(a["found"], x).alias("found"))).otherwise(a)
-    found = F.aggregate("c", F.struct(F.lit(0).alias("end"), none.alias("found")), take, lambda a: a["found"])
-    return sorted_.select(doc, F.explode(found).alias("x")).select(doc, "x.start", (-F.col("x.m")).alias("n"), "x.phrase", "x.value")
+    table = table.withColumn("n", F.size(F.split("phrase", " ")))
+    table = table.where(F.col("n") <= most) if most else table
+    firsts = table.select(F.substring_index("phrase", " ", 1).alias("f")).distinct()
+    stats = table.agg(F.sort_array(F.collect_set("n")).alias("lens")).crossJoin(F.broadcast(firsts.agg(F.coalesce(F.sum(F.octet_length("f") + 8), F.lit(0)).alias("bytes")))).first()  # one row each
+    base = docs.select(doc, words.alias("w"))
+    if not stats["lens"]:
+        return base.select(doc, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("phrase"), F.lit("").alias("value")).where(F.lit(False))
+    at = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: i)
+    if stats["bytes"] <= FIRST_WORDS_BYTES:
+        known = [r["f"] for r in firsts.toLocalIterator()]  # at most FIRST_WORDS_BYTES
+        at = F.filter(at, lambda i: F.element_at("w", i).isin(known))
+    places = base.where(F.size("w") > 0).select(doc, "w", F.explode(at).alias("i"))
+    lens = F.array(*[F.lit(n) for n in stats["lens"]])
+    grams = F.transform(F.filter(lens, lambda n: F.col("i") + n - 1 <= F.size("w")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("i"), n), " ").alias("phrase")))
+    each = places.select(doc, (F.col("i") - 1).alias("start"), F.explode(grams).alias("g")).select(doc, "start", "g.phrase")
+    hits = each.join(table, "phrase")
+    longest = hits.groupBy(doc, "start").agg(F.max_by(F.struct("n", "phrase", "value"), "n").alias("x"))  # a later fold needs one a place
+    sorted_ = longest.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", "x"))).alias("c"))
+    # The fold keeps ends only, a number a place, so it stays linear: a place counts if no phrase before it covers it.
+    ends = F.aggregate(
+        "c",
+        F.struct(F.lit(0).alias("end"), F.lit("").alias("taken")),
+        lambda a, x: F.struct(F.when(x["start"] >= a["end"], x["start"] + x["x"]["n"]).otherwise(a["end"]).alias("end"), F.concat(a["taken"], F.when(x["start"] >= a["end"], F.lit("1")).otherwise(F.lit("0"))).alias("taken")),
+        lambda a: a["taken"],
+    )
+    kept = sorted_.withColumn("t", ends).select(doc, F.explode(F.filter("c", lambda x, i: F.substr("t", i + 1, F.lit(1)) == "1")).alias("y"))
+    return kept.select(doc, "y.start", F.col("y.x.n").alias("n"), F.col("y.x.phrase").alias("phrase"), F.col("y.x.value").alias("value"))

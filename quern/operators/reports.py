@@ -21,26 +21,27 @@ def merge_notes(lines: DataFrame, file: str = "file", number: str = "line_num",
     return grouped.select(resolve_date(F.col("raw")).alias("date"), "raw", F.array_join(F.transform("n", lambda x: x[text]), "\n").alias("notes"))
 
 
-def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text") -> DataFrame:
-    """(week, day, hours, stated, matches): hours of the `start end task` lines of each day, against a stated
-    `hours: n`. `day` lines begin with a weekday's name; a `weekly: n` line ends a week."""
+def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text", file: str = "file") -> DataFrame:
+    """(file, week, day_num, day, hours, stated, matches): hours of the `start end task` lines of each day of a sheet,
+    against a stated `hours: n`. `day` lines begin with a weekday's name; a `weekly: n` line ends a week. Sheets are
+    read side by side, each in the order of its lines."""
     day = F.regexp_extract(text, r"^(?i)\s*(mon|tue|wed|thu|fri|sat|sun)", 1)
     slot = r"^\s*([0-9]{1,2}(?::[0-9]{2})?)\s+([0-9]{1,2}(?::[0-9]{2})?)\b"
-    w = Window.partitionBy().orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy().orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     at = lines.where(~F.col(text).rlike(r"^\s*([#;]|$)"))
     at = at.withColumn("week", F.coalesce(F.sum(F.col(text).rlike("(?i)^\\s*weekly:").cast("int")).over(before), F.lit(0)))
     at = at.withColumn("d", F.sum((day != "").cast("int")).over(w)).withColumn("name", F.lower(F.nullif(day, F.lit(""))))
     at = at.withColumn("hours", F.when(F.col(text).rlike(slot), clock_hours(F.regexp_extract(text, slot, 1), F.regexp_extract(text, slot, 2))))
     at = at.withColumn("stated", F.regexp_extract(text, r"(?i)^\s*hours:\s*([0-9.]+)", 1).try_cast("double"))
-    days = at.where("d > 0").groupBy("week", "d").agg(F.first("name", ignorenulls=True).alias("day"), F.round(F.sum("hours"), 2).alias("hours"), F.max("stated").alias("stated"))
-    return days.select("week", F.col("d").alias("day_num"), "day", "hours", "stated", (F.col("stated").isNull() | (F.abs(F.col("hours") - F.col("stated")) < 0.005)).alias("matches"))
+    days = at.where("d > 0").groupBy(file, "week", "d").agg(F.first("name", ignorenulls=True).alias("day"), F.round(F.sum("hours"), 2).alias("hours"), F.max("stated").alias("stated"))
+    return days.select(file, "week", F.col("d").alias("day_num"), "day", "hours", "stated", (F.col("stated").isNull() | (F.abs(F.col("hours") - F.col("stated")) < 0.005)).alias("matches"))
 
 
-def weekly_pivot(days: DataFrame) -> DataFrame:
-    """A row a week, a column a weekday, and the total."""
+def weekly_pivot(days: DataFrame, file: str = "file") -> DataFrame:
+    """A row a sheet and week, a column a weekday, and the total."""
     names = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
-    wide = days.groupBy("week").pivot("day", names).agg(F.sum("hours"))
+    wide = days.groupBy(file, "week").pivot("day", names).agg(F.sum("hours"))
     return wide.withColumn("total", sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0)))
 
 

@@ -152,7 +152,14 @@ def is_sorted(df: DataFrame, column: str, partition: list[str], order: list[str]
 def feature_codes(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, code): values numbered from 0 in the order they are first seen."""
     first = df.groupBy(value).agg(F.min(order).alias("__at"))
-    return first.select(value, (F.row_number().over(Window.orderBy("__at")) - 1).alias("code"))
+    # Ranges of the order column are numbered one by one; a range's offset is how many values come before it.
+    bounds = sorted(set(first.select(F.percentile_approx("__at", [x / 256 for x in range(1, 256)], 4096)).first()[0] or []))
+    part = F.aggregate(F.array(*[F.lit(x) for x in bounds]), F.lit(0), lambda a, x: a + F.when(F.col("__at") > x, 1).otherwise(0)) if bounds else F.lit(0)
+    ranged = first.withColumn("__p", part)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    offsets = ranged.groupBy("__p").agg(F.count("*").alias("n")).select("__p", before.alias("__b"))
+    at = F.row_number().over(Window.partitionBy("__p").orderBy("__at", value))
+    return ranged.join(F.broadcast(offsets), "__p").select(value, (F.col("__b") + at - 1).cast("long").alias("code"))  # at most 256 rows
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -185,7 +192,7 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 
 def random_keys(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k distinct keys in a seeded order of their hashes, so that the choice doesn't depend on how rows are dealt."""
-    return df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+    return df.select(key).distinct().orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(k)
 
 
 def frequency_listing(df: DataFrame, item: str, n: int) -> DataFrame:

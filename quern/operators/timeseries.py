@@ -90,7 +90,7 @@ def feature_table(cases: DataFrame, centroids: DataFrame, key: str, label: str,
     """key and one column label_centroid for each pair: mean cross-correlation of a case's sequence with each centroid
     of the same label. centroids(label, centroid, values) is a chosen, small table."""
     c = centroids.select(F.col(label).alias("__l"), F.col("centroid"), F.col(values).alias("__v"))
-    pairs = cases.join(F.broadcast(c), F.col(label) == F.col("__l"))  # a few chosen rows
+    pairs = cases.join(c, F.col(label) == F.col("__l"))  # broadcast by the engine where its statistics say it is small
     found = correlation_features(pairs, [key, label, "centroid"], values, "__v", lag)
     return found.withColumn("f", F.concat_ws("_", label, "centroid")).groupBy(key).pivot("f", labels).agg(F.first("ccf"))
 

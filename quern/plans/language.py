@@ -56,17 +56,53 @@ def ngram_counts(spark, sf_dir):
     return M.ngram_counts(table(spark, sf_dir, "benchmark"), X.words(TEXT), 2)
 
 
+_VOCABULARY = f"w AS (SELECT item_id, unnest({WORDS}) AS word FROM benchmark)"
 _PAIRS = f"""f AS (SELECT item_id, list_concat(['<s>'], {WORDS}, ['</s>']) AS w FROM benchmark),
 p AS (SELECT item_id, w[i] AS a, w[i + 1] AS b FROM f, range(1, 10000) t(i) WHERE i < len(w)),
 u AS (SELECT b, count(*) AS c1 FROM p GROUP BY 1), x AS (SELECT a, count(*) AS ca FROM p GROUP BY 1), y AS (SELECT a, b, count(*) AS c2 FROM p GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_PAIRS}, l AS (SELECT a, b, log10(0.6 * c2 / ca + 0.4 * ((c1 + 1) / ((SELECT sum(c1) FROM u) + (SELECT count(*) FROM u) + 1))) AS lp FROM y JOIN x USING (a) JOIN u USING (b))
-SELECT item_id, count(*) AS n_words, round(sum(lp), 6) AS score FROM p JOIN l USING (a, b) GROUP BY 1""")
+SELECT item_id, count(*) AS n_words, 0::BIGINT AS n_unknown, round(sum(lp), 6) AS score FROM p JOIN l USING (a, b) GROUP BY 1""")
 def bigram_lm_score(spark, sf_dir):
     return M.bigram_score(table(spark, sf_dir, "benchmark"), "item_id", X.words(TEXT))
 
 
+_TRI = f"""f AS (SELECT item_id, list_concat(['<s>', '<s>'], {WORDS}, ['</s>']) AS w FROM benchmark),
+p AS (SELECT item_id, i - 2 AS pos, w[i - 2] AS a, w[i - 1] AS b, w[i] AS c FROM f, range(3, 100000) t(i) WHERE i <= len(w)),
+c3 AS (SELECT a, b, c, count(*) AS n FROM p GROUP BY ALL), c2 AS (SELECT b, c, count(*) AS n FROM c3 GROUP BY ALL), c1 AS (SELECT c, count(*) AS n FROM c2 GROUP BY ALL),
+k AS (SELECT 3 AS o, n FROM c3 UNION ALL SELECT 2, n FROM c2 UNION ALL SELECT 1, n FROM c1),
+m AS (SELECT o, count_if(n = 1) AS n1, count_if(n = 2) AS n2, count_if(n = 3) AS n3, count_if(n = 4) AS n4 FROM k GROUP BY o),
+y AS (SELECT o, n1, n2, n3, n4, least(n1, n2, n3, n4) > 0 AS good, n1 / greatest(n1 + 2 * n2, 1) AS y FROM m),
+z AS (SELECT o, CASE WHEN good THEN least(greatest(1 - 2 * y * n2 / n1, 0.05), 1) ELSE 0.5 END AS d1, CASE WHEN good THEN least(greatest(2 - 3 * y * n3 / n2, 0.05), 2) ELSE 1.0 END AS d2, CASE WHEN good THEN least(greatest(3 - 4 * y * n4 / n3, 0.05), 3) ELSE 1.5 END AS d3 FROM y),
+e3 AS (SELECT a, b, sum(n)::BIGINT AS t, sum(CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) AS g FROM c3, z WHERE o = 3 GROUP BY 1, 2), e2 AS (SELECT b, sum(n)::BIGINT AS t, sum(CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) AS g FROM c2, z WHERE o = 2 GROUP BY 1),
+e1 AS (SELECT sum(n)::BIGINT AS t, sum(CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) AS g, count(*) AS v FROM c1, z WHERE o = 1),
+q1 AS (SELECT c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / t + g / t / (v + 1) AS p FROM c1, z, e1 WHERE o = 1),
+q2 AS (SELECT b, c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / t + g / t * q1.p AS p FROM c2 JOIN e2 USING (b) JOIN q1 USING (c), z WHERE o = 2),
+q3 AS (SELECT a, b, c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / t + g / t * q2.p AS p FROM c3 JOIN e3 USING (a, b) JOIN q2 USING (b, c), z WHERE o = 3)"""
+
+
+@query(f"WITH {_TRI} SELECT item_id, count(*) AS n_words, 0::BIGINT AS n_unknown, round(sum(log10(p)), 6) AS score FROM p JOIN q3 USING (a, b, c) GROUP BY 1")
+def trigram_lm_score(spark, sf_dir):
+    """Order-3 interpolated modified Kneser-Ney, trained on and applied to the same texts, so no word is unknown."""
+    rows = table(spark, sf_dir, "benchmark")
+    return M.score_sentences(rows, "item_id", X.words(TEXT), M.kneser_ney(rows, X.words(TEXT), 3)).select("item_id", "n_words", "n_unknown", "score")
+
+
+@query(f"WITH {_TRI} SELECT item_id, pos::BIGINT AS pos, c AS word, 3::BIGINT AS matched, round(log10(p), 6) AS lp FROM p JOIN q3 USING (a, b, c)")
+def trigram_lm_detail(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark")
+    return M.score_detail(rows, "item_id", X.words(TEXT), M.kneser_ney(rows, X.words(TEXT), 3)).select("item_id", F.col("pos").cast("long").alias("pos"), "word", F.col("matched").cast("long").alias("matched"), F.round("lp", 6).alias("lp"))
+
+
+@query(f"""WITH {_VOCABULARY} SELECT word, count(*) AS n FROM w WHERE item_id % 5 = 0 AND word NOT IN (SELECT word FROM w WHERE item_id % 5 <> 0) GROUP BY 1""")
+def lm_unknown_words(spark, sf_dir):
+    """The words of the test fold that a model of the other folds doesn't know."""
+    rows = table(spark, sf_dir, "benchmark")
+    model = M.kneser_ney(rows.where("item_id % 5 <> 0"), X.words(TEXT), 3)
+    return M.unknown_words(rows.where("item_id % 5 = 0"), X.words(TEXT), model)
+
+
 @query(f"""WITH w AS (SELECT item_id, {WORDS} AS w FROM benchmark), g AS (SELECT item_id % 7 + 1 AS wt, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM w)
 SELECT ngram, round(sum(wt)::DOUBLE, 4) AS weight FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""")
 def weighted_ngrams(spark, sf_dir):
@@ -121,11 +157,23 @@ def brier_score(spark, sf_dir):
 
 @query(f"""WITH {_SCORED}, g AS (SELECT score, sum(quality)::BIGINT AS p, sum(1 - quality)::BIGINT AS q FROM s GROUP BY 1),
 r AS (SELECT score, (sum(p) OVER w)::BIGINT AS tp, (sum(q) OVER w)::BIGINT AS fp FROM g WINDOW w AS (ORDER BY score DESC))
-SELECT score, tp, fp, round(tp / (SELECT sum(p) FROM g), 6) AS tpr, round(fp / (SELECT sum(q) FROM g), 6) AS fpr FROM r""")
+SELECT score, tp, fp, round(tp / (SELECT sum(p) FROM g), 6) AS tpr, round(fp / (SELECT sum(q) FROM g), 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM r""")
 def roc_points(spark, sf_dir):
     return classify.roc_points(_scored(spark, sf_dir), "quality", "score")
 
 
+@query(f"""WITH {_SCORED}, g AS (SELECT score, sum(quality)::BIGINT AS p, sum(1 - quality)::BIGINT AS q FROM s GROUP BY 1),
+r AS (SELECT p, q, (sum(p) OVER w)::BIGINT AS tp, (sum(q) OVER w)::BIGINT AS fp FROM g WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(q * (tp - p / 2)) / (sum(p) * sum(q)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM r""")
+def curve_areas(spark, sf_dir):
+    return classify.curve_areas(_scored(spark, sf_dir), "quality", "score")
+
+
+@query("""SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) - 1) % 3)::INTEGER AS fold FROM documents""")
+def stratified_folds(spark, sf_dir):
+    return classify.stratified_fold(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 3)
+
+
 @query(f"""WITH p AS (SELECT item_id AS guid, {WORDS} AS w FROM benchmark), q AS (SELECT guid, (guid % 3)::VARCHAR AS label, w[1:20] AS a, w[21:40] AS b FROM p),
 c AS (SELECT *, 32 - CASE WHEN len(b) > 0 THEN 3 ELSE 2 END AS room FROM q),
 k AS (SELECT *, CASE WHEN len(a) + len(b) <= room THEN len(a) WHEN len(b) <= room // 2 THEN room - len(b) WHEN len(a) <= room - room // 2 THEN len(a) ELSE room - room // 2 END AS ka FROM c),
@@ -149,7 +197,10 @@ def text_classifier_nb(spark, sf_dir):
     return model.transform(docs.where("fold = 4")).select("doc_id", "label", F.col("prediction").alias("predicted"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT q.vec_id, t.vec_id AS other, t.label, list_sum(list_transform(list_zip(q.v, t.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS gap FROM v AS q JOIN v AS t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0),
+n AS (SELECT vec_id, label, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap, other) AS r FROM p) WHERE r <= 5 GROUP BY 1, 2)
+SELECT vec_id, label AS l FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM n) WHERE r = 1""")
 def knn_classifier(spark, sf_dir):
     """Vectors whose id 50 divides, by the labels of their five nearest neighbours."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("label").alias("l"))

@@ -214,7 +214,7 @@ def embedding_topk(spark, sf_dir):
 
 @query()
 def lsa_topics(spark, sf_dir):
-    return similarity.topics(table(spark, sf_dir, "benchmark"), "item_id", TEXT, 2, 2000, 2)
+    return similarity.topics(table(spark, sf_dir, "benchmark"), "item_id", TEXT, 2, 1 << 18, 2)
 
 
 # --- lookups --------------------------------------------------------------------------------------
@@ -241,12 +241,17 @@ def trie_delete(spark, sf_dir):
     return lookup.delete(table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), "n_name", "n_regionkey", v=1, prefix="N")
 
 
-@query()
+@query(f"""WITH RECURSIVE i AS (SELECT item_id, {WORDS} AS w FROM benchmark), b AS (SELECT DISTINCT min(item_id::VARCHAR) OVER (PARTITION BY phrase) AS value, phrase FROM (SELECT item_id, array_to_string(w[a:a + n - 1], ' ') AS phrase FROM i, range(1, 100000) r(a), range(2, 5) t(n) WHERE a + n - 1 <= len(w))),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS a FROM d),
+g AS (SELECT doc_id, (a - 1)::INTEGER AS start, n::INTEGER AS n, array_to_string(w[a:a + n - 1], ' ') AS phrase FROM p, range(2, 5) t(n) WHERE a + n - 1 <= len(w)),
+h AS (SELECT doc_id, start, max(g.n) AS n, arg_max(phrase, g.n) AS phrase, arg_max(value, g.n) AS value FROM g JOIN b USING (phrase) GROUP BY 1, 2),
+r AS (SELECT doc_id, min(start) AS start FROM h GROUP BY 1 UNION ALL SELECT doc_id, nxt FROM (SELECT r.doc_id, (SELECT min(x.start) FROM h AS x WHERE x.doc_id = r.doc_id AND x.start >= r.start + y.n) AS nxt FROM r JOIN h AS y ON y.doc_id = r.doc_id AND y.start = r.start) WHERE nxt IS NOT NULL)
+SELECT doc_id, start, n, phrase, value FROM h JOIN r USING (doc_id, start)""")
 def phrase_spotting(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     grams = items.select("item_id", F.explode(ngrams(words(TEXT), 2, 4)).alias("phrase"))
     phrases = grams.select("phrase", F.col("item_id").cast("string").alias("value"))
-    return lookup.spot_phrases(docs, "doc_id", words(TEXT), phrases, 4)
+    return lookup.spot_phrases(docs, "doc_id", words(TEXT), phrases)
 
 
 _VOCAB = f"WITH {TF}, {DF}, b AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark)"

@@ -285,24 +285,33 @@ def merge_notes(spark, sf_dir):
 
 
 def _sheet(spark, sf_dir):
-    """A time sheet out of order lines: a day for each order, a slot for each line, weeks of five days."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") + 7).alias("h"), F.col("l_partkey").alias("p"))
+    """Time sheets out of all order lines: a sheet a customer segment (o_custkey % 50), a day an order, a slot a line, a
+    stated sum after it, a weekly line after orders that 7 divides."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).cast("string").alias("file"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey").join(o, "k")
     names = F.array(*map(F.lit, ("Mon", "Tue", "Wed", "Thu", "Fri")))
-    days = li.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("i"), F.lit(0).cast("long").alias("p"), F.get(names, (F.col("l_orderkey") % 5).cast("int")).alias("text"))
-    slots = li.select("l_orderkey", F.col("l_linenumber").alias("i"), "p", F.concat(F.col("h").cast("string"), F.lit(":00 "), F.col("h").cast("string"), F.lit(":30 task")).alias("text"))
-    rows = days.unionByName(slots)
-    return rows.withColumn("line_num", F.row_number().over(Window.orderBy("l_orderkey", "i", "p")))
+    hour = (F.col("l_linenumber") + 7).cast("string")
+    day = li.select("file", "k").distinct().select("file", "k", F.lit(0).alias("i"), F.lit(0).cast("long").alias("p"), F.get(names, (F.col("k") % 5).cast("int")).alias("text"))
+    slots = li.select("file", "k", F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), F.concat(hour, F.lit(":00 "), hour, F.lit(":30 task")).alias("text"))
+    stated = li.groupBy("file", "k").agg(F.max("l_linenumber").alias("n")).select("file", "k", F.lit(100).alias("i"), F.lit(0).cast("long").alias("p"), F.concat(F.lit("hours: "), (F.col("n") / 2).cast("string")).alias("text"))
+    weekly = li.where("k % 7 = 0").select("file", "k").distinct().select("file", "k", F.lit(101).alias("i"), F.lit(0).cast("long").alias("p"), F.lit("weekly: x").alias("text"))
+    rows = day.unionByName(slots).unionByName(stated).unionByName(weekly)
+    return rows.withColumn("line_num", F.row_number().over(Window.partitionBy("file").orderBy("k", "i", "p")))
 
 
-@query("""SELECT 0 AS week, row_number() OVER (ORDER BY l_orderkey) AS day_num, ['mon', 'tue', 'wed', 'thu', 'fri'][l_orderkey % 5 + 1] AS day, round(count(*) * 0.5, 2) AS hours
-FROM lineitem WHERE l_orderkey <= 200 GROUP BY l_orderkey""")
+_SHEET = """WITH s AS (SELECT (o_custkey % 50)::VARCHAR AS file, l_orderkey AS k, round(count(*) * 0.5, 2) AS hours, round(max(l_linenumber) / 2, 6) AS stated FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+d AS (SELECT file, coalesce(sum((k % 7 = 0)::INTEGER) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS week, row_number() OVER (PARTITION BY file ORDER BY k) AS day_num,
+['mon', 'tue', 'wed', 'thu', 'fri'][k % 5 + 1] AS day, hours, stated, abs(hours - stated) < 0.005 AS matches FROM s)"""
+
+
+@query(f"{_SHEET} SELECT file, week, day_num, day, hours, stated, matches FROM d")
 def timesheet_rollup(spark, sf_dir):
-    return reports.timesheet(_sheet(spark, sf_dir)).select("week", "day_num", "day", "hours")
+    return reports.timesheet(_sheet(spark, sf_dir)).select("file", F.col("week").cast("long").alias("week"), "day_num", "day", "hours", "stated", "matches")
 
 
-@query("""SELECT 0 AS week, sum(CASE WHEN l_orderkey % 5 = 0 THEN 0.5 END)::DOUBLE AS mon, sum(CASE WHEN l_orderkey % 5 = 1 THEN 0.5 END)::DOUBLE AS tue, sum(0.5)::DOUBLE AS total FROM lineitem WHERE l_orderkey <= 200""")
+@query(f"""{_SHEET} SELECT file, week, sum(hours) FILTER (day = 'mon') AS mon, sum(hours) FILTER (day = 'tue') AS tue, sum(hours) FILTER (day = 'fri') AS fri, sum(hours) AS total FROM d GROUP BY 1, 2""")
 def timesheet_weeks(spark, sf_dir):
-    return reports.weekly_pivot(reports.timesheet(_sheet(spark, sf_dir))).select("week", "mon", "tue", "total")
+    return reports.weekly_pivot(reports.timesheet(_sheet(spark, sf_dir))).select("file", F.col("week").cast("long").alias("week"), "mon", "tue", "fri", "total")
 
 
 _TRIPLES = "t AS (SELECT DISTINCT 'c' || o_custkey AS subj, o_orderpriority AS rel, 'o' || o_orderkey AS obj FROM orders)"
@@ -337,7 +346,7 @@ def numeric_summary(spark, sf_dir):
     return T.summary(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
-@query()
+@query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('42' || user_id::VARCHAR), user_id LIMIT 5")
 def random_centroids(spark, sf_dir):
     return T.random_keys(table(spark, sf_dir, "events"), "user_id", 5, 42)
 

@@ -83,7 +83,7 @@ def multimap(lines: DataFrame, delim: str = "\t") -> DataFrame:
     """(key, values) in line order of lines with a key and at least one value."""
     lines = lines if "line_num" in lines.columns else numbered(lines)
     f = fields(F.col("value"), delim)
-    rows = lines.where(F.size(f) > 1).select(F.get(f, F.lit(0)).alias("key"), "line_num", F.expr(f"slice(split(value, '\\\\Q{delim}\\\\E', -1), 2, 1000000)").alias("v"))
+    rows = lines.where(F.size(f) > 1).select(F.get(f, F.lit(0)).alias("key"), "line_num", F.slice(f, F.lit(2), F.size(f) - 1).alias("v"))
     return rows.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "v"))), lambda x: x["v"])).alias("values"))
 
 
