@@ -37,11 +37,11 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     N-grams are 4 folded bytes as one integer; those with two blanks in a row are left out.
     """
     table = _fold_table()
-    buf = np.frombuffer(b"\n".join([b"", *texts, b"   "]), dtype=np.uint8)
+    buf = np.frombuffer(b"\n" + b"\n\n".join(texts) + b"\n   ", dtype=np.uint8)  # no n-gram spans two texts
     folded = table[buf].astype(np.uint32)
     n = len(folded) - GRAM + 1
     grams = folded[:n] << 24 | folded[1 : n + 1] << 16 | folded[2 : n + 2] << 8 | folded[3 : n + 3]
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     owner = np.concatenate([owner, np.full(max(0, n - len(owner)), max(len(texts) - 1, 0))])[:n]
     blank = folded == 32
     good = ~((blank[:n] & blank[1 : n + 1]) | (blank[1 : n + 1] & blank[2 : n + 2]) | (blank[2 : n + 2] & blank[3 : n + 3]))
