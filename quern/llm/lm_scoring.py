@@ -13,7 +13,10 @@ with the three discounts of each order estimated from its counts of counts, down
 
 from __future__ import annotations
 
+import io
+import mmap
 import os
+import sys
 import uuid
 from collections import OrderedDict
 from dataclasses import dataclass
@@ -30,8 +33,8 @@ A = np.uint64(0x9E3779B97F4A7C15)
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x5BD1E995E6546B64)
 #: Words that may count as frequent, and the documents they are taken from; they only say how n-grams are dealt.
 FREQUENT, SAMPLE_DOCS = 1024, 4_000
-#: Arrays that a worker keeps mapped at once.
-MAPS = 192
+#: Files that a worker keeps mapped at once. Maps hold no descriptors where the language allows that.
+MAPS = 16_384 if sys.version_info >= (3, 13) else 512
 
 
 def token_stream(texts: list[bytes], hashes: WordHashes, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,35 +150,52 @@ def _local(root: str) -> str:
     return root.removeprefix("file://").removeprefix("file:")
 
 
+def _names(level: int, part: int | str) -> tuple[str, ...]:
+    """The arrays in a file, in order."""
+    return ("counts", "keys") if level == 1 else ("contexts", "stats") if part == "frequent" else ("contexts", "counts", "keys", "stats")
+
+
 def _save(root: str, level: int, part: int | str, arrays: dict[str, np.ndarray]) -> None:
-    """Written under another name first and then renamed, so that a repeated task does no harm."""
+    """The arrays in one file, written under another name first and then renamed, so that a repeated task does no harm."""
     remote = _remote(root)
     fs, base = remote or (None, _local(root))
     folder = f"{base}/level{level}"
+    temporary, final = f"{folder}/.{part}-{uuid.uuid4().hex}", f"{folder}/{part}"
     fs.create_dir(folder, recursive=True) if fs else os.makedirs(folder, exist_ok=True)
-    for name, a in arrays.items():
-        temporary, final = f"{folder}/.{name}-{part}-{uuid.uuid4().hex}.npy", f"{folder}/{name}-{part}.npy"
-        if fs:
-            with fs.open_output_stream(temporary) as out:
-                np.lib.format.write_array(out, a)
-            fs.move(temporary, final)
-        else:
-            np.save(temporary, a)
-            os.replace(temporary, final)
-
-
-def _load(root: str, level: int, part: int | str, name: str) -> np.ndarray | None:
-    """A saved array, memory-mapped where the operating system sees the folder, else read; None if there is none."""
+    with fs.open_output_stream(temporary) if fs else open(temporary, "wb") as out:
+        for name in _names(level, part):
+            out.write(b"\0" * (-out.tell() % 64))
+            np.lib.format.write_array(out, np.ascontiguousarray(arrays[name]))
+    fs.move(temporary, final) if fs else os.replace(temporary, final)
+
+
+def _load(root: str, level: int, part: int | str) -> dict[str, np.ndarray] | None:
+    """The saved arrays, memory-mapped where the operating system sees the folder, else read; None if there are none."""
     remote = _remote(root)
     if remote is None:
-        path = f"{_local(root)}/level{level}/{name}-{part}.npy"
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
-    fs, base = remote
-    path = f"{base}/level{level}/{name}-{part}.npy"
-    if not fs.get_file_info(path).is_file:
-        return None
-    with fs.open_input_stream(path) as f:
-        return np.lib.format.read_array(f)
+        path = f"{_local(root)}/level{level}/{part}"
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+        stream = data
+    else:
+        fs, base = remote
+        path = f"{base}/level{level}/{part}"
+        if not fs.get_file_info(path).is_file:
+            return None
+        with fs.open_input_stream(path) as f:
+            data = f.read()
+        stream = io.BytesIO(data)
+    out = {}
+    for name in _names(level, part):
+        stream.seek(-stream.tell() % 64, 1)
+        np.lib.format.read_magic(stream)
+        shape, _, dtype = np.lib.format.read_array_header_1_0(stream)
+        n = int(np.prod(shape))
+        out[name] = np.frombuffer(data, dtype, n, stream.tell()).reshape(shape)
+        stream.seek(n * dtype.itemsize, 1)
+    return out
 
 
 @dataclass
@@ -202,13 +222,13 @@ class Reader:
         self.frequent = np.frombuffer(model.frequent, dtype=np.uint64)
 
     def array(self, level: int, part: int | str, name: str):
-        key = level, part, name
+        key = level, part
         if key not in self.open:
             if len(self.open) >= MAPS:
                 self.open.popitem(last=False)
-            self.open[key] = _load(self.m.root, level, part, name)
+            self.open[key] = _load(self.m.root, level, part)
         self.open.move_to_end(key)
-        return self.open[key]
+        return self.open[key][name] if self.open[key] else None
 
     def find(self, level: int, keys: np.ndarray, by: str, value: str, fields: int) -> np.ndarray:
         """Values (rows of `fields` numbers) of sorted distinct keys; 0 where a key is unknown."""
@@ -273,7 +293,7 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
     """Counts the n-grams of texts(text); a null text is an empty one. No n-gram is pruned.
 
     A task sums up task_tokens tokens before it sends their n-grams. Contexts are dealt by hash, but n-grams after
-    frequent words one by one: words that would take up an eighth of a part and more, by a sample of SAMPLE_DOCS texts,
+    frequent words one by one: words that would take up an eighth of a part and more, by a sample of about SAMPLE_DOCS texts,
     FREQUENT of them at most. The sample changes no count.
     """
     if order < 2:
@@ -333,7 +353,7 @@ def _frequent(texts: DataFrame, share: float) -> np.ndarray:
                 words, n = np.unique(stream, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    sample = texts.select("text").limit(SAMPLE_DOCS).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sample = texts.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, texts.count())), seed=17).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # the sample is bounded
     top = sample.withColumn("total", total).where(F.col("n") > F.lit(share) * F.col("total")).orderBy(F.desc("n"), "word").limit(FREQUENT)
     return np.sort(np.array([r["word"] for r in top.select("word").collect()], dtype=np.int64).view(np.uint64))  # FREQUENT rows
@@ -408,7 +428,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         reader, hashes = Reader(m), WordHashes()
         for b in batches:
             out = []
-            for _, block in byte_blocks(b.column(2)):
+            for _, block in byte_blocks(b.column(2), 1 << 21):
                 out += score_texts(block, reader, hashes)
             n = pa.array([x[0] for x in out], pa.int64())
             perplexity = pa.array([10 ** min(-x[3] / x[0], 300) for x in out], pa.float64())
