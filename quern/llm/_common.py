@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import sys
 import tempfile
@@ -26,20 +27,27 @@ def shipped_by_value(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, on a local master only, a temporary
+    one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="quern-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 class Scratch:
-    """Written tables in the shared folder; they cut lineage and survive lost executors."""
+    """Written tables in the shared folder; they cut lineage and survive lost executors. The folder goes when the
+    driver ends: results read from it until then."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+        if not SCRATCH:
+            atexit.register(_remove_all)
+        SCRATCH.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -51,8 +59,8 @@ class Scratch:
         self.collect_shuffles()
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm, where = self.spark._jvm, self.path(name)
+    def drop(self, name: str = "") -> None:
+        jvm, where = self.spark._jvm, self.path(name) if name else self.root
         path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -69,6 +77,18 @@ def fresh(df: DataFrame, n: int) -> list[str]:
     return [next(x for x in (f"__q{k}{'_' * j}" for j in range(len(taken) + 1)) if x not in taken) for k in range(n)]
 
 
+#: Folders to be removed at the end.
+SCRATCH: list[Scratch] = []
+
+
+def _remove_all() -> None:
+    for x in SCRATCH:
+        try:
+            x.drop()
+        except Exception:  # noqa: BLE001  the session may have ended already
+            return
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() would change other letters too; it is used where the text is all ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -44,7 +44,7 @@ class Template:
 
 
 def _machine(template: Template, roles: Column) -> Column:
-    """Runs the machine: struct(state, violations, first_violation). After a role that the state doesn't allow, the
+    """Runs the machine: struct(state, violations). After a role that the state doesn't allow, the
     machine goes on from where that role leads in any state, so one fault counts once."""
     anywhere = {role: to for moves in template.machine.values() for role, to in moves.items()}
 

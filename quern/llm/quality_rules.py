@@ -3,10 +3,9 @@ loses too much of its text with them is rejected."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from quern.llm._common import lean, shipped_by_value
@@ -14,18 +13,30 @@ from quern.llm._common import lean, shipped_by_value
 BLANK = " \t\n\x0b\x0c\r"
 #: Symbols that are counted.
 SYMBOLS = "#*$%&|<>"
-#: A line of navigation: separators between short labels.
-NAVIGATION = r"(?i)^[\x00-\x40\x5B-\x60\x7B-\x7F]*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content)([^A-Za-z.!?][^.!?]*)?$"
+#: A line of navigation: a label of a menu in one of the languages, alone or beside other labels.
+NAVIGATION = (
+    r"(?i)^[\x00-\x40\x5B-\x60\x7B-\x7F]*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content"
+    r"|startseite|menü|anmelden|abmelden|registrieren|suche|weiter|zurück|nach oben|zum inhalt"
+    r"|accueil|connexion|se connecter|s'inscrire|rechercher|suivant|précédent|haut de page|aller au contenu"
+    r"|inicio|menú|iniciar sesión|registrarse|buscar|siguiente|anterior|volver arriba|ir al contenido)([^\pL.!?][^.!?]*)?$"
+)
 #: What stands between the labels of a menu.
 SEPARATORS = "|»›·•"
-#: Phrases of boilerplate.
-BOILERPLATE = r"(?i)cookie|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe|newsletter|javascript|lorem ipsum|share (this|on)|read more"
+#: Phrases of boilerplate in the languages; a word alone, like the one for a biscuit, is none.
+BOILERPLATE = (
+    r"(?i)(we|site|website|page) uses? cookies|accept (all )?cookies|cookie (policy|settings|notice|preferences)|privacy policy|terms of (use|service)|all rights reserved"
+    r"|click here|subscribe (now|today|to)|sign up for|newsletter|(enable|activate|requires) javascript|lorem ipsum|share (this|on) |read more"
+    r"|verwende[nt] cookies|alle cookies|cookie-(richtlinie|einstellungen)|datenschutz|impressum|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|jetzt abonnieren|javascript aktivieren|weiterlesen"
+    r"|utilis(e|ons) des cookies|accepter (tous )?les cookies|politique de confidentialité|mentions légales|conditions d'utilisation|tous droits réservés|cliquez ici|abonnez-vous|activer javascript|lire la suite"
+    r"|(utiliza|utilizamos|usamos) cookies|aceptar (todas )?las cookies|política de privacidad|aviso legal|condiciones de uso|todos los derechos reservados|haga clic|suscríbete|activar javascript|leer más"
+)
 #: What may end a sentence.
 ENDINGS = ".!?…:;\"'”’)]}»,"
 
 
-def line_fails(line: str, n_words: int, long_line: int = 30) -> str | None:
-    """The rule that a line with n_words words breaks, if any: symbols, shouting, ending, navigation, boilerplate."""
+def line_fails(line: str, n_words: int, long_line: int = 12) -> str | None:
+    """The rule that a line with n_words words breaks, if any: symbols, shouting, ending (a line as long as a sentence
+    has to end like one), navigation, boilerplate."""
     body = line.strip(BLANK)
     if sum(map(body.count, SYMBOLS)) * 10 > 3 * len(body):
         return "symbols"
@@ -33,9 +44,9 @@ def line_fails(line: str, n_words: int, long_line: int = 30) -> str | None:
         return "shouting"
     if n_words >= long_line and body[-1] not in ENDINGS:
         return "ending"
-    if sum(map(body.count, SEPARATORS)) * 4 >= n_words + 4 or n_words <= 20 and re.search(NAVIGATION, body):
+    if sum(map(body.count, SEPARATORS)) * 4 >= n_words + 4 or n_words <= 20 and regex.search(NAVIGATION, body):
         return "navigation"
-    if n_words <= 20 and re.search(BOILERPLATE, body):
+    if n_words <= 20 and regex.search(BOILERPLATE, body):
         return "boilerplate"
     return None
 
@@ -106,14 +117,15 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def clean_lines(docs: DataFrame, max_lost: float = 0.5, with_text: bool = True) -> DataFrame:
     """doc_id, the measures of each whole text, and cleaned_text, the lines that stay.
 
-    One row in gives one row out, whatever is null, empty or repeated; other columns aren't looked at.
+    One row in gives one row out, whatever is null, empty or repeated: a null or empty text has no words and fails, a
+    null id is passed on, an empty table gives no rows; other columns aren't looked at.
     """
     names = [x.split()[0] for x in FIELDS.split(", ")]
     kinds = [pa.bool_() if x.endswith("boolean") else pa.int64() for x in FIELDS.split(", ")]
 
     def rows(batches):
-        for b in batches:
-            found = [measure(t, max_lost) for t in b.column(1).to_pylist()]
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
+            found = [measure(t.as_py(), max_lost) for t in b.column(1)]
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
             last = [pa.array([f[-1] for f in found], pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, *last], names=["doc_id", *names, *["cleaned_text"] * with_text])
