@@ -290,3 +290,29 @@ def overlap(a: Column, b: Column) -> Column:
     most = F.least(F.size(a), F.size(b))
     runs = F.filter(F.sequence(F.lit(0), most), lambda k: (k > 0) & (F.slice(a, F.size(a) - k + 1, F.greatest(k, F.lit(0))) == F.slice(b, F.lit(1), k)))
     return F.coalesce(F.array_join(F.slice(b, F.lit(1), F.array_max(runs)), " "), F.lit(""))
+
+
+def unzip(pairs: Column, names: list[str]) -> list[Column]:
+    """The arrays that an array of structs was zipped from."""
+    return [F.transform(pairs, lambda x, n=n: x[n]).alias(n) for n in names]
+
+
+def parse_weights(line: Column) -> Column:
+    """struct<doc, weights map<term, weight>> of a report line `docid=... tfidf=[term:weight term:weight]`; null for
+    other lines. The last colon of an entry ends its term."""
+    pattern = r"docid=(.*?)\s+tfidf=\[(.*)\]"
+    entries = F.filter(F.split(F.regexp_extract(line, pattern, 2), r"\s+"), lambda e: F.contains(e, F.lit(":")))
+    pairs = F.transform(entries, lambda e: F.struct(F.regexp_extract(e, r"^(.*):[^:]*$", 1).alias("key"), F.substring_index(e, ":", -1).try_cast("double").alias("value")))
+    return F.when(line.rlike(pattern), F.struct(F.regexp_extract(line, pattern, 1).alias("doc"), F.map_from_entries(pairs).alias("weights")))
+
+
+#: Names of Unicode's general categories by the class that a pattern knows them by.
+CATEGORIES = ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Co", "Cs")
+
+
+def category(char: Column) -> Column:
+    """The general category of a character, `Cn` for an unassigned one."""
+    out = F.lit("Cn")
+    for c in reversed(CATEGORIES):
+        out = F.when(char.rlike("^\\p{" + c + "}$"), F.lit(c)).otherwise(out)
+    return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import words
@@ -16,6 +19,86 @@ def postings(docs: DataFrame, doc: str, text: Column, positions: bool = False) -
     return docs.select(doc, F.explode(words(text)).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
+def field_index(docs: DataFrame, doc: str, fields: dict[str, Column]) -> DataFrame:
+    """(doc, field, term, tf, positions) of the lower-cased words of every field."""
+    parts = [postings(docs, doc, text, positions=True).withColumn("field", F.lit(name)) for name, text in fields.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(doc, "field", "term", "tf", "positions")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Stores an index in folders by field, sorted by term, so that a query reads the row groups of its terms only."""
+    index.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class Clause:
+    """A word, prefix (`word*`) or quoted phrase in a field; must and must_not as in `+word` and `-word`."""
+
+    field: str
+    words: tuple[str, ...]
+    prefix: bool = False
+    must: bool = False
+    must_not: bool = False
+
+
+def parse_query(line: str, field: str = "text", conjunctive: bool = False) -> list[Clause]:
+    """Clauses of `word`, `+word`, `-word`, `NOT word`, `word AND word`, `"a phrase"`, `word*` and `field:word`; others
+    are alternatives, or with conjunctive all required."""
+    out: list[Clause] = []
+    both = negate = False
+    for sign, name, phrase, word in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"]+))', line):
+        if word in ("AND", "&&") and not sign and not name:
+            both = True
+            if out and not out[-1].must_not:
+                out[-1] = Clause(out[-1].field, out[-1].words, out[-1].prefix, True)
+            continue
+        if word in ("OR", "||") and not sign and not name:
+            continue
+        if word in ("NOT", "!") and not sign and not name:
+            negate = True
+            continue
+        words_ = tuple(re.findall(r"\w+", (phrase or word).lower()))
+        if words_:
+            must_not = sign == "-" or negate
+            out.append(Clause(name or field, words_, word.endswith("*") and len(words_) == 1, not must_not and (sign == "+" or both or conjunctive), must_not))
+        both = negate = False
+    return out
+
+
+def run_query(index: DataFrame, doc: str, line: str, n_docs: int, field: str = "text", conjunctive: bool = False) -> DataFrame:
+    """(doc, n_clauses, score) of the documents that a query line finds in a field index, scored by the sum of TF-IDF.
+
+    Every clause reads its terms' postings only; a phrase joins the positions of its words, shifted by their places.
+    """
+    clauses = parse_query(line, field, conjunctive)
+    hits = None
+    for k, c in enumerate(clauses):
+        own = index.where(F.col("field") == c.field)
+        if c.prefix:
+            met = own.where(F.startswith("term", F.lit(c.words[0]))).groupBy(doc).agg(F.sum("tf").alias("tf"))
+        elif len(c.words) == 1:
+            met = own.where(F.col("term") == c.words[0]).select(doc, "tf")
+        else:
+            met = phrase_by_positions(own, doc, list(c.words)).select(doc, F.col("n_hits").alias("tf"))
+        met = met.select(doc, F.lit(k).alias("clause"), "tf")
+        hits = met if hits is None else hits.unionByName(met)
+    if hits is None:
+        return index.select(doc, F.lit(0).cast("long").alias("n_clauses"), F.lit(0.0).alias("score")).where(F.lit(False))
+    must, must_not = [k for k, c in enumerate(clauses) if c.must], [k for k, c in enumerate(clauses) if c.must_not]
+    df = hits.groupBy("clause").agg(F.count("*").alias("df"))  # a row a clause
+    weighed = hits.join(F.broadcast(df), "clause").withColumn("w", F.col("tf") * F.log(F.lit(n_docs) / F.col("df")))
+    is_in = lambda ks: F.col("clause").isin(ks) if ks else F.lit(False)
+    found = weighed.groupBy(doc).agg(F.count_if(~is_in(must_not)).alias("n_clauses"), F.count_if(is_in(must)).alias("required"), F.count_if(is_in(must_not)).alias("refused"), F.round(F.sum(F.when(~is_in(must_not), F.col("w"))), 6).alias("score"))
+    return found.where((F.col("n_clauses") > 0) & (F.col("required") == len(must)) & (F.col("refused") == 0)).select(doc, "n_clauses", "score")
+
+
 def doc_freqs(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 

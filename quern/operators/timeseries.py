@@ -44,6 +44,41 @@ def resample(series: DataFrame, key: str, step: int = DAY, initial: float = 0.0)
     return filled.where("g = 1").select(key, "t", F.col("v").alias("value"))
 
 
+def align(a: DataFrame, b: DataFrame, key: str, step: int = DAY, shared: bool = False, initial: float = 0.0) -> DataFrame:
+    """(key, a, b): the values of two series (key, ts, value) on grids of the same step. With shared both run from the
+    earlier first event to the later last one; else each over its own span. Keys found in one only get an empty array."""
+
+    def packed(s: DataFrame, name: str) -> DataFrame:
+        return resample(s, key, step, initial).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias(name))
+
+    if shared:
+        both = a.select(key, "ts").union(b.select(key, "ts")).groupBy(key).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        ends = both.select(key, F.explode(F.array("lo", "hi")).alias("ts")).distinct()
+
+        def extended(s: DataFrame) -> DataFrame:
+            own = s.select(key, "ts", F.col("value").cast("double").alias("value"))
+            missing = ends.join(s.select(key).distinct(), key, "left_semi").join(own, [key, "ts"], "left_anti")
+            w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+            rows = own.union(missing.select(key, "ts", F.lit(None).cast("double")))
+            return rows.withColumn("value", F.coalesce(F.last("value", ignorenulls=True).over(w), F.lit(initial)))
+
+        a, b = extended(a), extended(b)
+    empty = F.array().cast("array<double>")
+    return packed(a, "a").join(packed(b, "b"), key, "full").select(key, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
+
+
+def three_sequence_table(cases: DataFrame, centroids: DataFrame, key: str, names: tuple[str, str, str] = ("D", "P", "C"), lag: int = 100) -> DataFrame:
+    """key and, for each of three kinds of sequence and each centroid c1, c2 ..., the mean cross-correlation of the
+    case's sequence with the centroid's, as columns `DvD1c`, `DvD2c` ... cases(key, label, values), centroids(label,
+    centroid, values) with labels out of `names` and centroids numbered from 1."""
+    numbers = sorted(r[0] for r in centroids.select(F.col("centroid").cast("int")).distinct().toLocalIterator())  # chosen, a few
+    c = centroids.select(F.col("label").alias("__l"), F.col("centroid").cast("int").alias("__c"), F.col("values").alias("__v"))
+    pairs = cases.join(c, F.col("label") == F.col("__l"))
+    found = correlation_features(pairs, [key, "label", "__c"], "values", "__v", lag)
+    columns = [f"{n}v{n}{k}c" for n in names for k in numbers]
+    return found.withColumn("f", F.concat("label", F.lit("v"), "label", F.col("__c").cast("string"), F.lit("c"))).groupBy(key).pivot("f", columns).agg(F.first("ccf"))
+
+
 def resample_reference(series: DataFrame, key: str, step: int = DAY, initial: float = 0.0) -> DataFrame:
     """(key, values): the same grid, where every point uses up exactly one event, so bursts lag behind and events left
     over at the end are lost. A fold over the sorted series."""
@@ -83,7 +118,7 @@ def correlation_features(pairs: DataFrame, key: list[str], a: str, b: str, lag:
         return pd.Series([float(np.mean(cross_correlation(p, q, lag))) if len(p) and len(q) else missing for p, q in zip(x, y, strict=True)])
 
     empty = F.array().cast("array<double>")
-    return pairs.select(*key, F.round(mean_ccf(F.coalesce(a, empty), F.coalesce(b, empty)), 6).alias("ccf"))
+    return pairs.select(*key, (F.round(mean_ccf(F.coalesce(a, empty), F.coalesce(b, empty)), 6) + 0.0).alias("ccf"))
 
 
 def feature_table(cases: DataFrame, centroids: DataFrame, key: str, label: str, values: str, labels: list[str], lag: int = 100) -> DataFrame:

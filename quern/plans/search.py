@@ -88,6 +88,27 @@ def hit_count(spark, sf_dir):
     return index.where(F.col("term").isin("the", "der", "le", "license")).groupBy("term").agg(F.count("*").alias("hits"))
 
 
+_LINE = 'apache +license -"general public"'
+
+
+@query(f"""WITH {TF}, {DF}, n AS (SELECT count(*) AS n FROM documents), w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+x AS (SELECT doc_id FROM w WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'general' AND w[i + 1] = 'public')) > 0)
+SELECT doc_id, count(*) AS n_clauses, round(sum(tf * ln(n / df)), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('apache', 'license') AND doc_id NOT IN (SELECT doc_id FROM x) GROUP BY doc_id HAVING count_if(term = 'license') > 0""")
+def search_query_line(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return S.run_query(S.field_index(docs, "doc_id", {"text": F.col(TEXT)}), "doc_id", _LINE, docs.count())
+
+
+@query(f"""WITH {TF}, {DF}, n AS (SELECT count(*) AS n FROM documents), s AS (SELECT tf.doc_id, count(*) AS n_clauses, round(sum(tf * ln(n / df)), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('apache', 'license') GROUP BY 1)
+SELECT doc_id, n_clauses FROM s WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+def search_fields(spark, sf_dir):
+    """A word of the language field is required beside words of the text."""
+    docs = table(spark, sf_dir, "documents")
+    index = S.field_index(docs, "doc_id", {"text": F.col(TEXT), "lang": F.col("lang")})
+    found = S.run_query(index, "doc_id", "+lang:en apache license", docs.count())
+    return found.where("n_clauses > 1").select("doc_id", (F.col("n_clauses") - 1).alias("n_clauses"))
+
+
 @query(f"""WITH {TF}, {DF}, n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT doc_id, tf.term, round(tf * ln(n / df), 6) AS w FROM tf JOIN df USING (term), n),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM w) WHERE rank <= 10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import timeseries as T
@@ -99,7 +100,7 @@ def stamped_values(spark, sf_dir):
 @query(f"""WITH {_DAILY}, v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i FROM d),
 s AS (SELECT user_id, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM v GROUP BY 1),
 c AS (SELECT a.user_id, a.i - b.i AS lag, sum((a.value - m) * (b.value - m)) AS c, any_value(n) AS n, any_value(sd) AS sd FROM v a JOIN v b ON a.user_id = b.user_id JOIN s ON s.user_id = a.user_id GROUP BY 1, 2)
-SELECT user_id, round(sum(CASE WHEN sd > 0 THEN c / (sd * sd * n) ELSE c END) / any_value(least(2 * n - 1, 201)), 6) AS ccf FROM c WHERE abs(lag) <= 100 GROUP BY 1""")
+SELECT user_id, round(sum(CASE WHEN sd > 0 THEN c / (sd * sd * n) ELSE c END) / any_value(least(2 * n - 1, 201)), 6) + 0 AS ccf FROM c WHERE abs(lag) <= 100 GROUP BY 1""")
 def cross_correlation(spark, sf_dir):
     """Of each user's daily values with themselves."""
     s = T.sequences(_daily(spark, sf_dir), "user_id", "ts", "value").select("user_id", F.transform("series", lambda x: x["value"]).alias("v"))
@@ -116,3 +117,40 @@ def temporal_features(spark, sf_dir):
     centroids = seq.join(chosen, "user_id", "left_semi").select("label", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("centroid"), "values")
     names = sorted(r[0] for r in centroids.select(F.concat_ws("_", "label", "centroid")).toLocalIterator())  # at most six
     return T.feature_table(seq, centroids, "user_id", "label", "values", names)
+
+
+_BOTH = f"""d AS (SELECT user_id, event_type AS label, {DAY} AS ts, round(sum(value), 2) AS value FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2, 3),
+s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM d GROUP BY 1), l AS (SELECT DISTINCT user_id, label FROM d),
+g AS (SELECT user_id, label, unnest(range(a, b + 1, 86400)) AS t FROM s JOIN l USING (user_id)),
+f AS (SELECT g.user_id, g.label, g.t, coalesce(d.value, 0.0) AS value FROM g ASOF LEFT JOIN d ON g.user_id = d.user_id AND g.label = d.label AND g.t >= d.ts)"""
+
+
+@query(f"""WITH {_BOTH} SELECT user_id, coalesce(string_agg(printf('%.2f', value), ',' ORDER BY t) FILTER (label = 'click'), '') AS a, coalesce(string_agg(printf('%.2f', value), ',' ORDER BY t) FILTER (label = 'purchase'), '') AS b FROM f GROUP BY 1""")
+def aligned_series(spark, sf_dir):
+    """Daily clicks and purchases of each user from the first day of either to the last."""
+    e = _events(spark, sf_dir)
+    daily = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id", (F.floor(F.col("t") / 86400) * 86400).alias("ts")).agg(F.round(F.sum("value"), 2).alias("value"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.2f", x)), ",").alias(c)
+    return T.align(daily("click"), daily("purchase"), "user_id", shared=True).select("user_id", shown("a"), shown("b"))
+
+
+_CORR = f"""WITH d AS (SELECT user_id, event_type AS label, {DAY} AS ts, round(sum(value), 2) AS value FROM events WHERE event_type IN ('click', 'purchase', 'error') GROUP BY 1, 2, 3),
+v AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY ts) - 1 AS i FROM d),
+s AS (SELECT user_id, label, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM v GROUP BY ALL),
+u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS c FROM (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 2)),
+x AS (SELECT a.user_id, a.label, u.c, a.i + (sb.n - 1) - b.i AS place, (a.value - sa.m) * (b.value - sb.m) AS p, sa.n AS na, sb.n AS nb, sa.sd AS da, sb.sd AS db FROM v AS a JOIN u ON true JOIN v AS b ON b.user_id = u.user_id AND b.label = a.label
+JOIN s AS sa ON sa.user_id = a.user_id AND sa.label = a.label JOIN s AS sb ON sb.user_id = b.user_id AND sb.label = b.label),
+y AS (SELECT user_id, label, c, sum(CASE WHEN da * db * nb > 0 THEN p / (da * db * nb) ELSE p END) FILTER (place BETWEEN (na + nb - 2) // 2 - 3 AND (na + nb - 2) // 2 + 3) AS total, any_value(na + nb - 1) AS width, any_value((na + nb - 2) // 2) AS centre FROM x GROUP BY ALL),
+z AS (SELECT user_id, CASE label WHEN 'click' THEN 'D' WHEN 'purchase' THEN 'P' ELSE 'C' END AS k, c, round(total / (least(centre + 4, width) - greatest(0, centre - 3)), 6) + 0 AS ccf FROM y)
+SELECT user_id, """ + ", ".join(f"max(ccf) FILTER (k = '{k}' AND c = {c}) AS {k}v{k}{c}c" for k in "DPC" for c in (1, 2)) + " FROM z GROUP BY 1"
+
+
+@query(_CORR)
+def three_sequence_features(spark, sf_dir):
+    """Daily values of three kinds of event against those of the two users of smallest id."""
+    kind = F.when(F.col("event_type") == "click", "D").when(F.col("event_type") == "purchase", "P").otherwise("C")
+    e = _events(spark, sf_dir).where("event_type in ('click', 'purchase', 'error')")
+    daily = e.groupBy("user_id", kind.alias("label"), (F.floor(F.col("t") / 86400) * 86400).alias("ts")).agg(F.round(F.sum("value"), 2).alias("value"))
+    seq = daily.groupBy("user_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("values"))
+    chosen = _events(spark, sf_dir).select("user_id").distinct().orderBy("user_id").limit(2).withColumn("centroid", F.row_number().over(Window.orderBy("user_id")))  # two rows
+    return T.three_sequence_table(seq, seq.join(chosen, "user_id").select("label", "centroid", "values"), "user_id", lag=3)
