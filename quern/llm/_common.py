@@ -7,6 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "8m"):
+    """Arrow batches of at most 8 MB while the block runs; both sides of the exchange with workers hold whole ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage and survive lost executors. The folder goes when the
     driver ends: results read from it until then."""
@@ -54,7 +67,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         del df
         self.collect_shuffles()
         return self.spark.read.schema(schema).parquet(self.path(name))
@@ -169,12 +183,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Token bytes -> 64-bit hash, remembered; forgets everything at 250,000 entries to stay small."""
+    """Token bytes -> 64-bit hash, remembered; forgets everything at 150,000 entries to stay small."""
 
     def __missing__(self, token: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) >= 250_000:
+        if len(self) >= 150_000:
             self.clear()
         self[token] = h = xxh3_64_intdigest(token)
         return h

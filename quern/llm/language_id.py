@@ -116,7 +116,7 @@ def learn(labelled: DataFrame, sample_docs: int = 2000, grams_per_language: int
     def count(batches):
         for b in batches:
             langs = b.column(0).to_pylist()
-            for i, texts in byte_blocks(b.column(1), 1 << 22):
+            for i, texts in byte_blocks(b.column(1), 1 << 19):
                 own = langs[i : i + len(texts)]
                 for name in sorted(set(own)):
                     grams, owner = grams_of([t for t, x in zip(texts, own, strict=True) if x == name])
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: BloomModel, pred: str = "lang_pred", score:
         for b in batches:
             letters = b.column(has).to_pylist()
             pred_, score_ = [], []
-            for _, texts in byte_blocks(b.column(at), 1 << 21):
+            for _, texts in byte_blocks(b.column(at), 1 << 18):
                 p, s = m.predict(texts)
                 pred_ += p
                 score_ += s

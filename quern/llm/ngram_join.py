@@ -99,7 +99,7 @@ def _hashed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     key = class_id(s)
                     head = counted_head(s, percent)
                     out.append((len(s), *key, len(head), None if key in seen else _five(head)))
-                    if len(seen) < 200_000:
+                    if len(seen) < 50_000:
                         seen.add(key)
                 ids = [b.column(c).slice(i, len(texts)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array([x[c] for x in out], kind) for c, (_, kind) in enumerate(fields[2:]))], names=[f for f, _ in fields])
