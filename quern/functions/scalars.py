@@ -294,7 +294,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 def unzip(pairs: Column, names: list[str]) -> list[Column]:
     """The arrays that an array of structs was zipped from."""
-    return [F.transform(pairs, lambda x, n=n: x[n]).alias(n) for n in names]
+
+    def field(n: str) -> Column:
+        return F.transform(pairs, lambda x: x[n]).alias(n)
+
+    return [field(n) for n in names]
 
 
 def parse_weights(line: Column) -> Column:

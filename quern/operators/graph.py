@@ -39,6 +39,30 @@ def transitive_closure(edges: DataFrame, x: str = "x", y: str = "y", rounds: int
     return reach.select(F.col("x").alias(x), F.col("y").alias(y))
 
 
+def synonyms(senses: DataFrame, word: str = "word", synset: str = "synset") -> DataFrame:
+    """(word, synonym): words that share a synset in senses(word, synset). Synsets are short by nature; a word is joined
+    with the members of its own."""
+    a, b = senses.select(F.col(word).alias("word"), F.col(synset).alias("s")), senses.select(F.col(word).alias("synonym"), F.col(synset).alias("s"))
+    return a.join(b, "s").where("word <> synonym").select("word", "synonym").distinct()
+
+
+def first_sense(words: DataFrame, senses: DataFrame, word: str = "word") -> DataFrame:
+    """words with synset, the sense of least rank in senses(word, synset, rank), null for a word without one."""
+    best = senses.groupBy(F.col("word").alias("__w")).agg(F.min_by("synset", F.struct("rank", "synset")).alias("synset"))
+    return words.join(best, F.col(word) == F.col("__w"), "left").drop("__w")
+
+
+def roots(words: DataFrame, exceptions: DataFrame, rules: list[tuple[str, str]], known: DataFrame, word: str = "word") -> DataFrame:
+    """words with root: the table exceptions(word, root) first, else the first rule (ending, replacement) whose result is
+    among known(word), else the word itself."""
+    table = exceptions.groupBy(F.col("word").alias("__w")).agg(F.min("root").alias("__r"))
+    out = words.join(table, F.col(word) == F.col("__w"), "left").drop("__w")
+    forms = F.array(*[F.when(F.endswith(F.col(word), F.lit(a)) & (F.length(word) > len(a)), F.struct(F.lit(k).alias("k"), F.concat(F.expr(f"left(`{word}`, length(`{word}`) - {len(a)})"), F.lit(b)).alias("form"))) for k, (a, b) in enumerate([("", ""), *rules])])
+    tried = out.select(word).distinct().select(word, F.explode(F.array_compact(forms)).alias("x")).select(F.col(word).alias("__w"), "x.k", "x.form")
+    found = tried.join(known.select(F.col("word").alias("form")).distinct(), "form", "left_semi").groupBy("__w").agg(F.min_by("form", "k").alias("__f"))
+    return out.join(found, F.col(word) == F.col("__w"), "left").withColumn("root", F.coalesce("__r", "__f", F.col(word))).drop("__w", "__r", "__f")
+
+
 def ancestors(edges: DataFrame, child: str, parent: str, most: int) -> DataFrame:
     """(node, ancestor, distance) up to a distance, the shortest of each pair."""
     step = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()

@@ -33,6 +33,11 @@ def delete(entries: DataFrame, key: str, value: str, k=None, v=None, prefix: str
 FIRST_WORDS_BYTES = 1 << 20
 
 
+def entities(docs: DataFrame, doc: str, words: Column, gazetteer: DataFrame) -> DataFrame:
+    """(doc, start, n, entity): `TYPE:text` of the longest gazetteer(phrase, value) phrases, the value being the type."""
+    return spot_phrases(docs, doc, words, gazetteer).select(doc, "start", "n", F.concat("value", F.lit(":"), "phrase").alias("entity"))
+
+
 def spot_phrases(docs: DataFrame, doc: str, words: Column, phrases: DataFrame, most: int | None = None) -> DataFrame:
     """(doc, start, n, phrase, value): the longest table phrase at each place, from left to right, skipping what it spans.
 

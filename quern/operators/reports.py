@@ -10,15 +10,21 @@ from quern.functions.scalars import clock_hours, resolve_date
 DATE_LINE = r"^\s*((?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+)?[0-9]{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{2,4}\s*$"
 
 
-def merge_notes(lines: DataFrame, file: str = "file", number: str = "line_num", text: str = "text") -> DataFrame:
-    """(date, raw, notes): note lines gathered under the date line above them in the same file, in order of date.
-    Lines before a file's first date belong to 1900-01-01."""
+def dated_lines(lines: DataFrame, file: str = "file", number: str = "line_num", text: str = "text") -> DataFrame:
+    """(date, raw, file, line_num, text): every note line with the date line above it in the same file, one row a line,
+    so that any number of notes of a day is fine; sorted by the caller as needed. Lines before a file's first date
+    belong to 1900-01-01."""
     w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     is_date = F.col(text).rlike(DATE_LINE)
     at = lines.withColumn("raw", F.coalesce(F.last(F.when(is_date, F.trim(text)), ignorenulls=True).over(w), F.lit("1 Jan 1900")))
-    body = at.where(~is_date & (F.trim(text) != ""))
-    grouped = body.groupBy("raw").agg(F.array_sort(F.collect_list(F.struct(file, number, text))).alias("n"))
-    return grouped.select(resolve_date(F.col("raw")).alias("date"), "raw", F.array_join(F.transform("n", lambda x: x[text]), "\n").alias("notes"))
+    return at.where(~is_date & (F.trim(text) != "")).select(resolve_date(F.col("raw")).alias("date"), "raw", file, number, text)
+
+
+def merge_notes(lines: DataFrame, file: str = "file", number: str = "line_num", text: str = "text") -> DataFrame:
+    """(date, raw, notes): dated_lines gathered into one text a date, which therefore has to fit into a row.
+    Lines before a file's first date belong to 1900-01-01."""
+    grouped = dated_lines(lines, file, number, text).groupBy("date", "raw").agg(F.array_sort(F.collect_list(F.struct(file, number, text))).alias("n"))
+    return grouped.select("date", "raw", F.array_join(F.transform("n", lambda x: x[text]), "\n").alias("notes"))
 
 
 def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text", file: str = "file") -> DataFrame:

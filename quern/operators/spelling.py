@@ -46,6 +46,30 @@ def _grams(v: DataFrame, sizes: DataFrame) -> DataFrame:
     return at.select("term", "df", F.substr("term", F.col("at") + 1, F.col("len")).alias("part"), "at")
 
 
+def variants(pairs: DataFrame, a: str, b: str, derived: DataFrame | None = None, rewrites: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """pairs with variant: whether two words are forms of one another: by a plural or possessive s, by the table
+    derived(word, form) in either direction, by rewrite rules (source, targets) as readers.rewrite_rules gives them, or
+    by a common root in roots(word, root)."""
+    plain = (F.col(a) == F.concat(F.col(b), F.lit("s"))) | (F.col(b) == F.concat(F.col(a), F.lit("s")))
+    plain = plain | (F.col(a) == F.concat(F.col(b), F.lit("'s"))) | (F.col(b) == F.concat(F.col(a), F.lit("'s")))
+    out = pairs.withColumn("variant", plain)
+    links = []
+    if derived is not None:
+        links.append(derived.select(F.col("word").alias("__x"), F.col("form").alias("__y")))
+    if rewrites is not None:
+        links.append(rewrites.select(F.col("source").alias("__x"), F.explode("targets").alias("__y")))
+    if links:
+        both = links[0] if len(links) == 1 else links[0].union(links[1])
+        both = both.union(both.select(F.col("__y").alias("__x"), F.col("__x").alias("__y"))).distinct().withColumn("__v", F.lit(True))
+        out = out.join(both, (F.col(a) == F.col("__x")) & (F.col(b) == F.col("__y")), "left").withColumn("variant", F.col("variant") | F.coalesce("__v", F.lit(False))).drop("__x", "__y", "__v")
+    if roots is not None:
+        one = roots.groupBy("word").agg(F.min("root").alias("root"))
+        x, y = one.select(F.col("word").alias("__x"), F.col("root").alias("__rx")), one.select(F.col("word").alias("__y"), F.col("root").alias("__ry"))
+        out = out.join(x, F.col(a) == F.col("__x"), "left").join(y, F.col(b) == F.col("__y"), "left")
+        out = out.withColumn("variant", F.col("variant") | F.coalesce(F.col("__rx") == F.col("__ry"), F.lit(False))).drop("__x", "__y", "__rx", "__ry")
+    return out
+
+
 def replacement(suggestions: DataFrame, freqs: DataFrame, min_gain: float = 3.0, most_df: int = 10) -> DataFrame:
     """(word, replacement, gain): the suggestion of highest document frequency, if the word itself is rare (df at most
     most_df) and the suggestion min_gain times as frequent. Plural and possessive variants are no replacements."""

@@ -71,10 +71,18 @@ def first_row_for(df: DataFrame, column: str, order: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("__k")).agg(row).select("__row.*")
 
 
+def transposed_cells(df: DataFrame, order: str, columns: list[str], missing: str = "n/a") -> DataFrame:
+    """(position, name, row, value): the transposed table as cells, row being the order column's value; for tables of any
+    length, written in blocks of rows by the caller."""
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value")) for i, c in enumerate(columns)])
+    return df.select(F.col(order).alias("row"), F.explode(cells).alias("x")).select("x.position", "x.name", "row", "x.value")
+
+
 def transpose(df: DataFrame, order: str, columns: list[str], missing: str = "n/a") -> DataFrame:
-    """(position, name, values): a row per column with its values in row order, joined by tabs."""
-    cells = df.select(order, F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value")) for i, c in enumerate(columns)])).alias("x"))
-    grouped = cells.groupBy("x.position", "x.name").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("x.value").alias("v")))).alias("s"))
+    """(position, name, values): a row per column with its values in row order, joined by tabs; a line of the result
+    holds a whole column, so this is for tables whose columns fit into a row (else transposed_cells)."""
+    cells = transposed_cells(df, order, columns, missing)
+    grouped = cells.groupBy("position", "name").agg(F.array_sort(F.collect_list(F.struct(F.col("row").alias("o"), F.col("value").alias("v")))).alias("s"))
     return grouped.select("position", "name", F.array_join(F.transform("s", lambda x: x["v"]), "\t").alias("values"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import ngrams, overlap
 from quern.functions.text import words
-from quern.operators import lookup, similarity, spelling
+from quern.operators import graph, lookup, similarity, spelling
 from quern.operators import search as S
 from quern.operators import tfidf as W
 from quern.plans.registry import DF, ITF, TF, WORDS, query, table
@@ -292,6 +292,19 @@ g AS (SELECT word, term, df, distance, round(1 - distance / n, 6) AS similarity
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, df DESC, term) AS rank FROM g)"""
 
 
+@query(f"""{_VOCAB}, p AS (SELECT word, word || 's' AS term FROM b UNION SELECT word, reverse(word) FROM b), r AS (SELECT word, left(word, 3) AS root FROM b)
+SELECT word, term, term = word || 's' OR word = term || 's' OR coalesce((SELECT min(root) FROM r WHERE r.word = p.word) = (SELECT min(root) FROM r WHERE r.word = p.term), false) AS variant FROM p""")
+def spelling_variants(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.explode(words(TEXT)).alias("word")).distinct()
+    pairs = b.select("word", F.concat("word", F.lit("s")).alias("term")).union(b.select("word", F.reverse("word"))).distinct()
+    return spelling.variants(pairs, "word", "term", roots=b.select("word", F.substr("word", F.lit(1), F.lit(3)).alias("root")))
+
+
+@query("""WITH s AS (SELECT DISTINCT p_name AS word, p_type AS synset FROM part) SELECT DISTINCT a.word, b.word AS synonym FROM s AS a JOIN s AS b USING (synset) WHERE a.word <> b.word""")
+def synonyms(spark, sf_dir):
+    return graph.synonyms(table(spark, sf_dir, "part").select(F.col("p_name").alias("word"), F.col("p_type").alias("synset")).distinct())
+
+
 def _suggested(spark, sf_dir):
     index = S.postings(table(spark, sf_dir, "documents"), "doc_id", TEXT)
     return index, spelling.suggest(table(spark, sf_dir, "benchmark").select(F.explode(words(TEXT)).alias("word")), spelling.vocabulary(index, 3))

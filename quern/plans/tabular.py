@@ -314,6 +314,17 @@ def timesheet_weeks(spark, sf_dir):
     return reports.weekly_pivot(reports.timesheet(_sheet(spark, sf_dir))).select("file", F.col("week").cast("long").alias("week"), "mon", "tue", "fri", "total")
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, 'f' || (user_id % 5) AS file, event_type || ' ' || event_id AS text FROM events WHERE event_type IN ('error', 'signup')""")
+def dated_note_lines(spark, sf_dir):
+    return reports.dated_lines(_note_lines(spark, sf_dir)).select(F.col("date").cast("string").alias("date"), "file", "text")
+
+
+@query("""SELECT k AS row, name, coalesce(value, 'n/a') AS value FROM (SELECT n_nationkey::BIGINT AS k, n_name::VARCHAR AS n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation) UNPIVOT (value FOR name IN (n_name, n_regionkey))""")
+def transposed_cells(spark, sf_dir):
+    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name", "n_regionkey")
+    return T.transposed_cells(t, "k", ["n_name", "n_regionkey"]).select("row", "name", "value")
+
+
 _TRIPLES = "t AS (SELECT DISTINCT 'c' || o_custkey AS subj, o_orderpriority AS rel, 'o' || o_orderkey AS obj FROM orders)"
 
 

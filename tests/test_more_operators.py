@@ -157,3 +157,42 @@ def test_long_words_find_their_neighbours(spark):
     vocabulary = spark.createDataFrame([(near, 5), ("other", 9)], "term string, df long")
     out = spelling.suggest(spark.createDataFrame([(word,)], "word string"), vocabulary).collect()
     assert [(r["term"], r["distance"]) for r in out] == [(near, 1)]
+
+
+def test_variants_roots_synonyms_and_senses(spark):
+    pairs = spark.createDataFrame([("cat", "cats"), ("dog's", "dog"), ("go", "went"), ("colour", "color"), ("mice", "mouse"), ("cat", "dog")], "a string, b string")
+    derived = spark.createDataFrame([("went", "go")], "word string, form string")
+    rules = spark.createDataFrame([("color", ["colour", "hue"])], "source string, targets array<string>")
+    roots = spark.createDataFrame([("mice", "mouse"), ("mouse", "mouse"), ("cat", "cat"), ("dog", "dog")], "word string, root string")
+    out = {(r["a"], r["b"]): r["variant"] for r in spelling.variants(pairs, "a", "b", derived, rules, roots).collect()}
+    assert out == {("cat", "cats"): True, ("dog's", "dog"): True, ("go", "went"): True, ("colour", "color"): True, ("mice", "mouse"): True, ("cat", "dog"): False}
+    words = spark.createDataFrame([("mice",), ("walking",), ("flies",), ("xyz",)], "word string")
+    known = spark.createDataFrame([("walk",), ("fly",)], "word string")
+    exceptions = spark.createDataFrame([("mice", "mouse")], "word string, root string")
+    found = {r["word"]: r["root"] for r in graph.roots(words, exceptions, [("ing", ""), ("ies", "y")], known).collect()}
+    assert found == {"mice": "mouse", "walking": "walk", "flies": "fly", "xyz": "xyz"}
+    senses = spark.createDataFrame([("car", "s1", 1), ("auto", "s1", 1), ("car", "s2", 2)], "word string, synset string, rank int")
+    assert {tuple(r) for r in graph.synonyms(senses).collect()} == {("car", "auto"), ("auto", "car")}
+    assert {r["word"]: r["synset"] for r in graph.first_sense(spark.createDataFrame([("car",), ("no",)], "word string"), senses).collect()} == {"car": "s1", "no": None}
+
+
+def test_entities_and_rows_as_records(spark, tmp_path):
+    from quern.sources import writers
+
+    gazetteer = spark.createDataFrame([("new york", "GPE"), ("york", "PER")], "phrase string, value string")
+    docs = spark.createDataFrame([(1, "in new york now")], "doc_id long, text string")
+    assert [r["entity"] for r in lookup.entities(docs, "doc_id", F.split("text", " "), gazetteer).collect()] == ["GPE:new york"]
+    writers.write_rows(spark.createDataFrame([("f1", 1, "a"), ("f2", 2, "b")], "name string, n int, t string"), "name", str(tmp_path / "rows"), 1)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == {("f1", "1 a"), ("f2", "2 b")}
+    model = classify.tabular_pipeline(["x"], [], "lr").fit(spark.createDataFrame([("a", 0.0), ("b", 1.0), ("a", 0.1), ("b", 0.9)], "label string, x double"))
+    writers.save_model(model, str(tmp_path / "model"))
+    out = writers.load_model(str(tmp_path / "model")).transform(spark.createDataFrame([("a", 0.05)], "label string, x double")).first()
+    assert out["prediction"] == 0.0
+
+
+def test_small_functions(spark):
+    from quern.functions import scalars
+
+    df = spark.createDataFrame([([(1, "a"), (2, "b")], "docid=7 tfidf=[x:1.5 a:b:2]", "é")], "z array<struct<n:int,c:string>>, line string, ch string")
+    r = df.select(*scalars.unzip(F.col("z"), ["n", "c"]), scalars.parse_weights(F.col("line")).alias("w"), scalars.category(F.col("ch")).alias("cat")).first()
+    assert r["n"] == [1, 2] and r["c"] == ["a", "b"] and r["w"]["doc"] == "7" and r["w"]["weights"] == {"x": 1.5, "a:b": 2.0} and r["cat"] == "Ll"
