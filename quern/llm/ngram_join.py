@@ -201,25 +201,26 @@ def _maybe_in(ids: DataFrame, column: str, n: int) -> Callable[[Column], Column]
 
 
 def _frequencies(sets: DataFrame, bits: int) -> DataFrame:
-    """cid, tokens, df (both bytes, aligned, in no set order), a row per part of a set."""
+    """Blocks (part, cids, counts, tokens, df): the tokens of the sets with their frequencies, dealt by set."""
 
     def counted(table: pa.Table) -> pa.Table:
         cids, tokens = _gathered(table, "u8")
         order = np.argsort(tokens)
-        new = np.r_[True, np.diff(tokens[order]) != 0] if len(tokens) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.r_[True, np.diff(tokens[order]) != 0]) if len(tokens) else np.zeros(0, dtype=np.int64)
+        n = np.diff(np.r_[at, len(tokens)])
         df = np.empty(len(tokens), dtype=np.uint32)
-        df[order] = np.repeat(np.diff(np.r_[at, len(tokens)]), np.diff(np.r_[at, len(tokens)])).astype(np.uint32)
-        del new, at
+        df[order] = np.repeat(n, n).astype(np.uint32)
         order = np.argsort(cids, kind="stable")
         cids, tokens, df = cids[order], tokens[order], df[order]
-        del order
-        starts = np.flatnonzero(np.r_[True, cids[1:] != cids[:-1]])
-        ends = np.r_[starts[1:], len(cids)].astype(np.int32)
-        blob = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[np.int32(0), ends] * np.int32(x.itemsize)), pa.py_buffer(x)])
-        return pa.table({"cid": cids[starts], "tokens": blob(tokens), "df": blob(df)})
+        del order, at, n
+        out = []
+        for p, own, *rest in scatter((cids.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32), 1 << bits, cids, tokens, df):
+            own = np.frombuffer(own, dtype=np.int64)
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out.append((p, own[starts].tobytes(), np.diff(np.r_[starts, len(own)]).astype(np.uint32).tobytes(), *rest))
+        return pa.table({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate((("part", pa.int32()), ("cids", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())))})
 
-    return _dealt(sets.select("cid", "tokens"), False, bits).groupBy("part").applyInArrow(lean_group(counted), "cid long, tokens binary, df binary")
+    return _dealt(sets.select("cid", "tokens"), False, bits).groupBy("part").applyInArrow(lean_group(counted), "part int, cids binary, counts binary, tokens binary, df binary")
 
 
 def prefixes(tokens: np.ndarray, df: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -243,21 +244,22 @@ def parity_sketch(tokens: np.ndarray) -> list[int]:
 
 def _prefix_table(counted: DataFrame, percent: int) -> DataFrame:
     """cid, n, p0, at0, p1, p2, sketch of the sets that share a token under every order."""
+    names, kinds = ("cid", "n", "p0", "at0", "p1", "p2", "sketch"), (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5)
 
-    def rows(batches):
-        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
-            out = []
-            for cid, tokens, df in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                t, d = np.frombuffer(b"".join(tokens), dtype="u8"), np.frombuffer(b"".join(df), dtype="u4")
-                found = prefixes(t, d, percent)
-                if all(len(x[0]) for x in found):
-                    out.append((cid, len(t), found[0][0].view(np.int64), found[0][1], found[1][0].view(np.int64), found[2][0].view(np.int64), parity_sketch(t)))
-            if out:
-                kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["cid", "n", "p0", "at0", "p1", "p2", "sketch"])
-
-    sets = counted.groupBy("cid").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"))
-    return sets.mapInArrow(lean(rows), "cid long, n long, p0 array<long>, at0 array<long>, p1 array<long>, p2 array<long>, sketch array<long>")
+    def rows(table: pa.Table) -> pa.Table:
+        cids, tokens = _gathered(table, "u8")
+        df = np.concatenate([np.frombuffer(x.as_py(), dtype="u4") for x in table.column("df")])
+        order = np.argsort(cids, kind="stable")
+        cids, tokens, df = cids[order], tokens[order], df[order]
+        edges = np.flatnonzero(np.r_[True, cids[1:] != cids[:-1], True]).tolist()
+        out = []
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            found = prefixes(tokens[a:z], df[a:z], percent)
+            if all(len(x[0]) for x in found):
+                out.append((int(cids[a]), z - a, found[0][0].view(np.int64), found[0][1], found[1][0].view(np.int64), found[2][0].view(np.int64), parity_sketch(tokens[a:z])))
+        return pa.table({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+    return counted.groupBy("part").applyInArrow(lean_group(rows), "cid long, n long, p0 array<long>, at0 array<long>, p1 array<long>, p2 array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
