@@ -30,7 +30,8 @@ def merge_notes(lines: DataFrame, file: str = "file", number: str = "line_num",
 def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text", file: str = "file") -> DataFrame:
     """(file, week, day_num, day, hours, stated, matches): hours of the `start end task` lines of each day of a sheet,
     against a stated `hours: n`. `day` lines begin with a weekday's name; a `weekly: n` line ends a week. Sheets are
-    read side by side, each in the order of its lines."""
+    read side by side, each in the order of its lines; lines without a column `file` are one sheet."""
+    lines = lines if file in lines.columns else lines.withColumn(file, F.lit(""))
     day = F.regexp_extract(text, r"^(?i)\s*(mon|tue|wed|thu|fri|sat|sun)", 1)
     slot = r"^\s*([0-9]{1,2}(?::[0-9]{2})?)\s+([0-9]{1,2}(?::[0-9]{2})?)\b"
     w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +46,7 @@ def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text", fi
 
 
 def weekly_pivot(days: DataFrame, file: str = "file") -> DataFrame:
-    """A row a sheet and week, a column a weekday, and the total."""
+    """A row a sheet and week, a column a weekday, and the total; days come from timesheet."""
     names = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
     wide = days.groupBy(file, "week").pivot("day", names).agg(F.sum("hours"))
     return wide.withColumn("total", sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0)))
