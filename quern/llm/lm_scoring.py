@@ -1,10 +1,10 @@
 """Scoring with an interpolated modified Kneser-Ney n-gram model that Spark counts.
 
-N-grams are counted by an exchange on their context; those whose context is made of very frequent words are dealt one
-by one instead, and their contexts' sums are put together afterwards. The counts of lower orders are continuation counts
-(in how many different n-grams one order up does this stand), passed on from task to task. Each task writes its n-grams as sorted
-arrays of 64-bit hashes to the shared folder, and workers memory-map these files to score texts, so the model may be
-larger than any memory. Probabilities are put together when a text is scored:
+N-grams are counted by an exchange on a word that they share with the n-grams below them, so that a task settles two
+orders; those around very frequent words are dealt by context or one by one instead, and their contexts' sums are put
+together afterwards. The counts of lower orders are continuation counts (in how many different n-grams one order up does
+this stand). Each task writes its n-grams as sorted arrays of hashes to the shared folder, and workers memory-map these
+files to score texts, so the model may be larger than any memory. Probabilities are put together when a text is scored:
 
     p(w | context) = max(c - D(c), 0) / total(context) + gamma(context) * p(w | shorter context)
 
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import byte_blocks, crc_mod, lean, lean_group, mix, scatter, Scratch, shipped_by_value, text_bytes, WordHashes
+from quern.llm._common import byte_blocks, crc_mod, lean, lean_group, mix, Scratch, shipped_by_value, text_bytes, WordHashes
 
 A = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the marks before a text and after it; the latter is a token.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x5BD1E995E6546B64)
-#: Words that may count as frequent, and the documents they are taken from; they only say how n-grams are dealt.
-FREQUENT, SAMPLE_DOCS = 1024, 4_000
+#: Contexts of frequent words there may be on a level, and the documents frequent words are taken from; they only say
+#: how n-grams are dealt. The code of a word that isn't among the COMMON ones.
+FREQUENT, SAMPLE_DOCS, COMMON, RARE = 1 << 20, 4_000, 65_535, 65_535
 #: Files that a worker keeps mapped at once. Maps hold no descriptors where the language allows that.
 MAPS = 16_384 if sys.version_info >= (3, 13) else 512
 
@@ -64,11 +65,61 @@ def is_frequent(columns: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_key(context: np.ndarray, last: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Key of an n-gram, whose first bits say where it is dealt: the first 16 are the context's, or the n-gram's own
-    where it is dealt alone."""
-    own = mix(context * A + last)
-    return np.where(alone, own, context >> np.uint64(48) << np.uint64(48) | own >> np.uint64(16))
+@dataclass
+class Places:
+    """Of each n-gram: its key, its context's hash, whether it is dealt alone, whether its home word decides, the hash
+    whose first bits are its part, and the table of that part it is kept in."""
+
+    key: np.ndarray
+    context: np.ndarray
+    alone: np.ndarray
+    settled: np.ndarray
+    lead: np.ndarray
+    part: np.ndarray
+    table: np.ndarray
+
+
+@dataclass
+class Deal:
+    """Where n-grams go, in `1 << bits` parts.
+
+    Levels go in pairs from the top down, as long as the upper one has three words or more. An n-gram of the upper level
+    is dealt by its second word, its home, one of the lower by its first. So an n-gram, the n-gram without its first
+    word and the contexts of both are in one part, which settles two levels at once. Where the home word is a frequent
+    one, and on levels without a partner, the context decides instead, or the n-gram itself if its whole context is made
+    of frequent words; then the lower level is settled in a round of its own, in tables of their own.
+    """
+
+    order: int
+    bits: int
+    ranked: bytes
+
+    def __post_init__(self):
+        self.ranks = np.frombuffer(self.ranked, dtype=np.uint64)
+        self.frequent = {k: np.sort(self.ranks[: int(FREQUENT ** (1 / k) + 1e-9)]) for k in range(1, self.order)}
+
+    def upper(self, level: int) -> bool:
+        return level >= 3 and (self.order - level) % 2 == 0
+
+    def lower(self, level: int) -> bool:
+        return level >= 2 and (self.order - level) % 2 == 1
+
+    def place(self, columns: list[np.ndarray]) -> Places:
+        level, n = len(columns), len(columns[0])
+        no = np.zeros(n, dtype=bool)
+        if level == 1:
+            part = (columns[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+            return Places(columns[0], columns[0], no, no, columns[0], part, part)
+        context = context_hash(columns[:-1])
+        key = mix(context * A + columns[-1])
+        alone, settled, lead = is_frequent(columns[:-1], self.frequent[level - 1]), no, context
+        if self.upper(level) or self.lower(level):
+            home = columns[1 if self.upper(level) else 0]
+            settled = ~is_frequent([home], self.frequent[1])
+            lead = np.where(settled, home, context)
+        lead = np.where(alone, mix(key + A), lead)
+        part = (lead >> np.uint64(64 - self.bits)).astype(np.int64)
+        return Places(key, context, alone, settled, lead, part, part + (~settled << self.bits) if self.lower(level) else part)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -79,18 +130,19 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) for k in (1, 2, 3)]
 
 
-def _summed(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows with equal columns become one, in the order of the columns; values are added up."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    if not len(order):
-        return columns, values
-    new = np.zeros(len(order), dtype=bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], [np.add.reduceat(v[order], at) for v in values]
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
+
+
+def _summed(key: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Rows with equal keys become one, in the order of the keys; values are added up."""
+    if not len(key):
+        return key, columns, values
+    order = np.argsort(key)
+    key = key[order]
+    at = _runs(key)
+    return key[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) for v in values]
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -102,41 +154,118 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
 
-def _blocks(columns: list[np.ndarray], counts: np.ndarray, raw: np.ndarray, bits: int, frequent: np.ndarray):
-    """Rows (part, size, first, runs, rest, counts, raw) of n-grams sorted by first token, dealt by their keys. The
-    first tokens are sent once for each run."""
-    key = gram_key(context_hash(columns[:-1]), columns[-1], is_frequent(columns[:-1], frequent)) if len(columns) > 1 else columns[0]
-    part = (key >> np.uint64(64 - bits)).astype(np.int64)
+def _codes(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Two-byte numbers of the common words, RARE for others."""
+    if not len(common):
+        return np.full(len(words), RARE, dtype=np.uint16)
+    at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+    return np.where(common[at] == words, at, RARE).astype(np.uint16)
+
+
+def _blocks(deal: Deal, common: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, raw: np.ndarray) -> list[tuple]:
+    """Rows (level, kinds, part, size, words, counts, raw) of n-grams, dealt to their parts. Common words travel as two
+    bytes, in planes of high and low ones, sorted so that they compress; other words as their hashes."""
+    p = deal.place(columns)
+    codes = [_codes(c, common) for c in columns]
+    fine = codes[0].astype(np.uint64) << np.uint64(16) | codes[-1].astype(np.uint64)
+    order = np.argsort(p.lead >> np.uint64(32) << np.uint64(32) | fine)
+    part = p.part[order]
+    columns, codes, counts, raw = [c[order] for c in columns], [c[order] for c in codes], counts[order], raw[order]
+    edges = np.r_[_runs(part), len(part)].tolist()
     out = []
-    for p, first, *rest in scatter(part, 1 << bits, columns[0], *columns[1:], counts, raw):
-        first = np.frombuffer(first, dtype=np.uint64)
-        at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        runs = np.diff(np.r_[at, len(first)])
-        n, k = len(first), len(columns) - 1
-        c, r = (np.frombuffer(x, dtype=np.int64) for x in rest[k:])
-        same = np.array_equal(c, r)
-        out.append((p, n, first[at].tobytes(), runs.astype(np.uint32).tobytes(), b"".join(rest[:k]), _packed(c), None if same else _packed(r)))
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["part", "size", "first", "runs", "rest", "counts", "raw"])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        words = []
+        for c, x in zip(codes, columns, strict=True):
+            words += [c[a:b].view(np.uint8).reshape(-1, 2).T.tobytes(), x[a:b][c[a:b] == RARE].tobytes()]
+        same = np.array_equal(counts[a:b], raw[a:b])
+        out.append((len(columns), None, int(part[a]), b - a, b"".join(words), _packed(counts[a:b]), None if same else _packed(raw[a:b])))
+    return out
 
 
-BLOCK = "part int, size long, first binary, runs binary, rest binary, counts binary, raw binary"
+BLOCK = "level int, kinds array<long>, part int, size long, words binary, counts binary, raw binary"
 
 
-def _read_blocks(rows: list[dict], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    columns: list[list] = [[] for _ in range(order)]
+def _arrow(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = ("level", "kinds", "part", "size", "words", "counts", "raw")
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _read_blocks(rows: list[dict], level: int, common: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    columns: list[list] = [[] for _ in range(level)]
     counts, raw = [], []
     for r in rows:
-        n = r["size"]
-        columns[0].append(np.repeat(np.frombuffer(r["first"], dtype=np.uint64), np.frombuffer(r["runs"], dtype=np.uint32)))
-        rest = np.frombuffer(r["rest"], dtype=np.uint64).reshape(order - 1, n)
-        for k in range(order - 1):
-            columns[k + 1].append(rest[k])
+        n, at = r["size"], 0
+        for k in range(level):
+            codes = np.ascontiguousarray(np.frombuffer(r["words"], np.uint8, 2 * n, at).reshape(2, n).T).view(np.uint16).ravel()
+            at += 2 * n
+            rare = codes == RARE
+            m = int(rare.sum())
+            words = common[np.minimum(codes, len(common) - 1)] if len(common) else np.zeros(n, dtype=np.uint64)
+            if m:
+                words[rare] = np.frombuffer(r["words"], np.uint8, 8 * m, at).view(np.uint64)
+            at += 8 * m
+            columns[k].append(words)
         counts.append(_unpacked(r["counts"], n))
         raw.append(counts[-1] if r["raw"] is None else _unpacked(r["raw"], n))
     return [np.concatenate(c) for c in columns], np.concatenate(counts), np.concatenate(raw)
 
 
+def _buckets(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys as offsets by their first bits, some eight keys each, and the 32 bits that follow."""
+    k = max(0, len(keys).bit_length() - 3)
+    edges = np.arange(1, 1 << k, dtype=np.uint64) << np.uint64(64 - k) if k else np.zeros(0, dtype=np.uint64)
+    rest = (keys >> np.uint64(32 - k)).astype(np.uint32)
+    return {f"{name}_offsets": np.r_[0, np.searchsorted(keys, edges), len(keys)].astype(np.uint32), f"{name}_rest": rest}
+
+
+def _found(table: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
+    """Indices of keys among the table's, -1 for unknown ones: bisection within the bucket of each."""
+    offsets, rest = table[f"{name}_offsets"], table[f"{name}_rest"]
+    k = (len(offsets) - 1).bit_length() - 1
+    bucket = (keys >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(keys), dtype=np.int64)
+    mine = (keys >> np.uint64(32 - k)).astype(np.uint32)
+    low, end = offsets[bucket].astype(np.int64), offsets[bucket + 1].astype(np.int64)
+    if not len(rest):
+        return np.full(len(keys), -1)
+    high = end
+    for _ in range(int((end - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = (rest[np.minimum(mid, len(rest) - 1)] < mine) & (low < high)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    good = (low < end) & (rest[np.minimum(low, len(rest) - 1)] == mine)
+    return np.where(good, low, -1)
+
+
+def _coded(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of numbers as one byte each: the place in a list of the 255 most usual rows, or 255 and the row elsewhere."""
+    small = (values < 65536).all(axis=1)
+    packed = np.zeros(len(values), dtype=np.uint64)
+    for k in range(values.shape[1]):
+        packed |= values[:, k].astype(np.uint64) << np.uint64(16 * k)
+    kinds, inverse, n = np.unique(packed[small], return_inverse=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[:255]
+    code = np.full(len(kinds), 255, dtype=np.uint8)
+    code[top] = np.arange(len(top))
+    codes = np.full(len(values), 255, dtype=np.uint8)
+    codes[small] = code[inverse]
+    at = np.flatnonzero(codes == 255)
+    usual = np.stack([(kinds[top] >> np.uint64(16 * k)) & np.uint64(65535) for k in range(values.shape[1])], axis=1).astype(np.int64)
+    over = values[at]
+    over = over.astype(np.uint32) if over.max(initial=0) < 1 << 32 else over
+    return {f"{name}_codes": codes, f"{name}_usual": usual, f"{name}_at": at.astype(np.uint32), f"{name}_over": over}
+
+
+def _values(table: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    """The rows at some places."""
+    codes, usual = table[f"{name}_codes"][at], table[f"{name}_usual"]
+    out = usual[np.minimum(codes, max(len(usual) - 1, 0))] if len(usual) else np.zeros((len(at), usual.shape[1]), dtype=np.int64)
+    rare = codes == 255
+    if rare.any():
+        out[rare] = table[f"{name}_over"][np.searchsorted(table[f"{name}_at"], at[rare])]
+    return out
+
+
 def _remote(root: str):
     """(file system, path) of a folder that the operating system doesn't see, by pyarrow; None for one it does."""
     if "://" not in root or root.startswith("file://"):
@@ -152,7 +281,11 @@ def _local(root: str) -> str:
 
 def _names(level: int, part: int | str) -> tuple[str, ...]:
     """The arrays in a file, in order."""
-    return ("counts", "keys") if level == 1 else ("contexts", "stats") if part == "frequent" else ("contexts", "counts", "keys", "stats")
+    if level == 1:
+        return "counts", "keys"
+    if part == "frequent":
+        return "contexts", "stats"
+    return tuple(f"{name}_{x}" for name in ("keys", "contexts") for x in ("offsets", "rest")) + tuple(f"{name}_{x}" for name in ("counts", "stats") for x in ("codes", "usual", "at", "over"))
 
 
 def _save(root: str, level: int, part: int | str, arrays: dict[str, np.ndarray]) -> None:
@@ -193,7 +326,7 @@ def _load(root: str, level: int, part: int | str) -> dict[str, np.ndarray] | Non
         np.lib.format.read_magic(stream)
         shape, _, dtype = np.lib.format.read_array_header_1_0(stream)
         n = int(np.prod(shape))
-        out[name] = np.frombuffer(data, dtype, n, stream.tell()).reshape(shape)
+        out[name] = np.frombuffer(data, dtype, n, stream.tell()).reshape(shape) if n else np.zeros(shape, dtype)
         stream.seek(n * dtype.itemsize, 1)
     return out
 
@@ -201,7 +334,7 @@ def _load(root: str, level: int, part: int | str) -> dict[str, np.ndarray] | Non
 @dataclass
 class Model:
     """Where the arrays are, and the numbers that go with them: per level its discounts; of the lowest level the
-    continuations in all, those of 1, 2 and 3 or more; tokens in all and distinct ones."""
+    continuations in all, those of 1, 2 and 3 or more; tokens in all and distinct ones; frequent words by rank."""
 
     root: str
     order: int
@@ -215,44 +348,60 @@ class Model:
 
 
 class Reader:
-    """Memory-mapped arrays of a model, the MAPS last used ones."""
+    """Memory-mapped arrays of a model, the MAPS last used files."""
 
     def __init__(self, model: Model):
         self.m, self.open = model, OrderedDict()
-        self.frequent = np.frombuffer(model.frequent, dtype=np.uint64)
+        self.deal = Deal(model.order, model.bits, model.frequent)
 
-    def array(self, level: int, part: int | str, name: str):
+    def arrays(self, level: int, part: int | str) -> dict[str, np.ndarray] | None:
         key = level, part
         if key not in self.open:
             if len(self.open) >= MAPS:
                 self.open.popitem(last=False)
             self.open[key] = _load(self.m.root, level, part)
         self.open.move_to_end(key)
-        return self.open[key][name] if self.open[key] else None
+        return self.open[key]
 
-    def find(self, level: int, keys: np.ndarray, by: str, value: str, fields: int) -> np.ndarray:
-        """Values (rows of `fields` numbers) of sorted distinct keys; 0 where a key is unknown."""
-        out = np.zeros((len(keys), fields))
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        """Continuations and occurrences of sorted distinct words; 0 where one is unknown."""
+        out = np.zeros((len(keys), 2))
         part = (keys >> np.uint64(64 - self.m.bits)).astype(np.int64)
-        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(keys) else []
+        edges = np.r_[_runs(part), len(part)].tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            table = self.array(level, int(part[a]), by)
-            if table is None or not len(table):
+            table = self.arrays(1, int(part[a]))
+            if table is None or not len(table["keys"]):
                 continue
-            at = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
-            good = table[at] == keys[a:b]
-            out[a:b][good] = self.array(level, int(part[a]), value)[at[good]].reshape(-1, fields)
+            at = np.minimum(np.searchsorted(table["keys"], keys[a:b]), len(table["keys"]) - 1)
+            good = table["keys"][at] == keys[a:b]
+            out[a:b][good] = table["counts"][at[good]]
         return out
 
-    def contexts(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Sums of sorted distinct contexts; those of frequent words stand in arrays of their own."""
-        out = self.find(level, keys, "contexts", "stats", 4)
-        table = self.array(level, "frequent", "contexts")
-        if table is not None and len(table):
-            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-            good = table[at] == keys
-            out[good] = self.array(level, "frequent", "stats")[at[good]]
-        return out
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams, and the sums of their contexts (in all, of 1, 2 and more); 0 where they are unknown."""
+        level, n = len(columns), len(columns[0])
+        p = self.deal.place(columns)
+        counts, stats = np.zeros(n), np.zeros((n, 4))
+        contexts = mix(p.context + A)
+        order = np.argsort(p.table, kind="stable")
+        edges = np.r_[_runs(p.table[order]), n].tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            of = order[a:b]
+            table = self.arrays(level, int(p.table[of[0]]))
+            if table is None:
+                continue
+            at = _found(table, "keys", p.key[of])
+            counts[of[at >= 0]] = _values(table, "counts", at[at >= 0])[:, 0]
+            of = of[~p.alone[of]]
+            at = _found(table, "contexts", contexts[of])
+            stats[of[at >= 0]] = _values(table, "stats", at[at >= 0])
+        alone = np.flatnonzero(p.alone)
+        table = self.arrays(level, "frequent") if len(alone) else None
+        if table is not None and len(table["contexts"]):
+            at = np.minimum(np.searchsorted(table["contexts"], p.context[alone]), len(table["contexts"]) - 1)
+            good = table["contexts"][at] == p.context[alone]
+            stats[alone[good]] = table["stats"][at[good]]
+        return counts, stats
 
 
 def discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
@@ -265,23 +414,16 @@ def score_texts(texts: list[bytes], reader: Reader, hashes: WordHashes) -> list[
     stream, owner = token_stream(texts, hashes, m.order)
     real = np.flatnonzero(owner >= 0)
     words, inverse = np.unique(stream[real], return_inverse=True)
-    found = reader.find(1, words, "keys", "counts", 2)  # continuations, tokens
+    found = reader.words(words)
     raw = found[:, 1][inverse]
     weights = sum(d * n for d, n in zip(m.discounts[0], m.kinds, strict=True))
     total = max(m.total, 1)
     p = (discounted(found[:, 0], m.discounts[0]) / total + (weights / total if m.total else 1.0) / (m.vocabulary + 1))[inverse]
     for level in range(2, m.order + 1):
-        before = [stream[real - k] for k in range(level - 1, 0, -1)]
-        context = context_hash(before)
-        keys, at = np.unique(gram_key(context, stream[real], is_frequent(before, reader.frequent)), return_inverse=True)
-        counts = reader.find(level, keys, "keys", "counts", 1)[:, 0][at]
-        contexts, at = np.unique(context, return_inverse=True)
-        stats = reader.contexts(level, contexts)
-        d = m.discounts[level - 1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gamma = np.where(stats[:, 0] > 0, (d[0] * stats[:, 1] + d[1] * stats[:, 2] + d[2] * stats[:, 3]) / stats[:, 0], 1.0)[at]
-            seen = stats[:, 0][at]
-            p = np.where(seen > 0, discounted(counts, d) / np.maximum(seen, 1), 0.0) + gamma * p
+        counts, stats = reader.grams([stream[real - k] for k in range(level - 1, -1, -1)])
+        d, seen = m.discounts[level - 1], np.maximum(stats[:, 0], 1)
+        gamma = np.where(stats[:, 0] > 0, (d[0] * stats[:, 1] + d[1] * stats[:, 2] + d[2] * stats[:, 3]) / seen, 1.0)
+        p = np.where(stats[:, 0] > 0, discounted(counts, d) / seen, 0.0) + gamma * p
     base = np.log10((raw + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
     n = len(texts)
     of = owner[real]
@@ -289,12 +431,12 @@ def score_texts(texts: list[bytes], reader: Reader, hashes: WordHashes) -> list[
     return [(int(a), int(b), float(c), float(d)) for a, b, c, d in zip(*sums, strict=True)]
 
 
-def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_tokens: int = 4_000_000) -> Model:
+def train(texts: DataFrame, order: int = 3, part_grams: int = 1_000_000, task_tokens: int = 2_000_000) -> Model:
     """Counts the n-grams of texts(text); a null text is an empty one. No n-gram is pruned.
 
-    A task sums up task_tokens tokens before it sends their n-grams. Contexts are dealt by hash, but n-grams after
-    frequent words one by one: words that would take up an eighth of a part and more, by a sample of about SAMPLE_DOCS texts,
-    FREQUENT of them at most. The sample changes no count.
+    A task sums up task_tokens tokens before it sends their n-grams, which are dealt as Deal says. Words that would take
+    up an eighth of a part and more, by a sample of about SAMPLE_DOCS texts, are the frequent ones; the COMMON most
+    usual of the sample travel as short codes. The sample changes no count.
     """
     if order < 2:
         raise ValueError("order must be at least 2")
@@ -302,15 +444,16 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
     scratch = Scratch(spark)
     root = scratch.path("model")
     bits = max(3, min(16, (text_bytes(texts) // 5 // part_grams).bit_length()))
-    frequent = _frequent(texts, 1 / (8 << bits))
+    common, ranked = _usual_words(texts, 1 / (8 << bits))
+    deal = Deal(order, bits, ranked.tobytes())
 
     def send(batches):
         hashes, parts, n = WordHashes(), [], 0
 
         def flush():
             columns = [np.concatenate([p[k] for p in parts]) for k in range(order)]
-            columns, (counts,) = _summed(columns, [np.ones(len(columns[0]), dtype=np.int64)])
-            return _blocks(columns, counts, counts, bits, frequent)
+            _, columns, (counts,) = _summed(deal.place(columns).key, columns, [np.ones(len(columns[0]), dtype=np.int64)])
+            return _arrow(_blocks(deal, common, columns, counts, counts)).to_batches()
 
         for b in batches:
             for _, block in byte_blocks(b.column(0)):
@@ -319,31 +462,37 @@ def train(texts: DataFrame, order: int = 2, part_grams: int = 1_000_000, task_to
                 parts.append([stream[real - k] for k in range(order - 1, -1, -1)])
                 n += len(real)
                 if n >= task_tokens:
-                    yield flush()
+                    yield from flush()
                     parts, n = [], 0
         if parts:
-            yield flush()
+            yield from flush()
 
     sent = texts.select("text").mapInArrow(lean(send), BLOCK)
-    levels, numbers = [], {}
+    numbers = {level: [0] * 8 for level in range(1, order + 1)}
+    tables: dict[int, DataFrame] = {}
     for level in range(order, 0, -1):
-        merged = sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, bits, frequent)), "kinds array<long>, " + BLOCK)
-        done = scratch.table(merged, f"level{level}")
-        levels.append(level)
+        if level < order:
+            sent = tables[level + 1].where((F.col("level") == level) & F.col("kinds").isNull())
+        if level + 2 in tables:
+            sent = sent.union(tables[level + 2].where((F.col("level") == level) & F.col("kinds").isNull()))
+        merged = sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, deal, common)), BLOCK)
+        tables[level] = done = scratch.table(merged, f"level{level}")
         sums = [F.sum(F.get("kinds", F.lit(k))).alias(f"k{k}") for k in range(8)]
-        numbers[level] = [x or 0 for x in done.where("kinds is not null").agg(*sums).first()]
+        for r in done.where("kinds is not null").groupBy("level").agg(*sums).collect():  # two rows at most
+            numbers[r["level"]] = [a + b for a, b in zip(numbers[r["level"]], r[1:], strict=True)]
         if level > 1:
-            _save_frequent(root, level, done.where("kinds is not null and first is not null").select("first", "rest"))
-        sent = done.where("kinds is null").drop("kinds")
-        if level < order:
-            scratch.drop(f"level{level + 1}")
+            _save_frequent(root, level, done.where(f"kinds is not null and words is not null and level = {level}").select("words", "counts"))
+        if level + 2 in tables:
+            scratch.drop(f"level{level + 2}")
     scratch.drop("level1")
+    scratch.drop("level2")
     low = numbers[1]
-    return Model(root, order, bits, [discounts(numbers[k][:4]) for k in range(1, order + 1)], low[5], [low[0], low[1], low[4]], low[6], low[7], frequent.tobytes())
+    return Model(root, order, bits, [discounts(numbers[k][:4]) for k in range(1, order + 1)], low[5], [low[0], low[1], low[4]], low[6], low[7], ranked.tobytes())
 
 
-def _frequent(texts: DataFrame, share: float) -> np.ndarray:
-    """Sorted hashes of the words, and marks, that take up more than the share of a bounded sample's tokens."""
+def _usual_words(texts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bounded sample: sorted hashes of its COMMON most usual words and marks; and those that take up more than the
+    share of its tokens, by rank."""
 
     def count(batches):
         hashes = WordHashes()
@@ -355,67 +504,72 @@ def _frequent(texts: DataFrame, share: float) -> np.ndarray:
 
     sample = texts.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, texts.count())), seed=17).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # the sample is bounded
-    top = sample.withColumn("total", total).where(F.col("n") > F.lit(share) * F.col("total")).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    return np.sort(np.array([r["word"] for r in top.select("word").collect()], dtype=np.int64).view(np.uint64))  # FREQUENT rows
+    top = sample.withColumn("total", total).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
+    return np.sort(hashes), hashes[: sum(r["n"] > share * r["total"] for r in top)]
 
 
 def _save_frequent(root: str, level: int, partial: DataFrame) -> None:
-    """Adds up what the parts say of contexts of frequent words; there are at most FREQUENT ** (level - 1)."""
+    """Adds up what the parts say of contexts of frequent words; there are at most FREQUENT."""
     sums: dict[int, np.ndarray] = {}
     for r in partial.toLocalIterator():
-        own = np.frombuffer(r["rest"], dtype=np.int64).reshape(-1, 4)
-        for c, x in zip(np.frombuffer(r["first"], dtype=np.uint64).tolist(), own, strict=True):
+        own = np.frombuffer(r["counts"], dtype=np.int64).reshape(-1, 4)
+        for c, x in zip(np.frombuffer(r["words"], dtype=np.uint64).tolist(), own, strict=True):
             sums[c] = sums[c] + x if c in sums else x
     keys = np.array(sorted(sums), dtype=np.uint64)
     _save(root, level, "frequent", {"contexts": keys, "stats": np.array([sums[c] for c in keys.tolist()], dtype=np.int64).reshape(-1, 4)})
 
 
-def _merger(root: str, level: int, bits: int, frequent: np.ndarray):
-    """Sums up a part's n-grams, saves them, and hands on the n-grams one order down."""
+def _merger(root: str, level: int, deal: Deal, common: np.ndarray):
+    """Sums up a part's n-grams, saves them, and hands on the n-grams below that it can't settle itself."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        columns, (counts, raw) = _summed_rows(table.to_pylist(), level)
+    def keep(columns: list[np.ndarray], key: np.ndarray, counts: np.ndarray, raw: np.ndarray) -> tuple:
+        """Saves n-grams in the order of their keys; the row that tells what is to be added up over all parts."""
+        size = len(columns)
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), int(raw.sum()), len(counts)]
-        empty = [None] * 7
+        p = deal.place(columns)
+        if size == 1:
+            _save(root, 1, int(p.table[0]), {"keys": key, "counts": np.stack([counts, raw], axis=1)})
+            return 1, kinds, None, None, None, None, None
+        owner, stats = _context_stats(mix(p.context + A)[~p.alone], counts[~p.alone])
+        partial, sums = _context_stats(p.context[p.alone], counts[p.alone])
+        _save(root, size, int(p.table[0]), _buckets("keys", key) | _buckets("contexts", owner) | _coded("counts", counts[:, None]) | _coded("stats", stats))
+        return size, kinds, None, None, partial.tobytes() if len(partial) else None, sums.tobytes(), None
+
+    def down(columns: list[np.ndarray], raw: np.ndarray):
+        """The n-grams one word shorter: key, columns, in how many n-grams each stands, occurrences."""
+        below = columns[1:]
+        key, below, (continued, raw) = _summed(deal.place(below).key, below, [np.ones(len(raw), dtype=np.int64), raw])
+        return key, below, continued, raw
+
+    def merge(table: pa.Table) -> pa.Table:
+        columns, counts, raw = _read_blocks(table.to_pylist(), level, common)
+        key, columns, (counts, raw) = _summed(deal.place(columns).key, columns, [counts, raw])
+        out = [keep(columns, key, counts, raw)]
         if level == 1:
-            _save(root, 1, part, {"keys": columns[0], "counts": np.stack([counts, raw], axis=1)})
-            return _result([(kinds, *empty)])
-        context, alone = context_hash(columns[:-1]), is_frequent(columns[:-1], frequent)
-        key = gram_key(context, columns[-1], alone)
-        by = np.argsort(key, kind="stable")
-        small = counts.max(initial=0) < 256
-        owner, stats = _context_stats(context[~alone], counts[~alone])
-        partial, sums = _context_stats(context[alone], counts[alone])
-        _save(root, level, part, {"keys": key[by], "counts": counts[by].astype(np.uint8 if small else np.uint32), "contexts": owner, "stats": stats})
-        lower, (continued, raw) = _summed(columns[1:], [np.ones(len(counts), dtype=np.int64), raw])
-        out = _blocks(lower, continued, raw, bits, frequent).to_pylist()
-        told = [(kinds, None, None, partial.tobytes() if len(partial) else None, None, sums.astype(np.int64).tobytes(), None, None)]
-        return _result([*told, *[(None, *(r[k] for k in ("part", "size", "first", "runs", "rest", "counts", "raw"))) for r in out]])
+            return _arrow(out)
+        own = deal.place(columns).settled if deal.upper(level) else np.zeros(len(key), dtype=bool)
+        if own.any():
+            key, below, continued, total = down([c[own] for c in columns], raw[own])
+            out.append(keep(below, key, continued, total))
+            _, below, continued, total = down(below, total)
+            out += _blocks(deal, common, below, continued, total)
+        if not own.all():
+            _, below, continued, total = down([c[~own] for c in columns], raw[~own])
+            out += _blocks(deal, common, below, continued, total)
+        return _arrow(out)
 
     return merge
 
 
-def _summed_rows(rows: list[dict], level: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    columns, counts, raw = _read_blocks(rows, level)
-    return _summed(columns, [counts, raw])
-
-
 def _context_stats(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted contexts, and of each the sum of its counts and how many are 1, 2 and more."""
-    order = np.argsort(context, kind="stable")
+    if not len(context):
+        return context, np.zeros((0, 4), dtype=np.int64)
+    order = np.argsort(context)
     c, n = context[order], counts[order]
-    at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, dtype=np.int64)
-    if not len(c):
-        return c, np.zeros((0, 4), dtype=np.uint32)
-    columns = [n, n == 1, n == 2, n > 2]
-    return c[at], np.stack([np.add.reduceat(x.astype(np.int64), at) for x in columns], axis=1).astype(np.uint32)
-
-
-def _result(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names = ("kinds", "part", "size", "first", "runs", "rest", "counts", "raw")
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+    at = _runs(c)
+    return c[at], np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n > 2)], axis=1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -439,7 +593,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return marked.mapInArrow(lean(rows), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def score_report(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_report(docs: DataFrame, order: int = 3) -> DataFrame:
     """Trains on the documents whose crc32(doc_id) mod 5 isn't 1 and scores all of them. A null id is never held out;
     null and empty texts are one end token; repeated rows count as often as they stand there."""
     return score(docs, train(docs.where(crc_mod(F.col("doc_id"), 5) != 1), order))

@@ -249,7 +249,7 @@ def brute_scores(items, order):
     return sorted(out), p, raw
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4, 5])
 def test_lm_scores(docs, odd, order):
     for source in (docs, odd):
         expected, p, raw = brute_scores(pairs(source), order)
