@@ -185,12 +185,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Token bytes -> 64-bit hash, remembered; forgets everything at 150,000 entries to stay small."""
 
-    def __missing__(self, token: bytes) -> int:
+    def __init__(self):
         from xxhash import xxh3_64_intdigest
 
+        super().__init__()
+        self.digest = xxh3_64_intdigest
+
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= 150_000:
             self.clear()
-        self[token] = h = xxh3_64_intdigest(token)
+        self[token] = h = self.digest(token)
         return h
 
     def of(self, tokens: list[bytes]) -> np.ndarray:

@@ -57,14 +57,6 @@ def context_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def is_frequent(columns: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
-    """Whether all words of a context are among the (sorted) frequent ones."""
-    out = np.ones(len(columns[0]), dtype=bool)
-    for c in columns:
-        out &= frequent[np.minimum(np.searchsorted(frequent, c), len(frequent) - 1)] == c if len(frequent) else False
-    return out
-
-
 @dataclass
 class Places:
     """Of each n-gram: its key, its context's hash, whether it is dealt alone, whether its home word decides, the hash
@@ -93,10 +85,22 @@ class Deal:
     order: int
     bits: int
     ranked: bytes
+    frequent: int
 
     def __post_init__(self):
-        self.ranks = np.frombuffer(self.ranked, dtype=np.uint64)
-        self.frequent = {k: np.sort(self.ranks[: int(FREQUENT ** (1 / k) + 1e-9)]) for k in range(1, self.order)}
+        self.words = np.frombuffer(self.ranked, dtype=np.uint64)
+        self.code = np.argsort(self.words).astype(np.uint16)
+        self.sorted = self.words[self.code]
+        self.most = {k: min(self.frequent, int(FREQUENT ** (1 / k) + 1e-9)) for k in range(1, self.order)}
+        # Single words are few next to n-grams, so fewer parts hold them.
+        self.word_bits = (2 * self.bits + 2) // 3
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Ranks of the usual words, RARE for others."""
+        if not len(self.sorted):
+            return np.full(len(words), RARE, dtype=np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.code[at], np.uint16(RARE))
 
     def upper(self, level: int) -> bool:
         return level >= 3 and (self.order - level) % 2 == 0
@@ -104,20 +108,25 @@ class Deal:
     def lower(self, level: int) -> bool:
         return level >= 2 and (self.order - level) % 2 == 1
 
-    def place(self, columns: list[np.ndarray]) -> Places:
+    def place(self, columns: list[np.ndarray], codes: list[np.ndarray]) -> Places:
+        """Places of n-grams by their words' hashes and codes."""
         level, n = len(columns), len(columns[0])
         no = np.zeros(n, dtype=bool)
         if level == 1:
-            part = (columns[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+            part = (columns[0] >> np.uint64(64 - self.word_bits)).astype(np.int64)
             return Places(columns[0], columns[0], no, no, columns[0], part, part)
         context = context_hash(columns[:-1])
         key = mix(context * A + columns[-1])
-        alone, settled, lead = is_frequent(columns[:-1], self.frequent[level - 1]), no, context
+        alone = codes[0] < self.most[level - 1]
+        for c in codes[1:-1]:
+            alone &= c < self.most[level - 1]
+        settled, lead = no, context
         if self.upper(level) or self.lower(level):
-            home = columns[1 if self.upper(level) else 0]
-            settled = ~is_frequent([home], self.frequent[1])
-            lead = np.where(settled, home, context)
-        lead = np.where(alone, mix(key + A), lead)
+            home = 1 if self.upper(level) else 0
+            settled = codes[home] >= self.most[1]
+            lead = np.where(settled, columns[home], context)
+        if alone.any():
+            lead = np.where(alone, mix(key + A), lead)
         part = (lead >> np.uint64(64 - self.bits)).astype(np.int64)
         return Places(key, context, alone, settled, lead, part, part + (~settled << self.bits) if self.lower(level) else part)
 
@@ -154,61 +163,54 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
 
-def _codes(words: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Two-byte numbers of the common words, RARE for others."""
-    if not len(common):
-        return np.full(len(words), RARE, dtype=np.uint16)
-    at = np.minimum(np.searchsorted(common, words), len(common) - 1)
-    return np.where(common[at] == words, at, RARE).astype(np.uint16)
-
-
-def _blocks(deal: Deal, common: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, raw: np.ndarray) -> list[tuple]:
-    """Rows (level, kinds, part, size, words, counts, raw) of n-grams, dealt to their parts. Common words travel as two
-    bytes, in planes of high and low ones, sorted so that they compress; other words as their hashes."""
-    p = deal.place(columns)
-    codes = [_codes(c, common) for c in columns]
+def _blocks(deal: Deal, columns: list[np.ndarray], codes: list[np.ndarray], counts: np.ndarray, raw: np.ndarray) -> list[tuple]:
+    """Rows (level, kinds, part, size, high, low, words, counts, raw) of n-grams, dealt to their parts. Usual words travel
+    as their ranks, in compressed planes of high and low bytes; others as their hashes."""
+    p = deal.place(columns, codes)
     fine = codes[0].astype(np.uint64) << np.uint64(16) | codes[-1].astype(np.uint64)
     order = np.argsort(p.lead >> np.uint64(32) << np.uint64(32) | fine)
     part = p.part[order]
-    columns, codes, counts, raw = [c[order] for c in columns], [c[order] for c in codes], counts[order], raw[order]
+    planes = [c[order].view(np.uint8).reshape(-1, 2) for c in codes]
+    columns, rare, counts, raw = [c[order] for c in columns], [c[order] == RARE for c in codes], counts[order], raw[order]
     edges = np.r_[_runs(part), len(part)].tolist()
+    squeeze = pa.Codec("zstd", compression_level=1).compress
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        words = []
-        for c, x in zip(codes, columns, strict=True):
-            words += [c[a:b].view(np.uint8).reshape(-1, 2).T.tobytes(), x[a:b][c[a:b] == RARE].tobytes()]
-        same = np.array_equal(counts[a:b], raw[a:b])
-        out.append((len(columns), None, int(part[a]), b - a, b"".join(words), _packed(counts[a:b]), None if same else _packed(raw[a:b])))
+        high, low = (squeeze(b"".join(x[a:b, k].tobytes() for x in planes), asbytes=True) for k in (1, 0))
+        words = b"".join(x[a:b][r[a:b]].tobytes() for x, r in zip(columns, rare, strict=True))
+        c, r = _packed(counts[a:b]), _packed(raw[a:b])
+        out.append((len(columns), None, int(part[a]), b - a, high, low, words, c, None if c == r else r))
     return out
 
 
-BLOCK = "level int, kinds array<long>, part int, size long, words binary, counts binary, raw binary"
+BLOCK = "level int, kinds array<long>, part int, size long, high binary, low binary, words binary, counts binary, raw binary"
 
 
 def _arrow(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ("level", "kinds", "part", "size", "words", "counts", "raw")
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+    names = ("level", "kinds", "part", "size", "high", "low", "words", "counts", "raw")
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _read_blocks(rows: list[dict], level: int, common: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    columns: list[list] = [[] for _ in range(level)]
-    counts, raw = [], []
+def _read_blocks(rows: list[dict], level: int, deal: Deal) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns of hashes, columns of codes, counts, occurrences."""
+    columns, all_codes, counts, raw = [[] for _ in range(level)], [[] for _ in range(level)], [], []
+    expand = pa.Codec("zstd").decompress
     for r in rows:
         n, at = r["size"], 0
+        high, low = (np.frombuffer(expand(r[x], level * n), np.uint8).reshape(level, n) for x in ("high", "low"))
         for k in range(level):
-            codes = np.ascontiguousarray(np.frombuffer(r["words"], np.uint8, 2 * n, at).reshape(2, n).T).view(np.uint16).ravel()
-            at += 2 * n
+            codes = high[k].astype(np.uint16) << np.uint16(8) | low[k]
             rare = codes == RARE
             m = int(rare.sum())
-            words = common[np.minimum(codes, len(common) - 1)] if len(common) else np.zeros(n, dtype=np.uint64)
-            if m:
-                words[rare] = np.frombuffer(r["words"], np.uint8, 8 * m, at).view(np.uint64)
+            words = deal.words[np.minimum(codes, len(deal.words) - 1)] if len(deal.words) else np.zeros(n, dtype=np.uint64)
+            words[rare] = np.frombuffer(r["words"][at : at + 8 * m], np.uint64)
             at += 8 * m
             columns[k].append(words)
+            all_codes[k].append(codes)
         counts.append(_unpacked(r["counts"], n))
         raw.append(counts[-1] if r["raw"] is None else _unpacked(r["raw"], n))
-    return [np.concatenate(c) for c in columns], np.concatenate(counts), np.concatenate(raw)
+    return [np.concatenate(c) for c in columns], [np.concatenate(c) for c in all_codes], np.concatenate(counts), np.concatenate(raw)
 
 
 def _buckets(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -282,7 +284,7 @@ def _local(root: str) -> str:
 def _names(level: int, part: int | str) -> tuple[str, ...]:
     """The arrays in a file, in order."""
     if level == 1:
-        return "counts", "keys"
+        return "keys", "counts_codes", "counts_usual", "counts_at", "counts_over"
     if part == "frequent":
         return "contexts", "stats"
     return tuple(f"{name}_{x}" for name in ("keys", "contexts") for x in ("offsets", "rest")) + tuple(f"{name}_{x}" for name in ("counts", "stats") for x in ("codes", "usual", "at", "over"))
@@ -352,7 +354,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m, self.open = model, OrderedDict()
-        self.deal = Deal(model.order, model.bits, model.frequent)
+        self.deal = Deal(model.order, model.bits, model.frequent, len(model.frequent) // 8)
 
     def arrays(self, level: int, part: int | str) -> dict[str, np.ndarray] | None:
         key = level, part
@@ -366,7 +368,7 @@ class Reader:
     def words(self, keys: np.ndarray) -> np.ndarray:
         """Continuations and occurrences of sorted distinct words; 0 where one is unknown."""
         out = np.zeros((len(keys), 2))
-        part = (keys >> np.uint64(64 - self.m.bits)).astype(np.int64)
+        part = (keys >> np.uint64(64 - self.deal.word_bits)).astype(np.int64)
         edges = np.r_[_runs(part), len(part)].tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             table = self.arrays(1, int(part[a]))
@@ -374,27 +376,28 @@ class Reader:
                 continue
             at = np.minimum(np.searchsorted(table["keys"], keys[a:b]), len(table["keys"]) - 1)
             good = table["keys"][at] == keys[a:b]
-            out[a:b][good] = table["counts"][at[good]]
+            out[a:b][good] = _values(table, "counts", at[good])
         return out
 
-    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, columns: list[np.ndarray], codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of n-grams, and the sums of their contexts (in all, of 1, 2 and more); 0 where they are unknown."""
         level, n = len(columns), len(columns[0])
-        p = self.deal.place(columns)
+        p = self.deal.place(columns, codes)
         counts, stats = np.zeros(n), np.zeros((n, 4))
-        contexts = mix(p.context + A)
-        order = np.argsort(p.table, kind="stable")
-        edges = np.r_[_runs(p.table[order]), n].tolist()
+        order = np.argsort(p.table.astype(np.uint16 if self.m.bits < 16 else np.uint32), kind="stable")
+        table_of, keys, contexts, alone = p.table[order], p.key[order], mix(p.context + A)[order], p.alone[order]
+        edges = np.r_[_runs(table_of), n].tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            of = order[a:b]
-            table = self.arrays(level, int(p.table[of[0]]))
+            of, table = order[a:b], self.arrays(level, int(table_of[a]))
             if table is None:
                 continue
-            at = _found(table, "keys", p.key[of])
-            counts[of[at >= 0]] = _values(table, "counts", at[at >= 0])[:, 0]
-            of = of[~p.alone[of]]
-            at = _found(table, "contexts", contexts[of])
-            stats[of[at >= 0]] = _values(table, "stats", at[at >= 0])
+            at = _found(table, "contexts", contexts[a:b])
+            at[alone[a:b]] = -1
+            seen = np.flatnonzero(at >= 0)
+            stats[of[seen]] = _values(table, "stats", at[seen])
+            seen = np.flatnonzero((at >= 0) | alone[a:b])  # nothing is known after an unknown context
+            at = _found(table, "keys", keys[a:b][seen])
+            counts[of[seen[at >= 0]]] = _values(table, "counts", at[at >= 0])[:, 0]
         alone = np.flatnonzero(p.alone)
         table = self.arrays(level, "frequent") if len(alone) else None
         if table is not None and len(table["contexts"]):
@@ -419,8 +422,9 @@ def score_texts(texts: list[bytes], reader: Reader, hashes: WordHashes) -> list[
     weights = sum(d * n for d, n in zip(m.discounts[0], m.kinds, strict=True))
     total = max(m.total, 1)
     p = (discounted(found[:, 0], m.discounts[0]) / total + (weights / total if m.total else 1.0) / (m.vocabulary + 1))[inverse]
+    codes = reader.deal.codes(stream)
     for level in range(2, m.order + 1):
-        counts, stats = reader.grams([stream[real - k] for k in range(level - 1, -1, -1)])
+        counts, stats = reader.grams(*[[x[real - k] for k in range(level - 1, -1, -1)] for x in (stream, codes)])
         d, seen = m.discounts[level - 1], np.maximum(stats[:, 0], 1)
         gamma = np.where(stats[:, 0] > 0, (d[0] * stats[:, 1] + d[1] * stats[:, 2] + d[2] * stats[:, 3]) / seen, 1.0)
         p = np.where(stats[:, 0] > 0, discounted(counts, d) / seen, 0.0) + gamma * p
@@ -444,22 +448,23 @@ def train(texts: DataFrame, order: int = 3, part_grams: int = 1_000_000, task_to
     scratch = Scratch(spark)
     root = scratch.path("model")
     bits = max(3, min(16, (text_bytes(texts) // 5 // part_grams).bit_length()))
-    common, ranked = _usual_words(texts, 1 / (8 << bits))
-    deal = Deal(order, bits, ranked.tobytes())
+    usual, frequent = _usual_words(texts, 1 / (8 << bits))
+    deal = Deal(order, bits, usual.tobytes(), frequent)
 
     def send(batches):
         hashes, parts, n = WordHashes(), [], 0
 
         def flush():
-            columns = [np.concatenate([p[k] for p in parts]) for k in range(order)]
-            _, columns, (counts,) = _summed(deal.place(columns).key, columns, [np.ones(len(columns[0]), dtype=np.int64)])
-            return _arrow(_blocks(deal, common, columns, counts, counts)).to_batches()
+            both = [np.concatenate([p[k] for p in parts]) for k in range(2 * order)]
+            key = mix(context_hash(both[: order - 1]) * A + both[order - 1])
+            _, both, (counts,) = _summed(key, both, [np.ones(len(key), dtype=np.int64)])
+            return _arrow(_blocks(deal, both[:order], both[order:], counts, counts)).to_batches()
 
         for b in batches:
             for _, block in byte_blocks(b.column(0)):
                 stream, owner = token_stream(block, hashes, order)
                 real = np.flatnonzero(owner >= 0)
-                parts.append([stream[real - k] for k in range(order - 1, -1, -1)])
+                parts.append([x[real - k] for x in (stream, deal.codes(stream)) for k in range(order - 1, -1, -1)])
                 n += len(real)
                 if n >= task_tokens:
                     yield from flush()
@@ -475,8 +480,8 @@ def train(texts: DataFrame, order: int = 3, part_grams: int = 1_000_000, task_to
             sent = tables[level + 1].where((F.col("level") == level) & F.col("kinds").isNull())
         if level + 2 in tables:
             sent = sent.union(tables[level + 2].where((F.col("level") == level) & F.col("kinds").isNull()))
-        merged = sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, deal, common)), BLOCK)
-        tables[level] = done = scratch.table(merged, f"level{level}")
+        # No name for what is written, so that its exchange's files can go.
+        tables[level] = done = scratch.table(sent.groupBy("part").applyInArrow(lean_group(_merger(root, level, deal)), BLOCK), f"level{level}")
         sums = [F.sum(F.get("kinds", F.lit(k))).alias(f"k{k}") for k in range(8)]
         for r in done.where("kinds is not null").groupBy("level").agg(*sums).collect():  # two rows at most
             numbers[r["level"]] = [a + b for a, b in zip(numbers[r["level"]], r[1:], strict=True)]
@@ -487,12 +492,12 @@ def train(texts: DataFrame, order: int = 3, part_grams: int = 1_000_000, task_to
     scratch.drop("level1")
     scratch.drop("level2")
     low = numbers[1]
-    return Model(root, order, bits, [discounts(numbers[k][:4]) for k in range(1, order + 1)], low[5], [low[0], low[1], low[4]], low[6], low[7], ranked.tobytes())
+    return Model(root, order, bits, [discounts(numbers[k][:4]) for k in range(1, order + 1)], low[5], [low[0], low[1], low[4]], low[6], low[7], usual[:frequent].tobytes())
 
 
-def _usual_words(texts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bounded sample: sorted hashes of its COMMON most usual words and marks; and those that take up more than the
-    share of its tokens, by rank."""
+def _usual_words(texts: DataFrame, share: float) -> tuple[np.ndarray, int]:
+    """Of a bounded sample: hashes of its COMMON most usual words and marks, by rank; how many of them take up more than
+    the share of its tokens."""
 
     def count(batches):
         hashes = WordHashes()
@@ -506,7 +511,7 @@ def _usual_words(texts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray
     total = F.sum("n").over(Window.partitionBy())  # the sample is bounded
     top = sample.withColumn("total", total).orderBy(F.desc("n"), "word").limit(COMMON).collect()
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
-    return np.sort(hashes), hashes[: sum(r["n"] > share * r["total"] for r in top)]
+    return hashes, sum(r["n"] > share * r["total"] for r in top)
 
 
 def _save_frequent(root: str, level: int, partial: DataFrame) -> None:
@@ -520,43 +525,45 @@ def _save_frequent(root: str, level: int, partial: DataFrame) -> None:
     _save(root, level, "frequent", {"contexts": keys, "stats": np.array([sums[c] for c in keys.tolist()], dtype=np.int64).reshape(-1, 4)})
 
 
-def _merger(root: str, level: int, deal: Deal, common: np.ndarray):
+def _merger(root: str, level: int, deal: Deal):
     """Sums up a part's n-grams, saves them, and hands on the n-grams below that it can't settle itself."""
 
-    def keep(columns: list[np.ndarray], key: np.ndarray, counts: np.ndarray, raw: np.ndarray) -> tuple:
+    def keep(columns: list[np.ndarray], codes: list[np.ndarray], key: np.ndarray, counts: np.ndarray, raw: np.ndarray) -> tuple:
         """Saves n-grams in the order of their keys; the row that tells what is to be added up over all parts."""
         size = len(columns)
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), int(raw.sum()), len(counts)]
-        p = deal.place(columns)
+        p = deal.place(columns, codes)
         if size == 1:
-            _save(root, 1, int(p.table[0]), {"keys": key, "counts": np.stack([counts, raw], axis=1)})
-            return 1, kinds, None, None, None, None, None
+            _save(root, 1, int(p.table[0]), {"keys": key} | _coded("counts", np.stack([counts, raw], axis=1)))
+            return (1, kinds, *[None] * 7)
         owner, stats = _context_stats(mix(p.context + A)[~p.alone], counts[~p.alone])
         partial, sums = _context_stats(p.context[p.alone], counts[p.alone])
         _save(root, size, int(p.table[0]), _buckets("keys", key) | _buckets("contexts", owner) | _coded("counts", counts[:, None]) | _coded("stats", stats))
-        return size, kinds, None, None, partial.tobytes() if len(partial) else None, sums.tobytes(), None
+        return size, kinds, None, None, None, None, partial.tobytes() if len(partial) else None, sums.tobytes(), None
+
+    def summed(columns: list[np.ndarray], codes: list[np.ndarray], counts: np.ndarray, raw: np.ndarray):
+        """key, columns, codes, counts, occurrences of distinct n-grams, in the order of their keys."""
+        n = len(columns)
+        key = mix(context_hash(columns[:-1]) * A + columns[-1]) if n > 1 else columns[0]
+        key, both, (counts, raw) = _summed(key, columns + codes, [counts, raw])
+        return key, both[:n], both[n:], counts, raw
 
-    def down(columns: list[np.ndarray], raw: np.ndarray):
-        """The n-grams one word shorter: key, columns, in how many n-grams each stands, occurrences."""
-        below = columns[1:]
-        key, below, (continued, raw) = _summed(deal.place(below).key, below, [np.ones(len(raw), dtype=np.int64), raw])
-        return key, below, continued, raw
+    def down(columns: list[np.ndarray], codes: list[np.ndarray], raw: np.ndarray):
+        """The n-grams one word shorter, each counted once for every n-gram it stands in."""
+        return summed(columns[1:], codes[1:], np.ones(len(raw), dtype=np.int64), raw)
 
     def merge(table: pa.Table) -> pa.Table:
-        columns, counts, raw = _read_blocks(table.to_pylist(), level, common)
-        key, columns, (counts, raw) = _summed(deal.place(columns).key, columns, [counts, raw])
-        out = [keep(columns, key, counts, raw)]
+        key, columns, codes, counts, raw = summed(*_read_blocks(table.to_pylist(), level, deal))
+        out = [keep(columns, codes, key, counts, raw)]
         if level == 1:
             return _arrow(out)
-        own = deal.place(columns).settled if deal.upper(level) else np.zeros(len(key), dtype=bool)
+        own = codes[1] >= deal.most[1] if deal.upper(level) else np.zeros(len(key), dtype=bool)
         if own.any():
-            key, below, continued, total = down([c[own] for c in columns], raw[own])
-            out.append(keep(below, key, continued, total))
-            _, below, continued, total = down(below, total)
-            out += _blocks(deal, common, below, continued, total)
+            below = down([c[own] for c in columns], [c[own] for c in codes], raw[own])
+            out.append(keep(below[1], below[2], below[0], *below[3:]))
+            out += _blocks(deal, *down(below[1], below[2], below[4])[1:])
         if not own.all():
-            _, below, continued, total = down([c[~own] for c in columns], raw[~own])
-            out += _blocks(deal, common, below, continued, total)
+            out += _blocks(deal, *down([c[~own] for c in columns], [c[~own] for c in codes], raw[~own])[1:])
         return _arrow(out)
 
     return merge
@@ -582,7 +589,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         reader, hashes = Reader(m), WordHashes()
         for b in batches:
             out = []
-            for _, block in byte_blocks(b.column(2), 1 << 21):
+            for _, block in byte_blocks(b.column(2), 3 << 20):
                 out += score_texts(block, reader, hashes)
             n = pa.array([x[0] for x in out], pa.int64())
             perplexity = pa.array([10 ** min(-x[3] / x[0], 300) for x in out], pa.float64())

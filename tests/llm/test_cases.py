@@ -113,9 +113,9 @@ def test_arrays_on_another_file_system(tmp_path, monkeypatch):
     a, b = np.arange(7, dtype=np.uint64), np.ones((7, 2))
     monkeypatch.setattr(lm_scoring, "_remote", lambda root: FileSystem.from_uri(root))
     root = f"file://{tmp_path}"
-    lm_scoring._save(root, 1, 3, {"keys": a, "counts": b})
-    found = lm_scoring._load(root, 1, 3)
-    assert (found["keys"] == a).all() and (found["counts"] == b).all() and lm_scoring._load(root, 1, 4) is None
+    lm_scoring._save(root, 2, "frequent", {"contexts": a, "stats": b})
+    found = lm_scoring._load(root, 2, "frequent")
+    assert (found["contexts"] == a).all() and (found["stats"] == b).all() and lm_scoring._load(root, 1, 4) is None
 
 
 def test_few_maps_and_frequent_words(spark, monkeypatch):
