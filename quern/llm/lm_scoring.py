@@ -13,7 +13,8 @@ with the three discounts of each order estimated from its counts of counts, down
 
 from __future__ import annotations
 
-import io
+import json
+import math
 import mmap
 import os
 import sys
@@ -281,26 +282,24 @@ def _local(root: str) -> str:
     return root.removeprefix("file://").removeprefix("file:")
 
 
-def _names(level: int, part: int | str) -> tuple[str, ...]:
-    """The arrays in a file, in order."""
-    if level == 1:
-        return "keys", "counts_codes", "counts_usual", "counts_at", "counts_over"
-    if part == "frequent":
-        return "contexts", "stats"
-    return tuple(f"{name}_{x}" for name in ("keys", "contexts") for x in ("offsets", "rest")) + tuple(f"{name}_{x}" for name in ("counts", "stats") for x in ("codes", "usual", "at", "over"))
-
-
 def _save(root: str, level: int, part: int | str, arrays: dict[str, np.ndarray]) -> None:
-    """The arrays in one file, written under another name first and then renamed, so that a repeated task does no harm."""
+    """The arrays in one file, after a line of JSON that lists them. It is written under another name first and then
+    renamed, so that a repeated task does no harm."""
     remote = _remote(root)
     fs, base = remote or (None, _local(root))
     folder = f"{base}/level{level}"
     temporary, final = f"{folder}/.{part}-{uuid.uuid4().hex}", f"{folder}/{part}"
     fs.create_dir(folder, recursive=True) if fs else os.makedirs(folder, exist_ok=True)
+    listed, at = [], 0
+    for name, x in arrays.items():
+        listed.append((name, x.dtype.str, x.shape, at))
+        at += -(-x.nbytes // 64) * 64
+    head = json.dumps(listed).encode()
+    head += b" " * (-(len(head) + 1) % 64) + b"\n"
     with fs.open_output_stream(temporary) if fs else open(temporary, "wb") as out:
-        for name in _names(level, part):
-            out.write(b"\0" * (-out.tell() % 64))
-            np.lib.format.write_array(out, np.ascontiguousarray(arrays[name]))
+        out.write(head)
+        for x in arrays.values():
+            out.write(x.tobytes() + bytes(-x.nbytes % 64))
     fs.move(temporary, final) if fs else os.replace(temporary, final)
 
 
@@ -313,7 +312,6 @@ def _load(root: str, level: int, part: int | str) -> dict[str, np.ndarray] | Non
             return None
         with open(path, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
-        stream = data
     else:
         fs, base = remote
         path = f"{base}/level{level}/{part}"
@@ -321,15 +319,11 @@ def _load(root: str, level: int, part: int | str) -> dict[str, np.ndarray] | Non
             return None
         with fs.open_input_stream(path) as f:
             data = f.read()
-        stream = io.BytesIO(data)
+    start = data.find(b"\n") + 1
     out = {}
-    for name in _names(level, part):
-        stream.seek(-stream.tell() % 64, 1)
-        np.lib.format.read_magic(stream)
-        shape, _, dtype = np.lib.format.read_array_header_1_0(stream)
-        n = int(np.prod(shape))
-        out[name] = np.frombuffer(data, dtype, n, stream.tell()).reshape(shape) if n else np.zeros(shape, dtype)
-        stream.seek(n * dtype.itemsize, 1)
+    for name, kind, shape, at in json.loads(data[:start]):
+        n = math.prod(shape)
+        out[name] = np.frombuffer(data, kind, n, start + at).reshape(shape) if n else np.zeros(shape, kind)
     return out
 
 
