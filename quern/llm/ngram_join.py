@@ -28,6 +28,10 @@ C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Share of the hash space that the counted sample of step 2 holds.
 SAMPLE = 0.3
+#: Tokens that would take up HOT of a part and more, by a sample of about SAMPLE_SETS sets, are not dealt by token.
+HOT, SAMPLE_SETS = 1 / 8, 4000
+#: As many sets of each side as meet in one cell of a token, about.
+CELL = 4096
 
 
 def shingles(text: bytes, hashes: WordHashes, size: int = 3) -> np.ndarray:
@@ -116,35 +120,107 @@ def _told_apart(every: DataFrame) -> DataFrame:
     return joined.withColumn("cid", F.when(F.col("twice").isNotNull(), F.xxhash64("cid", "k")).otherwise(F.col("cid"))).drop("twice")
 
 
-def _dealt(sets: DataFrame, heads: bool, bits: int, block: int = 500_000) -> DataFrame:
-    """sets(cid, tokens binary) -> exchanged blocks (part, cids, counts, tokens): tokens by their top bits. A block
-    holds the tokens of many sets, about `block` of them; counts say how many tokens in a row belong to each cid. Heads
-    come as 40-bit numbers, of which a block holds the lower 32."""
-    width = 5 if heads else 8
+def _flat(batches, heads: bool, block: int):
+    """(cids, tokens, owner) of blocks of the sets in batches(cid, tokens binary), about `block` tokens each; owner is the
+    place of a token's cid. Heads are 40-bit numbers."""
+    for b in batches:
+        cids = np.asarray(b.column(0)).astype(np.int64)
+        for i, blobs in byte_blocks(b.column(1), block * (5 if heads else 8)):
+            arrays = [_unfive(x) if heads else np.frombuffer(x, dtype="u8") for x in blobs]
+            yield cids[i : i + len(blobs)], np.concatenate(arrays), np.repeat(np.arange(len(arrays), dtype=np.int32), [len(x) for x in arrays])
+
+
+def _among(hot: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are hot, and the places of those in the sorted list."""
+    if not len(hot):
+        return np.zeros(len(tokens), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    found = hot[at] == tokens
+    return found, at[found]
+
+
+def _hot(sets: DataFrame, heads: bool, n_sets: int, part: int) -> np.ndarray:
+    """Sorted tokens that would take up HOT of a part of `part` tokens, by a sample. Each occurs in two sets at least;
+    there can't be more than parts / HOT of them."""
+
+    def count(batches):
+        for _, tokens, _ in _flat(batches, heads, 500_000):
+            own, n = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    share = min(1.0, SAMPLE_SETS / max(1, n_sets))
+    sample = sets.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["cid"])
+    found = sample.mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, share * part * HOT))
+    return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
 
-    def flush(cids: np.ndarray, arrays: list[np.ndarray]):
-        tokens = np.concatenate(arrays)
-        owner = np.repeat(np.arange(len(arrays), dtype=np.int32), [len(a) for a in arrays])
-        part = (tokens >> np.uint64((40 if heads else 64) - bits)).astype(np.int32)
-        out = []
-        for p, own, tok in scatter(part, 1 << bits, owner, tokens.astype(np.uint32) if heads else tokens):
-            own = np.frombuffer(own, dtype=np.int32)
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            counts = np.diff(np.r_[starts, len(own)]).astype(np.uint32)
-            out.append((p, cids[own[starts]].tobytes(), counts.tobytes(), tok))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "cids", "counts", "tokens"])
+
+def _dealt(sets: DataFrame, heads: bool, bits: int, hot: np.ndarray, block: int = 500_000) -> DataFrame:
+    """sets(cid, tokens binary) -> exchanged blocks (part, cids, counts, tokens): tokens that aren't hot by their top bits.
+    A block holds the tokens of many sets, about `block` of them; counts say how many tokens in a row belong to each cid.
+    Heads come as 40-bit numbers, of which a block holds the lower 32."""
 
     def rows(batches):
-        for b in batches:
-            cids = np.asarray(b.column(0)).astype(np.int64)
-            for i, blobs in byte_blocks(b.column(1), block * width):
-                arrays = [_unfive(x) if heads else np.frombuffer(x, dtype="u8") for x in blobs]
-                if sum(map(len, arrays)):
-                    yield flush(cids[i : i + len(blobs)], arrays)
+        for cids, tokens, owner in _flat(batches, heads, block):
+            usual = ~_among(hot, tokens)[0]
+            tokens, owner = tokens[usual], owner[usual]
+            part = (tokens >> np.uint64((40 if heads else 64) - bits)).astype(np.int32)
+            out = []
+            for p, own, tok in scatter(part, 1 << bits, owner, tokens.astype(np.uint32) if heads else tokens):
+                own = np.frombuffer(own, dtype=np.int32)
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                counts = np.diff(np.r_[starts, len(own)]).astype(np.uint32)
+                out.append((p, cids[own[starts]].tobytes(), counts.tobytes(), tok))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "cids", "counts", "tokens"])
 
     return sets.mapInArrow(lean(rows), "part int, cids binary, counts binary, tokens binary")
 
 
+def _hot_heads(heads: DataFrame, bits: int, hot: np.ndarray) -> DataFrame:
+    """Blocks (part, cids, counts, hot) by set: how many hot tokens each has. All of them are in other sets too."""
+
+    def rows(batches):
+        for cids, tokens, owner in _flat(batches, True, 500_000):
+            n = np.bincount(owner[_among(hot, tokens)[0]], minlength=len(cids))
+            own, n = cids[n > 0], n[n > 0].astype(np.uint32)
+            out = scatter((own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, own, n)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))), pa.array([True] * len(out), pa.bool_())], names=["part", "cids", "counts", "hot"])
+
+    return heads.mapInArrow(lean(rows), "part int, cids binary, counts binary, hot boolean")
+
+
+def _hot_frequencies(sets: DataFrame, bits: int, hot: np.ndarray) -> DataFrame:
+    """Blocks (part, cids, counts, tokens, df) by set of the hot tokens. Tasks add up first; the sums are as few as the
+    hot tokens."""
+
+    def count(batches):
+        n = np.zeros(len(hot), dtype=np.int64)
+        for _, tokens, _ in _flat(batches, False, 500_000):
+            n += np.bincount(_among(hot, tokens)[1], minlength=len(hot))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["i", "n"])
+
+    df = np.zeros(len(hot), dtype=np.uint32)
+    for r in sets.mapInArrow(lean(count), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+        df[r["i"]] = r["n"]
+
+    def rows(batches):
+        for cids, tokens, owner in _flat(batches, False, 500_000):
+            found, at = _among(hot, tokens)
+            yield _by_set(cids[owner[found]], bits, tokens[found], df[at])
+
+    return sets.mapInArrow(lean(rows), "part int, cids binary, counts binary, tokens binary, df binary")
+
+
+def _by_set(cids: np.ndarray, bits: int, tokens: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    """One block for each part of sets; cids come in runs."""
+    out = []
+    for p, own, *rest in scatter((cids.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32), 1 << bits, cids, tokens, df):
+        own = np.frombuffer(own, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out.append((p, own[starts].tobytes(), np.diff(np.r_[starts, len(own)]).astype(np.uint32).tobytes(), *rest))
+    kinds = (("part", pa.int32()), ("cids", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
 def _gathered(table: pa.Table, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """cids and tokens of a part's blocks, one entry each per token."""
     n = sum(len(x.as_py()) for x in table.column("tokens")) // np.dtype(dtype).itemsize
@@ -157,10 +233,11 @@ def _gathered(table: pa.Table, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return cids, tokens
 
 
-def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) -> DataFrame:
+def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int, hot: np.ndarray) -> DataFrame:
     """cid, rep, n, k of the classes whose prefix under the sampled order holds a token of another class.
 
-    A set may come from several tasks, so tokens are counted by distinct cid. Parts answer with blocks of counts."""
+    A set may come from several tasks, so tokens are counted by distinct cid, and of its numbers of hot tokens, which
+    are the same, one is taken. Parts answer with blocks of counts."""
 
     def shared(table: pa.Table) -> pa.Table:
         cids, tokens = _gathered(table, "u4")
@@ -173,15 +250,20 @@ def _survivors(classes: DataFrame, heads: DataFrame, bits: int, percent: int) ->
         met = np.r_[same, False] | np.r_[False, same]
         own, n = np.unique(cids[met], return_counts=True)
         out = scatter((own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, own, n.astype(np.uint32))
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "cids": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
+        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "cids": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary()), "hot": pa.array([False] * len(out), pa.bool_())})
 
     def summed(table: pa.Table) -> pa.Table:
         cids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("cids").to_pylist()])
         n = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("counts").to_pylist()])
+        whole = np.repeat(np.array(table.column("hot").to_pylist(), dtype=bool), [len(x) // 8 for x in table.column("cids").to_pylist()])
         own, at = np.unique(cids, return_inverse=True)
-        return pa.table({"cid": own, "c": np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)})
+        most = np.zeros(len(own), dtype=np.int64)
+        np.maximum.at(most, at[whole], n[whole])
+        return pa.table({"cid": own, "c": np.bincount(at[~whole], weights=n[~whole], minlength=len(own)).astype(np.int64) + most})
 
-    blocks = _dealt(heads, True, bits).groupBy("part").applyInArrow(lean_group(shared), "part int, cids binary, counts binary")
+    blocks = _dealt(heads, True, bits, hot).groupBy("part").applyInArrow(lean_group(shared), "part int, cids binary, counts binary, hot boolean")
+    if len(hot):
+        blocks = blocks.unionAll(_hot_heads(heads, bits, hot))
     met = blocks.groupBy("part").applyInArrow(lean_group(summed), "cid long, c long")
     need = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     return classes.join(met, "cid").where(F.col("head") - F.col("c") < need).select("cid", "rep", "n", "k")
@@ -200,7 +282,7 @@ def _maybe_in(ids: DataFrame, column: str, n: int) -> Callable[[Column], Column]
     return lambda c: F.call_function("shiftright", F.get(literal, F.shiftright(slot(c), 6).cast("int")), F.pmod(slot(c), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _frequencies(sets: DataFrame, bits: int) -> DataFrame:
+def _frequencies(sets: DataFrame, bits: int, hot: np.ndarray) -> DataFrame:
     """Blocks (part, cids, counts, tokens, df): the tokens of the sets with their frequencies, dealt by set."""
 
     def counted(table: pa.Table) -> pa.Table:
@@ -213,14 +295,11 @@ def _frequencies(sets: DataFrame, bits: int) -> DataFrame:
         order = np.argsort(cids, kind="stable")
         cids, tokens, df = cids[order], tokens[order], df[order]
         del order, at, n
-        out = []
-        for p, own, *rest in scatter((cids.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32), 1 << bits, cids, tokens, df):
-            own = np.frombuffer(own, dtype=np.int64)
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            out.append((p, own[starts].tobytes(), np.diff(np.r_[starts, len(own)]).astype(np.uint32).tobytes(), *rest))
-        return pa.table({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate((("part", pa.int32()), ("cids", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())))})
+        return pa.Table.from_batches([_by_set(cids, bits, tokens, df)])
 
-    return _dealt(sets.select("cid", "tokens"), False, bits).groupBy("part").applyInArrow(lean_group(counted), "part int, cids binary, counts binary, tokens binary, df binary")
+    sets = sets.select("cid", "tokens")
+    out = _dealt(sets, False, bits, hot).groupBy("part").applyInArrow(lean_group(counted), "part int, cids binary, counts binary, tokens binary, df binary")
+    return out.unionAll(_hot_frequencies(sets, bits, hot)) if len(hot) else out
 
 
 def prefixes(tokens: np.ndarray, df: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -304,7 +383,10 @@ def _groups(docs: DataFrame, size: int, percent: int, part_tokens: int = 500_000
     every = _told_apart(scratch.table(_hashed(docs, size, percent), "every"))
     none = -(1 << 63)
     classes = every.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.coalesce(F.min("doc_id"), F.lit(none)).alias("rep"), F.first("k").alias("k"))
-    left = scratch.table(_survivors(classes, every.where("tokens is not null").select("cid", "tokens"), bits(SAMPLE * tokens), percent), "left")
+    counted = every.where("tokens is not null").select("cid", "tokens")
+    part = lambda n: max(part_tokens, int(n) >> bits(n))
+    hot = _hot(counted, True, counted.count(), part(SAMPLE * tokens))
+    left = scratch.table(_survivors(classes, counted, bits(SAMPLE * tokens), percent, hot), "left")
 
     def whole(batches):
         hashes = WordHashes()
@@ -319,8 +401,9 @@ def _groups(docs: DataFrame, size: int, percent: int, part_tokens: int = 500_000
     reps = docs.withColumn("rep", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).where(maybe(F.col("rep"))).join(left, "rep").select("cid", "k", "text")
     sets = reps.mapInArrow(lean(whole), "cid long, tokens binary")
     sets = scratch.table(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
-    n_left = int(sets.select(F.coalesce(F.sum(F.octet_length("tokens") / 8), F.lit(0))).first()[0])
-    heads = scratch.table(_prefix_table(_frequencies(sets, bits(n_left)), percent), "heads")
+    n_sets, n_left = map(int, sets.select(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens") / 8), F.lit(0))).first())
+    hot = _hot(sets, False, n_sets, part(n_left))
+    heads = scratch.table(_prefix_table(_frequencies(sets, bits(n_left), hot), percent), "heads")
 
     postings = heads.select("cid", "n", "sketch", F.explode(F.arrays_zip("p0", "at0")).alias("x")).select(F.col("x.p0").alias("token"), "cid", "n", "sketch", F.col("x.at0").alias("at"))
     # The pivot is the set with the fewest rarer tokens, so the least edited one of a group of near copies.
@@ -333,17 +416,19 @@ def _groups(docs: DataFrame, size: int, percent: int, part_tokens: int = 500_000
     own = postings.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "sketch", "at", F.coalesce("root", "cid").alias("root"))
     own = scratch.table(own, "own")
     sizes = own.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("token", "major")
-    there = own.join(mixed, "token")
-    a = there.where("root <> major").select("token", F.col("cid").alias("u"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("root").alias("ar"), F.col("sketch").alias("s"))
-    b = there.select(F.col("token").alias("token"), F.col("cid").alias("v"), F.col("n").alias("bn"), F.col("at").alias("bi"), F.col("root").alias("br"), F.col("sketch").alias("t"), "major")
+    mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots"), F.sum("c").alias("c")).where("roots > 1").select("token", "major", F.ceil(F.col("c") / CELL).cast("int").alias("cells"))
+    # A token's sets are dealt over cells x cells tasks, so that each pair still meets once.
+    there = own.join(mixed, "token").withColumn("cell", F.pmod(F.xxhash64("cid"), F.col("cells")).cast("int"))
+    every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    a = there.where("root <> major").select("token", F.col("cell").alias("i"), every_cell.alias("j"), F.col("cid").alias("u"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("root").alias("ar"), F.col("sketch").alias("s"))
+    b = there.select("token", every_cell.alias("i"), F.col("cell").alias("j"), F.col("cid").alias("v"), F.col("n").alias("bn"), F.col("at").alias("bi"), F.col("root").alias("br"), F.col("sketch").alias("t"), "major")
     most = 1 + F.least(F.col("an") - F.col("ai") - 1, F.col("bn") - F.col("bi") - 1)
     bound = (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("an") + F.col("bn"))) & _sizes_fit(F.col("an"), F.col("bn"), percent)
     # Sets that link differ in at most (100 - percent) / (100 + percent) of their sizes added up.
     apart = sum((F.bit_count(F.get("s", F.lit(k)).bitwiseXOR(F.get("t", F.lit(k)))) for k in range(4)), F.lit(0))
     bound = bound & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("an") + F.col("bn")))
     once = (F.col("br") == F.col("major")) | (F.col("u") < F.col("v"))
-    pairs = a.join(b, "token").where((F.col("ar") != F.col("br")) & once & bound).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = a.join(b, ["token", "i", "j"]).where((F.col("ar") != F.col("br")) & once & bound).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     p = heads.select("cid", "p1", "p2")
     pairs = pairs.join(p.toDF("u", "a1", "a2"), "u").join(p.toDF("v", "b1", "b2"), "v").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("u", "v")
     more = scratch.table(_verified(pairs, sets, percent), "more")

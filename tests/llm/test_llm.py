@@ -424,6 +424,16 @@ def test_ngram_join(spark, docs, which):
     assert found == expected and len({v[1] for v in expected.values()}) < len(expected)
 
 
+@pytest.mark.parametrize("which", ["docs", "copies"])
+def test_ngram_join_splits_hot_tokens(spark, docs, which, monkeypatch):
+    """Every token of two sets as a hot one, cells of two sets: the same groups."""
+    df = docs if which == "docs" else spark.createDataFrame(near_copies() * 2, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(ngram_join, "HOT", 0)
+    monkeypatch.setattr(ngram_join, "CELL", 2)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df, part_tokens=2000).collect()}
+    assert found == brute_groups(pairs(df))
+
+
 def test_ngram_join_odd(odd, empty):
     out = sorted((r["doc_id"] or 99, r["n_shingles"], r["component_id"] or 99) for r in ngram_join.similar_groups(odd).collect())
     assert out == [(1, 12, 1), (1, 12, 1), (2, 0, 2), (3, 0, 3), (3, 13, 1), (99, 0, 99), (99, 12, 1)]
