@@ -115,6 +115,15 @@ u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
 SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(w.doc_id, coalesce(min(y), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id"""
 
+OP12 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {ALNUM} AS w FROM documents), b AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
+x AS (SELECT count(*) AS n_docs, sum(len(w)) AS total FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+t AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, x GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, r, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total))))::BIGINT AS score FROM t JOIN q USING (term) JOIN f USING (term), x GROUP BY item_id, doc_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op2_line_dedup": OP2,
@@ -123,4 +132,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": _license_sql(),
     "op8_quality_rules": _quality_sql(),
     "op10_ngram_join": OP10,
+    "op12_lexical_search": OP12,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat_format, decontam, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
+from quern.llm import chat_format, decontam, language_id, lexical_search, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, sentence_pieces, suffix_dedup, whitening
 from quern.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -58,6 +58,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.piece_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_chat_format, op6_license_scan, op7_mixing, op8_quality_rules, op9_language_id, op10_ngram_join)
+    f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_chat_format, op6_license_scan, op7_mixing, op8_quality_rules, op9_language_id, op10_ngram_join, op11_whitening, op12_lexical_search, op13_sentence_pieces)
 }
