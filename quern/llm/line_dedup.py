@@ -18,10 +18,12 @@ FIELD = "<*>"
 SHORT = 4
 #: Id of lines without a template.
 NONE = 0
-#: Tokens of a chunk, the unit by which texts are compared.
-CHUNK = 8
-#: Documents with a smaller share of chunks of their own are near copies.
-MIN_OWN = 0.4
+#: Tokens of a chunk, the unit by which texts are compared. Chunks begin with a line, and at every token for which first
+#: code point plus three times length is a multiple of ANCHOR, so that an edit changes the chunks around it only.
+CHUNK, ANCHOR = 8, 8
+#: Documents of whose chunks less than one in MIN_OWN is their own may be near copies: 14 in 16 chunks in common, the
+#: others different, make a similarity of 0.78.
+MIN_OWN = 8
 KEY = ["t1", "t2", "t3"]
 
 
@@ -39,7 +41,8 @@ def _parsed(text: Column, depth: int, min_tokens: int) -> Column:
 
     def line(t: Column) -> Column:
         path = template_path(t, depth, min_tokens)
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / CHUNK).cast("int")), lambda k: F.xxhash64(F.slice(t, k * CHUNK + 1, CHUNK)))
+        begins = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | ((F.ascii(F.element_at(t, i)) + 3 * F.length(F.element_at(t, i))) % ANCHOR == 0))
+        chunks = F.transform(begins, lambda i: F.xxhash64(F.slice(t, i, CHUNK)))
         return F.struct(
             F.when(path.isNull(), F.lit(NONE)).otherwise(F.xxhash64(path)).cast("long").alias("id"),
             F.when(F.size(t) > 0, chunks).otherwise(F.array().cast("array<long>")).alias("chunks"),
@@ -64,18 +67,29 @@ def _distinct_texts(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 def _recurring(sets: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
     """(template): the templates found in min_docs unlike documents or more, however many copies of others hold them.
 
-    Documents of the same templates are one context. So are all near copies taken together, since they are the concern
-    of document-level dedup: the texts of whose chunks less than MIN_OWN stand in fewer than min_docs texts. Which
-    template is dropped depends on no hash's order and on no other template.
+    Documents of the same templates are one context. So are near copies of one another, since they are the concern of
+    document-level dedup: texts with hardly a chunk of their own (MIN_OWN) that agree in their signature, the least of
+    the chunks they share with min_docs texts or more. A signature stands for another if most texts that hold its chunk
+    have that other one, so that copies in which the least chunk is edited are still of their group, while texts put
+    together from different recurring lines are unlike. The same is done with the greatest chunk, and the larger number
+    of groups counts: the line that holds the least chunk of all its texts is told by the other end.
     """
     chunks = sets.select(*KEY, F.explode("chunks").alias("chunk"))
     common = chunks.groupBy("chunk").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("chunk", F.lit(1).alias("many"))
     common = scratch.table(common, "common").hint("merge")  # it grows with the input
-    own = chunks.join(common, "chunk", "left").groupBy(*KEY).agg(F.count_if(F.col("many").isNull()).alias("own"), F.count("*").alias("all"))
-    near = scratch.table(own.where(F.col("own") < F.lit(MIN_OWN) * F.col("all")).select(*KEY, F.lit(0).cast("long").alias("near")), "near").hint("merge")
-    told = sets.join(near, KEY, "left").select(F.coalesce("near", F.xxhash64("t")).alias("context"), F.explode("t").alias("template"))
-    contexts = told.distinct().groupBy("template").agg(F.count("*").alias("contexts"))
-    return contexts.where(F.col("contexts") >= min_docs).select("template")
+    shared = F.when(F.col("many").isNotNull(), F.col("chunk"))
+    own = chunks.join(common, "chunk", "left").groupBy(*KEY).agg(F.count_if(F.col("many").isNull()).alias("own"), F.count("*").alias("all"), F.min(shared).alias("low"), F.max(shared).alias("high"))
+    near = own.where(F.col("own") * MIN_OWN < F.col("all")).select(*KEY, F.explode(F.array(F.struct(F.lit(1).alias("end"), F.col("low").alias("sign")), F.struct(F.lit(2).alias("end"), F.col("high").alias("sign")))).alias("x"))
+    near = scratch.table(near.select(*KEY, "x.end", "x.sign"), "near")
+    signs = near.select(F.col("sign").alias("chunk")).distinct()
+    held = sets.select(*KEY, F.explode("chunks").alias("chunk")).join(signs.hint("merge"), "chunk", "left_semi")
+    pairs = held.join(near.hint("merge"), KEY).groupBy("end", "chunk", "sign").agg(F.count("*").alias("n"))
+    most = pairs.groupBy("end", "chunk").agg(F.max_by("sign", "n").alias("to"), F.max("n").alias("n"), F.sum("n").alias("all")).where("2 * n > all")
+    most = scratch.table(most.select("end", F.col("chunk").alias("sign"), "to"), "most")
+    near = near.join(most.hint("merge"), ["end", "sign"], "left").select(*KEY, "end", F.coalesce("to", "sign").alias("near")).hint("merge")
+    told = sets.join(near, KEY, "left").select(F.coalesce("end", F.lit(0)).alias("end"), F.coalesce("near", F.xxhash64("t")).alias("context"), F.explode("t").alias("template"))
+    contexts = told.distinct().groupBy("template").agg(*[F.count_if(F.col("end") == k).alias(f"n{k}") for k in range(3)])
+    return contexts.where(F.col("n0") + F.greatest("n1", "n2") >= min_docs).select("template")
 
 
 def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = SHORT, min_docs: int = 5, drop_empty: bool = False, report: bool = False) -> DataFrame:

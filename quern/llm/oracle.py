@@ -33,11 +33,15 @@ OP2 = f"""WITH u AS (SELECT text, row_number() OVER () AS u FROM (SELECT DISTINC
 l AS (SELECT u, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT u, string_split(text, chr(10)) AS ls FROM u)),
 t AS (SELECT *, {_words("line")} AS t FROM l),
 x AS (SELECT u, line, i, t, CASE WHEN len(t) >= 4 THEN len(t) || ' ' || regexp_replace(array_to_string(t[1:8], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') WHEN len(t) > 0 THEN len(t) || ' ' || array_to_string(t, ' ') END AS path FROM t),
-c AS (SELECT DISTINCT u, array_to_string(t[8 * k + 1:8 * k + 8], ' ') AS c FROM (SELECT u, t, unnest(range(0, (len(t) - 1) // 8 + 1)) AS k FROM t WHERE len(t) > 0)),
-n AS (SELECT u FROM (SELECT u, count(*) OVER (PARTITION BY c) AS texts FROM c) GROUP BY u HAVING count_if(texts < 5) < 0.4 * count(*)),
+c AS (SELECT DISTINCT u, array_to_string(t[k:k + 7], ' ') AS c FROM (SELECT u, t, unnest(list_filter(range(1, len(t) + 1), lambda i: i = 1 OR (unicode(t[i]) + 3 * length(t[i])) % 8 = 0)) AS k FROM t WHERE len(t) > 0)),
+m AS (SELECT c FROM c GROUP BY c HAVING count(*) >= 5),
+n AS (SELECT u, unnest([1, 2]) AS e, unnest([low, high]) AS sign FROM (SELECT u, min(c) FILTER (c IN (SELECT c FROM m)) AS low, max(c) FILTER (c IN (SELECT c FROM m)) AS high FROM c GROUP BY u HAVING count_if(c NOT IN (SELECT c FROM m)) * 8 < count(*))),
+s AS (SELECT e, c, sign, count(*) AS n FROM c JOIN n USING (u) WHERE c IN (SELECT sign FROM n) GROUP BY ALL),
+o AS (SELECT e, c AS sign, max_by(sign, n) AS other FROM s GROUP BY e, c HAVING 2 * max(n) > sum(n)),
+near AS (SELECT u, e, coalesce(other, sign) AS near FROM n LEFT JOIN o USING (e, sign)),
 d AS (SELECT u, list_sort(list(DISTINCT path)) AS ps FROM x WHERE path IS NOT NULL GROUP BY u),
-e AS (SELECT CASE WHEN n.u IS NOT NULL THEN NULL ELSE ps END AS context, unnest(ps) AS path FROM d LEFT JOIN n ON n.u = d.u),
-bad AS (SELECT path FROM (SELECT DISTINCT context, path FROM e) GROUP BY path HAVING count(*) >= 5),
+e AS (SELECT DISTINCT coalesce(e, 0) AS e, CASE WHEN near IS NULL THEN ps ELSE [near] END AS context, unnest(ps) AS path FROM d LEFT JOIN near USING (u)),
+bad AS (SELECT path FROM e GROUP BY path HAVING count_if(e = 0) + greatest(count_if(e = 1), count_if(e = 2)) >= 5),
 k AS (SELECT x.*, bad.path IS NOT NULL AS drop FROM x LEFT JOIN bad USING (path)),
 g AS (SELECT u, count(*) AS n_lines, count_if(drop)::BIGINT AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '') AS kept FROM k GROUP BY u)
 SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM documents JOIN u ON u.text = {TEXT.replace("text", "documents.text")} JOIN g USING (u)"""

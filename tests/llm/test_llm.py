@@ -163,6 +163,24 @@ def test_line_dedup_passages_and_near_copies(spark):
     assert [out[i] for i in range(60)] == [6] * 60 and [out[60 + k] for k in range(200)] == [1] * 200
 
 
+@pytest.mark.parametrize("own", [12, 8, 4, 2])
+def test_line_dedup_of_pages_that_are_mostly_common_lines(spark, own):
+    """However little a page has of its own beside them, the common lines go; a group of near copies alone stays."""
+    rnd = random.Random(own)
+    common, base = own_lines(rnd, 14), own_lines(rnd, 18)
+    pages = ["\n".join(common[:7] + own_lines(rnd, own) + common[7:]) for _ in range(300)]
+    near = ["\n".join(x if i != k % 18 else x[:-1] + str(k) for i, x in enumerate(base)) for k in range(300)]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(texts_of(spark, pages + near), report=True).collect()}
+    assert [out[k] for k in range(300)] == [14] * 300 and [out[300 + k] for k in range(300)] == [0] * 300
+
+
+def test_line_dedup_of_pages_put_together_from_common_lines(spark):
+    rnd = random.Random(8)
+    lines = own_lines(rnd, 60)
+    out = line_dedup.dedup_lines(texts_of(spark, ["\n".join(rnd.sample(lines, 10)) for _ in range(200)]), report=True).collect()
+    assert sum(r["n_dropped"] for r in out) == 2000
+
+
 def test_line_dedup_short_lines(spark):
     rnd = random.Random(7)
     texts = ["\n".join([*own_lines(rnd, 3), "All rights reserved.", "", f"Page {k}"]) for k in range(30)]
