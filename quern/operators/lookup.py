@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.automaton import COMPILED_BYTES, load_trie, spot
+
 
 def prefixes(entries: DataFrame, words: str) -> DataFrame:
     """(prefix): the distinct word prefixes of the entries, the nodes of a trie without its root."""
     return entries.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("prefix")).distinct()
 
 
-def trie_size(entries: DataFrame, key: str) -> DataFrame:
-    """One row (n_entries, n_nodes): distinct entries and, with characters as steps, nodes including the root."""
-    nodes = entries.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.substr(key, F.lit(1), n))).alias("p")).where("p <> ''").distinct()
-    return entries.agg(F.count_distinct(key).alias("n_entries")).crossJoin(F.broadcast(nodes.agg((F.count("*") + 1).alias("n_nodes"))))  # one row each
-
-
 def find_prefix(entries: DataFrame, key: str, prefix: str) -> DataFrame:
     return entries.where(F.startswith(F.col(key), F.lit(prefix)))
 
@@ -29,36 +25,30 @@ def delete(entries: DataFrame, key: str, value: str, k=None, v=None, prefix: str
     return entries.where(~F.coalesce(bad, F.lit(False)))
 
 
-#: Bytes of first words up to which they are looked up in a literal set.
-FIRST_WORDS_BYTES = 1 << 20
-
-
 def entities(docs: DataFrame, doc: str, words: Column, gazetteer: DataFrame) -> DataFrame:
     """(doc, start, n, entity): `TYPE:text` of the longest gazetteer(phrase, value) phrases, the value being the type."""
     return spot_phrases(docs, doc, words, gazetteer).select(doc, "start", "n", F.concat("value", F.lit(":"), "phrase").alias("entity"))
 
 
-def spot_phrases(docs: DataFrame, doc: str, words: Column, phrases: DataFrame, most: int | None = None) -> DataFrame:
+def spot_phrases(docs: DataFrame, doc: str, words: Column, phrases: DataFrame, most: int | None = None, compiled: int = COMPILED_BYTES) -> DataFrame:
     """(doc, start, n, phrase, value): the longest table phrase at each place, from left to right, skipping what it spans.
 
-    n-grams meet the phrase table in a hash join; what starts where is then settled per document by a fold over its
-    candidates. Phrases of every length the table has are matched (with `most`, up to that). Only lengths that occur
-    and, where the table's first words are few, only places that begin with one of them produce n-grams.
+    A table of up to `compiled` bytes becomes a trie that travels to the texts. Of a larger one, n-grams of the lengths
+    it has meet it in a hash join; what starts where is then settled per document by a fold over its candidates. Phrases
+    of every length the table has are matched (with `most`, up to that).
     """
-    table = phrases.select("phrase", "value").groupBy("phrase").agg(F.min("value").alias("value"))
+    table = phrases.select("phrase", "value").where(F.size(F.split("phrase", " ")) <= most) if most else phrases.select("phrase", "value")
+    trie = load_trie(table, compiled)
+    return spot(docs, doc, words, trie) if trie else _spot_by_join(docs, doc, words, table)
+
+
+def _spot_by_join(docs: DataFrame, doc: str, words: Column, phrases: DataFrame) -> DataFrame:
+    table = phrases.where("phrase <> ''").groupBy("phrase").agg(F.min("value").alias("value"))
     table = table.withColumn("n", F.size(F.split("phrase", " ")))
-    table = table.where(F.col("n") <= most) if most else table
-    firsts = table.select(F.substring_index("phrase", " ", 1).alias("f")).distinct()
-    stats = table.agg(F.sort_array(F.collect_set("n")).alias("lens")).crossJoin(F.broadcast(firsts.agg(F.coalesce(F.sum(F.octet_length("f") + 8), F.lit(0)).alias("bytes")))).first()  # one row each
+    sizes = sorted(r["n"] for r in table.select("n").distinct().collect())  # a row a length
     base = docs.select(doc, words.alias("w"))
-    if not stats["lens"]:
-        return base.select(doc, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("phrase"), F.lit("").alias("value")).where(F.lit(False))
-    at = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: i)
-    if stats["bytes"] <= FIRST_WORDS_BYTES:
-        known = [r["f"] for r in firsts.toLocalIterator()]  # at most FIRST_WORDS_BYTES
-        at = F.filter(at, lambda i: F.element_at("w", i).isin(known))
-    places = base.where(F.size("w") > 0).select(doc, "w", F.explode(at).alias("i"))
-    lens = F.array(*[F.lit(n) for n in stats["lens"]])
+    places = base.where(F.size("w") > 0).select(doc, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    lens = F.array(*[F.lit(n) for n in sizes])
     grams = F.transform(F.filter(lens, lambda n: F.col("i") + n - 1 <= F.size("w")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("i"), n), " ").alias("phrase")))
     each = places.select(doc, (F.col("i") - 1).alias("start"), F.explode(grams).alias("g")).select(doc, "start", "g.phrase")
     hits = each.join(table, "phrase")

@@ -9,6 +9,9 @@ from quern.functions.scalars import clock_hours, resolve_date
 
 DATE_LINE = r"^\s*((?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+)?[0-9]{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{2,4}\s*$"
 
+#: The date of lines before a file's first date line.
+FIRST_DATE = "1 Jan 1900"
+
 
 def dated_lines(lines: DataFrame, file: str = "file", number: str = "line_num", text: str = "text") -> DataFrame:
     """(date, raw, file, line_num, text): every note line with the date line above it in the same file, one row a line,
@@ -16,7 +19,7 @@ def dated_lines(lines: DataFrame, file: str = "file", number: str = "line_num",
     belong to 1900-01-01."""
     w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     is_date = F.col(text).rlike(DATE_LINE)
-    at = lines.withColumn("raw", F.coalesce(F.last(F.when(is_date, F.trim(text)), ignorenulls=True).over(w), F.lit("1 Jan 1900")))
+    at = lines.withColumn("raw", F.coalesce(F.last(F.when(is_date, F.trim(text)), ignorenulls=True).over(w), F.lit(FIRST_DATE)))
     return at.where(~is_date & (F.trim(text) != "")).select(resolve_date(F.col("raw")).alias("date"), "raw", file, number, text)
 
 
@@ -32,17 +35,23 @@ def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text", fi
     against a stated `hours: n`. `day` lines begin with a weekday's name; a `weekly: n` line ends a week. Sheets are
     read side by side, each in the order of its lines; lines without a column `file` are one sheet."""
     lines = lines if file in lines.columns else lines.withColumn(file, F.lit(""))
-    day = F.regexp_extract(text, r"^(?i)\s*(mon|tue|wed|thu|fri|sat|sun)", 1)
-    slot = r"^\s*([0-9]{1,2}(?::[0-9]{2})?)\s+([0-9]{1,2}(?::[0-9]{2})?)\b"
     w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    at = sheet_fields(lines, text).withColumn("week", F.coalesce(F.sum(F.col("weekly").cast("int")).over(before), F.lit(0)))
+    at = at.withColumn("d", F.sum(F.col("name").isNotNull().cast("int")).over(w))
+    days = at.where("d > 0").groupBy(file, "week", "d").agg(F.first("name", ignorenulls=True).alias("day"), F.round(F.sum("hours"), 2).alias("hours"), F.max("stated").alias("stated"))
+    return days.select(file, "week", F.col("d").alias("day_num"), "day", "hours", "stated", (F.col("stated").isNull() | (F.abs(F.col("hours") - F.col("stated")) < 0.005)).alias("matches"))
+
+
+def sheet_fields(lines: DataFrame, text: str = "text") -> DataFrame:
+    """lines without comments and empty ones, with what each says: name (of a weekday), hours (of a slot), stated (hours
+    of a day), weekly (whether it ends a week)."""
+    slot = r"^\s*([0-9]{1,2}(?::[0-9]{2})?)\s+([0-9]{1,2}(?::[0-9]{2})?)\b"
     at = lines.where(~F.col(text).rlike(r"^\s*([#;]|$)"))
-    at = at.withColumn("week", F.coalesce(F.sum(F.col(text).rlike("(?i)^\\s*weekly:").cast("int")).over(before), F.lit(0)))
-    at = at.withColumn("d", F.sum((day != "").cast("int")).over(w)).withColumn("name", F.lower(F.nullif(day, F.lit(""))))
+    at = at.withColumn("name", F.lower(F.nullif(F.regexp_extract(text, r"^(?i)\s*(mon|tue|wed|thu|fri|sat|sun)", 1), F.lit(""))))
     at = at.withColumn("hours", F.when(F.col(text).rlike(slot), clock_hours(F.regexp_extract(text, slot, 1), F.regexp_extract(text, slot, 2))))
     at = at.withColumn("stated", F.regexp_extract(text, r"(?i)^\s*hours:\s*([0-9.]+)", 1).try_cast("double"))
-    days = at.where("d > 0").groupBy(file, "week", "d").agg(F.first("name", ignorenulls=True).alias("day"), F.round(F.sum("hours"), 2).alias("hours"), F.max("stated").alias("stated"))
-    return days.select(file, "week", F.col("d").alias("day_num"), "day", "hours", "stated", (F.col("stated").isNull() | (F.abs(F.col("hours") - F.col("stated")) < 0.005)).alias("matches"))
+    return at.withColumn("weekly", F.col(text).rlike(r"(?i)^\s*weekly:"))
 
 
 def weekly_pivot(days: DataFrame, file: str = "file") -> DataFrame:

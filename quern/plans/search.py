@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import ngrams, overlap
 from quern.functions.text import words
-from quern.operators import graph, lookup, similarity, spelling
+from quern.operators import automaton, graph, lookup, similarity, spelling
 from quern.operators import search as S
 from quern.operators import tfidf as W
 from quern.plans.registry import DF, ITF, TF, WORDS, query, table
@@ -249,7 +249,16 @@ def prefix_lookup(spark, sf_dir):
 @query("""WITH k AS (SELECT DISTINCT p_type AS k FROM part), n AS (SELECT DISTINCT substr(k, 1, i) AS p FROM k, range(1, 200) t(i) WHERE i <= length(k))
 SELECT (SELECT count(*) FROM k) AS n_entries, count(*) + 1 AS n_nodes FROM n""")
 def trie_size(spark, sf_dir):
-    return lookup.trie_size(table(spark, sf_dir, "part").select("p_type").distinct(), "p_type")
+    return automaton.trie_nodes(table(spark, sf_dir, "part"), "p_type")
+
+
+@query("""WITH q AS (SELECT p_partkey, regexp_extract(p_type, '^[^ ]+ [^ ]+') AS prefix FROM part), e AS (SELECT DISTINCT p_type FROM part)
+SELECT p_partkey, p_type AS phrase, length(p_type)::VARCHAR AS value FROM q JOIN e ON p_type = prefix OR starts_with(p_type, prefix || ' ')""")
+def trie_prefix_find(spark, sf_dir):
+    """For each part the types that begin with its own type's first two words."""
+    parts = table(spark, sf_dir, "part")
+    trie = automaton.load_trie(parts.select(F.col("p_type").alias("phrase"), F.length("p_type").cast("string").alias("value")))
+    return automaton.entries_under(parts.select("p_partkey", F.regexp_extract("p_type", "^[^ ]+ [^ ]+", 0).alias("prefix")), "p_partkey", "prefix", trie)
 
 
 @query("WITH w AS (SELECT DISTINCT string_split(p_type, ' ') AS w FROM part) SELECT DISTINCT array_to_string(w[1:i], ' ') AS prefix FROM w, range(1, 50) t(i) WHERE i <= len(w)")

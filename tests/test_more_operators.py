@@ -29,19 +29,12 @@ def test_phrases_of_any_length(spark):
         if n:
             expected.append((i, n))
         i += max(n, 1)
-    for most in (None, 25):
-        out = lookup.spot_phrases(docs, "doc_id", F.filter(F.split("text", " "), lambda w: w != ""), table, most)
+    for most, compiled in ((None, 1 << 20), (25, 1 << 20), (25, 0)):
+        out = lookup.spot_phrases(docs, "doc_id", F.filter(F.split("text", " "), lambda w: w != ""), table, most, compiled)
         assert sorted((r["start"], r["n"]) for r in out.collect()) == expected
     assert lookup.spot_phrases(docs, "doc_id", F.split("text", " "), table.limit(0)).count() == 0
 
 
-def test_phrases_with_many_first_words(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "FIRST_WORDS_BYTES", 0)
-    table = spark.createDataFrame([("b c", "1"), ("c", "2")], "phrase string, value string")
-    docs = spark.createDataFrame([(1, "a b c c")], "doc_id long, text string")
-    assert sorted((r["start"], r["phrase"]) for r in lookup.spot_phrases(docs, "doc_id", F.split("text", " "), table).collect()) == [(1, "b c"), (3, "c")]
-
-
 def test_neighbours_in_blocks(spark):
     rnd = random.Random(1)
     rows = [(i, [rnd.choice([0.0, 1.0, 2.0]) for _ in range(4)], rnd.choice("xyz")) for i in range(120)]

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quern.functions.text import words
-from quern.operators import classify, graph, language_model, lookup, reports, search, setops, similarity, spelling, tabular, tfidf, timeseries
+from quern.operators import automaton, classify, graph, language_model, lookup, reports, search, setops, similarity, spelling, tabular, tfidf, timeseries
 
 
 def rows(df, *order):
@@ -72,7 +72,7 @@ def test_pruning(spark):
 def test_lookup(spark):
     entries = spark.createDataFrame([("a", 1), ("ab", 2), ("abcdef", 3), ("b", 4), ("bcd", 5), ("b", 6), ("bcd", 7)], "k string, v int")
     assert sorted(r["v"] for r in lookup.find_prefix(entries, "k", "b").collect()) == [4, 5, 6, 7]
-    assert rows(lookup.trie_size(entries, "k")) == [(5, 10)]
+    assert rows(automaton.trie_nodes(entries, "k")) == [(5, 10)]
     assert lookup.delete(entries, "k", "v", k="b", v=6).count() == 6 and lookup.delete(entries, "k", "v", prefix="b").count() == 3
     phrases = spark.createDataFrame([("new york", "1"), ("new york city", "2"), ("city hall", "3")], "phrase string, value string")
     docs = spark.createDataFrame([(1, "in new york city hall and new york")], "d int, text string")
