@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import ngrams, overlap
 from quern.functions.text import words
-from quern.operators import automaton, graph, lookup, similarity, spelling
+from quern.operators import automaton, graph, lookup, query_language, similarity, spelling, text_index
 from quern.operators import search as S
 from quern.operators import tfidf as W
 from quern.plans.registry import DF, ITF, TF, WORDS, query, table
@@ -124,6 +124,63 @@ def keyword_freq_filter(spark, sf_dir):
     return S.in_frequency_range(S.doc_freqs(S.postings(docs, "doc_id", TEXT)), 5, 0.2, _n(docs))
 
 
+# --- the stored index -----------------------------------------------------------------------------
+
+
+def _stored(spark, sf_dir):
+    """Documents of even ids as a first segment, the others appended, both merged."""
+    docs = table(spark, sf_dir, "documents")
+    index, fields = text_index.temporary_index(spark), {"text": F.col(TEXT)}
+    index.build(docs.where("doc_id % 2 = 0"), "doc_id", fields)
+    return index.append(docs.where("doc_id % 2 <> 0 OR doc_id IS NULL"), "doc_id", fields)
+
+
+def _found(hits):
+    return hits.withColumnRenamed("doc", "doc_id")
+
+
+def _leaf_sql(name, rows, boost=1.0):
+    return f"{name} AS (SELECT doc_id, tf * ln((SELECT count(*) FROM documents) / count(*) OVER ()) * {boost} AS s FROM ({rows}))"
+
+
+def _word_sql(word):
+    return f"SELECT doc_id, tf FROM tf WHERE term = '{word}'"
+
+
+_WORD_LISTS = f"w AS (SELECT doc_id, {WORDS} AS w FROM documents)"
+_OF_THE = "SELECT doc_id, count(*) AS tf FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY 1"
+
+
+@query(f"""WITH {TF}, {_WORD_LISTS}, {_leaf_sql("a", _word_sql("the"), 2)}, {_leaf_sql("b", _word_sql("der"))}, {_leaf_sql("c", _word_sql("ti"))}, {_leaf_sql("d", _OF_THE)},
+g AS (SELECT doc_id, sum(s) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1), h AS (SELECT doc_id, 1.5 * sum(s) AS s FROM (SELECT * FROM c UNION ALL SELECT * FROM d) GROUP BY 1)
+SELECT doc_id, round(g.s + h.s, 6) AS score FROM g JOIN h USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'les')""")
+def query_nested(spark, sf_dir):
+    """Brackets, boosts, a phrase and an excluded word over an index of two segments."""
+    return _found(query_language.search(_stored(spark, sf_dir), '(the^2 OR der) AND (ti OR "of the")^1.5 -les'))
+
+
+@query(f"""WITH {TF}, {_WORD_LISTS}, a AS (SELECT doc_id, i AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] = 'the'), b AS (SELECT doc_id, i - 1 AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] = 'of'),
+u AS (SELECT * FROM a UNION SELECT * FROM b), {_leaf_sql("n", "SELECT doc_id, count(*) AS tf FROM u WHERE EXISTS (SELECT 1 FROM a WHERE a.doc_id = u.doc_id AND a.v BETWEEN u.v AND u.v + 3) AND EXISTS (SELECT 1 FROM b WHERE b.doc_id = u.doc_id AND b.v BETWEEN u.v AND u.v + 3) GROUP BY 1")},
+{_leaf_sql("m", _word_sql("and"), 0.5)} SELECT doc_id, round(m.s + coalesce(n.s, 0), 6) AS score FROM m LEFT JOIN n USING (doc_id)""")
+def query_proximity(spark, sf_dir):
+    """A required word, and two others near each other; the segments are merged first."""
+    return _found(query_language.search(_stored(spark, sf_dir).merge(), '"the of"~3 +and^0.5'))
+
+
+@query(f"""WITH {TF}, {_leaf_sql("a", "SELECT doc_id, sum(tf) AS tf FROM tf WHERE levenshtein(translate(term, 'äöüßéèêàâçîïôûùëñáíóú', 'ABCDEFGHIJKLMNOPQRSTU'), 'thble') <= 1 GROUP BY 1")}, {_leaf_sql("b", "SELECT doc_id, sum(tf) AS tf FROM tf WHERE starts_with(term, 'erin') GROUP BY 1")}
+SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'la') GROUP BY 1""")
+def query_fuzzy(spark, sf_dir):
+    """Words spelled alike, words of a beginning, an excluded word."""
+    return _found(query_language.search(_stored(spark, sf_dir), "thble~1 OR erin* NOT la"))
+
+
+@query(f"""WITH {TF}, {DF}, s AS (SELECT doc_id, round(sum(tf * ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM tf JOIN df USING (term) WHERE term IN ('the', 'and', 'ti', 'erin') GROUP BY 1)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 50""")
+def query_top_hits(spark, sf_dir):
+    """The 50 best of some words; blocks that can't hold one of them aren't read."""
+    return _found(query_language.search(_stored(spark, sf_dir), "the and ti erin", k=50))
+
+
 # --- weighting schemes ----------------------------------------------------------------------------
 
 _COUNTS = f"""{ITF}, d AS (SELECT item_id, sum(tf) AS len, max(tf) AS max_tf FROM tf GROUP BY item_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -252,13 +309,13 @@ def trie_size(spark, sf_dir):
     return automaton.trie_nodes(table(spark, sf_dir, "part"), "p_type")
 
 
-@query("""WITH q AS (SELECT p_partkey, regexp_extract(p_type, '^[^ ]+ [^ ]+') AS prefix FROM part), e AS (SELECT DISTINCT p_type FROM part)
-SELECT p_partkey, p_type AS phrase, length(p_type)::VARCHAR AS value FROM q JOIN e ON p_type = prefix OR starts_with(p_type, prefix || ' ')""")
+@query("""WITH q AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS prefix FROM part), e AS (SELECT p_name, min(p_brand) AS brand FROM part GROUP BY 1)
+SELECT p_partkey, p_name AS phrase, brand AS value FROM q JOIN e ON p_name = prefix OR starts_with(p_name, prefix || ' ')""")
 def trie_prefix_find(spark, sf_dir):
-    """For each part the types that begin with its own type's first two words."""
+    """For each part the names that begin with its own name's first word, with a brand."""
     parts = table(spark, sf_dir, "part")
-    trie = automaton.load_trie(parts.select(F.col("p_type").alias("phrase"), F.length("p_type").cast("string").alias("value")))
-    return automaton.entries_under(parts.select("p_partkey", F.regexp_extract("p_type", "^[^ ]+ [^ ]+", 0).alias("prefix")), "p_partkey", "prefix", trie)
+    trie = automaton.load_trie(parts.select(F.col("p_name").alias("phrase"), F.col("p_brand").alias("value")))
+    return automaton.entries_under(parts.select("p_partkey", F.substring_index("p_name", " ", 1).alias("prefix")), "p_partkey", "prefix", trie)
 
 
 @query("WITH w AS (SELECT DISTINCT string_split(p_type, ' ') AS w FROM part) SELECT DISTINCT array_to_string(w[1:i], ' ') AS prefix FROM w, range(1, 50) t(i) WHERE i <= len(w)")
