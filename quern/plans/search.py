@@ -280,6 +280,12 @@ def cosine_similar_docs(spark, sf_dir):
     return similarity.similar_docs(_vectors(spark, sf_dir), queries, "doc_id").select("query", "doc_id", "score", "rank")
 
 
+@query()
+def all_similar_docs(spark, sf_dir):
+    """For every document up to ten others of a cosine of 0.8 or more; recall is measured in the tests."""
+    return similarity.all_similar(_vectors(spark, sf_dir), "doc_id")
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS vn FROM v),
 s AS (SELECT q.vec_id AS query, n.vec_id, round(list_dot_product(q.v, n.v) / (q.vn * n.vn), 6) AS score FROM n JOIN n AS q ON q.vec_id % 50 = 0 AND q.vec_id <> n.vec_id)
