@@ -150,6 +150,21 @@ def keyword_report(top: DataFrame) -> DataFrame:
     return top.groupBy("term").agg(F.count("*").alias("docs"), F.round(F.avg("w"), 4).alias("mean_w"))
 
 
+def keyword_sets(top: DataFrame, doc: str, term: str = "term", most: int = 25, min_docs: int = 5, least: int = 2) -> DataFrame:
+    """(terms, docs): the `most` frequent sets of `least` terms or more that are top terms of the same documents, in
+    min_docs of them at least, equally frequent ones by their terms. Found by frequent-pattern trees over the terms'
+    suffixes, so sets are counted without listing the subsets of every document; a set's terms are sorted."""
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = top.where(F.col(term).isNotNull()).groupBy(doc).agg(F.collect_set(term).alias("items")).where(F.size("items") >= least)
+    n = baskets.count()
+    if not n:
+        return baskets.select(F.lit("").alias("terms"), F.lit(0).cast("long").alias("docs")).where(F.lit(False))
+    found = FPGrowth(itemsCol="items", minSupport=(min_docs - 0.5) / n).fit(baskets).freqItemsets
+    sets = found.where((F.size("items") >= least) & (F.col("freq") >= min_docs)).select(F.array_join(F.array_sort("items"), " ").alias("terms"), F.col("freq").alias("docs"))
+    return sets.orderBy(F.desc("docs"), "terms").limit(most)
+
+
 def in_frequency_range(freqs: DataFrame, low: float, high: float, n_docs: DataFrame) -> DataFrame:
     """Terms with low <= df <= high; bounds below 1 are shares of N."""
     bound = lambda x: F.lit(x) * F.col("n") if x < 1 else F.lit(x)

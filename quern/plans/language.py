@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import classify
+from quern.operators import classify, discriminant, model_search, sentiment, tagging
 from quern.operators import language_model as M
 from quern.plans.registry import WORDS, query, table
 
@@ -228,3 +228,62 @@ s AS (SELECT item_id, coalesce(sum(value), 0)::DOUBLE AS t FROM w LEFT JOIN l US
 def lexicon_score(spark, sf_dir):
     lexicon = spark.createDataFrame([("the", 1.0), ("of", -2.0), ("with", 0.5)], "word string, value double")
     return M.lexicon_score(table(spark, sf_dir, "benchmark"), "item_id", X.words(TEXT), lexicon)
+
+
+@query()
+def hmm_tags(spark, sf_dir):
+    """The role of every turn from its first word and the roles around it, by a model of four folds out of five."""
+    from quern.operators.tabular import fold_of
+
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(X.words(TEXT), F.lit(0)).alias("word"), F.col("role").alias("tag"))
+    model = tagging.train(fold_of(t, "conv_id", 5).where("fold < 4"), "conv_id", "turn")
+    return tagging.tag_words(t, model, "conv_id", "turn")
+
+
+_VALUES = f"l AS (SELECT word, (length(word) % 9 - 4)::DOUBLE AS value FROM (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark) WHERE length(word) > 4)"
+_HIT = "coalesce(sign(value) * (lag(boost, {0}) OVER w + CASE WHEN mixed AND lag(loud, {0}) OVER w THEN sign(lag(boost, {0}) OVER w) * 0.733 ELSE 0 END) * {1}, 0)"
+_TURN = "CASE WHEN lag(turn, {0}) OVER w THEN -0.74 ELSE 1 END"
+
+
+@query(f"""WITH {_VALUES}, b(word, boost) AS (VALUES ('and', 0.293), ('a', -0.293), ('die', 0.293)), n AS (SELECT unnest(['of', 'der', 'la']) AS word),
+d AS (SELECT doc_id, list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_'']+'), lambda x: x <> '') AS w, least(length(regexp_replace(text, '[^!]', '', 'g')), 4) AS marks FROM documents),
+m AS (SELECT *, len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) > 0 AND len(list_filter(w, lambda x: upper(x) <> x AND lower(x) <> upper(x))) > 0 AS mixed FROM d),
+t AS (SELECT doc_id, marks, mixed, own, lower(own) AS word, pos, upper(own) = own AND lower(own) <> own AND length(own) > 1 AS loud FROM (SELECT *, unnest(w) AS own, generate_subscripts(w, 1) AS pos FROM m)),
+j AS (SELECT t.*, value, boost, n.word IS NOT NULL AS turn FROM t LEFT JOIN l USING (word) LEFT JOIN b USING (word) LEFT JOIN n ON n.word = t.word),
+v AS (SELECT doc_id, marks, (value + sign(value) * CASE WHEN mixed AND loud THEN 0.733 ELSE 0 END + {_HIT.format(1, 1.0)} + {_HIT.format(2, 0.95)} + {_HIT.format(3, 0.9)}) * {_TURN.format(1)} * {_TURN.format(2)} * {_TURN.format(3)} AS v, pos, min(CASE WHEN word = 'that' THEN pos END) OVER (PARTITION BY doc_id) AS but FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT doc_id, coalesce(sum(v * CASE WHEN pos < but THEN 0.5 WHEN pos > but THEN 1.5 ELSE 1 END), 0) AS s, any_value(marks) AS marks, count(v) AS n_hits FROM v GROUP BY 1),
+e AS (SELECT doc_id, s + sign(s) * marks * 0.292 AS t, n_hits FROM s) SELECT doc_id, round(t / sqrt(t * t + 15), 6) AS compound, n_hits FROM e""")
+def compound_sentiment(spark, sf_dir):
+    """Words valued by their length, as a lexicon; turned, boosted and contrasted by some of the tables' common words."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(X.words(TEXT)).alias("word")).where(F.length("word") > 4).distinct()
+    lexicon = words.select("word", (F.length("word") % 9 - 4).cast("double").alias("value"))
+    boosters = spark.createDataFrame([("and", 0.293), ("a", -0.293), ("die", 0.293)], "word string, value double")
+    negations = spark.createDataFrame([("of",), ("der",), ("la",)], "word string")
+    return sentiment.compound(table(spark, sf_dir, "documents"), "doc_id", F.col(TEXT), lexicon, boosters, negations, ("that",))
+
+
+def _folded(spark, sf_dir, folds):
+    """Vectors, their labels and folds that are stratified by label."""
+    v = table(spark, sf_dir, "embeddings")
+    f = classify.stratified_fold(v.select("vec_id", "label"), "vec_id", "label", folds).select("vec_id", "fold")
+    return v.join(f, "vec_id")
+
+
+@query()
+def discriminant_cv(spark, sf_dir):
+    """Means and deviations over ten stratified folds of linear discriminants and Gaussian naive Bayes."""
+    return discriminant.accuracies(discriminant.cross_validated(_folded(spark, sf_dir, 10), "vec_id", "embedding", "label", "fold"))
+
+
+@query()
+def best_settings(spark, sf_dir):
+    """Random search with halving over networks of one hidden layer, on two stratified folds."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _folded(spark, sf_dir, 2).select("vec_id", F.col("label").cast("double").alias("label"), "fold", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    classes = int(rows.agg(F.max("label")).first()[0]) + 1
+    size = len(rows.select("features").first()[0])
+    make = lambda s: MultilayerPerceptronClassifier(layers=[size, s["hidden"], classes], maxIter=s["steps"], tol=s["tol"], seed=7)
+    settings = model_search.random_settings({"hidden": [4, 8, 16, 32], "steps": [10, 30], "tol": [1e-2, 1e-4]}, 6, 5)
+    return model_search.halving_search(rows, "vec_id", "label", "fold", settings, make, rungs=2)

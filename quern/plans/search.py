@@ -118,6 +118,15 @@ def tfidf_report(spark, sf_dir):
     return S.keyword_report(S.top_terms(S.tfidf(S.postings(docs, "doc_id", TEXT), _n(docs)), "doc_id"))
 
 
+@query(f"""WITH {TF}, {DF}, n AS (SELECT count(*) AS n FROM documents), w AS (SELECT doc_id, tf.term, round(tf * ln(n / df), 6) AS w FROM tf JOIN df USING (term), n),
+t AS (SELECT doc_id, list_sort(list(term)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM w) WHERE rank <= 10 GROUP BY 1),
+s AS (SELECT array_to_string(list_filter(t, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' ') AS terms FROM t, range(3, 1024) r(mask) WHERE mask < (1 << len(t)) AND bit_count(mask) >= 2)
+SELECT terms, count(*) AS docs FROM s GROUP BY 1 HAVING count(*) >= 5 ORDER BY 2 DESC, 1 LIMIT 25""")
+def keyword_sets(spark, sf_dir):
+    """The 25 most frequent sets of terms that are among the ten best of the same documents."""
+    return S.keyword_sets(tfidf_top_terms(spark, sf_dir), "doc_id")
+
+
 @query(f"WITH {TF}, {DF} SELECT term, df FROM df WHERE df >= 5 AND df <= 0.2 * (SELECT count(*) FROM documents)")
 def keyword_freq_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
