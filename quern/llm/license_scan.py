@@ -1,11 +1,11 @@
-"""Licence scan with a positional index of rare words: the highest-IDF words of licence templates are looked up in each
-file, their template positions are intersected by relative position, and a template counts once its mandatory key
-phrases are found too. IDF is taken over the files themselves. Built from DataFrame functions only."""
+"""Licence scan with a positional index of rare words: each file's licence words of highest IDF are looked up, their template
+positions are intersected by relative position, and a template counts once its mandatory key phrases are found too. IDF is
+taken over the files themselves. Built from DataFrame functions only."""
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +33,13 @@ def document_frequencies(docs: DataFrame, templates: Templates) -> dict[str, int
     return {r["word"]: r["df"] for r in rows.toLocalIterator()}
 
 
-def positional_index(templates: Templates, df: dict[str, int], rare: int = 8) -> dict[str, list[tuple[str, int, int]]]:
-    """word -> postings (label, position, number of indexed words of the template), over the `rare` words of highest
-    IDF, so of lowest df, of each template; ties go to the word that comes first."""
-    index: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
+def rarest_first(templates: Templates, df: dict[str, int]) -> dict[str, list[str]]:
+    """label -> the template's words that some file has, by falling IDF; ties go to the word that comes first."""
+    out = {}
     for label, (text, _) in templates.items():
-        words = template_words(text)
-        first = {w: i for i, w in reversed(list(enumerate(words)))}
-        chosen = set(sorted(first, key=lambda w: (df.get(w, 0), first[w]))[:rare])
-        places = [(w, i) for i, w in enumerate(words) if w in chosen]
-        for w, i in places:
-            index[w].append((label, i, len(places)))
-    return dict(index)
+        words = list(dict.fromkeys(template_words(text)))
+        out[label] = sorted((w for w in words if df.get(w)), key=lambda w: (df[w], words.index(w)))
+    return out
 
 
 def _contains(text: Column, phrase: str) -> Column:
@@ -62,31 +57,41 @@ def _places(words: Column, count: Column, joined: Column, phrase: str) -> Column
 def scan_licenses(docs: DataFrame, templates: Templates | None = None, min_share: float = 0.75, rare: int = 8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, template_labels for every row of docs.
 
-    A template's share is the part of its indexed words that the text has at one common offset; from min_share on, and
-    with all key phrases, its label is given. score is the highest such share, or 1 where a base phrase stands. Null
-    and empty texts have no words; rows equal in id and text get the same result, null ids are ids like others; labels
-    of equal shares all stand; an empty table has no IDF and gives no rows; other columns aren't looked at.
+    Of each template whose key phrases stand in a file, the `rare` words of highest IDF among those that the file has are
+    looked up. Its share is the part of their IDF that is found at one offset between file and template, give or take a
+    tenth of the template's length, so that words put in don't break it; a file with less than half of a template's words
+    (or `rare` of them) has none. From min_share on the label is given. score is the highest such share, or 1 where a
+    base phrase stands. Null and empty texts have no words; rows equal in id and text get the same result, null ids are
+    ids like others; labels of equal shares all stand; an empty table has no IDF and gives no rows; other columns aren't
+    looked at.
     """
     templates = TEMPLATES if templates is None else templates
-    scratch = Scratch(docs.sparkSession)
-    index = positional_index(templates, document_frequencies(docs, templates), rare)
-    vocabulary = F.array(*map(F.lit, sorted(index))) if index else F.array().cast("array<string>")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    df, n_docs = document_frequencies(docs, templates), docs.count()
+    ranked = rarest_first(templates, df)
+    weight = {w: math.floor(1000 * math.log((n_docs + 1) / d)) + 1 for w, d in df.items()}
+    weights = F.create_map(*[F.lit(x) for w, v in weight.items() for x in (w, v)]) if weight else F.create_map().cast("map<string,int>")
+    vocabulary = sorted(set(weight) | {p.split()[0] for p in BASE})
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), alnum_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    known = F.arrays_overlap(F.col("w"), F.array(*map(F.lit, sorted(set(index) | {p.split()[0] for p in BASE}))))
+    known = F.arrays_overlap(F.col("w"), F.array(*map(F.lit, vocabulary)))
     base = base.withColumn("joined", F.when(known, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).otherwise(F.lit("")))
     labelled = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
     places = F.concat(*[F.transform(_places(F.col("w"), F.col("n"), F.col("joined"), p), labelled(BASE[p])) for p in BASE])
 
-    def all_phrases(label: str) -> Column:
-        out = F.lit(True)
+    def looked_up(label: str) -> Column:
+        """The label and the words to be looked up, where all key phrases stand."""
+        stands = F.lit(bool(ranked[label]))
         for p in templates[label][1]:
-            out = out & _contains(F.col("joined"), p)
-        return F.when(out, F.lit(label))
+            stands = stands & _contains(F.col("joined"), p)
+        own = F.slice(F.array_intersect(F.array(*map(F.lit, ranked[label] or [""])), F.col("w")), 1, rare)
+        return F.when(stands, F.struct(F.lit(label).alias("label"), own.alias("words")))
 
-    allowed = F.array_compact(F.array(*map(all_phrases, sorted(templates)))) if templates else F.array().cast("array<string>")
+    kind = "array<struct<label:string,words:array<string>>>"
+    allowed = F.array_compact(F.array(*map(looked_up, sorted(templates)))) if templates else F.array().cast(kind)
     base = base.withColumn("places", F.when(F.col("joined") != "", places)).withColumn("allowed", F.when(F.col("joined") != "", allowed))
-    found = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocabulary, x["word"]))
-    files = base.select(
+    wanted = F.array_distinct(F.flatten(F.transform("allowed", lambda x: x["words"])))
+    found = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.col("wanted"), x["word"]))
+    files = base.withColumn("wanted", F.when(F.size("allowed") > 0, wanted)).select(
         "doc_id",
         "th",
         F.col("n").cast("long").alias("n_words"),
@@ -95,19 +100,22 @@ def scan_licenses(docs: DataFrame, templates: Templates | None = None, min_share
         F.array_max(F.transform("places", lambda x: x["at"])).cast("long").alias("last_word"),
         F.coalesce(F.array_distinct(F.transform("places", lambda x: x["label"])), F.array().cast("array<string>")).alias("base"),
         "allowed",
-        F.when(F.size("allowed") > 0, found).alias("found"),
+        F.when(F.col("wanted").isNotNull(), found).alias("found"),
     )
     files = scratch.table(files, "files")  # a few numbers a file; words only where all key phrases of a template stand
-    postings = docs.sparkSession.createDataFrame(
-        [(w, label, at, n) for w, ps in index.items() for label, at, n in ps] or [("", "", 0, 1)], "word string, label string, pos int, n int"
-    )
-    hits = files.where(F.size("found") > 0).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "allowed", F.explode("found").alias("hit"))
-    at_offset = (
-        hits.join(F.broadcast(postings), F.col("hit.word") == F.col("word"))  # bounded: the templates' index
-        .where(F.expr("array_contains(allowed, label)"))
-        .groupBy("doc_id", "th", "label", (F.col("hit.at") - F.col("pos")).alias("offset"))
-        .agg((F.count("*") / F.first("n")).alias("share"))
-    )
+    rows = []
+    for label, (text, _) in templates.items():
+        words = template_words(text)
+        rows += [(label, w, i, max(1, len(words) // 10), min(rare, (len(set(words)) + 1) // 2)) for i, w in enumerate(words) if w in weight]
+    postings = spark.createDataFrame(rows or [("", "", 0, 1, 1)], "label string, word string, pos int, slack int, least int")
+    told = files.where(F.size("found") > 0).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.explode("allowed").alias("a"), "found")
+    total = F.aggregate("a.words", F.lit(0), lambda x, w: x + F.element_at(weights, w))
+    hits = told.select("doc_id", "th", "a.label", F.size("a.words").alias("k"), total.alias("total"), F.explode(F.filter("found", lambda x: F.array_contains(F.col("a.words"), x["word"]))).alias("hit"))
+    at = hits.select("doc_id", "th", "label", "k", "total", "hit.word", "hit.at", F.element_at(weights, F.col("hit.word")).alias("weight")).join(F.broadcast(postings), ["label", "word"]).where("k >= least")  # the templates' words
+    step = F.floor((F.col("at") - F.col("pos")) / F.col("slack"))
+    each = at.select("doc_id", "th", "label", "total", "word", "weight", F.explode(F.array(step, step - 1)).alias("step"))
+    once = each.groupBy("doc_id", "th", "label", "total", "step", "word").agg(F.max("weight").alias("weight"))
+    at_offset = once.groupBy("doc_id", "th", "label", "step").agg((F.sum("weight") / F.max("total")).alias("share"))
     told = at_offset.groupBy("doc_id", "th").agg(F.collect_set(F.when(F.col("share") >= min_share, F.col("label"))).alias("found"), F.max("share").alias("share"))
     told = told.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.array_sort("found").alias("labels_found"), "share")
     rows = files.drop("found").join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")

@@ -1,13 +1,16 @@
-"""Published licence texts and notices, and the phrases that a file must hold to get the label."""
+"""Published licence texts, notices and openings, and the phrases that a file must hold to get the label."""
 
 from __future__ import annotations
 
-#: label -> (text as published, mandatory key phrases). Words are taken like those of a file: lower case, no punctuation.
+#: label -> (text, notice or opening as published, mandatory key phrases). Words are taken like those of a file: lower case, no punctuation.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "0bsd": (
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
         THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-        WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
         ("with or without fee is hereby granted the software is provided",),
     ),
     "agpl-3.0": (

@@ -74,13 +74,18 @@ def _license_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents), j AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
 b(phrase, label, n) AS (VALUES {base}), tw(label, word, pos) AS (VALUES {own}), m(label, phrase) AS (VALUES {musts}),
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY word),
-rk AS (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY coalesce(df, 0), first) AS r FROM (SELECT label, word, min(pos) AS first FROM tw GROUP BY label, word) LEFT JOIN df USING (word)),
-p AS (SELECT label, word, pos, count(*) OVER (PARTITION BY label) AS n FROM tw JOIN rk USING (label, word) WHERE r <= 8),
+wt AS (SELECT word, df, floor(1000 * ln(((SELECT count(*) FROM d) + 1) / df))::BIGINT + 1 AS wt FROM df),
+lw AS (SELECT label, word, min(pos) AS first FROM tw GROUP BY label, word),
+lim AS (SELECT label, least(8, (count(DISTINCT word) + 1) // 2) AS least, greatest(1, count(*) // 10) AS slack FROM tw GROUP BY label),
 o AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' ') = phrase)) AS place FROM j, b WHERE contains(s, ' ' || phrase || ' ')),
 ob AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM o GROUP BY doc_id),
 t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM j),
-f AS (SELECT doc_id, p.label, count(DISTINCT pos) / any_value(n) AS share FROM t JOIN p USING (word) GROUP BY doc_id, p.label, place - pos),
-u AS (SELECT f.* FROM f JOIN j USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.label = f.label AND NOT contains(s, ' ' || m.phrase || ' '))),
+al AS (SELECT doc_id, lim.label FROM j, lim WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.label = lim.label AND NOT contains(s, ' ' || m.phrase || ' '))),
+dw AS (SELECT DISTINCT doc_id, word FROM t WHERE word IN (SELECT word FROM tw)),
+c AS (SELECT doc_id, label, word, wt FROM al JOIN lw USING (label) JOIN dw USING (doc_id, word) JOIN wt USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY df, first) <= 8),
+tot AS (SELECT doc_id, label, sum(wt) AS total, any_value(slack) AS slack FROM c JOIN lim USING (label) GROUP BY doc_id, label HAVING count(*) >= any_value(least)),
+h AS (SELECT DISTINCT doc_id, label, word, wt, total, floor((place - pos) / slack)::BIGINT - back AS step FROM tot JOIN c USING (doc_id, label) JOIN t USING (doc_id, word) JOIN tw USING (label, word), (VALUES (0), (1)) k(back)),
+u AS (SELECT doc_id, label, sum(wt) / any_value(total) AS share FROM h GROUP BY doc_id, label, step),
 x AS (SELECT doc_id, max(share) AS share, list_sort(list(DISTINCT label) FILTER (share >= 0.75)) AS found FROM u GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,

@@ -147,11 +147,28 @@ def test_rare_words_come_from_the_files(spark):
     docs = spark.createDataFrame([(i, "common words and one here") for i in range(5)] + [(9, "common words and one rarity here"), (10, "rarity")], "doc_id long, text string")
     df = license_scan.document_frequencies(docs, templates)
     assert df == {"common": 6, "words": 6, "and": 6, "one": 6, "here": 6, "rarity": 2}
-    assert set(license_scan.positional_index(templates, df, 1)) == {"rarity"}
+    assert license_scan.rarest_first(templates, df) == {"t": ["rarity", "common", "words", "and", "one", "here"]}
     out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(docs, templates).collect()}
     assert out[9] == ("t", 1.0) and out[10][0] == "" and out[0] == ("", 0.0)
 
 
+@pytest.mark.parametrize("beside", [False, True])
+@pytest.mark.parametrize("label", ["mit-text", "bsd-3-clause", "apache-2.0-header"])
+def test_edited_licences_keep_their_labels(spark, beside, label):
+    """Words altered, put in and left out in one of twenty places, wherever they are rarest; key phrases stay whole."""
+    text, phrases = license_scan.TEMPLATES[label]
+    words = license_scan.template_words(text)
+    held = {i for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for i in range(k, k + len(p.split()))}
+    free = [i for i in sorted(range(len(words)), key=lambda i: words.count(words[i])) if i not in held][: max(1, len(words) // 20)]
+    altered = " ".join(f"once{i}" if i in free else w for i, w in enumerate(words))
+    longer = " ".join(f"{w} extra{i}" if i in free else w for i, w in enumerate(words))
+    shorter = " ".join(w for i, w in enumerate(words) if i not in free)
+    rows = [altered, longer, shorter, "unlike " * 30 + altered] + [" ".join(words)] * beside + ["nothing of it"]
+    out = {r["doc_id"]: (r["template_labels"].split(","), r["score"]) for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(label in out[k][0] and out[k][1] >= 0.75 for k in range(len(rows) - 1)), out
+    assert out[len(rows) - 1] == ([""], 0.0)
+
+
 def test_versions_are_told_apart(spark):
     rows = [(k, text) for k, (text, _) in enumerate(license_scan.TEMPLATES.values())] + [(99, None), (99, None)]
     names = list(license_scan.TEMPLATES)
