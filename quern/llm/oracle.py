@@ -100,10 +100,10 @@ def _quality_sql() -> str:
     symbols, separators = _quoted(quality_rules.SYMBOLS), _quoted(quality_rules.SEPARATORS)
     return f"""WITH d AS (SELECT doc_id, {TEXT} AS text FROM documents), w AS (SELECT doc_id, text, {_words("text")} AS w FROM d),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
-n AS (SELECT doc_id, line, i, trim(line, {blank}) AS body, len({_words("line")}) AS n FROM l),
+n AS (SELECT doc_id, line, i, trim(line, {blank}) AS body, len({_words("line")}) AS n, coalesce(trim(lead(line) OVER (PARTITION BY doc_id ORDER BY i), {blank}), '') AS following FROM l),
 f AS (SELECT doc_id, line, i, n, length(translate(line, {blank}, '')) AS chars,
   {count(symbols, "body")} * 10 > 3 * length(body) OR n >= 5 AND {count("'!'", "body")} * 2 > n AND body = upper(body)
-  OR n >= 12 AND NOT contains({_quoted(quality_rules.ENDINGS)}, right(body, 1))
+  OR n >= 12 AND NOT contains({_quoted(quality_rules.ENDINGS)}, right(body, 1)) AND NOT regexp_matches(following, {_quoted(quality_rules.GOES_ON)})
   OR {count(separators, "body")} * 4 >= n + 4 OR n <= 20 AND regexp_matches(body, {nav}) OR n <= 20 AND regexp_matches(body, {boiler}) AS fails FROM n WHERE n > 0),
 g AS (SELECT doc_id, count(*) AS n_lines, count_if(fails)::BIGINT AS n_removed_lines, sum(chars) FILTER (fails) AS lost, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
 z AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),

@@ -13,36 +13,43 @@ from quern.llm._common import lean, shipped_by_value
 BLANK = " \t\n\x0b\x0c\r"
 #: Symbols that are counted.
 SYMBOLS = "#*$%&|<>"
-#: A line of navigation: a label of a menu in one of the languages, alone or beside other labels.
-NAVIGATION = (
-    r"(?i)^[\x00-\x40\x5B-\x60\x7B-\x7F]*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content"
+#: Labels of menus in the languages.
+_LABELS = (
+    r"home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content"
     r"|startseite|menü|anmelden|abmelden|registrieren|suche|weiter|zurück|nach oben|zum inhalt"
     r"|accueil|connexion|se connecter|s'inscrire|rechercher|suivant|précédent|haut de page|aller au contenu"
-    r"|inicio|menú|iniciar sesión|registrarse|buscar|siguiente|anterior|volver arriba|ir al contenido)([^\pL.!?][^.!?]*)?$"
+    r"|inicio|menú|iniciar sesión|registrarse|buscar|siguiente|anterior|volver arriba|ir al contenido"
 )
+#: A line of navigation has labels only; a sentence that begins with one of these words is none.
+NAVIGATION = rf"(?i)^\PL*({_LABELS})(\PL+({_LABELS}))*\PL*$"
 #: What stands between the labels of a menu.
 SEPARATORS = "|»›·•"
 #: Phrases of boilerplate in the languages; a word alone, like the one for a biscuit, is none.
-BOILERPLATE = (
-    r"(?i)(we|site|website|page) uses? cookies|accept (all )?cookies|cookie (policy|settings|notice|preferences)|privacy policy|terms of (use|service)|all rights reserved"
-    r"|click here|subscribe (now|today|to)|sign up for|newsletter|(enable|activate|requires) javascript|lorem ipsum|share (this|on) |read more"
-    r"|verwende[nt] cookies|alle cookies|cookie-(richtlinie|einstellungen)|datenschutz|impressum|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|jetzt abonnieren|javascript aktivieren|weiterlesen"
-    r"|utilis(e|ons) des cookies|accepter (tous )?les cookies|politique de confidentialité|mentions légales|conditions d'utilisation|tous droits réservés|cliquez ici|abonnez-vous|activer javascript|lire la suite"
-    r"|(utiliza|utilizamos|usamos) cookies|aceptar (todas )?las cookies|política de privacidad|aviso legal|condiciones de uso|todos los derechos reservados|haga clic|suscríbete|activar javascript|leer más"
+_NOTICES = (
+    r"(we|site|website|page) uses? cookies|accept (all )?cookies|cookie (policy|settings|notice|preferences)|privacy policy|terms of (use|service)|all rights reserved"
+    r"|(enable|activate|requires) javascript|lorem ipsum|subscribe (now|today)"
+    r"|verwende[nt] cookies|alle cookies|cookie-(richtlinie|einstellungen)|datenschutz|impressum|nutzungsbedingungen|alle rechte vorbehalten|jetzt abonnieren|javascript aktivieren"
+    r"|utilis(e|ons) des cookies|accepter (tous )?les cookies|politique de confidentialité|mentions légales|conditions d'utilisation|tous droits réservés|abonnez-vous|activer javascript"
+    r"|(utiliza|utilizamos|usamos) cookies|aceptar (todas )?las cookies|política de privacidad|aviso legal|condiciones de uso|todos los derechos reservados|suscríbete|activar javascript"
 )
-#: What may end a sentence.
-ENDINGS = ".!?…:;\"'”’)]}»,"
+#: Calls that are boilerplate at the end of a line, but may begin a sentence.
+_CALLS = r"click here|read more|newsletter|share (this|on \pL+)|hier klicken|weiterlesen|cliquez ici|lire la suite|haga clic( aquí)?|leer más"
+BOILERPLATE = rf"(?i){_NOTICES}|({_CALLS})\PL*$"
+#: What may end a sentence: the marks that Unicode has for that in any script, colons, commas, quotes and closing brackets.
+ENDINGS = "".join(c for c in map(chr, range(0x11FFF)) if regex.match(r"\p{Sentence_Terminal}|\p{Pe}|\p{Pf}", c)) + "…:;,\"'"
+#: A line goes on in the next one if that begins with a small letter.
+GOES_ON = r"^\p{Ll}"
 
 
-def line_fails(line: str, n_words: int, long_line: int = 12) -> str | None:
+def line_fails(line: str, n_words: int, long_line: int = 12, following: str = "") -> str | None:
     """The rule that a line with n_words words breaks, if any: symbols, shouting, ending (a line as long as a sentence
-    has to end like one), navigation, boilerplate."""
+    has to end like one, unless the following line goes on with it), navigation, boilerplate."""
     body = line.strip(BLANK)
     if sum(map(body.count, SYMBOLS)) * 10 > 3 * len(body):
         return "symbols"
     if n_words >= 5 and body.count("!") * 2 > n_words and body == body.upper():
         return "shouting"
-    if n_words >= long_line and body[-1] not in ENDINGS:
+    if n_words >= long_line and body[-1] not in ENDINGS and not regex.match(GOES_ON, following.strip(BLANK)):
         return "ending"
     if sum(map(body.count, SEPARATORS)) * 4 >= n_words + 4 or n_words <= 20 and regex.search(NAVIGATION, body):
         return "navigation"
@@ -92,7 +99,8 @@ def measure(text: str | None, max_lost: float = 0.5) -> tuple:
     seen: set[str] = set()
     dup = removed = n_lines = lost = 0
     stay = []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for line, following in zip(lines, [*lines[1:], ""], strict=True):
         chars = len(line) - sum(map(line.count, BLANK))
         if not chars:
             stay.append(line)
@@ -100,7 +108,7 @@ def measure(text: str | None, max_lost: float = 0.5) -> tuple:
         n_lines += 1
         dup += line in seen
         seen.add(line)
-        if line_fails(line, len(line.encode("utf-8", "surrogatepass").split())):
+        if line_fails(line, len(line.encode("utf-8", "surrogatepass").split()), following=following):
             removed += 1
             lost += chars
         else:
