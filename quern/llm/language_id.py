@@ -100,18 +100,24 @@ def learn(labelled: DataFrame, sample_docs: int = 2000, grams_per_language: int
     if not counts:
         return BloomModel({}, bits)
 
-    def under(share: dict[str, float]) -> DataFrame:
-        bound = F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, v)])
-        return rows.where(F.shiftrightunsigned("h", 11) <= F.element_at(bound, F.col("lang")) * F.lit(float(1 << 53)))
+    def under(limits: dict[str, int]) -> DataFrame:
+        limit = F.create_map(*[F.lit(x) for k, v in sorted(limits.items()) for x in (k, v)])
+        return rows.where(F.col("h") <= F.element_at(limit, F.col("lang")))
 
-    # Hashes are spread evenly, so those of four times the sample lie under this bound; others needn't be sorted. Where
-    # repeated rows leave fewer than the sample under it, the whole language is sorted.
+    # Hashes are spread evenly, so those of four times the sample lie under this share of them; where repeated rows leave
+    # fewer different ones than the sample, the share grows fourfold until there are enough or all rows are in.
     share = {k: min(1.0, (4 * sample_docs + 100) / n) for k, n in counts.items()}
-    if any(v < 1 for v in share.values()):
-        got = {r["lang"]: r["n"] for r in under(share).groupBy("lang").agg(F.count_distinct("h").alias("n")).toLocalIterator()}
-        share = {k: v if got.get(k, 0) >= sample_docs else 1.0 for k, v in share.items()}
-    w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    chosen = under(share).dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs).select("lang", "text")
+    limits = {k: int(v * (1 << 64)) - (1 << 63) - 1 for k, v in share.items()}
+    unsure = {k: v for k, v in limits.items() if share[k] < 1}
+    while unsure:
+        got = {r["lang"]: r["n"] for r in under(unsure).groupBy("lang").agg(F.count_distinct("h").alias("n")).toLocalIterator()}  # a row a language
+        share |= {k: min(1.0, 4 * share[k]) for k in unsure if got.get(k, 0) < sample_docs}
+        limits |= {k: int(share[k] * (1 << 64)) - (1 << 63) - 1 for k in unsure}
+        unsure = {k: limits[k] for k in unsure if got.get(k, 0) < sample_docs and share[k] < 1}
+    w = Window.partitionBy("lang").orderBy("h")  # numbers only, some times the sample
+    last = under(limits).select("lang", "h").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") == sample_docs)
+    limits |= {r["lang"]: r["h"] for r in last.toLocalIterator()}  # a row a language
+    chosen = under(limits).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches):
         for b in batches:
