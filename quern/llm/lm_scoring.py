@@ -441,7 +441,7 @@ def train(texts: DataFrame, order: int = 3, part_grams: int = 1_000_000, task_to
     spark = texts.sparkSession
     scratch = Scratch(spark)
     root = scratch.path("model")
-    bits = max(3, min(16, (text_bytes(texts) // 5 // part_grams).bit_length()))
+    bits = max(3, min(28, (text_bytes(texts) // 5 // part_grams).bit_length()))  # 28: 10^15 bytes
     usual, frequent = _usual_words(texts, 1 / (8 << bits))
     deal = Deal(order, bits, usual.tobytes(), frequent)
 
@@ -509,14 +509,26 @@ def _usual_words(texts: DataFrame, share: float) -> tuple[np.ndarray, int]:
 
 
 def _save_frequent(root: str, level: int, partial: DataFrame) -> None:
-    """Adds up what the parts say of contexts of frequent words; there are at most FREQUENT."""
-    sums: dict[int, np.ndarray] = {}
-    for r in partial.toLocalIterator():
-        own = np.frombuffer(r["counts"], dtype=np.int64).reshape(-1, 4)
-        for c, x in zip(np.frombuffer(r["words"], dtype=np.uint64).tolist(), own, strict=True):
-            sums[c] = sums[c] + x if c in sums else x
-    keys = np.array(sorted(sums), dtype=np.uint64)
-    _save(root, level, "frequent", {"contexts": keys, "stats": np.array([sums[c] for c in keys.tolist()], dtype=np.int64).reshape(-1, 4)})
+    """Adds up what the parts say of contexts of frequent words, in Spark; there are at most FREQUENT contexts, which one
+    task writes."""
+
+    def spread(batches):
+        for b in batches:
+            for words, counts in zip(b.column(0), b.column(1), strict=True):
+                own = np.frombuffer(counts.as_buffer(), dtype=np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_buffer(), dtype=np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in own.T)], names=["context", "c0", "c1", "c2", "c3"])
+
+    def save(batches):
+        found = [[np.asarray(c) for c in b.columns] for b in batches]
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 5
+        keys = columns[0].view(np.uint64)
+        order = np.argsort(keys)
+        _save(root, level, "frequent", {"contexts": keys[order], "stats": np.stack([c[order] for c in columns[1:]], axis=1)})
+        yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["n"])
+
+    sums = partial.mapInArrow(lean(spread), "context long, c0 long, c1 long, c2 long, c3 long").groupBy("context").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)])
+    if not sums.coalesce(1).mapInArrow(lean(save), "n long").collect():  # no task without a partition
+        list(save([]))
 
 
 def _merger(root: str, level: int, deal: Deal):

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import chat_format, decontam, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
@@ -118,6 +119,24 @@ def test_arrays_on_another_file_system(tmp_path, monkeypatch):
     assert (found["contexts"] == a).all() and (found["stats"] == b).all() and lm_scoring._load(root, 1, 4) is None
 
 
+def test_frequent_contexts_are_summed_in_spark(tmp_path, spark, monkeypatch):
+    """300 parts tell of the same contexts; the driver gets one number."""
+    saved = f"{tmp_path}/sums"
+    rng = np.random.default_rng(1)
+    contexts = np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2))
+    parts = [(contexts[k % 5 :: 2], rng.integers(1, 9, (len(contexts[k % 5 :: 2]), 4))) for k in range(300)]
+    partial = spark.createDataFrame([(w.tobytes(), c.astype("<i8").tobytes()) for w, c in parts], "words binary, counts binary").repartition(30)
+    lm_scoring._save_frequent(saved, 2, partial)
+    lm_scoring._save_frequent(saved, 3, partial.limit(0))
+    want = {}
+    for w, c in parts:
+        for x, y in zip(w.tolist(), c, strict=True):
+            want[x] = want.get(x, 0) + y
+    got = lm_scoring._load(saved, 2, "frequent")
+    assert got["contexts"].tolist() == sorted(want) and all((got["stats"][i] == want[x]).all() for i, x in enumerate(sorted(want)))
+    assert not len(lm_scoring._load(saved, 3, "frequent")["contexts"])
+
+
 def test_few_maps_and_frequent_words(spark, monkeypatch):
     """With one array mapped at a time and with all words frequent the scores are the same."""
     rnd = random.Random(6)
@@ -276,6 +295,24 @@ def test_rules_in_the_languages():
     for t in ("Alle Rechte vorbehalten", "Datenschutz und Impressum", "Tous droits réservés", "Todos los derechos reservados", "We use cookies"):
         assert fails(t) == "boilerplate"
     assert fails("a line of fourteen words that has no end and so it fails here") == "ending"
+    for t in ("Home prices rose again", "Search results were mixed for the team", "Read more books and you will learn a lot", "Next to the river stood a house"):
+        assert fails(t) is None
+    assert fails("Home » Search – Login") == "navigation" and fails("The story goes on. Read more …") == "boilerplate" and fails("Weiterlesen") == "boilerplate"
+
+
+def test_sentences_in_any_script_and_wrapped_lines():
+    hindi, arabic = " ".join(["यह एक लंबा वाक्य है जो कई शब्दों से बना है और यहाँ समाप्त होता है"] * 1) + "।", "هل هذه جملة طويلة جدا تتكون من كلمات كثيرة في سطر واحد فقط هنا؟"
+    for t in (hindi, arabic, "这 是 一 个 有 很 多 词 的 长 句 子 在 这里。", "これ は とても 長い 文 で たくさん の 単語 が あり ます ね 。"):
+        assert len(t.split()) >= 12 and quality_rules.line_fails(t, len(t.split())) is None
+    wrapped = "\n".join(f"this paragraph was wrapped by hand after some fourteen words or so line {k} and" for k in "abcdefgh") + "\nthen it ended."
+    found = quality_rules.measure(wrapped)
+    assert found[8] == 0 and found[9] == wrapped  # no line is removed
+
+
+def test_rules_of_a_very_long_text(spark):
+    text = "\n".join(f"sentence number {chr(97 + k % 26)}{chr(97 + k // 26 % 26)} has these words in it today {k} times." for k in range(20_000))
+    out = quality_rules.quality_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["n_words"] == 220_000 and out["n_removed_lines"] == 0
 
 
 # --- 9 --------------------------------------------------------------------------------------------
@@ -322,6 +359,16 @@ def test_slots_and_masks():
         assert all((m >> np.uint64(k) & np.uint64(1)).all() for m in masks)
 
 
+def test_sample_of_rows_that_repeat(spark):
+    """Each row five times and more: the sample is the same as without the repetitions."""
+    rows = [(i, f"the of and with this there {i} {'x' * (i % 7)}", "en") for i in range(900)] + [(i, f"der die das und nicht {i}", "de") for i in range(50)]
+    schema = "doc_id long, text string, lang string"
+    once = language_id.learn(spark.createDataFrame(rows, schema), sample_docs=40)
+    for times in (5, 40):
+        again = language_id.learn(spark.createDataFrame(rows, schema).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("n"), sample_docs=40)
+        assert again.languages == once.languages == ["de", "en"] and (again.masks == once.masks).all()
+
+
 @pytest.mark.parametrize("same", ["id", "row"])
 def test_repeated_ids_lose_no_language(spark, same):
     rows = [(7, "le la les des une dans pour" + (f" {i}" if same == "id" else ""), "fr") for i in range(12_000)] + [(i, f"the of and with this {i}", "en") for i in range(300)]
