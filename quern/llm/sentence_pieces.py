@@ -7,8 +7,9 @@ import codecs
 import heapq
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -24,8 +25,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The model type of merge vocabularies in a model file.
 MERGES = 2
-#: Segments up to so many characters are remembered, so many of them at most.
-SHORT, REMEMBERED = 64, 1 << 17
+#: Segments up to so many characters are remembered and have a list for an agenda; twice so many are remembered at most.
+SHORT, REMEMBERED = 32, 1 << 18
+#: The rank of what is no piece.
+NEVER = 1 << 62
 
 
 def _fields(data: bytes):
@@ -127,26 +130,51 @@ def merge(symbols: list[str], rank: dict[str, int]) -> list[str]:
     return [s for s in symbols if s]
 
 
+def merge_few(symbols: list[str], rank: dict[str, int]) -> list[str]:
+    """The same for few symbols, with the pairs' ranks in a list: its first least entry is what the heap would give."""
+    get = rank.get
+    agenda = [get(a + b, NEVER) for a, b in pairwise(symbols)]
+    while agenda and (best := min(agenda)) != NEVER:
+        i = agenda.index(best)
+        text = symbols[i] = symbols[i] + symbols.pop(i + 1)
+        agenda.pop(i)
+        if i:
+            agenda[i - 1] = get(symbols[i - 1] + text, NEVER)
+        if i < len(agenda):
+            agenda[i] = get(text + symbols[i + 1], NEVER)
+    return symbols
+
+
 class Encoder(dict):
-    """Segment -> its ids as little-endian 32-bit numbers. Merges never cross two characters that stand side by side in
+    """Segment -> its ids as 32-bit numbers. Merges never cross two characters that stand side by side in
     no piece; texts are cut there, and short segments are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.older = vocabulary, {}
         whole = any(a != SPACE and b == SPACE for a, b in vocabulary.pairs)
         self.segments = (lambda t: [t]) if whole else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def __missing__(self, segment: str) -> bytes:
-        ids: list[int] = []
-        cuts = [0, *(i for i, (a, b) in enumerate(pairwise(segment), 1) if a + b not in self.v.pairs), len(segment)]
-        for a, b in pairwise(cuts):
-            for symbol in merge(list(segment[a:b]), self.v.rank):
-                known = self.v.ids.get(symbol)
-                ids += [known] if known is not None else [self.v.byte_ids[x] for x in symbol.encode()]
-        out = np.asarray(ids, dtype="<i4").tobytes()
+        v = self.v
+        if (out := self.older.get(segment)) is not None:
+            self[segment] = out
+            return out
+        if len(segment) <= SHORT:
+            symbols = merge_few(list(segment), v.rank)
+        else:
+            cuts = [0, *(i for i, (a, b) in enumerate(pairwise(segment), 1) if a + b not in v.pairs), len(segment)]
+            symbols = chain.from_iterable((merge_few if b - a <= SHORT else merge)(list(segment[a:b]), v.rank) for a, b in pairwise(cuts))
+        ids = array("i")
+        for symbol in symbols:
+            if (known := v.ids.get(symbol)) is not None:
+                ids.append(known)
+            else:
+                ids.extend(v.byte_ids[x] for x in symbol.encode())
+        out = ids.tobytes()
         if len(segment) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED:  # what was met since the last time stays
+                self.older = dict(self)
                 self.clear()
             self[segment] = out
         return out
@@ -231,10 +259,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
 
         def rows(batch, most: int = 1 << 18):
             column, i = batch.column(ids), 0
-            ends = np.cumsum([x or 0 for x in column.value_lengths().to_pylist()])
+            ends = np.r_[0, np.cumsum(np.asarray(column.value_lengths().fill_null(0)))]
             while i < len(column):  # runs of about `most` ids
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
-                yield i, pa.array([decoder.decode(x or []) for x in column.slice(i, j - i).to_pylist()], pa.string())
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, side="right")) - 1)
+                own = np.asarray(column.slice(i, j - i).flatten()).tolist()
+                yield i, pa.array([decoder.decode(own[a:b]) for a, b in pairwise((ends[i : j + 1] - ends[i]).tolist())], pa.string())
                 i = j
 
         return rows
