@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import ngrams
+from quern.operators.graph import checkpoint_dir
 
 
 def ngram_counts(rows: DataFrame, words: Column, n: int) -> DataFrame:
@@ -41,34 +42,41 @@ def kneser_ney(rows: DataFrame, words: Column, order: int = 3) -> dict[int, Data
     the weight that its own continuations leave to the next lower order; 0 -> (p), the share of an unknown word.
 
     Lower orders count in how many different n-grams one order up an n-gram stands; the three discounts of an order come
-    from its counts of counts. Every level is a handful of aggregations and joins on n-grams.
+    from its counts of counts. Every order's counts and its share of the model are written once, in the folder for
+    checkpoints, so that what is built on them doesn't work them out again; some sums of each order come to the driver.
     """
-    counts = {order: _framed(rows, [], words, order).groupBy("g").agg(F.count("*").alias("n"))}
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    counts = {order: _framed(rows, [], words, order).groupBy("g").agg(F.count("*").alias("n")).checkpoint()}
     for m in range(order - 1, 0, -1):
-        counts[m] = counts[m + 1].groupBy(F.slice("g", 2, m).alias("g")).agg(F.count("*").alias("n"))
+        counts[m] = counts[m + 1].groupBy(F.slice("g", 2, m).alias("g")).agg(F.count("*").alias("n")).checkpoint()
     model: dict[int, DataFrame] = {}
     lower = None
     for m in range(1, order + 1):
-        k = counts[m].agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
-        n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
-        good, y = F.least(n1, n2, n3, n4) > 0, n1 / F.greatest(n1 + 2 * n2, F.lit(1))
-        d = [F.when(good, F.least(F.greatest(i - (i + 1) * y * b / a, F.lit(0.05)), F.lit(float(i)))).otherwise(x).alias(f"d{i}") for i, a, b, x in ((1, n1, n2, 0.5), (2, n2, n3, 1.0), (3, n3, n4, 1.5))]
-        own = counts[m].crossJoin(F.broadcast(k.select(*d)))  # one row
-        own = own.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).select("g", "n", "d", F.slice("g", 1, m - 1).alias("ctx"))
-        sums = own.groupBy("ctx").agg(F.sum("n").alias("t"), F.sum("d").alias("gone"), F.count("*").alias("kinds"))
-        sums = sums.select("ctx", "t", (F.col("gone") / F.col("t")).alias("back"), "kinds")
+        d = _discounts(counts[m].agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
+        own = counts[m].select("g", "n", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]).alias("d"), F.slice("g", 1, m - 1).alias("ctx"))
         if m == 1:
-            low = sums.select("t", "back", (F.col("back") / (F.col("kinds") + 1)).alias("share"))
-            model[0] = low.select(F.col("share").alias("p"))
-            level = own.crossJoin(F.broadcast(low)).select("g", ((F.col("n") - F.col("d")) / F.col("t") + F.col("share")).alias("p"))  # one row
+            t, gone, kinds = own.agg(F.sum("n"), F.sum("d"), F.count("*")).first()
+            share = gone / t / (kinds + 1) if t else 1.0
+            model[0] = spark.createDataFrame([(share,)], "p double")
+            level = own.select("g", ((F.col("n") - F.col("d")) / F.lit(t or 1) + F.lit(share)).alias("p"))
         else:
-            model[m - 1] = model[m - 1].join(sums.select(F.col("ctx").alias("g"), "back"), "g", "full")
+            sums = own.groupBy("ctx").agg(F.sum("n").alias("t"), (F.sum("d") / F.sum("n")).alias("back")).checkpoint()
+            model[m - 1] = lower.join(sums.select(F.col("ctx").alias("g"), "back"), "g", "full")
             below = lower.select(F.col("g").alias("tail"), F.col("p").alias("q"))
             level = own.join(sums, "ctx").withColumn("tail", F.slice("g", 2, m - 1)).join(below, "tail").select("g", ((F.col("n") - F.col("d")) / F.col("t") + F.col("back") * F.col("q")).alias("p"))
-        model[m] = lower = level
+        model[m] = lower = level.checkpoint()
     return model
 
 
+def _discounts(counts: tuple) -> list[float]:
+    """The discounts of n-grams seen once, twice and more, from how many are seen once to four times."""
+    if min(counts) <= 0:
+        return [0.5, 1.0, 1.5]
+    y = counts[0] / (counts[0] + 2 * counts[1])
+    return [min(max(i - (i + 1) * y * counts[i] / counts[i - 1], 0.05), float(i)) for i in (1, 2, 3)]
+
+
 def score_detail(rows: DataFrame, key: str, words: Column, model: dict[int, DataFrame]) -> DataFrame:
     """(key, pos, word, matched, lp): for every word and end mark the length of the longest n-gram that the model has (0
     for an unknown word) and log10 of its probability, backed off where the full n-gram isn't known."""
@@ -80,8 +88,7 @@ def score_detail(rows: DataFrame, key: str, words: Column, model: dict[int, Data
         if m < order:
             back = model[m].select(F.col("g").alias("gm"), F.col("back").alias(f"b{m}")).where(F.col(f"b{m}").isNotNull())
             at = at.withColumn("gm", F.slice("g", order - m, m)).join(back, "gm", "left").drop("gm")
-    at = at.crossJoin(F.broadcast(model[0].select(F.col("p").alias("p0"))))  # one row
-    p, matched = F.coalesce("p1", "p0"), F.when(F.col("p1").isNotNull(), 1).otherwise(0)
+    p, matched = F.coalesce("p1", F.lit(model[0].first()["p"])), F.when(F.col("p1").isNotNull(), 1).otherwise(0)
     for m in range(2, order + 1):
         p = F.coalesce(F.col(f"p{m}"), F.coalesce(F.col(f"b{m - 1}"), F.lit(1.0)) * p)
         matched = F.when(F.col(f"p{m}").isNotNull(), m).otherwise(matched)

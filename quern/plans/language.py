@@ -69,7 +69,7 @@ def bigram_lm_score(spark, sf_dir):
 
 
 _TRI = f"""f AS (SELECT item_id, list_concat(['<s>', '<s>'], {WORDS}, ['</s>']) AS w FROM benchmark),
-p AS (SELECT item_id, i - 2 AS pos, w[i - 2] AS a, w[i - 1] AS b, w[i] AS c FROM f, range(3, 100000) t(i) WHERE i <= len(w)),
+every AS (SELECT item_id, i - 2 AS pos, w[i - 2] AS a, w[i - 1] AS b, w[i] AS c FROM (SELECT item_id, w, unnest(range(3, len(w) + 1)) AS i FROM f)), p AS (SELECT * FROM every WHERE item_id % 5 <> 0),
 c3 AS (SELECT a, b, c, count(*) AS n FROM p GROUP BY ALL), c2 AS (SELECT b, c, count(*) AS n FROM c3 GROUP BY ALL), c1 AS (SELECT c, count(*) AS n FROM c2 GROUP BY ALL),
 k AS (SELECT 3 AS o, n FROM c3 UNION ALL SELECT 2, n FROM c2 UNION ALL SELECT 1, n FROM c1),
 m AS (SELECT o, count_if(n = 1) AS n1, count_if(n = 2) AS n2, count_if(n = 3) AS n3, count_if(n = 4) AS n4 FROM k GROUP BY o),
@@ -82,17 +82,28 @@ q2 AS (SELECT b, c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END)
 q3 AS (SELECT a, b, c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / t + g / t * q2.p AS p FROM c3 JOIN e3 USING (a, b) JOIN q2 USING (b, c), z WHERE o = 3)"""
 
 
-@query(f"WITH {_TRI} SELECT item_id, count(*) AS n_words, 0::BIGINT AS n_unknown, round(sum(log10(p)), 6) AS score FROM p JOIN q3 USING (a, b, c) GROUP BY 1")
-def trigram_lm_score(spark, sf_dir):
-    """Order-3 interpolated modified Kneser-Ney, trained on and applied to the same texts, so no word is unknown."""
+_BACKED = f"""{_TRI}, told AS (SELECT item_id, pos, every.c AS word, CASE WHEN q3.p IS NOT NULL THEN 3 WHEN q2.p IS NOT NULL THEN 2 WHEN q1.p IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS matched,
+log10(coalesce(q3.p, coalesce(e3.g / e3.t, 1) * coalesce(q2.p, coalesce(e2.g / e2.t, 1) * coalesce(q1.p, (SELECT g / t / (v + 1) FROM e1))))) AS lp
+FROM every LEFT JOIN q3 ON q3.a = every.a AND q3.b = every.b AND q3.c = every.c LEFT JOIN q2 ON q2.b = every.b AND q2.c = every.c LEFT JOIN q1 ON q1.c = every.c LEFT JOIN e3 ON e3.a = every.a AND e3.b = every.b LEFT JOIN e2 ON e2.b = every.b)"""
+
+
+def _four_folds(spark, sf_dir):
+    """All items, and a model of order 3 of four folds out of five, to which the fifth is new."""
     rows = table(spark, sf_dir, "benchmark")
-    return M.score_sentences(rows, "item_id", X.words(TEXT), M.kneser_ney(rows, X.words(TEXT), 3)).select("item_id", "n_words", "n_unknown", "score")
+    return rows, M.kneser_ney(rows.where("item_id % 5 <> 0"), X.words(TEXT), 3)
 
 
-@query(f"WITH {_TRI} SELECT item_id, pos::BIGINT AS pos, c AS word, 3::BIGINT AS matched, round(log10(p), 6) AS lp FROM p JOIN q3 USING (a, b, c)")
+@query(f"WITH {_BACKED} SELECT item_id, count(*) AS n_words, count_if(matched = 0)::BIGINT AS n_unknown, round(sum(lp), 6) AS score FROM told GROUP BY 1")
+def trigram_lm_score(spark, sf_dir):
+    """Order-3 interpolated modified Kneser-Ney with back-off and unknown words."""
+    rows, model = _four_folds(spark, sf_dir)
+    return M.score_sentences(rows, "item_id", X.words(TEXT), model).select("item_id", "n_words", "n_unknown", "score")
+
+
+@query(f"WITH {_BACKED} SELECT item_id, pos::BIGINT AS pos, word, matched, round(lp, 6) AS lp FROM told")
 def trigram_lm_detail(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark")
-    return M.score_detail(rows, "item_id", X.words(TEXT), M.kneser_ney(rows, X.words(TEXT), 3)).select("item_id", F.col("pos").cast("long").alias("pos"), "word", F.col("matched").cast("long").alias("matched"), F.round("lp", 6).alias("lp"))
+    rows, model = _four_folds(spark, sf_dir)
+    return M.score_detail(rows, "item_id", X.words(TEXT), model).select("item_id", F.col("pos").cast("long").alias("pos"), "word", F.col("matched").cast("long").alias("matched"), F.round("lp", 6).alias("lp"))
 
 
 @query(f"""WITH {_VOCABULARY} SELECT word, count(*) AS n FROM w WHERE item_id % 5 = 0 AND word NOT IN (SELECT word FROM w WHERE item_id % 5 <> 0) GROUP BY 1""")
