@@ -367,10 +367,14 @@ def misspelled_words(spark, sf_dir):
 
 #: The edit distance of the SQL engine counts bytes, so letters beyond ASCII become capitals first, which no word holds.
 _SINGLE = "translate({}, 'äöüßéèêàâçîïôûùëñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')"
-_SUGGEST = f"""{_VOCAB}, v AS (SELECT term, df FROM df WHERE df >= 3 AND length(term) >= 2),
-c AS (SELECT word, term, df, levenshtein({_SINGLE.format("word")}, {_SINGLE.format("term")}) AS distance, greatest(length(word), length(term)) AS n FROM (SELECT word FROM b WHERE length(word) >= 4 AND NOT regexp_matches(word, '^[0-9]')), v WHERE word <> term AND abs(length(word) - length(term)) <= length(word) / 3 + 1),
-g AS (SELECT word, term, df, distance, round(1 - distance / n, 6) AS similarity FROM c WHERE distance <= 0.25 * n),
-r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, df DESC, term) AS rank FROM g)"""
+#: An edit changes at most two of the letters that a word has, here as bits, which tells most pairs apart at once.
+_LETTERS = "list_bit_or(list_transform(string_split({}, ''), lambda c: 1::BIGINT << (unicode(c) % 62)))"
+_SUGGEST = f"""{_VOCAB}, v AS MATERIALIZED (SELECT term, df, length(term) AS tn, {_LETTERS.format("term")} AS tl FROM df WHERE df >= 3 AND length(term) >= 2),
+s AS MATERIALIZED (SELECT word, length(word) AS wn, {_LETTERS.format("word")} AS wl FROM b WHERE length(word) >= 4 AND NOT regexp_matches(word, '^[0-9]')),
+m0 AS MATERIALIZED (SELECT word, term, df, greatest(wn, tn) AS n FROM s JOIN v ON tn BETWEEN wn - wn // 3 AND wn + wn // 3 WHERE word <> term AND 2 * bit_count(xor(wl, tl)) <= greatest(wn, tn)),
+c AS (SELECT word, term, df, levenshtein({_SINGLE.format("word")}, {_SINGLE.format("term")}) AS distance, n FROM m0),
+g AS MATERIALIZED (SELECT word, term, df, distance, round(1 - distance / n, 6) AS similarity FROM c WHERE distance <= 0.25 * n),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, df DESC, term) AS rank FROM g)"""
 
 
 @query(f"""{_VOCAB}, p AS (SELECT word, word || 's' AS term FROM b UNION SELECT word, reverse(word) FROM b), r AS (SELECT word, left(word, 3) AS root FROM b)

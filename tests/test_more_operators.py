@@ -42,6 +42,8 @@ def test_neighbours_in_blocks(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>, l string")
     found = {(r["query"], r["rank"]): r["id"] for r in similarity.nearest_by_distance(df, df.where("id % 30 = 0"), "id", "v", 5).collect()}
     cosine = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in similarity.nearest_vectors(df, df.where("id % 30 = 0"), "id", "v", 5).collect()}
+    assert cosine == {(r["query"], r["rank"]): (r["id"], r["score"]) for r in similarity.nearest_vectors(df.repartition(5), df.where("id % 30 = 0"), "id", "v", 5, sent=0).collect()}
+    assert similarity.nearest_vectors(df, df.limit(0), "id", "v", 5).count() == 0
     votes = {r["id"]: r["l"] for r in classify.nearest_neighbours(df.where("id % 30 = 0").select("id", "v"), df, "id", "v", "l").collect()}
     for q in range(0, 120, 30):
         a = rows[q][1]
