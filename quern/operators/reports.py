@@ -54,6 +54,27 @@ def sheet_fields(lines: DataFrame, text: str = "text") -> DataFrame:
     return at.withColumn("weekly", F.col(text).rlike(r"(?i)^\s*weekly:"))
 
 
+def sheet_messages(lines: DataFrame, number: str = "line_num", text: str = "text", file: str = "file") -> DataFrame:
+    """(file, level, part, hours, stated, message): what the lines `hours: n`, `weekly: n` and `total: n` of a sheet state
+    against the sums of its slots, where they differ; part is the number of the day or week, 0 for the whole sheet. Lines
+    that state no number say nothing; of several the largest counts."""
+    lines = lines if file in lines.columns else lines.withColumn(file, F.lit(""))
+    fields = sheet_fields(lines, text)
+    before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    week = F.coalesce(F.sum(F.col("weekly").cast("int")).over(before), F.lit(0)).cast("long")
+    said = lambda word: F.regexp_extract(text, rf"(?i)^\s*{word}:\s*([0-9]+(\.[0-9]+)?)", 1).try_cast("double")
+    stated = fields.withColumn("week", week).select(file, "week", said("weekly").alias("w"), said("total").alias("t"))
+    days = timesheet(lines, number, text, file)
+    by_day = days.select(file, F.lit("day").alias("level"), F.col("day_num").cast("long").alias("part"), "hours", "stated")
+    weeks = days.groupBy(file, "week").agg(F.sum("hours").alias("hours")).join(stated.groupBy(file, "week").agg(F.max("w").alias("stated")), [file, "week"])
+    sheets = days.groupBy(file).agg(F.sum("hours").alias("hours")).join(stated.groupBy(file).agg(F.max("t").alias("stated")), file)
+    every = by_day.unionByName(weeks.select(file, F.lit("week").alias("level"), F.col("week").cast("long").alias("part"), "hours", "stated"))
+    every = every.unionByName(sheets.select(file, F.lit("sheet").alias("level"), F.lit(0).cast("long").alias("part"), "hours", "stated"))
+    wrong = every.withColumn("hours", F.round(F.coalesce("hours", F.lit(0.0)), 2)).where(F.abs(F.col("hours") - F.col("stated")) >= 0.005)
+    message = F.concat_ws(" ", "level", F.when(F.col("level") != "sheet", F.col("part").cast("string")), F.lit("has"), F.col("hours").cast("string"), F.lit("hours,"), F.col("stated").cast("string"), F.lit("stated"))
+    return wrong.select(file, "level", "part", "hours", "stated", message.alias("message"))
+
+
 def weekly_pivot(days: DataFrame, file: str = "file") -> DataFrame:
     """A row a sheet and week, a column a weekday, and the total; days come from timesheet."""
     names = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]

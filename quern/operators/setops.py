@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,14 @@ def remove_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b)
 
 
+def remove_all_folded(a: DataFrame, b: DataFrame, value: str, order: str) -> DataFrame:
+    """a without one row, the first by `order`, for each row of b with the same value but for capitals. Nulls are equal."""
+    w = Window.partitionBy("__v").orderBy(order)
+    gone = b.groupBy(F.lower(value).alias("__x")).agg(F.count("*").alias("__n"))
+    at = a.withColumn("__v", F.lower(value)).withColumn("__r", F.row_number().over(w))
+    return at.join(gone, F.col("__v").eqNullSafe(F.col("__x")), "left").where(F.col("__r") > F.coalesce("__n", F.lit(0))).drop("__v", "__r", "__x", "__n")
+
+
 def unique_ordered(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, first): distinct values with the position where each is first seen; nulls and blanks pruned."""
     return df.where(F.col(value).isNotNull() & (F.trim(F.col(value).cast("string")) != "")).groupBy(value).agg(F.min(order).alias("first"))

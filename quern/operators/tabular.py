@@ -34,6 +34,13 @@ def extract_matches(df: DataFrame, column: str, pattern: str, groups: int = 1) -
     return df.where(F.col(column).rlike(pattern)).select("*", *[F.regexp_extract(column, pattern, k).alias(f"m{k}") for k in range(1, groups + 1)])
 
 
+def match_place(text: Column, pattern: str) -> Column:
+    """struct<start, end> of the first match, from 0 and behind its last character; null without a match."""
+    pattern = f"({pattern})"
+    start = F.regexp_instr(text, F.lit(pattern)) - 1
+    return F.when(text.rlike(pattern), F.struct(start.alias("start"), (start + F.length(F.regexp_extract(text, pattern, 1))).alias("end")))
+
+
 def filter_rows(df: DataFrame, key: Column, cases: DataFrame, case: str, exclude: bool = False) -> DataFrame:
     """Rows whose key is (or with exclude: isn't) among the cases. A null key is kept only with exclude. The cases are
     joined as they are; the engine broadcasts them where statistics say they are small."""

@@ -147,6 +147,36 @@ def top_codes(rows: DataFrame, code: str, n: int) -> DataFrame:
     return rows.groupBy(code).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code).limit(n)
 
 
+def indicator_sequences(rows: DataFrame, key: str, order: list[str], code: str, codes: list[str]) -> DataFrame:
+    """(key, code, flags): for every key and chosen code whether each element of the key's sequence, in order, is that
+    code, as 0 and 1, and as a last element how many are."""
+    packed = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(code).alias("__c")))), lambda x: x["__c"]).alias("s"))
+    each = packed.select(key, F.explode(F.array(*map(F.lit, codes))).alias("code"), "s")
+    flags = F.transform("s", lambda x: F.coalesce((x == F.col("code")).cast("int"), F.lit(0)))
+    return each.select(key, "code", F.array_append(flags, F.aggregate(flags, F.lit(0), lambda a, x: a + x)).alias("flags"))
+
+
+def stamped_until(texts: Column, cutoff: Column) -> Column:
+    """array<struct<value, ts>> of an array of `value@date`, up to the first whose date lies after the cutoff; entries that
+    don't read as a number and a date are dropped. A null cutoff ends nothing."""
+    each = F.transform(texts, split_stamped)
+    late = F.array_min(F.transform(F.filter(F.transform(each, lambda x, i: F.struct(x["ts"].alias("ts"), i.alias("i"))), lambda x: x["ts"] > cutoff), lambda x: x["i"]))
+    return F.filter(F.slice(each, F.lit(1), F.coalesce(late, F.size(each))), lambda x: x["ts"].isNotNull())
+
+
+def pair_delta_stats(rows: DataFrame, key: str, ts: Column) -> DataFrame:
+    """key, n, mean_delta, sd_delta of the times between any two events of a key, the later less the earlier: worked out
+    from sums over the sorted events, not from the pairs."""
+    w = Window.partitionBy(key).orderBy("__t")
+    each = rows.where(ts.isNotNull()).select(key, ts.cast("double").alias("__t"))
+    low = each.groupBy(key).agg(F.min("__t").alias("__low"))  # small numbers keep the squares exact
+    at = each.withColumn("i", F.row_number().over(w)).join(low, key).withColumn("__t", F.col("__t") - F.col("__low"))
+    sums = at.groupBy(key).agg(F.count("*").alias("k"), F.sum("__t").alias("s"), F.sum(F.col("__t") * F.col("__t")).alias("q"), F.sum(F.col("__t") * F.col("i")).alias("r"))
+    n, mean = F.col("k") * (F.col("k") - 1) / 2, (2 * F.col("r") - (F.col("k") + 1) * F.col("s")) / (F.col("k") * (F.col("k") - 1) / 2)
+    square = (F.col("k") * F.col("q") - F.col("s") * F.col("s")) / n
+    return sums.where("k > 1").select(key, n.cast("long").alias("n"), F.round(mean, 4).alias("mean_delta"), F.round(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), 4).alias("sd_delta"))
+
+
 def delta_stats(rows: DataFrame, key: str, ts: Column) -> DataFrame:
     """key, n, mean_delta, sd_delta of the times between consecutive events."""
     w = Window.partitionBy(key).orderBy("__t")

@@ -9,6 +9,7 @@ from quern.functions.text import words
 from quern.operators import automaton, graph, lookup, query_language, similarity, spelling, text_index
 from quern.operators import search as S
 from quern.operators import tfidf as W
+from quern.operators.tabular import filter_rows
 from quern.plans.registry import DF, ITF, TF, WORDS, query, table
 
 TEXT = "text"
@@ -82,6 +83,25 @@ def search_phrase_positions(spark, sf_dir):
     return S.phrase_by_positions(index, "doc_id", ["general", "public"])
 
 
+@query(f"""WITH {TF}, {DF}, w AS (SELECT doc_id, tf.term, round(tf * ln((SELECT count(*) FROM documents) / df), 6) AS w FROM tf JOIN df USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM w QUALIFY rank <= 10), b AS (SELECT DISTINCT unnest({WORDS}) AS term FROM benchmark)
+SELECT doc_id, term, term IN (SELECT term FROM b) AS listed FROM r""")
+def keyword_filter(spark, sf_dir):
+    """The documents' best terms, those of the benchmark's words (listed) and the others apart."""
+    top = tfidf_top_terms(spark, sf_dir).select("doc_id", "term")
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(words(TEXT)).alias("word"))
+    one = lambda flag: filter_rows(top, F.col("term"), listed, "word", exclude=not flag).withColumn("listed", F.lit(flag))
+    return one(True).unionByName(one(False))
+
+
+@query(f"""WITH {TF}, {DF}, s AS (SELECT doc_id, count(*) AS n_terms, round(sum(tf * ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM tf JOIN df USING (term) WHERE term IN ('apache', 'license', 'mit') GROUP BY 1)
+SELECT doc_id, n_terms, score, row_number() OVER (ORDER BY score, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 50""")
+def search_reversed(spark, sf_dir):
+    """The 50 hits of lowest score."""
+    docs = table(spark, sf_dir, "documents")
+    return S.top_hits(S.search(S.postings(docs, "doc_id", TEXT), "doc_id", ["apache", "license", "mit"], _n(docs)), "doc_id", 50, reverse=True)
+
+
 @query(f"WITH {TF} SELECT term, count(*) AS hits FROM tf WHERE term IN ('the', 'der', 'le', 'license') GROUP BY term")
 def hit_count(spark, sf_dir):
     index = S.postings(table(spark, sf_dir, "documents"), "doc_id", TEXT)

@@ -83,6 +83,19 @@ def delta_stats(spark, sf_dir):
     return T.delta_stats(_events(spark, sf_dir), "user_id", F.col("t"))
 
 
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, row_number() OVER (ORDER BY event_id) AS i FROM events), d AS (SELECT a.user_id, abs(a.t - b.t) AS d FROM e a JOIN e b ON a.user_id = b.user_id AND a.i < b.i)
+SELECT user_id, count(*) AS n, round(avg(d), 4) AS mean_delta, round(stddev_pop(d), 4) AS sd_delta FROM d GROUP BY 1""")
+def pair_delta_stats(spark, sf_dir):
+    return T.pair_delta_stats(_events(spark, sf_dir), "user_id", F.col("t"))
+
+
+@query("""WITH c AS (SELECT unnest(['purchase', 'error']) AS code) SELECT user_id, code, string_agg((event_type = code)::INTEGER::VARCHAR, '' ORDER BY epoch_us(ts) // 1000000, event_id) || '+' || count_if(event_type = code) AS flags FROM events, c GROUP BY 1, 2""")
+def indicator_sequences(spark, sf_dir):
+    s = T.indicator_sequences(_events(spark, sf_dir), "user_id", ["t", "event_id"], "event_type", ["purchase", "error"])
+    n = F.size("flags")
+    return s.select("user_id", "code", F.concat(F.array_join(F.slice("flags", F.lit(1), n - 1), ""), F.lit("+"), F.element_at("flags", -1).cast("string")).alias("flags"))
+
+
 @query(f"""WITH {_DAILY} SELECT user_id, string_agg(ts || '@' || printf('%.2f', value), ',' ORDER BY ts) AS series FROM d GROUP BY 1""")
 def packed_sequences(spark, sf_dir):
     s = T.sequences(_daily(spark, sf_dir), "user_id", "ts", "value")

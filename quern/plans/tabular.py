@@ -236,6 +236,20 @@ def bag_remove_all(spark, sf_dir):
     return setops.remove_all(*_keys(spark, sf_dir))
 
 
+@query("""WITH a AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events), b AS (SELECT upper(event_type) AS x, count(*) AS n FROM events WHERE event_id % 4 = 0 GROUP BY 1)
+SELECT event_id, event_type FROM a LEFT JOIN b ON upper(event_type) = x WHERE r > coalesce(n, 0)""")
+def bag_remove_folded(spark, sf_dir):
+    """Events without the first of each type for every event whose id four divides, the types of these in capitals."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return setops.remove_all_folded(e, e.where("event_id % 4 = 0").select(F.upper("event_type").alias("event_type")), "event_type", "event_id")
+
+
+@query("""SELECT c_custkey, strpos(c_name, d) - 1 AS start, strpos(c_name, d) - 1 + length(d) AS "end" FROM (SELECT c_custkey, c_name, regexp_extract(c_name, '[1-9][0-9]*') AS d FROM customer) WHERE d <> ''""")
+def regex_match_places(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", T.match_place(F.col("c_name"), "[1-9][0-9]*").alias("m")).where("m is not null")
+    return c.select("c_custkey", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
+
+
 @query("SELECT event_type, min(event_id) AS first FROM events WHERE event_type IS NOT NULL AND trim(event_type) <> '' GROUP BY 1")
 def unique_ordered(spark, sf_dir):
     return setops.unique_ordered(table(spark, sf_dir, "events"), "event_type", "event_id")
@@ -284,7 +298,7 @@ def merge_notes(spark, sf_dir):
     return reports.merge_notes(_note_lines(spark, sf_dir)).withColumn("date", F.col("date").cast("string"))
 
 
-def _sheet(spark, sf_dir):
+def _sheet(spark, sf_dir, week: str = "x"):
     """Time sheets out of all order lines: a sheet a customer segment (o_custkey % 50), a day an order, a slot a line, a
     stated sum after it, a weekly line after orders that 7 divides."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).cast("string").alias("file"))
@@ -294,7 +308,7 @@ def _sheet(spark, sf_dir):
     day = li.select("file", "k").distinct().select("file", "k", F.lit(0).alias("i"), F.lit(0).cast("long").alias("p"), F.get(names, (F.col("k") % 5).cast("int")).alias("text"))
     slots = li.select("file", "k", F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), F.concat(hour, F.lit(":00 "), hour, F.lit(":30 task")).alias("text"))
     stated = li.groupBy("file", "k").agg(F.max("l_linenumber").alias("n")).select("file", "k", F.lit(100).alias("i"), F.lit(0).cast("long").alias("p"), F.concat(F.lit("hours: "), (F.col("n") / 2).cast("string")).alias("text"))
-    weekly = li.where("k % 7 = 0").select("file", "k").distinct().select("file", "k", F.lit(101).alias("i"), F.lit(0).cast("long").alias("p"), F.lit("weekly: x").alias("text"))
+    weekly = li.where("k % 7 = 0").select("file", "k").distinct().select("file", "k", F.lit(101).alias("i"), F.lit(0).cast("long").alias("p"), F.lit(f"weekly: {week}").alias("text"))
     rows = day.unionByName(slots).unionByName(stated).unionByName(weekly)
     return rows.withColumn("line_num", F.row_number().over(Window.partitionBy("file").orderBy("k", "i", "p")))
 
@@ -314,6 +328,14 @@ def timesheet_weeks(spark, sf_dir):
     return reports.weekly_pivot(reports.timesheet(_sheet(spark, sf_dir))).select("file", F.col("week").cast("long").alias("week"), "mon", "tue", "fri", "total")
 
 
+@query(f"""{_SHEET}, w AS (SELECT file, week, round(sum(hours), 2) AS hours FROM d GROUP BY 1, 2), last AS (SELECT file, max(week) AS last FROM (SELECT file, week + (k7)::INTEGER AS week FROM (SELECT file, coalesce(sum((k % 7 = 0)::INTEGER) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS week, k % 7 = 0 AS k7 FROM s)) GROUP BY 1),
+m AS (SELECT file, 'day' AS level, day_num AS part, hours, stated FROM d UNION ALL SELECT file, 'week', week, hours, 20.0 FROM w JOIN last USING (file) WHERE week < last)
+SELECT file, level, part::BIGINT AS part, hours::DOUBLE AS hours, stated::DOUBLE AS stated, level || ' ' || part || ' has ' || hours::DOUBLE || ' hours, ' || stated::DOUBLE || ' stated' AS message FROM m WHERE abs(hours - stated) >= 0.005""")
+def timesheet_messages(spark, sf_dir):
+    """Days and weeks whose stated sums differ from their slots; every week states twenty hours."""
+    return reports.sheet_messages(_sheet(spark, sf_dir, "20"))
+
+
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS date, 'f' || (user_id % 5) AS file, event_type || ' ' || event_id AS text FROM events WHERE event_type IN ('error', 'signup')""")
 def dated_note_lines(spark, sf_dir):
     return reports.dated_lines(_note_lines(spark, sf_dir)).select(F.col("date").cast("string").alias("date"), "file", "text")

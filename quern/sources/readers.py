@@ -176,3 +176,10 @@ def extracted_texts(spark: SparkSession, path: str, extract) -> DataFrame:
         return b.map(extract)
 
     return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))
+
+
+def read_rows(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(name, content) of what writers.write_rows has written, or of the named records only, for which the files that may
+    hold them are read."""
+    rows = spark.read.parquet(path)
+    return rows if names is None else rows.where(F.col("name").isin(*names))

@@ -23,7 +23,7 @@ def write_rows(df: DataFrame, name: str, path: str, files: int | None = None) ->
     millions of rows don't become millions of files; read_rows gives them back by name."""
     rest = [c for c in df.columns if c != name]
     out = df.select(F.col(name).cast("string").alias("name"), F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in rest]).alias("content"))
-    (out.repartition(files) if files else out).write.mode("overwrite").parquet(path)
+    (out.repartitionByRange(files, "name") if files else out.repartitionByRange("name")).sortWithinPartitions("name").write.mode("overwrite").parquet(path)
     return out
 
 

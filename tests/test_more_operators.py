@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import classify, graph, language_model, lookup, reports, search, similarity, spelling, tabular
+from quern.operators import classify, graph, language_model, lookup, reports, search, similarity, spelling, tabular, timeseries
 from quern.sources import readers
 
 
@@ -191,3 +191,16 @@ def test_small_functions(spark):
     df = spark.createDataFrame([([(1, "a"), (2, "b")], "docid=7 tfidf=[x:1.5 a:b:2]", "é")], "z array<struct<n:int,c:string>>, line string, ch string")
     r = df.select(*scalars.unzip(F.col("z"), ["n", "c"]), scalars.parse_weights(F.col("line")).alias("w"), scalars.category(F.col("ch")).alias("cat")).first()
     assert r["n"] == [1, 2] and r["c"] == ["a", "b"] and r["w"]["doc"] == "7" and r["w"]["weights"] == {"x": 1.5, "a:b": 2.0} and r["cat"] == "Ll"
+
+
+def test_messages_of_sheets(spark):
+    text = ["Mon", "9:00 11:00 a", "hours: 3", "Tue", "9:00 10:00 b", "hours: 1", "weekly: 4", "Wed", "8:00 12:00 c", "weekly: 4", "total: 8"]
+    lines = spark.createDataFrame(list(enumerate(text)), "line_num int, text string")
+    out = {(r["level"], r["part"]): r["message"] for r in reports.sheet_messages(lines).collect()}
+    assert out == {("day", 1): "day 1 has 2.0 hours, 3.0 stated", ("week", 0): "week 0 has 3.0 hours, 4.0 stated", ("sheet", 0): "sheet has 7.0 hours, 8.0 stated"}
+
+
+def test_stamped_values_up_to_a_cutoff(spark):
+    df = spark.createDataFrame([(["5@1/1/2001", "x@1/2/2001", "10.5@1/3/2001", "7@1/5/2001", "8@1/2/2001"],)], "v array<string>")
+    at = lambda c: [(x["value"], x["ts"]) for x in df.select(timeseries.stamped_until(F.col("v"), c).alias("x")).first()["x"]]
+    assert [v for v, _ in at(F.lit(978652800 - 86400))] == [5.0, 10.5] and [v for v, _ in at(F.lit(None).cast("long"))] == [5.0, 10.5, 7.0, 8.0]

@@ -58,3 +58,20 @@ def test_sequences_and_hooks(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(b"abc")
     assert readers.extracted_texts(spark, str(tmp_path / "d.bin"), lambda b: bytes(b).decode().upper()).first()["text"] == "ABC"
     assert readers.fetched(lines(spark, "u"), lambda u: u * 2, "value").first()["body"] == "uu"
+
+
+def test_layouts_of_examples(spark):
+    cells = spark.createDataFrame([tuple(f"x{k}" for k in range(10))], ", ".join(f"_c{k} string" for k in range(10)))
+    expected = {"cola": ("x3", None, "x1"), "mrpc": ("x3", "x4", "x0"), "mnli": ("x8", "x9", "x9"), "xnli": ("x6", "x7", "x1"), "multi": ("x3", None, "x1")}
+    for layout, (a, b, label) in expected.items():
+        r = readers.examples(cells, layout).first()
+        assert (r["guid"], r["text_a"], r["text_b"], r["label"]) == ("x0", a, b, label)
+
+
+def test_named_rows(spark, tmp_path):
+    df = spark.createDataFrame([(f"n{k}", k, "x" if k % 2 else None) for k in range(300)], "name string, a int, b string")
+    writers.write_rows(df, "name", str(tmp_path / "rows"), 3)
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) <= 3
+    assert readers.read_rows(spark, str(tmp_path / "rows")).count() == 300
+    found = {r["name"]: r["content"] for r in readers.read_rows(spark, str(tmp_path / "rows"), ["n7", "n8", "none"]).collect()}
+    assert found == {"n7": "7 x", "n8": "8"}
