@@ -69,7 +69,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     (in order, joined they are the formatted text), formatted, valid, n_violations.
 
     Rows are ordered by turn, ties by role and text; a null turn comes first, a null role or text is empty, null
-    conv_ids form one conversation, repeated rows stay. A conversation becomes one row, so its length is bounded by
+    conv_ids form one conversation, repeated rows stay, an empty table gives none. A conversation becomes one row, so its length is bounded by
     what a row may hold; that is what the output asks for.
     """
     t = template or Template()
@@ -115,7 +115,7 @@ def _quoted(text: str) -> str:
 
 def conversation_digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
     """Formats, reads back, and digests what was read: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, valid, n_violations."""
+    formatted_chars, valid, n_violations. Odd rows are treated as format_conversations says; an empty table gives no rows."""
     t = template or Template()
     read = parse_conversations(format_conversations(turns, t), t)
     trained = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: t.unescaped(s["text"])), "")

@@ -107,7 +107,8 @@ def covered(hits: Column) -> Column:
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs; repeated rows are judged one
-    by one, a null or empty text has no words, a row with a null id is judged like others."""
+    by one, a null or empty text has no words, a row with a null id is judged like others. An empty docs gives no rows, an
+    empty benchmark no hits."""
     hits = find_hits(docs.select("doc_id", "text"), benchmark, window)
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
     return (

@@ -172,7 +172,8 @@ def identify(docs: DataFrame, model: BloomModel, pred: str = "lang_pred", score:
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, learning only from those that aren't held out.
 
-    Nulls, repeated rows and extra columns are fine: each row gets its own prediction; a null id is never held out.
+    Nulls, repeated rows and extra columns are fine: each row gets its own prediction; a null id is never held out. Ties go
+    to the alphabetically first language; an empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", "lang")
     model = learn(rows.where(crc_mod(F.col("doc_id"), 4) != 2))

@@ -608,7 +608,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_report(docs: DataFrame, order: int = 3) -> DataFrame:
     """Trains on the documents whose crc32(doc_id) mod 5 isn't 1 and scores all of them. A null id is never held out;
-    null and empty texts are one end token; repeated rows count as often as they stand there."""
+    null and empty texts are one end token; repeated rows count as often as they stand there. Without training documents
+    every token is unknown; an empty table gives no rows."""
     return score(docs, train(docs.where(crc_mod(F.col("doc_id"), 5) != 1), order))
 
 

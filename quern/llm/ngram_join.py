@@ -368,7 +368,7 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, part_token
     Two documents link when their shingle sets have percent % of their union in common; component_id is the smallest
     doc_id that links lead to. Texts without words link with nothing. Repeated rows are copies of each other, a null
     doc_id is never a component_id unless there is no other. Shingles are told apart by 64-bit hashes, sets by two of
-    them.
+    them. An empty table gives no rows.
     """
     return _groups(docs, size, percent, part_tokens).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 

@@ -469,7 +469,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) for every row of docs(doc_id, text).
 
     Null and empty texts have no bytes. A null id counts as larger than all others; rows with the same id never remove
-    from each other. Repeated rows get the same result. Other columns aren't looked at.
+    from each other. Repeated rows get the same result. An empty table gives no rows. Other columns aren't looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
