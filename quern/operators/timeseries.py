@@ -121,13 +121,17 @@ def correlation_features(pairs: DataFrame, key: list[str], a: str, b: str, lag:
     return pairs.select(*key, (F.round(mean_ccf(F.coalesce(a, empty), F.coalesce(b, empty)), 6) + 0.0).alias("ccf"))
 
 
-def feature_table(cases: DataFrame, centroids: DataFrame, key: str, label: str, values: str, labels: list[str], lag: int = 100) -> DataFrame:
-    """key and one column label_centroid for each pair: mean cross-correlation of a case's sequence with each centroid
-    of the same label. centroids(label, centroid, values) is a chosen, small table."""
+def feature_table(cases: DataFrame, centroids: DataFrame, key: str, label: str, values: str, labels: list[str], lag: int = 100, beside: DataFrame | None = None) -> DataFrame:
+    """key, the other columns of `beside` (a class, auxiliary values; null where a key has none) and one column
+    label_centroid for each pair: mean cross-correlation of a case's sequence with each centroid of the same label.
+    centroids(label, centroid, values) is a chosen, small table; beside has a row a key."""
     c = centroids.select(F.col(label).alias("__l"), F.col("centroid"), F.col(values).alias("__v"))
     pairs = cases.join(c, F.col(label) == F.col("__l"))  # broadcast by the engine where its statistics say it is small
     found = correlation_features(pairs, [key, label, "centroid"], values, "__v", lag)
-    return found.withColumn("f", F.concat_ws("_", label, "centroid")).groupBy(key).pivot("f", labels).agg(F.first("ccf"))
+    wide = found.withColumn("f", F.concat_ws("_", label, "centroid")).groupBy(key).pivot("f", labels).agg(F.first("ccf"))
+    if beside is None:
+        return wide
+    return wide.join(beside, key, "left").select(key, *[c for c in beside.columns if c != key], *labels)
 
 
 def enumerate_codes(rows: DataFrame, key: str, order: list[str], code: str) -> DataFrame:

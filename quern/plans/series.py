@@ -120,18 +120,6 @@ def cross_correlation(spark, sf_dir):
     return T.correlation_features(s.withColumn("u", F.col("v")), ["user_id"], "v", "u")
 
 
-@query()
-def temporal_features(spark, sf_dir):
-    """Daily values of clicks and of purchases against the sequences of the three users of smallest id."""
-    e = _events(spark, sf_dir).where("event_type in ('click', 'purchase')")
-    daily = e.groupBy("user_id", F.col("event_type").alias("label"), (F.floor(F.col("t") / 86400) * 86400).alias("ts")).agg(F.sum("value").alias("value"))
-    seq = daily.groupBy("user_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("values"))
-    chosen = e.select("user_id").distinct().orderBy("user_id").limit(3)
-    centroids = seq.join(chosen, "user_id", "left_semi").select("label", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("centroid"), "values")
-    names = sorted(r[0] for r in centroids.select(F.concat_ws("_", "label", "centroid")).toLocalIterator())  # at most six
-    return T.feature_table(seq, centroids, "user_id", "label", "values", names)
-
-
 _BOTH = f"""d AS (SELECT user_id, event_type AS label, {DAY} AS ts, round(sum(value), 2) AS value FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2, 3),
 s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM d GROUP BY 1), l AS (SELECT DISTINCT user_id, label FROM d),
 g AS (SELECT user_id, label, unnest(range(a, b + 1, 86400)) AS t FROM s JOIN l USING (user_id)),
@@ -167,3 +155,21 @@ def three_sequence_features(spark, sf_dir):
     seq = daily.groupBy("user_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("values"))
     chosen = _events(spark, sf_dir).select("user_id").distinct().orderBy("user_id").limit(2).withColumn("centroid", F.row_number().over(Window.orderBy("user_id")))  # two rows
     return T.three_sequence_table(seq, seq.join(chosen, "user_id").select("label", "centroid", "values"), "user_id", lag=3)
+
+
+@query(_CORR.replace("'click', 'purchase', 'error'", "'click', 'purchase'").replace("LIMIT 2", "LIMIT 3").replace("// 2 - 3 AND", "// 2 - 100 AND").replace("// 2 + 3)", "// 2 + 100)").replace("centre + 4", "centre + 101").replace("centre - 3", "centre - 100").split("\nSELECT user_id, ")[0]
+    + """, b AS (SELECT user_id, max((event_type = 'signup')::INTEGER) AS class, count(*) AS n_events FROM events GROUP BY 1)
+SELECT user_id, any_value(class) AS class, any_value(n_events) AS n_events, """
+    + ", ".join(f"max(ccf) FILTER (k = '{k}' AND c = {c}) AS {name}_c{c}" for k, name in (("D", "click"), ("P", "purchase")) for c in (1, 2, 3))
+    + " FROM z JOIN b USING (user_id) GROUP BY 1")
+def temporal_features(spark, sf_dir):
+    """Daily values of clicks and of purchases against those of the three users of smallest id, beside whether the user
+    signed up (class) and how many events there are."""
+    every = _events(spark, sf_dir)
+    e = every.where("event_type in ('click', 'purchase')")
+    daily = e.groupBy("user_id", F.col("event_type").alias("label"), (F.floor(F.col("t") / 86400) * 86400).alias("ts")).agg(F.round(F.sum("value"), 2).alias("value"))
+    seq = daily.groupBy("user_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("values"))
+    chosen = every.select("user_id").distinct().orderBy("user_id").limit(3).withColumn("centroid", F.concat(F.lit("c"), F.row_number().over(Window.orderBy("user_id")).cast("string")))  # three rows
+    centroids = seq.join(chosen, "user_id").select("label", "centroid", "values")
+    beside = every.groupBy("user_id").agg(F.max((F.col("event_type") == "signup").cast("int")).alias("class"), F.count("*").alias("n_events"))
+    return T.feature_table(seq, centroids, "user_id", "label", "values", [f"{k}_c{c}" for k in ("click", "purchase") for c in (1, 2, 3)], beside=beside)
