@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Anything but letters, digits and the underscore separates words, in any script.
@@ -75,3 +79,22 @@ def pieces_for(words_: Column, most: int, pad: str = "[PAD]", first: str = "[CLS
     """first, words, last: cut or padded to `most` pieces."""
     body = F.concat(F.array(F.lit(first)), F.slice(words_, 1, most - 2), F.array(F.lit(last)))
     return F.slice(F.concat(body, F.array_repeat(F.lit(pad), most)), 1, most)
+
+
+def character_names(chars: DataFrame, char: str) -> DataFrame:
+    """chars with name, the Unicode name of a character, empty for one without. Each character is looked up once, in
+    Arrow batches, and joined to its rows."""
+
+    def rows(batches):
+        from unicodedata import name
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name(c, "") if len(c) == 1 else "" for c in b.column(0).to_pylist()], pa.string())], names=["__c", "name"])
+
+    once = chars.where(F.col(char).isNotNull()).select(F.col(char).alias("__c")).distinct()
+    named = once.mapInArrow(rows, "__c string, name string")
+    return chars.join(named, F.col(char) == F.col("__c"), "left").drop("__c")
+
+
+#: Python functions of this module travel with the plan, so workers need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

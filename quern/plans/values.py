@@ -138,14 +138,17 @@ def fill_template(spark, sf_dir):
     return r.select("r_regionkey", filled.alias("filled"), C.indent(F.concat("r_name", F.lit("\nx"))).alias("indented"), C.hex_dump(F.col("r_name")).alias("dump"))
 
 
-@query("""WITH c AS (SELECT item_id, t.i AS pos, text[t.i:t.i] AS char FROM benchmark, range(1, 20000) t(i) WHERE t.i <= length(text))
-SELECT item_id, (pos - 1)::INTEGER AS pos, char, lower(hex(encode(char))) AS utf8, 'U+' || lpad(lower(to_hex(unicode(char))), 4, '0') AS code_point, (sum(strlen(char)) OVER (PARTITION BY item_id ORDER BY pos) - strlen(char))::BIGINT AS byte_at FROM c""")
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(char, '^\\p{{{c}}}$') THEN '{c}'" for c in C.CATEGORIES if c != "Cs") + " ELSE 'Cn' END"
+
+
+@query("""WITH c AS (SELECT item_id, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS char FROM benchmark WHERE text <> '')
+SELECT item_id, """ + _CATEGORY + """ AS category, (pos - 1)::INTEGER AS pos, char, lower(hex(encode(char))) AS utf8, 'U+' || lpad(lower(to_hex(unicode(char))), 4, '0') AS code_point, (sum(strlen(char)) OVER (PARTITION BY item_id ORDER BY pos) - strlen(char))::BIGINT AS byte_at FROM c""")
 def unicode_char_info(spark, sf_dir):
     from pyspark.sql import Window
 
     info = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(C.code_point_info(F.col("text"))).alias("pos", "x")).select("item_id", "pos", "x.*")
     w = Window.partitionBy("item_id").orderBy("pos")
-    return info.withColumn("byte_at", F.sum(F.octet_length("char")).over(w) - F.octet_length("char"))
+    return info.withColumn("byte_at", F.sum(F.octet_length("char")).over(w) - F.octet_length("char")).withColumn("category", C.category(F.col("char")))
 
 
 @query("""SELECT o_orderkey, epoch(o_orderdate::DATE)::BIGINT AS a, epoch(o_orderdate::DATE)::BIGINT AS b, 0::BIGINT AS c, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders""")

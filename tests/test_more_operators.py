@@ -204,3 +204,9 @@ def test_stamped_values_up_to_a_cutoff(spark):
     df = spark.createDataFrame([(["5@1/1/2001", "x@1/2/2001", "10.5@1/3/2001", "7@1/5/2001", "8@1/2/2001"],)], "v array<string>")
     at = lambda c: [(x["value"], x["ts"]) for x in df.select(timeseries.stamped_until(F.col("v"), c).alias("x")).first()["x"]]
     assert [v for v, _ in at(F.lit(978652800 - 86400))] == [5.0, 10.5] and [v for v, _ in at(F.lit(None).cast("long"))] == [5.0, 10.5, 7.0, 8.0]
+
+
+def test_names_of_characters(spark):
+    df = spark.createDataFrame([(1, "é"), (2, "A"), (3, "A"), (4, None), (5, "\n")], "k int, c string")
+    out = {r["k"]: r["name"] for r in X.character_names(df, "c").collect()}
+    assert out == {1: "LATIN SMALL LETTER E WITH ACUTE", 2: "LATIN CAPITAL LETTER A", 3: "LATIN CAPITAL LETTER A", 4: None, 5: ""}
