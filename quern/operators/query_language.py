@@ -181,7 +181,7 @@ def run(index: TextIndex, node: Node, n_docs: int | None = None) -> DataFrame:
 def search(index: TextIndex, line: str, field: str = "text", k: int | None = None, conjunctive: bool = False) -> DataFrame:
     """(doc, score) of all hits of a query line, or with k (doc, score, rank) of the best, ties by document. A line of
     plain words reads the blocks only that can hold one of the best."""
-    tree = parse(line, field, conjunctive)
+    tree, index = parse(line, field, conjunctive), index.snapshot()
     if k is not None and tree.clauses and all(kind == MAY and c == Node("word", field, c.words) for kind, c in tree.clauses) and len({c.words for _, c in tree.clauses}) == len(tree.clauses):
         return index.top([c.words[0] for _, c in tree.clauses], field, k)
     hits = run(index, tree).withColumn("score", F.round("score", 6))

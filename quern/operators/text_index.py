@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import sys
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import log
 
 import pyarrow as pa
@@ -80,11 +80,13 @@ def _blocks(postings: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An index at a path. `row_group` is the size of a unit of reading; small ones leave out more of the other terms."""
+    """An index at a path. `row_group` is the size of a unit of reading; small ones leave out more of the other terms. A
+    snapshot is pinned to a version, so that all parts of a query see the same segments."""
 
     spark: SparkSession
     path: str
     row_group: int = 8 << 20
+    pinned: tuple[int, list[tuple[str, int]]] | None = None
 
     # --- segments ---------------------------------------------------------------------------------
 
@@ -93,9 +95,11 @@ class TextIndex:
         return self.spark.read.parquet(f"{self.path}/manifest")
 
     def segments(self) -> list[str]:
-        """Names of the segments of the newest version."""
-        rows = self.versions().groupBy("version").agg(F.collect_list("segment").alias("s")).orderBy(F.desc("version")).first()
-        return sorted(rows["s"])
+        """Names of the segments of the newest version, or of the pinned one."""
+        return sorted(name for name, _ in self._newest()[1])
+
+    def snapshot(self) -> TextIndex:
+        return self if self.pinned else replace(self, pinned=self._newest())
 
     def _commit(self, version: int, rows: list[tuple[str, int]]) -> None:
         """A version is a folder that must not be there yet, so that of two writers one fails."""
@@ -127,6 +131,8 @@ class TextIndex:
         return self
 
     def _newest(self) -> tuple[int, list[tuple[str, int]]]:
+        if self.pinned:
+            return self.pinned
         rows = self.versions().collect()  # a row a segment and version
         last = max(r["version"] for r in rows)
         return last, [(r["segment"], r["n_docs"]) for r in rows if r["version"] == last]

@@ -81,8 +81,8 @@ def test_queries(index, line):
     assert found.keys() == expected.keys() and all(found[d] == pytest.approx(s, abs=1e-5) for d, s in expected.items())
 
 
-@pytest.mark.parametrize("line", ["river", "river house letter", "garden winter", "house", "nowhere"])
-@pytest.mark.parametrize("k", [1, 5, 50, 500])
+@pytest.mark.parametrize("line", ["river", "river house letter", "nowhere"])
+@pytest.mark.parametrize("k", [1, 5, 500])
 def test_best_hits(index, line, k):
     docs = {d: t for rows in ROWS for d, t in rows}
     expected = sorted(((-round(s, 6), d) for d, s in brute(ql.parse(line), docs).items()))[:k]
@@ -104,7 +104,9 @@ def test_segments_and_versions(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path / "i")).build(frames[0], "id", fields, shingles=(2, 3)).append(frames[1], "id", fields, shingles=(2, 3))
     before = [sorted(map(tuple, ql.search(index, line).collect())) for line in LINES if "first" not in line]
     assert len(index.segments()) == 2 and index.n_docs() == 102
+    former = index.snapshot()
     index.merge()
+    assert len(former.segments()) == 2 and ql.search(former, "river").count() == ql.search(index, "river").count()
     assert len(index.segments()) == 1 and index.n_docs() == 102 and index.versions().select("version").distinct().count() == 3
     after = [sorted(map(tuple, ql.search(index, line).collect())) for line in LINES if "first" not in line]
     assert [[d for d, _ in x] for x in before] == [[d for d, _ in x] for x in after]
