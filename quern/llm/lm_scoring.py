@@ -513,10 +513,16 @@ def _save_frequent(root: str, level: int, partial: DataFrame) -> None:
     task writes."""
 
     def spread(batches):
-        for b in batches:
-            for words, counts in zip(b.column(0), b.column(1), strict=True):
-                own = np.frombuffer(counts.as_buffer(), dtype=np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_buffer(), dtype=np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in own.T)], names=["context", "c0", "c1", "c2", "c3"])
+        keys, sums = np.empty(0, np.uint64), np.zeros((0, 4), np.int64)
+        for b in batches:  # a task tells each context once
+            rows = list(zip(b.column(0), b.column(1), strict=True))
+            every = np.concatenate([keys, *(np.frombuffer(w.as_buffer(), dtype=np.uint64) for w, _ in rows)])
+            counts = np.concatenate([sums, *(np.frombuffer(c.as_buffer(), dtype=np.int64).reshape(-1, 4) for _, c in rows)])
+            keys, at = np.unique(every, return_inverse=True)
+            sums = np.zeros((len(keys), 4), np.int64)
+            np.add.at(sums, at, counts)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in sums.T)], names=["context", "c0", "c1", "c2", "c3"])
 
     def save(batches):
         found = [[np.asarray(c) for c in b.columns] for b in batches]
