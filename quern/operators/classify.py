@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,9 +118,16 @@ def brier(df: DataFrame, label: str, probability: Column) -> DataFrame:
 
 def _running(df: DataFrame, order: str, sums: list[str], ranges: int = 1024) -> DataFrame:
     """df(order, sums) with run_<sum>: running totals from the highest `order` down. Rows are sorted into ranges by
-    sampled bounds; totals are taken inside each range and then over ranges, so no task holds all rows."""
+    sampled bounds; totals are taken inside each range and then over ranges, so no task holds all rows. The number of a
+    range is never null, else the engine would ask for it in a filter on the rows below df's own aggregation."""
     bounds = df.select(F.percentile_approx(order, [x / ranges for x in range(1, ranges)], 10 * ranges)).first()[0] or []
-    part = F.aggregate(F.array(*[F.lit(x) for x in sorted(set(bounds))]), F.lit(0), lambda a, x: a + F.when(F.col(order) < x, 1).otherwise(0)) if bounds else F.lit(0)
+    ends = np.array(sorted(set(bounds)), dtype=float)
+
+    @F.pandas_udf("int")
+    def above(x: pd.Series) -> pd.Series:
+        return pd.Series(len(ends) - np.searchsorted(ends, x.to_numpy(dtype=float), side="right"))
+
+    part = F.coalesce(above(F.col(order).cast("double")), F.lit(0))
     rows = df.withColumn("__p", part)
     per = rows.groupBy("__p").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])  # a row a range
     over = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,3 +183,7 @@ def sequence_features(rows: DataFrame, guid: str, a: Column, b: Column | None, l
         F.concat(F.array_repeat(F.lit(0), F.col("first")), F.array_repeat(F.lit(1), used - F.col("first")), F.array_repeat(F.lit(0), F.lit(most) - used)).alias("segments"),
     )
     return out.join(labels, "label").drop("label")
+
+
+#: Python functions of this module travel with the plan, so workers need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
