@@ -1,6 +1,8 @@
 """What a plan does at size: where rows are exchanged and how often they are worked out."""
 
-from quern.operators import classify
+from pyspark.sql import functions as F
+
+from quern.operators import classify, search
 
 
 def plan(df, kind="optimizedPlan"):
@@ -13,3 +15,20 @@ def test_ranges_of_scores_are_found_after_the_rows_are_counted(spark):
     assert not [x for x in lines if "Filter" in x and ("aggregate(" in x or "above(" in x)]
     points = classify.roc_points(df, "y", "s").collect()
     assert len(points) == 2000 and max(p["tp"] for p in points) == 1000
+
+
+def test_postings_exchange_texts_not_words(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b c"), (None, "c c"), (3, None), (4, "!")], "d long, t string")
+    index = search.postings(docs, "d", F.col("t"))
+    assert "hashpartitioning(d#" in plan(index, "executedPlan") and ", term#" not in [x for x in plan(index, "executedPlan").splitlines() if "Exchange" in x][0]
+    assert {tuple(r) for r in index.collect()} == {(1, "a", 2), (1, "b", 2), (1, "c", 1), (None, "c", 2)}
+    placed = {(r["d"], r["term"]): (r["tf"], r["positions"]) for r in search.postings(docs, "d", F.col("t"), positions=True).collect()}
+    assert placed == {(1, "a"): (2, [0, 2]), (1, "b"): (2, [0, 1]), (1, "c"): (1, [1]), (None, "c"): (2, [0, 1])}
+
+
+def test_best_terms_are_the_same_however_many_terms_are_frequent(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 17 % (j + 1)}" for j in range(40)) + f" own{i}") for i in range(60)], "d long, t string")
+    index, n = search.postings(docs, "d", F.col("t")), docs.agg(F.count("*").alias("n"))
+    wanted = sorted(map(tuple, search.top_terms(search.tfidf(index, n), "d", 5).select("d", "term", "w", "rank").collect()))
+    for frequent in (0, 3, 1000):
+        assert sorted(map(tuple, search.top_tfidf(index, "d", n, 5, frequent).select("d", "term", "w", "rank").collect())) == wanted
