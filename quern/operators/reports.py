@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import clock_hours, resolve_date
+from quern.operators.graph import checkpoint_dir
 
 DATE_LINE = r"^\s*((?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+)?[0-9]{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{2,4}\s*$"
 
@@ -34,15 +35,32 @@ def timesheet(lines: DataFrame, number: str = "line_num", text: str = "text", fi
     """(file, week, day_num, day, hours, stated, matches): hours of the `start end task` lines of each day of a sheet,
     against a stated `hours: n`. `day` lines begin with a weekday's name; a `weekly: n` line ends a week. Sheets are
     read side by side, each in the order of its lines; lines without a column `file` are one sheet."""
-    lines = lines if file in lines.columns else lines.withColumn(file, F.lit(""))
-    w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    at = sheet_fields(lines, text).withColumn("week", F.coalesce(F.sum(F.col("weekly").cast("int")).over(before), F.lit(0)))
-    at = at.withColumn("d", F.sum(F.col("name").isNotNull().cast("int")).over(w))
-    days = at.where("d > 0").groupBy(file, "week", "d").agg(F.first("name", ignorenulls=True).alias("day"), F.round(F.sum("hours"), 2).alias("hours"), F.max("stated").alias("stated"))
+    days = _sheet_days(lines, number, text, file).where("d > 0")
     return days.select(file, "week", F.col("d").alias("day_num"), "day", "hours", "stated", (F.col("stated").isNull() | (F.abs(F.col("hours") - F.col("stated")) < 0.005)).alias("matches"))
 
 
+#: Line numbers of a block, in which a task counts a sheet's days and weeks.
+SHEET_BLOCK = 1 << 18
+
+
+def _sheet_days(lines: DataFrame, number: str, text: str, file: str, block: int = SHEET_BLOCK) -> DataFrame:
+    """(file, week, d, day, hours, stated, w, t): the days of the sheets with what their lines state of the day, the week
+    (w) and the sheet (t); d is 0 before the first day. Days and weeks are counted inside blocks of lines, then over the
+    blocks, so that a long sheet is no hot key."""
+    lines = lines if file in lines.columns else lines.withColumn(file, F.lit(""))
+    said = lambda word: F.regexp_extract(text, rf"(?i)^\s*{word}:\s*([0-9]+(\.[0-9]+)?)", 1).try_cast("double")
+    fields = sheet_fields(lines, text).select(file, F.col(number).alias("__n"), F.floor(F.col(number) / block).alias("__b"), "name", "hours", "stated", F.col("weekly").cast("int").alias("__w"), F.col("name").isNotNull().cast("int").alias("__d"), said("weekly").alias("w"), said("total").alias("t"))
+    blocks = Window.partitionBy(file).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = fields.groupBy(file, "__b").agg(F.sum("__w").alias("__w"), F.sum("__d").alias("__d"))
+    offsets = counts.select(F.col(file).alias("__file"), F.col("__b").alias("__at"), *[F.coalesce(F.sum(c).over(blocks), F.lit(0)).alias(f"{c}0") for c in ("__w", "__d")])  # a row a block
+    inside = Window.partitionBy(file, "__b").orderBy("__n")
+    week = F.coalesce(F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    day = F.sum("__d").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = fields.withColumn("week", week).withColumn("d", day).join(offsets, F.col(file).eqNullSafe(F.col("__file")) & F.col("__b").eqNullSafe(F.col("__at")))
+    placed = numbered.withColumn("week", F.col("week") + F.col("__w0")).withColumn("d", F.col("d") + F.col("__d0"))
+    return placed.groupBy(file, "week", "d").agg(F.max("name").alias("day"), F.round(F.sum("hours"), 2).alias("hours"), F.max("stated").alias("stated"), F.max("w").alias("w"), F.max("t").alias("t"))
+
+
 def sheet_fields(lines: DataFrame, text: str = "text") -> DataFrame:
     """lines without comments and empty ones, with what each says: name (of a weekday), hours (of a slot), stated (hours
     of a day), weekly (whether it ends a week)."""
@@ -58,16 +76,11 @@ def sheet_messages(lines: DataFrame, number: str = "line_num", text: str = "text
     """(file, level, part, hours, stated, message): what the lines `hours: n`, `weekly: n` and `total: n` of a sheet state
     against the sums of its slots, where they differ; part is the number of the day or week, 0 for the whole sheet. Lines
     that state no number say nothing; of several the largest counts."""
-    lines = lines if file in lines.columns else lines.withColumn(file, F.lit(""))
-    fields = sheet_fields(lines, text)
-    before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    week = F.coalesce(F.sum(F.col("weekly").cast("int")).over(before), F.lit(0)).cast("long")
-    said = lambda word: F.regexp_extract(text, rf"(?i)^\s*{word}:\s*([0-9]+(\.[0-9]+)?)", 1).try_cast("double")
-    stated = fields.withColumn("week", week).select(file, "week", said("weekly").alias("w"), said("total").alias("t"))
-    days = timesheet(lines, number, text, file)
-    by_day = days.select(file, F.lit("day").alias("level"), F.col("day_num").cast("long").alias("part"), "hours", "stated")
-    weeks = days.groupBy(file, "week").agg(F.sum("hours").alias("hours")).join(stated.groupBy(file, "week").agg(F.max("w").alias("stated")), [file, "week"])
-    sheets = days.groupBy(file).agg(F.sum("hours").alias("hours")).join(stated.groupBy(file).agg(F.max("t").alias("stated")), file)
+    checkpoint_dir(lines.sparkSession)
+    parts = _sheet_days(lines, number, text, file).checkpoint()  # a row a day; read three times below
+    by_day = parts.where("d > 0").select(file, F.lit("day").alias("level"), F.col("d").cast("long").alias("part"), "hours", "stated")
+    summed = lambda keys, said: parts.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("hours"))).alias("hours"), F.max(said).alias("stated"), F.count_if(F.col("d") > 0).alias("days")).where("days > 0")
+    weeks, sheets = summed([file, "week"], "w"), summed([file], "t")
     every = by_day.unionByName(weeks.select(file, F.lit("week").alias("level"), F.col("week").cast("long").alias("part"), "hours", "stated"))
     every = every.unionByName(sheets.select(file, F.lit("sheet").alias("level"), F.lit(0).cast("long").alias("part"), "hours", "stated"))
     wrong = every.withColumn("hours", F.round(F.coalesce("hours", F.lit(0.0)), 2)).where(F.abs(F.col("hours") - F.col("stated")) >= 0.005)

@@ -302,15 +302,16 @@ def _sheet(spark, sf_dir, week: str = "x"):
     """Time sheets out of all order lines: a sheet a customer segment (o_custkey % 50), a day an order, a slot a line, a
     stated sum after it, a weekly line after orders that 7 divides."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).cast("string").alias("file"))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey").join(o, "k")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("n")).join(o, "k")
     names = F.array(*map(F.lit, ("Mon", "Tue", "Wed", "Thu", "Fri")))
-    hour = (F.col("l_linenumber") + 7).cast("string")
-    day = li.select("file", "k").distinct().select("file", "k", F.lit(0).alias("i"), F.lit(0).cast("long").alias("p"), F.get(names, (F.col("k") % 5).cast("int")).alias("text"))
-    slots = li.select("file", "k", F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), F.concat(hour, F.lit(":00 "), hour, F.lit(":30 task")).alias("text"))
-    stated = li.groupBy("file", "k").agg(F.max("l_linenumber").alias("n")).select("file", "k", F.lit(100).alias("i"), F.lit(0).cast("long").alias("p"), F.concat(F.lit("hours: "), (F.col("n") / 2).cast("string")).alias("text"))
-    weekly = li.where("k % 7 = 0").select("file", "k").distinct().select("file", "k", F.lit(101).alias("i"), F.lit(0).cast("long").alias("p"), F.lit(f"weekly: {week}").alias("text"))
-    rows = day.unionByName(slots).unionByName(stated).unionByName(weekly)
-    return rows.withColumn("line_num", F.row_number().over(Window.partitionBy("file").orderBy("k", "i", "p")))
+    line = lambda i, text: F.struct(i.cast("long").alias("i"), text.alias("text"))
+    slot = lambda n: line(n, F.concat((n + 7).cast("string"), F.lit(":00 "), (n + 7).cast("string"), F.lit(":30 task")))
+    day = F.array(line(F.lit(0), F.get(names, (F.col("k") % 5).cast("int"))))
+    stated = F.array(line(F.lit(100), F.concat(F.lit("hours: "), (F.array_max("slots") / 2).cast("string"))))
+    weekly = F.when(F.col("k") % 7 == 0, F.array(line(F.lit(101), F.lit(f"weekly: {week}")))).otherwise(F.array().cast("array<struct<i:bigint,text:string>>"))
+    sheets = li.groupBy("file", "k").agg(F.collect_list("n").alias("slots"))  # an order's lines
+    rows = sheets.select("file", "k", F.inline(F.concat(day, F.transform("slots", slot), stated, weekly)))
+    return rows.select("file", (F.col("k") * 128 + F.col("i")).alias("line_num"), "text")  # numbers in the order of the lines
 
 
 _SHEET = """WITH s AS (SELECT (o_custkey % 50)::VARCHAR AS file, l_orderkey AS k, round(count(*) * 0.5, 2) AS hours, round(max(l_linenumber) / 2, 6) AS stated FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import classify, search
+from quern.operators import classify, reports, search
 
 
 def plan(df, kind="optimizedPlan"):
@@ -32,3 +32,12 @@ def test_best_terms_are_the_same_however_many_terms_are_frequent(spark):
     wanted = sorted(map(tuple, search.top_terms(search.tfidf(index, n), "d", 5).select("d", "term", "w", "rank").collect()))
     for frequent in (0, 3, 1000):
         assert sorted(map(tuple, search.top_tfidf(index, "d", n, 5, frequent).select("d", "term", "w", "rank").collect())) == wanted
+
+
+def test_sheets_are_counted_block_by_block(spark):
+    lines = [x for k in range(30) for x in (f"{('Mon', 'Tue')[k % 2]}", "8:00 9:30 task", f"hours: {1 + k % 2}", *(["weekly: 3"] if k % 4 == 3 else []))]
+    sheet = spark.createDataFrame([(i * 1000, x) for i, x in enumerate(lines)], "line_num long, text string").withColumn("file", F.lit("s"))
+    days = lambda block: sorted(map(tuple, reports._sheet_days(sheet, "line_num", "text", "file", block).collect()))
+    assert days(5000) == days(1 << 18) == days(1 << 40) and len(days(5000)) == 30 and max(r[1] for r in days(5000)) == 7
+    windows = [x for x in plan(reports.timesheet(sheet)).splitlines() if "Window [" in x and "__n" in x]
+    assert windows and all("__b" in x for x in windows)
