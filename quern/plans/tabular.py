@@ -310,7 +310,7 @@ def _sheet(spark, sf_dir, week: str = "x"):
     stated = F.array(line(F.lit(100), F.concat(F.lit("hours: "), (F.array_max("slots") / 2).cast("string"))))
     weekly = F.when(F.col("k") % 7 == 0, F.array(line(F.lit(101), F.lit(f"weekly: {week}")))).otherwise(F.array().cast("array<struct<i:bigint,text:string>>"))
     sheets = li.groupBy("file", "k").agg(F.collect_list("n").alias("slots"))  # an order's lines
-    rows = sheets.select("file", "k", F.inline(F.concat(day, F.transform("slots", slot), stated, weekly)))
+    rows = sheets.select("file", "k", F.inline_outer(F.concat(day, F.transform("slots", slot), stated, weekly)))
     return rows.select("file", (F.col("k") * 128 + F.col("i")).alias("line_num"), "text")  # numbers in the order of the lines
 
 
