@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -134,3 +135,17 @@ def test_sets_of_keywords(spark):
     expected = sorted(((s, n) for s, n in counts.items() if n >= 5), key=lambda x: (-x[1], x[0]))[:25]
     assert list(map(tuple, search.keyword_sets(spark.createDataFrame(docs, "d long, term string"), "d").collect())) == expected
     assert search.keyword_sets(spark.createDataFrame([], "d long, term string"), "d").count() == 0
+
+
+def test_sets_of_keywords_among_many_less_frequent_ones(spark, monkeypatch):
+    rows = [(d, f"w{d % 6}_{t}") for d in range(60) for t in range(8)] + [(d, t) for d in range(100, 130) for t in "abc"] + [(d, t) for d in range(200, 212) for t in ("a", "b", f"x{d}")]
+    docs = spark.createDataFrame(rows, "d long, term string")
+    monkeypatch.setattr(search, "FIRST_TERMS", 3)
+    seen = []
+    fit = FPGrowth.fit
+    monkeypatch.setattr(FPGrowth, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    assert list(map(tuple, search.keyword_sets(docs, "d", most=3).collect())) == [("a b", 42), ("a b c", 30), ("a c", 30)]
+    assert seen == [42]  # documents without a term in a frequent pair stay out of the trees
+    monkeypatch.setattr(search, "FIRST_TERMS", 1)
+    assert search.keyword_sets(docs, "d", most=2000).count() == 4 + 6 * (2**8 - 9)
+    assert list(map(tuple, search.keyword_sets(docs, "d", most=1, least=3).collect())) == [("a b c", 30)]
