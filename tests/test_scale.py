@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import classify, reports, search
+from quern.operators import classify, reports, search, sentiment
 
 
 def plan(df, kind="optimizedPlan"):
@@ -41,3 +41,14 @@ def test_sheets_are_counted_block_by_block(spark):
     assert days(5000) == days(1 << 18) == days(1 << 40) and len(days(5000)) == 30 and max(r[1] for r in days(5000)) == 7
     windows = [x for x in plan(reports.timesheet(sheet)).splitlines() if "Window [" in x and "__n" in x]
     assert windows and all("__b" in x for x in windows)
+
+
+def test_sentiment_exchanges_no_words(spark):
+    words = [*"abcdef", "GOOD", "Bad", "not", "very", "but", "İx", "ẞ"]
+    texts = [" ".join(words[(i * i + 3 * j * j + i * j) % len(words)] for j in range(i % 23)) + "!" * (i % 6) for i in range(80)] + [None, "", "?"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").unionByName(spark.createDataFrame([(None, "very GOOD but bad")], "k long, text string"))
+    lexicon = spark.createDataFrame([("good", 2.0), ("good", 1.9), ("bad", -2.5), ("a", 0.5), ("b", 0.0), (None, 1.0)], "word string, value double")
+    boosters, negations = spark.createDataFrame([("very", 0.293), ("c", -0.293)], "word string, value double"), spark.createDataFrame([("not",), ("d",)], "word string")
+    of = lambda **how: sentiment.compound(rows, "k", F.col("text"), lexicon, boosters, negations, **how)
+    assert {tuple(r) for r in of().collect()} == {tuple(r) for r in of(sent=0).collect()} and of().count() == 84
+    assert "Window" not in plan(of()) and "Join" not in plan(of())
