@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import classify, reports, search, sentiment
+from quern.operators import classify, reports, search, sentiment, spelling
 
 
 def plan(df, kind="optimizedPlan"):
@@ -52,3 +52,30 @@ def test_sentiment_exchanges_no_words(spark):
     of = lambda **how: sentiment.compound(rows, "k", F.col("text"), lexicon, boosters, negations, **how)
     assert {tuple(r) for r in of().collect()} == {tuple(r) for r in of(sent=0).collect()} and of().count() == 84
     assert "Window" not in plan(of()) and "Join" not in plan(of())
+
+
+def test_suggestions_are_those_of_all_pairs(spark):
+    from random import Random
+
+    rnd = Random(3)
+    word = lambda n: "".join(rnd.choices("abcé", k=n))
+    terms = {word(n) for n in range(2, 16) for _ in range(12)}
+    asked = set(rnd.sample(sorted(terms), 30))
+    for t in rnd.sample(sorted(terms), 90):
+        for _ in range(rnd.randint(1, 4)):
+            i = rnd.randrange(len(t) + 1)
+            t = rnd.choice([t[:i] + word(1) + t[i:], t[:i] + t[i + 1 :], t[:i] + word(1) + t[i + 1 :]])
+        asked.add(t)
+    words, vocabulary = spark.createDataFrame([(w,) for w in sorted(asked)], "word string"), spark.createDataFrame([(t, 1 + len(t)) for t in sorted(terms)], "term string, df long")
+    n = F.greatest(F.length("word"), F.length("term"))
+    pairs = words.where(F.length("word") >= 4).crossJoin(vocabulary).where("word <> term").withColumn("distance", F.levenshtein("word", "term"))
+    wanted = {(r["word"], r["term"]) for r in pairs.where(F.col("distance") <= 0.25 * n).collect()}
+    found = {(r["word"], r["term"]) for r in spelling.suggest(words, vocabulary, k=1000).collect()}
+    assert len(wanted) > 50 and (found - wanted, wanted - found) == (set(), set())
+
+
+def test_texts_are_read_once_for_replacements(spark):
+    from quern.plans import search as queries
+
+    lines = plan(queries.spell_replacement(spark, "/root/testdata/sf0.001"))
+    assert "documents.parquet" not in lines and "n_chars" not in lines and "__t" not in lines
