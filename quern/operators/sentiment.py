@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 NEGATED, CAPITALS, NEARNESS = -0.74, 0.733, (1.0, 0.95, 0.9)
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAIMED, EXCLAMATIONS, SQUASH = 0.292, 4, 15.0
+#: Decimals of what boosters and exclamation marks add: their products are decimal numbers, made doubles once. Values that
+#: cancel out leave the same rest as in SQL then, on whose sign the exclamation marks depend.
+DECIMALS = 12
 #: Bytes of the tables of words up to which they travel to every task.
 SENT_BYTES = 16 << 20
 
@@ -27,8 +30,8 @@ def compound(rows: DataFrame, key: str, text: Column, lexicon: DataFrame, booste
     counting where a word has several. A word's value grows by each booster among the three words before it, the further
     the less, away from zero (or towards it for a negative booster), by CAPITALS where it is in capitals in a text that
     isn't all capitals, and is turned by every negation among these words. With a contrast word, what stands before the
-    first one counts half and what follows one and a half times. Exclamation marks strengthen the sum. Texts without a
-    hit have 0; rows are told apart by key alone, which should be unique; a null key is a key. Tables of words of up to
+    first one counts half and what follows one and a half times. Exclamation marks strengthen the sum, to which values are
+    added in the order of the text, each multiplied by one factor after the other. Texts without a hit have 0; rows are told apart by key alone, which should be unique; a null key is a key. Tables of words of up to
     `sent` bytes, by a sum over them, travel to the texts, of which no word is exchanged; larger ones are joined.
     """
     words = F.array_remove(F.split(text, r"[^\p{L}\p{N}_']+"), "")
@@ -46,8 +49,10 @@ def compound(rows: DataFrame, key: str, text: Column, lexicon: DataFrame, booste
         summed = each.groupBy("k").agg(F.sum("s").alias("s"), F.max("marks").alias("marks"), F.sum("n_hits").alias("n_hits"))
     else:
         summed = _by_joins(base, *tables, but, shouted)
-    total = F.col("s") + F.signum("s") * F.col("marks") * EXCLAIMED
-    return summed.select(F.col("k").alias(key), F.round(total / F.sqrt(total * total + SQUASH), 6).alias("compound"), "n_hits")
+    total = F.col("s") + F.round(F.signum("s") * F.col("marks") * EXCLAIMED, DECIMALS)
+    of_one = total / F.sqrt(total * total + SQUASH)
+    rounded = F.signum(of_one) * F.floor(F.abs(of_one) * 1e6 + 0.5) / 1e6  # keeps the sign of zero, as SQL's does
+    return summed.select(F.col("k").alias(key), rounded.alias("compound"), "n_hits")
 
 
 def _beside(values: dict, boosts: dict, turns: set, but: tuple[str, ...]):
@@ -68,20 +73,22 @@ def _beside(values: dict, boosts: dict, turns: set, but: tuple[str, ...]):
                 turn, contrast = of(lambda x: x in turns, bool), of(lambda x: x in but, bool)
                 loud = part.column("loud").flatten().to_numpy(zero_copy_only=False).astype(bool) & np.repeat(part.column("mixed").to_numpy(zero_copy_only=False).astype(bool), size)
                 sign = np.sign(value)
-                strength, factor = value + sign * np.where(loud, CAPITALS, 0.0), np.ones(len(row))
+                strength, turned = value + sign * np.where(loud, CAPITALS, 0.0), []
                 for k, weight in enumerate(NEARNESS, 1):
                     to = np.flatnonzero(pos >= k)
                     before = to - k
                     added = sign[to] * (boost[before] + np.where(loud[before], np.sign(boost[before]) * CAPITALS, 0.0)) * weight
-                    strength[to] += np.where(np.isnan(added), 0.0, added)
-                    factor[to] *= np.where(turn[before], NEGATED, 1.0)
+                    strength[to] += np.where(np.isnan(added), 0.0, np.round(added, DECIMALS))
+                    turned.append(to[turn[before]])
+                for to in turned:
+                    strength[to] *= NEGATED
                 first = np.full(len(size), np.iinfo(np.int64).max)
                 at = np.flatnonzero(contrast)
                 np.minimum.at(first, row[at], pos[at])
                 first = first[row]
                 side = np.where(first == np.iinfo(np.int64).max, 1.0, np.where(pos < first, BEFORE_BUT, np.where(pos > first, AFTER_BUT, 1.0)))
                 hit = np.flatnonzero(~np.isnan(value))
-                s = np.bincount(row[hit], (strength * factor * side)[hit], len(size))
+                s = np.bincount(row[hit], (strength * side)[hit], len(size))
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("marks"), pa.array(s), pa.array(np.bincount(row[hit], minlength=len(size)).astype(np.int64))], names=["k", "marks", "s", "n_hits"])
 
     return rows
@@ -94,15 +101,17 @@ def _by_joins(base: DataFrame, lexicon: DataFrame, boosters: DataFrame, negation
     w = Window.partitionBy("k").orderBy("pos")
     loud = F.when(F.col("mixed") & shouted(F.col("own")), F.lit(CAPITALS)).otherwise(0.0)
     sign = F.signum("value")
-    strength, factor = F.col("value") + sign * loud, F.lit(1.0)
+    strength, turns = F.col("value") + sign * loud, []
     for k, near in enumerate(NEARNESS, 1):
         boost = F.lag("boost", k).over(w)
         louder = F.when(F.col("mixed") & shouted(F.lag("own", k).over(w)), F.signum(boost) * CAPITALS).otherwise(0.0)
-        strength = strength + F.coalesce(sign * (boost + louder) * near, F.lit(0.0))
-        factor = factor * F.when(F.lag("turn", k).over(w) == 1, F.lit(NEGATED)).otherwise(1.0)
+        strength = strength + F.coalesce(F.round(sign * (boost + louder) * near, DECIMALS), F.lit(0.0))
+        turns.append(F.when(F.lag("turn", k).over(w) == 1, F.lit(NEGATED)).otherwise(1.0))
+    for turn in turns:
+        strength = strength * turn
     first = F.min(F.when(F.col("word").isin(*but), F.col("pos"))).over(Window.partitionBy("k"))
     side = F.when(F.col("pos") < first, BEFORE_BUT).when(F.col("pos") > first, AFTER_BUT).otherwise(1.0)
-    each = at.select("k", "marks", (strength * factor * side).alias("v"))
+    each = at.select("k", "marks", (strength * side).alias("v"))
     return each.groupBy("k").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"), F.max("marks").alias("marks"), F.count("v").alias("n_hits"))
 
 
