@@ -130,3 +130,29 @@ def test_a_query_reads_few_row_groups(spark, tmp_path):
     read = [g for g in groups if g[0] <= "common" <= g[1] and g[2] >= least["common"]]
     assert len(groups) > 10 and len(read) <= len(groups) / 4
     assert [r["doc"] for r in index.top(["common"], "text", 5).orderBy("rank").collect()] == [0, 4997, 9994, 14991, 19988]
+
+
+def test_blocks_are_cut_out_of_batches_as_columns():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quern.operators import text_index
+
+    rnd = random.Random(2)
+    rows = [("f" if t < 40 else "g", f"t{t}", d if d % 50 else None, 900 - d, [d, d + 1][: 1 + d % 2]) for t in range(80) for d in range(rnd.choice((1, 5, 127, 128, 129, 256, 700)))]
+    names = ["field", "term", "doc", "tf", "positions"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    of = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
+    for size in (1, 37, 128, 5000, len(rows)):
+        blocks = [r for b in text_index._block_batches(pa.int64())([of(rows[i : i + size]) for i in range(0, len(rows), size)]) for r in b.to_pylist()]
+        assert [(b["field"], b["term"], *x) for b in blocks for x in zip(b["docs"], b["tfs"], b["positions"], strict=True)] == rows
+        assert all(len(b["docs"]) == text_index.BLOCK for b, c in zip(blocks, blocks[1:], strict=False) if (b["field"], b["term"]) == (c["field"], c["term"]))
+        assert all((b["best"], b["least"]) == (b["tfs"][0], b["tfs"][-1]) for b in blocks)
+    large = [of(rows)] * 20
+    tracemalloc.start()
+    assert sum(b.num_rows for b in text_index._block_batches(pa.int64())(large)) >= 20
+    assert tracemalloc.get_traced_memory()[1] < 50 * len(rows)
+    tracemalloc.stop()
+    assert list(text_index._block_batches(pa.int64())([])) == []
